@@ -19,15 +19,16 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def _uniform(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
-    """Whole numbers as BIGINT and the named doubles rounded, as on the SQL side."""
+def _uniform(df: DataFrame, digits: Mapping[str, int], nulls: Mapping[str, int]) -> DataFrame:
+    """Whole numbers as BIGINT, named doubles rounded, nulls filled, as on the SQL side."""
     casts = {
         f.name: F.col(f.name).cast("long")
         for f in df.schema.fields
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType))
     }
     rounds = {c: F.round(F.col(c).cast("double"), n) + F.lit(0.0) for c, n in digits.items()}
-    return df.withColumns({**casts, **rounds})
+    fills = {c: F.coalesce(F.col(c), F.lit(v)).cast("long") for c, v in nulls.items()}
+    return df.withColumns({**casts, **rounds, **fills})
 
 
 def query(
@@ -36,12 +37,18 @@ def query(
     *,
     digits: Mapping[str, int] | None = None,
     ints: Sequence[str] = (),
+    nulls: Mapping[str, int] | None = None,
 ):
-    """Register ``fn(spark, folder) -> DataFrame``; ``digits`` names columns to round."""
-    digits = dict(digits or {})
-    if sql is not None and (digits or ints):
+    """Register ``fn(spark, folder) -> DataFrame``.
+
+    ``digits`` names doubles to round and ``nulls`` whole numbers whose nulls are shown as
+    a given value, both in the result only.
+    """
+    digits, nulls = dict(digits or {}), dict(nulls or {})
+    if sql is not None and (digits or ints or nulls):
         swaps = [f"round(CAST({c} AS DOUBLE), {n}) + 0.0 AS {c}" for c, n in digits.items()]
         swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
+        swaps += [f"CAST(coalesce({c}, {v}) AS BIGINT) AS {c}" for c, v in nulls.items()]
         sql = f"SELECT * REPLACE ({', '.join(swaps)}) FROM ({sql}) AS answer"
 
     def keep(fn: Callable[[SparkSession, str], DataFrame]):
@@ -51,7 +58,7 @@ def query(
         def run(spark: SparkSession, folder: str) -> DataFrame:
             # Timestamps without zone are read as UTC; the checks assume the same.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return _uniform(fn(spark, folder), digits)
+            return _uniform(fn(spark, folder), digits, nulls)
 
         REGISTRY[name] = Query(run, sql)
         return fn

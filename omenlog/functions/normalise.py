@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from omenlog.functions.binding import bound
+
 # The masks of each log dialect, in the order in which they apply:
 # (pattern, replacement, text without which the pattern cannot match).
 BLOCK_ID = r"blk_-?\d+"
@@ -106,11 +108,6 @@ def is_ascii(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x7F]")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _masked(pattern: str, name: str, needs: str) -> Callable[[Column], Column]:
     def step(text: Column) -> Column:
         done = F.regexp_replace(text, F.lit(pattern), F.lit(name))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from omenlog.functions.binding import bound
+
 POOLING = ("mean", "max", "topk_mean", "bottomk_mean", "pctl")
 
 
@@ -16,7 +18,9 @@ def array_sum(values: Column) -> Column:
 
 def array_mean(values: Column) -> Column:
     """Mean of an array of doubles, 0 when empty."""
-    return F.when(F.size(values) > 0, array_sum(values) / F.size(values)).otherwise(0.0)
+    return bound(
+        values, lambda v: F.when(F.size(v) > 0, array_sum(v) / F.size(v)).otherwise(0.0)
+    )
 
 
 def pool(values: Column, mode: str, k: float | Column = 5) -> Column:
@@ -34,11 +38,14 @@ def pool(values: Column, mode: str, k: float | Column = 5) -> Column:
     if mode == "bottomk_mean":
         return array_mean(F.slice(F.sort_array(values), F.lit(1), k.cast("int")))
     if mode == "pctl":
-        ordered = F.sort_array(values)
         at = (F.size(values) - 1) * k / 100
-        low = F.get(ordered, F.floor(at).cast("int"))
-        high = F.get(ordered, F.ceil(at).cast("int"))
-        return F.when(F.size(values) > 0, low + (high - low) * (at - F.floor(at))).otherwise(0.0)
+
+        def between(ordered: Column) -> Column:
+            low = F.get(ordered, F.floor(at).cast("int"))
+            high = F.get(ordered, F.ceil(at).cast("int"))
+            return low + (high - low) * (at - F.floor(at))
+
+        return F.when(F.size(values) > 0, bound(F.sort_array(values), between)).otherwise(0.0)
     raise ValueError(f"unknown pooling mode: {mode} (one of {POOLING})")
 
 
@@ -62,9 +69,14 @@ def ensemble(scores: Sequence[Column], ks: Sequence[int], how: str = "mean") ->
 
 def softmax(values: Column) -> Column:
     """Softmax of an array of doubles."""
-    top = F.array_max(values)
-    exps = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda x: x / array_sum(exps))
+
+    def share(exps: Column) -> Column:
+        return bound(array_sum(exps), lambda total: F.transform(exps, lambda x: x / total))
+
+    def powers(v: Column) -> Column:
+        return bound(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+
+    return bound(bound(values, powers), share)
 
 
 def confidence_alpha(probs: Column, low: float = 0.5, high: float = 0.95) -> Column:

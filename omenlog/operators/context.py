@@ -275,6 +275,6 @@ def similarity_margin(
         return pd.DataFrame({"margin": out})
 
     scored = _scan(df, fn, "margin double", halo=rows, order=order, extra=("label",), block_rows=block_rows)
-    return scored.filter(~F.isnan("margin")).agg(
+    return scored.filter("margin is not null and not isnan(margin)").agg(
         F.count("*").alias("failures"), F.coalesce(F.avg("margin"), F.lit(0.0)).alias("margin")
     )

@@ -14,6 +14,7 @@ from omenlog.operators.order import Order
 from omenlog.plans.inputs import LN, table
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, normal_lines
+from omenlog.session import checkpointed
 
 LABELLED = f"""WITH {LN}, {NORM}, lb AS (SELECT nm.*, coalesce(toxic, 0) AS label FROM nm LEFT JOIN labels ON doc_id = owner)"""
 
@@ -21,9 +22,11 @@ LABELLED = f"""WITH {LN}, {NORM}, lb AS (SELECT nm.*, coalesce(toxic, 0) AS labe
 def labelled_lines(spark, folder):
     """Templates with the label of their document, normal where it is not labelled."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("owner"), F.col("toxic").alias("label"))
-    return normal_lines(spark, folder).join(labels, "owner", "left").withColumn(
+    known = normal_lines(spark, folder).join(labels, "owner", "left").withColumn(
         "label", F.coalesce("label", F.lit(0))
     )
+    # Read several times below (training, scoring, lookup): the templates are written once.
+    return checkpointed(known.select("line_id", "owner", "source", "norm", "label"))
 
 
 def model_sql(unit: str = "string_split(norm, ' ')") -> str:
@@ -62,7 +65,7 @@ def word_surprise(spark, folder):
 
 @query(
     "piece_surprise",
-    f"""{model_sql("regexp_extract_all(norm, '[A-Z]+|[a-z]+')")} SELECT md5(norm) AS line, pos, word, err, prob FROM sc""".replace("[A-Z]+|[a-z]+", "[A-Za-z]+|[0-9]+"),
+    model_sql("regexp_extract_all(norm, '[A-Za-z]+|[0-9]+')") + " SELECT md5(norm) AS line, pos, word, err, prob FROM sc",
     digits={"err": 6, "prob": 6}, ints=("pos",),
 )
 def piece_surprise(spark, folder):

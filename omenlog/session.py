@@ -17,6 +17,7 @@ def get_spark(app: str = "omenlog", master: str | None = None, **conf: str) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -39,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
         return os.path.dirname(current)
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="omenlog-")
+    folder = tempfile.mkdtemp(prefix="omenlog-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -50,6 +53,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there (survives executor loss)."""
     spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

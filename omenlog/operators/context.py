@@ -43,11 +43,13 @@ def _scan(
     named = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {named[k]}" for k in keys), "line_id bigint", fields])
 
+    names = [*keys, "line_id", *(f.split()[0] for f in fields.split(", "))]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ord", kind="stable").reset_index(drop=True)
         own = np.flatnonzero(pdf["_own"].to_numpy())
         if len(own) == 0:
-            return pd.DataFrame({c: [] for c in [*keys, "line_id"]})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
         out = fn(pdf, pdf["_pos"].to_numpy(), own)
         head = pdf.iloc[own][[*keys, "line_id"]].reset_index(drop=True)
         return pd.concat([head, out.reset_index(drop=True)], axis=1)

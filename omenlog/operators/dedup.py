@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from omenlog.session import checkpointed
+
 HOT_ROWS = 5_000_000
 
 
@@ -36,15 +38,18 @@ def lookup(
     spread: str = "line_id",
     hot_rows: int = HOT_ROWS,
     how: str = "inner",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join many ``rows`` with a ``table`` unique on ``on``, hot values spread over salts.
 
     Values with more than ``hot_rows`` rows (at most rows / hot_rows of them) are cut into
     that many parts by a hash of ``spread``; only their table rows are repeated.
+    ``counts`` (``on`` and ``copies``) saves counting the rows where that is known.
     """
     on = list(on)
-    hot = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    found = hot.collect()
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("copies"))
+    found = counts.filter(F.col("copies") > hot_rows).select(*on, F.col("copies").alias("_n")).collect()
     if not found:
         return rows.join(table, on, how)
     parts = [(*[r[c] for c in on], math.ceil(r["_n"] / hot_rows)) for r in found]
@@ -69,5 +74,5 @@ def score_once(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply ``score`` to the distinct texts and give every line the result of its text."""
-    once = score(df.select(text).distinct())
-    return lookup(df, once, [text], hot_rows=hot_rows)
+    counts = checkpointed(df.groupBy(text).agg(F.count("*").alias("copies")))
+    return lookup(df, score(counts.select(text)), [text], hot_rows=hot_rows, counts=counts)

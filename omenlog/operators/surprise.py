@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import pool
 from omenlog.functions.words import contexts, pieces, words
-from omenlog.operators.dedup import HOT_ROWS, lookup
+from omenlog.operators.dedup import HOT_ROWS, lookup, score_once
 from omenlog.operators.order import quantile_list
 from omenlog.session import checkpointed
 
@@ -53,8 +53,15 @@ class CountModel:
 
 
 def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> CountModel:
-    """Count the words of normal lines in their contexts (copies count once per line)."""
-    both = positions(df, text, unit=unit).groupBy("left", "right", "word").agg(F.count("*").alias("c"))
+    """Count the words of normal lines in their contexts.
+
+    Lines are counted before they are cut into words, so a template with many copies is
+    cut once.
+    """
+    lines = df.groupBy(text).agg(F.count("*").alias("copies"))
+    both = positions(lines, text, unit=unit, keep=["copies"]).groupBy("left", "right", "word").agg(
+        F.sum("copies").alias("c")
+    )
     both = checkpointed(both)
     left = both.groupBy("left", "word").agg(F.sum("c").alias("c"))
     word = left.groupBy("word").agg(F.sum("c").alias("c"))
@@ -62,29 +69,39 @@ def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: st
 
 
 def surprise(model: CountModel, triples: DataFrame) -> DataFrame:
-    """``left, right, word, err, prob`` for distinct triples."""
-    a = model.smoothing
+    """``left, right, word, err, prob`` for distinct triples.
+
+    Only triples whose neighbours were never seen together are looked up by the left
+    neighbour, and only those whose left neighbour is new by the word alone.
+    """
+    room = F.lit(model.smoothing) * (F.col("_t.v") + 1)  # one share for words never seen
+    totals = model.totals.select(F.struct("n", "top", "v")).scalar()
+    triple = ["left", "right", "word"]
+
+    def answer(df: DataFrame, count: str, top: str, total: str) -> DataFrame:
+        p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (F.col(total) + room)
+        best = (F.col(top) + model.smoothing) / (F.col(total) + room)
+        return df.withColumn("_t", totals).select(*triple, (-F.log(p)).alias("err"), (1 - best).alias("prob"))
+
     pair = model.both.groupBy("left", "right").agg(F.sum("c").alias("n3"), F.max("c").alias("m3"))
-    single = model.left.groupBy("left").agg(F.sum("c").alias("n2"), F.max("c").alias("m2"))
-    joined = (
-        triples.join(model.both.withColumnRenamed("c", "c3"), ["left", "right", "word"], "left")
+    found = checkpointed(
+        triples.select(*triple).join(model.both.withColumnRenamed("c", "c3"), triple, "left")
         .join(pair, ["left", "right"], "left")
+    )
+    single = model.left.groupBy("left").agg(F.sum("c").alias("n2"), F.max("c").alias("m2"))
+    rest = checkpointed(
+        found.filter("n3 is null").select(*triple)
         .join(model.left.withColumnRenamed("c", "c2"), ["left", "word"], "left")
-        .join(single, ["left"], "left")
-        .join(model.word.withColumnRenamed("c", "c1"), ["word"], "left")
-        .withColumn("_t", model.totals.select(F.struct("n", "top", "v")).scalar())
+        .join(single, "left", "left")
+    )
+    alone = rest.filter("n2 is null").select(*triple).join(
+        model.word.withColumnRenamed("c", "c1"), "word", "left"
+    )
+    return (
+        answer(found.filter("n3 is not null"), "c3", "m3", "n3")
+        .unionByName(answer(rest.filter("n2 is not null"), "c2", "m2", "n2"))
+        .unionByName(answer(alone, "c1", "_t.top", "_t.n"))
     )
-    room = F.lit(a) * (F.col("_t.v") + 1)  # one share for words never seen
-
-    def share(count: Column, total: Column) -> Column:
-        return (F.coalesce(count, F.lit(0)) + F.lit(a)) / (total + room)
-
-    def level(three: Column, two: Column, one: Column) -> Column:
-        return F.when(F.col("n3").isNotNull(), three).when(F.col("n2").isNotNull(), two).otherwise(one)
-
-    p = level(share(F.col("c3"), F.col("n3")), share(F.col("c2"), F.col("n2")), share(F.col("c1"), F.col("_t.n")))
-    top = level(share(F.col("m3"), F.col("n3")), share(F.col("m2"), F.col("n2")), share(F.col("_t.top"), F.col("_t.n")))
-    return joined.select("left", "right", "word", (-F.log(p)).alias("err"), (1 - top).alias("prob"))
 
 
 def word_scores(
@@ -97,10 +114,12 @@ def word_scores(
     """
     keep = [key] if key == text else [key, text]
     place = positions(df.select(*keep), text, unit=unit, keep=[key])
-    scored = surprise(model, place.select("left", "right", "word").distinct())
+    triple = ["left", "right", "word"]
+    counts = checkpointed(place.groupBy(*triple).agg(F.count("*").alias("copies")))
+    scored = surprise(model, counts.select(*triple))
     out = lookup(
-        place.withColumn("_at", F.xxhash64(key, "pos")), scored, ["left", "right", "word"],
-        spread="_at", hot_rows=hot_rows,
+        place.withColumn("_at", F.xxhash64(key, "pos")), scored, triple,
+        spread="_at", hot_rows=hot_rows, counts=counts,
     )
     return out.select(key, "pos", "word", "err", "prob")
 
@@ -154,15 +173,18 @@ def with_model(
 
     ``fn`` gets frames with the text column and returns it with the columns of ``schema``.
     """
-    once = df.select(text).distinct().mapInPandas(fn, schema)
-    return lookup(df, once, [text], hot_rows=hot_rows)
+    return score_once(df, lambda once: once.mapInPandas(fn, schema), text=text, hot_rows=hot_rows)
 
 
 # ------------------------------------------------------------------ vocabularies
 
 
 def word_counts(df: DataFrame, text: str = "norm") -> DataFrame:
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Words with their frequency (lines are counted before they are cut into words)."""
+    lines = df.groupBy(text).agg(F.count("*").alias("copies"))
+    return lines.select("copies", F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(
+        F.sum("copies").alias("n")
+    )
 
 
 def vocabulary(df: DataFrame, text: str = "norm", *, size: int = 30_000, min_frequency: int = 2) -> DataFrame:

@@ -212,21 +212,13 @@ def lead_times_per_threshold(
     marks = numbered.filter(F.col("score") > lowest).select(
         *keys, F.col("pos").alias("at"), "us", "score"
     )
-    hits = {
-        f"t{i}": F.when(F.col("score") > float(t), F.struct(F.col("at").alias("pos"), F.col("us")))
-        for i, t in enumerate(thresholds)
-    }
+    # The time of the hit is enough: a hit at or after the failure is not earlier than it.
+    hits = {f"t{i}": F.when(F.col("score") > float(t), F.col("us")) for i, t in enumerate(thresholds)}
     found = first_at_or_after(
-        probes, marks, hits, keys=keys, rows_per_bucket=order.rows_per_bucket
+        probes, marks, hits, keys=keys, rows_per_bucket=order.rows_per_bucket, unique=True
     )
-    dlts = [
-        F.coalesce(
-            F.greatest(F.when(F.col(f"{n}.pos") < F.col("pos"), _seconds(F.col("us"), F.col(f"{n}.us"))),
-                       F.lit(0.0)),
-            F.lit(0.0),
-        ).alias(n)
-        for n in hits
-    ]
+    none = F.lit(0.0)
+    dlts = [F.coalesce(F.greatest(_seconds(F.col("us"), F.col(n)), none), none).alias(n) for n in hits]
     return found.select(*keys, "line_id", "us", *dlts)
 
 

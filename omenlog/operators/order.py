@@ -283,6 +283,7 @@ def first_at_or_after(
     keys: Sequence[str] = (),
     at: str = "at",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    unique: bool = False,
 ) -> DataFrame:
     """For each probe, the value of the first mark of its key with ``mark.at >= probe.at``.
 

@@ -227,7 +227,7 @@ def split_statistics_sink(spark, folder):
     f"""{detail_sql(ROWS)}, hw AS (SELECT us - us % 3600000000 AS w, sum(CASE WHEN score > t THEN 1 ELSE 0 END) AS alerts, sum(label) AS failures FROM ev, thr GROUP BY 1),
 c AS (SELECT sum(CASE WHEN score > t AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score > t AND label = 0 THEN 1 ELSE 0 END) AS fp,
   sum(CASE WHEN NOT score > t AND label = 1 THEN 1 ELSE 0 END) AS fn, any_value(t) AS threshold FROM ev, thr)
-SELECT threshold, tp, fp, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS f1,
+SELECT threshold, tp, fp, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END AS f1,
   (SELECT avg(dlt) FROM d) AS mean_dlt, (SELECT avg(CASE WHEN dlt >= 300 THEN 100.0 ELSE 0 END) FROM d) AS ewr_5min,
   (SELECT count(*) FROM hw WHERE alerts > 0) AS hour_alert_windows,
   (SELECT sum(CASE WHEN dlt >= 300 THEN 1 ELSE 0 END) FROM d) // 2 * 10000.0 - fp * 100.0 AS net_benefit, 'not ready' AS recommendation FROM c""",

@@ -39,8 +39,9 @@ BGL_MASKS = (
     (r"(\d+)", " NUM ", ""),
 )
 HDFS_MASKS = ((r"blk_.\d+", "BLK", "blk_"), (IP, "IP", "."), (r"\d*\d", "NUM", ""))
+# The look-ahead only spares the alternation where no month can start.
 MONTHS = (
-    "(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?"
+    "(?=[JFMASOND])(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?"
     "|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
 SIGNS = r"""[-=+,#/\?:^$.@*\"※~&%ㆍ!』\\‘|\(\)\[\]`'…》]"""
@@ -61,10 +62,13 @@ THUNDERBIRD_MASKS = (
 LETTERS_AND_ANGLES = r"[^a-zA-Z<>]+"
 LETTERS = r"[^a-zA-Z]+"
 
-# Unicode white space other than the blank and the newline; it is turned into blanks first.
-SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + (
+# White space other than the blank and the newline; it is turned into blanks first.
+ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+SPACES = ASCII_SPACES + "\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + (
     "    　"
 )
+ANY_ASCII_SPACE = r"[\t\x0b-\r\x1c-\x1f]"
+ANY_SPACE = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNICODE = {"d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "s": r" \n"}
 _ASCII = {"d": "0-9", "w": "A-Za-z0-9_", "s": r" \n"}
 
@@ -94,14 +98,18 @@ def portable(pattern: str, *, ascii_only: bool = False) -> str:
             inside = False
         elif c == "." and not inside:
             c = r"[^\n]"
-        out.append(c)
+        if not (inside and ascii_only and not c.isascii()):
+            out.append(c)
         i += 1
     return "".join(out)
 
 
-def blanks(text: Column) -> Column:
+def blanks(text: Column, *, ascii_only: bool = False) -> Column:
     """Every kind of white space but the newline as a blank."""
-    return F.translate(text, SPACES, " " * len(SPACES))
+    spaces, some = (ASCII_SPACES, ANY_ASCII_SPACE) if ascii_only else (SPACES, ANY_SPACE)
+    return bound(
+        text, lambda t: F.when(t.rlike(some), F.translate(t, spaces, " " * len(spaces))).otherwise(t)
+    )
 
 
 def is_ascii(text: Column) -> Column:
@@ -117,6 +125,8 @@ def _masked(pattern: str, name: str, needs: str) -> Callable[[Column], Column]:
 
 
 def _chain(text: Column, masks: tuple, ascii_only: bool) -> Column:
+    if any(space in pattern for pattern, _, _ in masks for space in (r"\s", r"\S")):
+        text = blanks(text, ascii_only=ascii_only)
     for pattern, name, needs in masks:
         text = bound(text, _masked(portable(pattern, ascii_only=ascii_only), name, needs))
     return text
@@ -128,7 +138,7 @@ def mask(text: Column, masks: tuple) -> Column:
     ASCII lines take patterns with ASCII classes, which match the same text much faster.
     """
     return bound(
-        blanks(text),
+        text,
         lambda t: F.when(is_ascii(t), _chain(t, masks, True)).otherwise(_chain(t, masks, False)),
     )
 

@@ -17,6 +17,7 @@ def quoted(text: str) -> str:
 
 def masks_sql(source: str, masks) -> str:
     for pattern, name, _ in masks:
+        pattern = pattern.removeprefix("(?=[JFMASOND])")  # RE2 has no look-ahead
         source = f"regexp_replace({source}, {quoted(nz.portable(pattern))}, {quoted(name)}, 'g')"
     return source
 

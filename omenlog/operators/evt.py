@@ -76,7 +76,9 @@ def fit(
     if keys:
         base = counts.join(plain, list(keys)).join(state, list(keys), "left")
     else:
-        base = counts.withColumn("plain", plain.select("plain").scalar()).join(state, F.lit(True), "left")
+        one = state.select(F.struct(*state.columns)).scalar()  # null when nothing exceeds u
+        base = counts.withColumn("plain", plain.select("plain").scalar()).withColumn("_s", one)
+        base = base.select("n", "plain", *[F.col("_s")[c].alias(c) for c in state.columns])
     rarity = F.col("n") / F.col("k") * risk
     general = F.col("u") + scale / shape * (F.pow(rarity, -shape) - 1)
     exponential = F.col("u") - scale * F.log(rarity)

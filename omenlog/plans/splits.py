@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from omenlog.operators import split
+from omenlog.operators.order import Order, ordinal
 from omenlog.plans.inputs import EV, LN, events, lines, table
 from omenlog.plans.registry import query
 
@@ -25,6 +26,11 @@ def chronological_split_by_parts(spark, folder):
     return split.chronological(events(spark, folder), (0.5, 0.25, 0.25), cut_rule="parts").select("line_id", "part")
 
 
+@query("chronological_order", f"WITH {EV}, {ORDINAL} SELECT line_id, pos FROM o")
+def chronological_order(spark, folder):
+    return ordinal(events(spark, folder), Order()).select("line_id", "pos")
+
+
 ROLE = f"""{ORDINAL}, r AS (SELECT *, CASE WHEN pos < floor(n * 0.8) AND label = 0 THEN 'train' ELSE 'test' END AS role FROM o)"""
 
 

@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from omenlog.functions.words import words
-from omenlog.operators import classify, context, dedup, scores, surprise
-from omenlog.operators.order import Order
+from omenlog.operators import classify, dedup, line_scores, surprise
 from omenlog.plans.inputs import LN, table
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, normal_lines
@@ -136,30 +131,32 @@ def own_model_scores(spark, folder):
     return out.select("line_id", "own_score")
 
 
-def line_vectors(df, features: int = 1024, components: int = 16):
-    """Default line embedding: hashed words, inverse document frequency, leading components."""
-    once = df.select("norm").distinct().withColumn("w", words(F.col("norm")))
-    stages = [
-        HashingTF(inputCol="w", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="idf"), PCA(k=components, inputCol="idf", outputCol="pca"),
-    ]
-    fitted = Pipeline(stages=stages).fit(once)
-    return fitted.transform(once).select("norm", vector_to_array("pca").alias("vec"))
-
-
 @query("line_embeddings")
 def line_embeddings(spark, folder):
     df = normal_lines(spark, folder)
-    return dedup.lookup(df.select("line_id", "norm"), line_vectors(df, 256), ["norm"]).select("line_id", "vec")
+    return dedup.lookup(df.select("line_id", "norm"), line_scores.line_vectors(df, 256), ["norm"]).select("line_id", "vec")
+
+
+def timed_lines(spark, folder):
+    """Labelled templates; documents carry no time, their lines are a second apart."""
+    return labelled_lines(spark, folder).withColumn("us", F.col("line_id") * 1_000_000)
 
 
 @query("full_line_scoring")
 def full_line_scoring(spark, folder):
     """Raw lines to the hybrid score: parse, distinct lines, surprise, memory distance, blend."""
-    df, words_ = scored_words(spark, folder)
-    once = surprise.adaptive_scores(surprise.line_arrays(words_)).join(line_vectors(df, 256), "norm")
-    lines = dedup.lookup(df.select("line_id", "label", "norm"), once, ["norm"]).withColumn("us", F.col("line_id"))
-    order = Order((), ("line_id",))
-    far = context.knn(lines.select("line_id", "us", "vec"), capacity=128, k=10, order=order)
-    joined = lines.select("line_id", "label", "error_mean", "prob_mean").join(far, "line_id")
-    return scores.online_hybrid(joined, "error_mean", "distance", 0.5, order=order)
+    df = timed_lines(spark, folder)
+    model = surprise.train(df.filter("label = 0"))
+    out = line_scores.score_lines(df, model, time=True, memory=True)
+    return out.select("line_id", "label", "mlm_error", "mlm_prob", "log_delta", "knn_distance", "hybrid")
+
+
+@query(
+    "baseline_line_scoring",
+    f"""{model_sql()}, {LINE_SQL} SELECT line_id, label, error_mean AS mlm_error, prob_mean AS mlm_prob FROM lb JOIN ls USING (norm)""",
+    digits={"mlm_error": 6, "mlm_prob": 6}, ints=("label",),
+)
+def baseline_line_scoring(spark, folder):
+    df = timed_lines(spark, folder)
+    out = line_scores.score_lines(df, surprise.train(df.filter("label = 0")), memory=False)
+    return out.select("line_id", "label", "mlm_error", "mlm_prob")

@@ -237,3 +237,21 @@ def test_row_roll_up_drops_the_partial_tail(spark):
     df = spark.createDataFrame([(i, i, float(i)) for i in range(10)], "line_id long, us long, score double")
     out = temporal.roll_up_rows(df, 4, order=Order(rows_per_bucket=3)).orderBy("step").collect()
     assert [(r.step, r.mean) for r in out] == [(0, 1.5), (1, 5.5)]
+
+
+def test_written_reports_are_read_back(spark, tmp_path):
+    from omenlog.operators import report
+
+    for model, f1 in (("one", 0.9), ("two", 0.8)):
+        folder = tmp_path / "runs" / model / "results"
+        folder.mkdir(parents=True)
+        (folder / "x_k5_report.txt").write_text(
+            f"AUROC: 0.990000\nbest_F1: {f1:.6f}\nbest_threshold: 7.64\n\nconfusion_matrix:\n[[5 1]\n [0 4]]\n\n"
+            "              precision    recall  f1-score   support\n\n"
+            "           0     1.0000    0.8333    0.9091         6\n           1     0.8000    1.0000    0.8889         4\n"
+        )
+    rows = report.read_reports(spark, str(tmp_path / "runs" / "*" / "results")).orderBy("model").collect()
+    assert [(r.model, r.file, r.best_F1, r.Precision, r.Recall, r.F1_score) for r in rows] == [
+        ("one", "x_k5", 0.9, 0.8, 1.0, 0.8889), ("two", "x_k5", 0.8, 0.8, 1.0, 0.8889)
+    ]
+    assert rows[0].best_threshold == 7.64

@@ -22,6 +22,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from omenlog.session import checkpointed
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 8192
 SAMPLES_PER_BUCKET = 16
@@ -47,6 +49,20 @@ class Order:
         return replace(self, cuts=tuple(cut_points(df, self.columns, self.rows_per_bucket)))
 
 
+def planned(df: DataFrame, order: Order) -> tuple[DataFrame, Order]:
+    """``df`` and its order with cut points.
+
+    Rows that need more than one bucket are written once first: the sample, the bucket
+    totals and the windows then read the table instead of repeating the work before it.
+    """
+    if order.cuts is not None:
+        return df, order
+    if df.count() <= order.rows_per_bucket:
+        return df, replace(order, cuts=())
+    df = checkpointed(df)
+    return df, order.plan(df)
+
+
 def cut_points(df: DataFrame, columns: Sequence[str], rows_per_bucket: int) -> list[tuple]:
     """Tuples that cut the order of ``columns`` into buckets of about ``rows_per_bucket``.
 
@@ -156,7 +172,7 @@ def running(
     ``columns`` maps an output name to ``(how, value)`` with ``how`` one of sum, min,
     max, last, first; last and first skip nulls.  ``reverse`` runs from the end.
     """
-    order = order.plan(df)
+    df, order = planned(df, order)
     keys = [F.col(k) for k in order.keys]
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order.by]
     end = -1 if exclusive else Window.currentRow
@@ -218,7 +234,7 @@ def lookback(df: DataFrame, order: Order, rows: int, block_rows: int = 200_000):
     rows of every block are followed by a copy of the block's last ``rows`` rows in the
     next block, so the copies cost ``rows / block_rows`` of the data.
     """
-    order = order.plan(df)
+    df, order = planned(df, order)
     if not order.cuts:
         return df, Window.partitionBy(*order.keys).orderBy(*order.by), lambda out: out
     block_rows = max(block_rows, rows)
@@ -250,7 +266,7 @@ def blocks(
     so a grouped Python function over ``_block`` sees bounded input even for one hot key.
     """
     block_rows = max(block_rows, rows)
-    order = order.plan(df)
+    df, order = planned(df, order)
     whole = Order((), order.columns, cuts=order.cuts)
     numbered = ordinal(df, whole, "_ord")
     if order.keys:
@@ -365,16 +381,16 @@ def quantiles(
     probs = [float(p) for p in probs]
     counts = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
     counts = counts.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = running(
-        counts, Order(tuple(keys), ("_v",), rows_per_bucket), {"_cum": ("sum", F.col("_c"))}
-    )
+    size = counts.agg(F.sum("_c").alias("n"), F.count("*").alias("distinct")).first()
+    order = Order(tuple(keys), ("_v",), rows_per_bucket, ())
+    if size["distinct"] > rows_per_bucket:
+        counts = checkpointed(counts)
+        order = replace(order, cuts=None).plan(counts)
+    ranked = running(counts, order, {"_cum": ("sum", F.col("_c"))})
     if keys:
-        ranked = ranked.join(totals, list(keys))
+        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
     else:
-        total = totals.first()
-        n = (total["_n"] if total else None) or 0
-        ranked = ranked.withColumn("_n", F.lit(n).cast("long"))
+        ranked = ranked.withColumn("_n", F.lit(size["n"] or 0).cast("long"))
     distinct_probs = sorted(set(probs))
     grid = numbers(distinct_probs)
     steps = len(distinct_probs).bit_length() + 1

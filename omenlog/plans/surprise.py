@@ -111,7 +111,8 @@ def surprise_quality(spark, folder):
     df, words_ = scored_words(spark, folder)
     once = surprise.adaptive_scores(surprise.line_arrays(words_))
     lines = dedup.lookup(df.select("line_id", "label", "norm"), once, ["norm"])
-    return classify.auroc(lines.select("label", F.round("error_mean", 9).alias("score")))
+    # the curve reads its rows more than once
+    return classify.auroc(checkpointed(lines.select("label", F.round("error_mean", 9).alias("score"))))
 
 
 def letter_model(batches):

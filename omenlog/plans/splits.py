@@ -99,19 +99,19 @@ def conversation_blocks(spark, folder):
     )
 
 
-BLOCKS = """cb AS (SELECT conv_id AS block, min(conv_id * 2147483648 + turn) AS first_seen, max(CASE WHEN length(text) > 1500 THEN 1 ELSE 0 END) AS bad FROM conversations GROUP BY 1),
-bl AS (SELECT block, first_seen, CASE WHEN block % 4 = 0 THEN 0 ELSE bad END AS label FROM cb)"""
+BLOCKS = """cb AS (SELECT conv_id AS block, min(conv_id * 2147483648 + turn) AS first_seen, max(CASE WHEN length(text) > 1500 THEN 1 ELSE 0 END) AS bad, count(*) AS turns FROM conversations GROUP BY 1),
+bl AS (SELECT block, first_seen, CASE WHEN turns < 5 THEN 0 ELSE bad END AS label FROM cb)"""
 
 
 def blocks(spark, folder):
-    """Conversations as blocks; long turns mark a block as anomalous where labels are known."""
+    """Conversations as blocks; labels (long turns) are known from five turns on."""
     talks = table(spark, folder, "conversations")
     grouped = talks.groupBy(F.col("conv_id").alias("block")).agg(
         F.min(F.shiftleft("conv_id", 31) + F.col("turn")).alias("first_seen")
     )
     known = talks.groupBy(F.col("conv_id").alias("block")).agg(
-        F.max((F.length("text") > 1500).cast("int")).alias("label")
-    ).filter("block % 4 <> 0")
+        F.max((F.length("text") > 1500).cast("int")).alias("label"), F.count("*").alias("turns")
+    ).filter("turns >= 5")
     return split.with_block_labels(grouped, known)
 
 

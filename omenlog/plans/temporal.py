@@ -15,14 +15,14 @@ from omenlog.plans.registry import query
 
 @query(
     "delta_ms_known",
-    f"""WITH {ORD}, g AS (SELECT line_id, CASE WHEN key % 5 = 0 THEN NULL ELSE us END AS us FROM ord),
+    f"""WITH {ORD}, g AS (SELECT line_id, CASE WHEN score > 400000 THEN NULL ELSE us END AS us FROM ord),
 p AS (SELECT line_id, us, last_value(us IGNORE NULLS) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM g)
 SELECT line_id, greatest(coalesce((us - prev) / 1000, 0), 0) AS delta_ms, ln(1 + greatest(coalesce((us - prev) / 1000, 0), 0)) AS log_delta FROM p""",
     digits={"delta_ms": 3, "log_delta": 6},
 )
 def delta_ms_known(spark, folder):
-    # Orders arrive by id with disordered dates; the dates of some customers are taken as unknown.
-    df = orders(spark, folder).withColumn("us", F.when(F.col("key") % 5 != 0, F.col("us")))
+    # Orders arrive by id with disordered dates; those of the dearest are taken as unknown.
+    df = orders(spark, folder).withColumn("us", F.when(F.col("score") <= 400000, F.col("us")))
     out = temporal.delta_ms(df)
     return out.select("line_id", "delta_ms", tf.log_delta(F.col("delta_ms")).alias("log_delta"))
 
@@ -219,8 +219,8 @@ def raw_lines(spark, folder):
         F.format_string("%s %d 2005.06.03 R02-M1 RAS KERNEL %s", tag, epoch, "kind").alias("bgl"),
         F.format_string("%s %d 0 master.HPC %s", tag, epoch, "kind").alias("thunderbird"),
         F.concat(
-            # users whose number ends in 9 log an impossible month
-            F.when(F.col("key") % 10 == 9, "089913 000000").otherwise(F.date_format("ts", "yyMMdd HHmmss")),
+            # signups log an impossible month
+            F.when(F.col("kind") == "signup", "089913 000000").otherwise(F.date_format("ts", "yyMMdd HHmmss")),
             F.lit(" 148 INFO "), F.col("kind"),
         ).alias("hdfs"),
     )
@@ -229,7 +229,7 @@ def raw_lines(spark, folder):
 @query(
     "extracted_event_times",
     f"""WITH {EV} SELECT line_id, us // 1000000 AS bgl, CASE WHEN label = 0 THEN us // 1000000 ELSE -1 END AS thunderbird,
-  us // 1000000 AS thunderbird_any_tag, CASE WHEN key % 10 = 9 THEN -1 ELSE us // 1000000 END AS hdfs FROM ev""",
+  us // 1000000 AS thunderbird_any_tag, CASE WHEN kind = 'signup' THEN -1 ELSE us // 1000000 END AS hdfs FROM ev""",
 )
 def extracted_event_times(spark, folder):
     def seconds(c):

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from omenlog.session import ship
+
 
 @dataclass(frozen=True)
 class Query:
@@ -58,6 +60,7 @@ def query(
         def run(spark: SparkSession, folder: str) -> DataFrame:
             # Timestamps without zone are read as UTC; the checks assume the same.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return _uniform(fn(spark, folder), digits, nulls)
 
         REGISTRY[name] = Query(run, sql)

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from omenlog.llm import mixing, sharding, simhash
+from omenlog.llm import mixing, quality, sharding, simhash, toxicity
 from omenlog.llm.common import table
 from omenlog.session import ship
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -32,7 +40,9 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _run(f) for f in (op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents)
+    f.__name__: _run(f) for f in (
+        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality,
+    )
 }
 
 SQL: dict[str, str] = {}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from omenlog.llm import mixing, quality, sharding, simhash, toxicity
+from omenlog.llm import bpe, mixing, quality, sharding, simhash, toxicity
 from omenlog.llm.common import table
 from omenlog.session import ship
 
@@ -31,6 +32,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The tokenizer file of op9 and of the pipeline.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
+
+
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -41,7 +50,7 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _run(f) for f in (
-        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality,
+        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality, op9_bpe,
     )
 }
 

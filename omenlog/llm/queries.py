@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from omenlog.llm import bpe, mixing, quality, sharding, simhash, toxicity
+from omenlog.llm import bpe, chat, mixing, quality, sharding, simhash, toxicity, urls
 from omenlog.llm.common import table
 from omenlog.session import ship
 
@@ -32,6 +33,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link(chat.as_tool_calls(table(spark, sf_dir, "conversations")))
+    return linked.withColumn("linked_turn", F.coalesce("linked_turn", F.lit(-1)))  # -1: not linked
+
+
 #: The tokenizer file of op9 and of the pipeline.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -50,8 +60,9 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _run(f) for f in (
-        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality, op9_bpe,
+        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality, op7_url_filters,
+        op8_tool_calls, op9_bpe,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_url_filters": urls.judge_sql(), "op8_tool_calls": chat.link_sql()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omenlog.llm import bpe, chat, mixing, quality, sharding, simhash, toxicity, urls
+from omenlog.llm import ann, bpe, chat, mixing, quality, sharding, simhash, topk, toxicity, urls
 from omenlog.llm.common import table
 from omenlog.session import ship
 
@@ -25,6 +25,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("mix_source")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -60,9 +68,11 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _run(f) for f in (
-        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op5_shard_documents, op6_quality, op7_url_filters,
-        op8_tool_calls, op9_bpe,
+        op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op4_exact_top_k, op5_shard_documents, op6_quality, op7_url_filters,
+        op8_tool_calls, op9_bpe, op10_nearest,
     )
 }
 
-SQL: dict[str, str] = {"op7_url_filters": urls.judge_sql(), "op8_tool_calls": chat.link_sql()}
+SQL: dict[str, str] = {
+    "op4_exact_top_k": topk.top_k_sql(), "op7_url_filters": urls.judge_sql(), "op8_tool_calls": chat.link_sql(),
+}

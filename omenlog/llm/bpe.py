@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +19,12 @@ from omenlog.session import checkpointed
 
 #: Bytes of a chunk: at least, about (cuts are that rare on average), at most.
 LEAST, ABOUT, MOST = 64, 256, 1024
-#: The dictionary of shared chunks has at most so many entries, so at most 32 MB of text.
-DICTIONARY = 1 << 15
-#: Bounds of what a worker remembers: words, and chunks that are not in the dictionary.
-WORDS, CHUNKS = 1 << 19, 1 << 14
+#: The dictionary of shared chunks has at most so many entries, so at most 8 MB of text.
+DICTIONARY = 1 << 13
+#: Bounds of what a worker remembers: words (two generations of so many), and chunks that are not in the dictionary.
+WORDS, CHUNKS = 1 << 18, 1 << 14
 #: Bytes of text that are encoded at a time.
-PORTION = 1 << 22
+PORTION = 1 << 20
 #: Bytes whose rolling hashes are computed at a time.
 STRIP = 1 << 20
 
@@ -93,16 +94,23 @@ class Encoder:
         self.tokenizer.no_padding()
         self.shared: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # Without a decoder the library puts a blank between the tokens.
+        self.tokens = None if self.tokenizer.decoder else [
+            self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.cores: dict[bytes, bytes] = {}
 
     def plain(self, pieces: list[bytes]) -> list[bytes]:
         """The ids (little-endian 32 bits) of texts that start with white space or stand alone."""
         split = [_WORD.findall(p) for p in pieces]
-        new = list({w for words in split for w in words if w not in self.words})
-        if len(new) + len(self.words) > WORDS:
-            self.words.clear()
-            new = list({w for words in split for w in words})
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
+        wanted = {w for words in split for w in words if w not in self.words}
+        if len(wanted) + len(self.words) > WORDS:  # words not met for a whole generation are forgotten
+            self.older, self.words = self.words, {}
+            wanted = {w for words in split for w in words}
+        known = {w: self.older[w] for w in wanted if w in self.older}
+        self.words.update(known)
+        new = [w for w in wanted if w not in known]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found))
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -142,7 +150,9 @@ class Encoder:
 
     def decode(self, ids: list[bytes]) -> list[str]:
         lists = [np.frombuffer(x, dtype="<u4").tolist() for x in ids]
-        return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+        if self.tokens is None:
+            return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
+        return [" ".join(map(self.tokens.__getitem__, x)) for x in lists]
 
 
 #: The encoders of this worker by path, kept from task to task.
@@ -229,7 +239,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", entries: int =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, shared.value)
         for batch in batches:
-            sizes = np.cumsum([len(t.as_buffer()) for t in batch.column("text").cast(pa.binary())])
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
             ends = np.flatnonzero(np.diff(sizes // PORTION, append=-1)) + 1
             for i, j in zip([0, *ends], ends):
                 part = batch.slice(i, j - i)

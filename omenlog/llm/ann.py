@@ -233,7 +233,8 @@ def nearest(vectors: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_c
     queries = probed.select("row", "vec_id", "v").join(wanted, "row").withColumn(
         "grp", F.pmod(F.xxhash64("row", F.lit(4)), F.lit(groups)).cast("int"))
 
-    def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def cell(both: pd.DataFrame) -> pd.DataFrame:
+        asked, held = both[both["list"] < 0], both[both["list"] >= 0]
         out = {name: [] for name in ("query", "query_id", "row", "vec_id", "score")}
         if len(asked) and len(held):
             q, x = matrix(asked["v"], width), matrix(held["v"], width)
@@ -258,7 +259,9 @@ def nearest(vectors: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector_c
         frame = frame.drop_duplicates(["query", "row"]).sort_values(["query", "score", "vec_id", "row"], ascending=[True, False, True, True])
         return frame.groupby("query").head(k)
 
-    found = queries.groupBy("cell", "grp").cogroup(posted.groupBy("cell", "grp")).applyInPandas(
-        cell, "query long, query_id long, row long, vec_id long, score double")
+    queries = queries.select("row", "vec_id", "v", "cell", "grp", "lists", F.lit(-1).alias("list"))
+    none = F.lit(None).cast("array<int>")
+    both = queries.unionByName(posted.select("row", "vec_id", "v", "cell", "grp", none.alias("lists"), "list"))
+    found = both.groupBy("cell", "grp").applyInPandas(cell, "query long, query_id long, row long, vec_id long, score double")
     once = found.dropDuplicates(["query", "row"])
     return best(once, k).select("query_id", "rank", "vec_id", "score")

@@ -85,27 +85,44 @@ def log_count_ratios(sample: DataFrame, grams: Grams, features: int, least: int
 
 @dataclass
 class Sparse:
-    """Rows of feature values: entry i is ``values[i]`` at (``rows[i]``, ``cols[i]``)."""
+    """Rows of features: entry i is ``scale[cols[i]]`` at (``rows[i]``, ``cols[i]``)."""
 
     rows: np.ndarray
     cols: np.ndarray
-    values: np.ndarray
+    scale: np.ndarray
     shape: tuple[int, int]
 
     @staticmethod
     def of(lists: list, scale: np.ndarray) -> Sparse:
-        lengths = [len(x) for x in lists]
-        cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
-        return Sparse(np.repeat(np.arange(len(lists)), lengths), cols, scale[cols], (len(lists), len(scale)))
+        rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        cols = np.concatenate([np.asarray(x, dtype=np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
+        return Sparse(rows, cols, scale, (len(lists), len(scale)))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=(self.scale * w)[self.cols], minlength=self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return self.scale * np.bincount(self.cols, weights=g[self.rows], minlength=self.shape[1])
+
+
+@dataclass
+class Dense:
+    """Rows of a few numbers."""
+
+    values: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.values.shape
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights=self.values * w[self.cols], minlength=self.shape[0])
+        return self.values @ w
 
     def transposed_times(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights=self.values * g[self.rows], minlength=self.shape[1])
+        return self.values.T @ g
 
 
-def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
+def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
     """Weights and intercept (last) of a weighted, ridge-penalised logistic regression (L-BFGS)."""
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = x.times(w[:-1]) + w[-1]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.llm.common import labelled, share
-from omenlog.llm.linear import Grams, Sparse, log_count_ratios, logistic, placement, sigmoid
+from omenlog.llm.linear import Dense, Grams, Sparse, log_count_ratios, logistic, placement, sigmoid
 from omenlog.session import checkpointed
 
 GRAMS = Grams(sizes=(2, 3, 4), lower=False)
@@ -130,8 +130,7 @@ def _line(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     """Slope and offset that turn a view's log-odds into calibrated ones."""
     if len(set(y.tolist())) < 2:
         return 1.0, 0.0
-    x = Sparse(np.arange(len(z)), np.zeros(len(z), np.int64), z, (len(z), 1))
-    slope, offset = logistic(x, y, weight / weight.mean(), 1e-2)
+    slope, offset = logistic(Dense(z[:, None]), y, weight / weight.mean(), 1e-2)
     return float(slope), float(offset)
 
 

@@ -128,7 +128,8 @@ def top_k(vectors: DataFrame, k: int = 20, *, scale: int = 64, id_col: str = "ve
     queries = asked.withColumn("q", F.pmod(deal, F.lit(across)).cast("int")).withColumn(
         "c", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
-    def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    def cell(both: pd.DataFrame) -> pd.DataFrame:
+        asked, held = both[both["asks"]], both[~both["asks"]]
         if asked.empty or held.empty:
             return pd.DataFrame({"query": [], "query_id": [], "row": [], "vec_id": [], "score": []}).astype("int64")
         found = search(
@@ -142,8 +143,8 @@ def top_k(vectors: DataFrame, k: int = 20, *, scale: int = 64, id_col: str = "ve
             "row": joined[2], "vec_id": joined[1], "score": [int(s) for s in joined[0]],
         }).astype("int64")
 
-    found = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(
-        cell, "query long, query_id long, row long, vec_id long, score long")
+    both = queries.withColumn("asks", F.lit(True)).unionByName(candidates.withColumn("asks", F.lit(False)))
+    found = both.groupBy("q", "c").applyInPandas(cell, "query long, query_id long, row long, vec_id long, score long")
     return best(found, k).select("query_id", "rank", "vec_id", "score")
 
 

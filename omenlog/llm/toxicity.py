@@ -16,8 +16,8 @@ from omenlog.session import checkpointed
 
 GRAMS = Grams(sizes=(3, 4, 5))
 #: The classifier is fitted on a sample of at most about so many labelled documents.
-FIT_ROWS = 16_384
-FEATURES = 1 << 14
+FIT_ROWS = 8_192
+FEATURES = 1 << 13
 
 
 @dataclass(frozen=True)

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.session import checkpointed
 
-HOT_ROWS = 5_000_000
-
 
 def distinct_lines(df: DataFrame, text: str = "norm") -> DataFrame:
     """Distinct texts with their first line and number of copies."""
@@ -30,49 +27,13 @@ def dedup_ratio(df: DataFrame, text: str = "norm", *, approximate: bool = False)
     return row.withColumn("saved", share)
 
 
-def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    *,
-    spread: str = "line_id",
-    hot_rows: int = HOT_ROWS,
-    how: str = "inner",
-    counts: DataFrame | None = None,
+def score_once(
+    df: DataFrame, score: Callable[[DataFrame], DataFrame], *, text: str = "norm", how: str = "inner",
 ) -> DataFrame:
-    """Join many ``rows`` with a ``table`` unique on ``on``, hot values spread over salts.
+    """Apply ``score`` to the distinct texts and give every line the result of its text.
 
-    Values with more than ``hot_rows`` rows (at most rows / hot_rows of them) are cut into
-    that many parts by a hash of ``spread``; only their table rows are repeated.
-    ``counts`` (``on`` and ``copies``) saves counting the rows where that is known.
+    The lines are written first, so whatever made their text runs once.  The join meets one row
+    per text; adaptive execution splits the lines of a hot text over tasks.
     """
-    on = list(on)
-    if counts is None:
-        counts = rows.groupBy(*on).agg(F.count("*").alias("copies"))
-    found = counts.filter(F.col("copies") > hot_rows).select(*on, F.col("copies").alias("_n")).collect()
-    if not found:
-        return rows.join(table, on, how)
-    parts = [(*[r[c] for c in on], math.ceil(r["_n"] / hot_rows)) for r in found]
-    salts = F.broadcast(
-        rows.sparkSession.createDataFrame(
-            parts, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*on).schema) + ", _parts int"
-        )
-    )
-    many = F.coalesce("_parts", F.lit(1))
-    left = rows.join(salts, on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), many)).drop("_parts")
-    right = table.join(salts, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), (many - 1).cast("long")))
-    ).drop("_parts")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def score_once(
-    df: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
-    *,
-    text: str = "norm",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Apply ``score`` to the distinct texts and give every line the result of its text."""
-    counts = checkpointed(df.groupBy(text).agg(F.count("*").alias("copies")))
-    return lookup(df, score(counts.select(text)), [text], hot_rows=hot_rows, counts=counts)
+    df = checkpointed(df)
+    return df.join(score(df.select(text).distinct()), text, how)

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from omenlog.functions.time import log_delta
 from omenlog.functions.words import words
 from omenlog.operators.context import context_distance
-from omenlog.operators.dedup import lookup
 from omenlog.operators.order import Order
 from omenlog.operators.scores import online_hybrid
-from omenlog.operators.surprise import CountModel, adaptive_scores, line_arrays, word_scores
+from omenlog.operators.surprise import CountModel, adaptive_scores, line_signals
 from omenlog.operators.temporal import delta_ms
 from omenlog.session import checkpointed
 
@@ -51,13 +50,13 @@ def score_lines(
     two switches give the baseline, time only, memory only and full variants.  ``vectors``
     (``norm, vec``) replaces the default embedding.
     """
-    counts = checkpointed(df.groupBy("norm").agg(F.count("*").alias("copies")))
-    once = adaptive_scores(line_arrays(word_scores(model, counts.select("norm")))).select(
+    df = checkpointed(df)
+    once = adaptive_scores(line_signals(model, df)).select(
         "norm", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
     )
     if memory:
-        once = once.join(line_vectors(df, 256) if vectors is None else vectors, "norm")
-    out = lookup(df, once, ["norm"], counts=counts)
+        once = once.join(line_vectors(df) if vectors is None else vectors, "norm")
+    out = df.join(once, "norm")
     if time:
         out = delta_ms(out, keys=keys, by=("us", "line_id")).withColumn("log_delta", log_delta(F.col("delta_ms")))
     if not memory:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import pool
 from omenlog.functions.words import contexts, pieces, words
-from omenlog.operators.dedup import HOT_ROWS, lookup, score_once
+from omenlog.operators.dedup import score_once
 from omenlog.operators.order import quantile_list
 from omenlog.session import checkpointed
 
@@ -74,6 +74,7 @@ def surprise(model: CountModel, triples: DataFrame) -> DataFrame:
     Only triples whose neighbours were never seen together are looked up by the left
     neighbour, and only those whose left neighbour is new by the word alone.
     """
+    triples = checkpointed(triples.select("left", "right", "word"))
     room = F.lit(model.smoothing) * (F.col("_t.v") + 1)  # one share for words never seen
     totals = model.totals.select(F.struct("n", "top", "v")).scalar()
     triple = ["left", "right", "word"]
@@ -104,27 +105,26 @@ def surprise(model: CountModel, triples: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
+    """The distinct lines with a number, written once: later steps carry the number, not the text."""
+    return checkpointed(df.select(text).distinct().withColumn("line_no", F.monotonically_increasing_id()))
+
+
 def word_scores(
-    model: CountModel, df: DataFrame, *, text: str = "norm", key: str = "norm",
-    unit: str = "word", hot_rows: int = HOT_ROWS,
+    model: CountModel, lines: DataFrame, *, text: str = "norm", key: str = "line_no", unit: str = "word",
 ) -> DataFrame:
     """Per-word surprises of distinct lines: ``key, pos, word, err, prob``.
 
     Each distinct (left, word, right) is scored once, whatever the number of its positions.
+    ``key`` travels with every word, so it is a number, not the line itself.
     """
-    keep = [key] if key == text else [key, text]
-    place = positions(df.select(*keep), text, unit=unit, keep=[key])
+    place = positions(lines.select(key, text), text, unit=unit, keep=[key])
     triple = ["left", "right", "word"]
-    counts = checkpointed(place.groupBy(*triple).agg(F.count("*").alias("copies")))
-    scored = surprise(model, counts.select(*triple))
-    out = lookup(
-        place.withColumn("_at", F.xxhash64(key, "pos")), scored, triple,
-        spread="_at", hot_rows=hot_rows, counts=counts,
-    )
-    return out.select(key, "pos", "word", "err", "prob")
+    scored = surprise(model, place.select(*triple).distinct())
+    return place.join(scored, triple).select(key, "pos", "word", "err", "prob")
 
 
-def line_arrays(scores: DataFrame, key: str = "norm") -> DataFrame:
+def line_arrays(scores: DataFrame, key: str = "line_no") -> DataFrame:
     """``key, errors[], probs[]`` in word order (a line already was one value)."""
     item = F.struct("pos", "err", "prob")
     ordered = F.sort_array(F.collect_list(item))
@@ -133,6 +133,13 @@ def line_arrays(scores: DataFrame, key: str = "norm") -> DataFrame:
     )
 
 
+def line_signals(model: CountModel, df: DataFrame, *, text: str = "norm", unit: str = "word") -> DataFrame:
+    """``text, errors[], probs[]`` of the distinct lines of ``df``; the text joins in at the end."""
+    lines = numbered_lines(df, text)
+    arrays = line_arrays(word_scores(model, lines, text=text, unit=unit))
+    return lines.join(arrays, "line_no").drop("line_no")
+
+
 def top_k_scores(arrays: DataFrame, ks: Sequence[int] = TOP_KS, keep: Sequence[str] = ("norm",)) -> DataFrame:
     """Three score families for every k, from one pass over the arrays."""
     families = F.array(*[
@@ -167,13 +174,13 @@ def long_scores(line_scores: DataFrame, names: Sequence[str], key: str = "line_i
 
 def with_model(
     df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str,
-    *, text: str = "norm", hot_rows: int = HOT_ROWS,
+    *, text: str = "norm",
 ) -> DataFrame:
     """A scorer of one's own, run in Arrow batches over the distinct lines only.
 
     ``fn`` gets frames with the text column and returns it with the columns of ``schema``.
     """
-    return score_once(df, lambda once: once.mapInPandas(fn, schema), text=text, hot_rows=hot_rows)
+    return score_once(df, lambda once: once.mapInPandas(fn, schema), text=text)
 
 
 # ------------------------------------------------------------------ vocabularies

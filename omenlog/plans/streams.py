@@ -150,9 +150,7 @@ def stream_line_scores(spark, folder):
     model = surprise.train(labelled_lines(spark, folder).filter("label = 0"))
 
     def score(batch):
-        once = batch.select("norm").distinct()
-        arrays = surprise.line_arrays(surprise.word_scores(model, once))
-        scores = surprise.adaptive_scores(arrays)
+        scores = surprise.adaptive_scores(surprise.line_signals(model, batch))
         return batch.select("line_id", "norm").join(scores, "norm").drop("norm")
 
     stream = document_stream(spark, folder).select("line_id", normalise(F.col("raw")).alias("norm"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from omenlog.operators import classify, dedup, line_scores, surprise
+from omenlog.operators import classify, line_scores, surprise
 from omenlog.plans.inputs import LN, table
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, normal_lines
@@ -46,7 +46,16 @@ sc AS (SELECT norm, pos, word,
 def scored_words(spark, folder, unit="word"):
     df = labelled_lines(spark, folder)
     model = surprise.train(df.filter("label = 0"), unit=unit)
-    return df, surprise.word_scores(model, df.select("norm").distinct(), unit=unit)
+    lines = surprise.numbered_lines(df)
+    scores = surprise.word_scores(model, lines, unit=unit)
+    named = lines.select("line_no", F.md5("norm").alias("line"))
+    return scores.join(named, "line_no").select("line", "pos", "word", "err", "prob")
+
+
+def scored_lines(spark, folder):
+    """Labelled lines and the word signals of the distinct ones."""
+    df = labelled_lines(spark, folder)
+    return df, surprise.line_signals(surprise.train(df.filter("label = 0")), df)
 
 
 @query(
@@ -55,7 +64,7 @@ def scored_words(spark, folder, unit="word"):
     digits={"err": 6, "prob": 6}, ints=("pos",),
 )
 def word_surprise(spark, folder):
-    return scored_words(spark, folder)[1].select(F.md5("norm").alias("line"), "pos", "word", "err", "prob")
+    return scored_words(spark, folder)
 
 
 @query(
@@ -64,7 +73,7 @@ def word_surprise(spark, folder):
     digits={"err": 6, "prob": 6}, ints=("pos",),
 )
 def piece_surprise(spark, folder):
-    return scored_words(spark, folder, "piece")[1].select(F.md5("norm").alias("line"), "pos", "word", "err", "prob")
+    return scored_words(spark, folder, "piece")
 
 
 ADAPTIVE = ("error_mean", "error_pctl99", "prob_mean", "prob_pctl99")
@@ -78,9 +87,8 @@ LINE_SQL = """ls AS (SELECT norm, avg(err) AS error_mean, quantile_cont(err, 0.9
     digits={c: 6 for c in ADAPTIVE}, ints=("label",),
 )
 def line_surprise(spark, folder):
-    df, words_ = scored_words(spark, folder)
-    once = surprise.adaptive_scores(surprise.line_arrays(words_))
-    return dedup.lookup(df.select("line_id", "label", "norm"), once, ["norm"]).drop("norm")
+    df, signals = scored_lines(spark, folder)
+    return df.select("line_id", "label", "norm").join(surprise.adaptive_scores(signals), "norm").drop("norm")
 
 
 @query(
@@ -93,10 +101,9 @@ SELECT line_id, k, error, prob, probtopk FROM lb JOIN t USING (norm)""",
     digits={"error": 6, "prob": 6, "probtopk": 6}, ints=("k",),
 )
 def line_surprise_top_k(spark, folder):
-    df, words_ = scored_words(spark, folder)
-    once = surprise.line_arrays(words_)
-    lines = dedup.lookup(df.select("line_id", "norm"), once, ["norm"])
-    return surprise.top_k_scores(lines, keep=["line_id"])
+    df, signals = scored_lines(spark, folder)
+    once = surprise.top_k_scores(signals)
+    return df.select("line_id", "norm").join(once, "norm").drop("norm")
 
 
 @query(
@@ -108,9 +115,8 @@ SELECT sum(neg * (tp - pos / 2)) / max(p * n) AS auroc FROM u""",
     digits={"auroc": 6},
 )
 def surprise_quality(spark, folder):
-    df, words_ = scored_words(spark, folder)
-    once = surprise.adaptive_scores(surprise.line_arrays(words_))
-    lines = dedup.lookup(df.select("line_id", "label", "norm"), once, ["norm"])
+    df, signals = scored_lines(spark, folder)
+    lines = df.select("label", "norm").join(surprise.adaptive_scores(signals), "norm")
     # the curve reads its rows more than once
     return classify.auroc(checkpointed(lines.select("label", F.round("error_mean", 9).alias("score"))))
 
@@ -135,7 +141,7 @@ def own_model_scores(spark, folder):
 @query("line_embeddings")
 def line_embeddings(spark, folder):
     df = normal_lines(spark, folder)
-    return dedup.lookup(df.select("line_id", "norm"), line_scores.line_vectors(df, 256), ["norm"]).select("line_id", "vec")
+    return df.select("line_id", "norm").join(line_scores.line_vectors(df), "norm").select("line_id", "vec")
 
 
 def timed_lines(spark, folder):

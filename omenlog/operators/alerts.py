@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omenlog.operators.classify import ratio
-from omenlog.operators.order import Order, first_at_or_after, quantiles, running
+from omenlog.operators.order import Order, first_at_or_after, laid_out, quantiles, running
 from omenlog.schema import SECOND
 from omenlog.session import checkpointed
 
-SHORT_PIECE = 10_000
-
 
 def priority(max_score: Column, tp_ratio: Column | None = None) -> Column:
     """critical / high / medium / low; without labels only the score decides."""
@@ -38,70 +36,38 @@ def rank_of(name: Column) -> Column:
 
 
 def group_starts(
-    instants: DataFrame,
-    width_us: int,
-    *,
-    keys: Sequence[str] = (),
-    order: Order | None = None,
-    short_piece: int = SHORT_PIECE,
+    instants: DataFrame, width_us: int, *, keys: Sequence[str] = (), order: Order | None = None,
 ) -> DataFrame:
     """Start instants of anchored windows over distinct ``(keys, us)``.
 
     A group opens at its first alert and takes everything up to ``start + width``.
     A gap above the width always opens a group, so the stream falls into independent
-    pieces there.  Pieces of at most ``short_piece`` instants are scanned as one array;
-    in longer ones every instant points at the first instant after ``us + width`` and the
-    pointers are doubled until no new start appears (log2 of the longest chain).
+    pieces there.  Every instant points at the first instant after ``us + width`` of its
+    piece; from the heads of the pieces the pointers are followed and doubled until no
+    new start appears (log2 of the most groups in a piece).
     """
     keys = tuple(keys)
     order = order or Order(keys, ("us",))
-    gapped = running(instants.select(*keys, "us"), order, {"prev": ("max", F.col("us"))}, exclusive=True)
+    gapped = running(laid_out(instants, order), order, {"prev": ("max", F.col("us"))}, exclusive=True)
     head = F.col("prev").isNull() | (F.col("us") - F.col("prev") > width_us)
-    pieces = running(gapped, order, {"piece": ("max", F.when(head, F.col("us")))}).select(*keys, "us", "piece")
-    sized = pieces.groupBy(*keys, "piece").agg(F.count("*").alias("n"))
-
-    long_heads = sized.filter(F.col("n") > short_piece).select(*keys, "piece")
-    short = sized.filter(F.col("n") <= short_piece).select(*keys, "piece")
-    on = [*keys, "piece"]
-    state = "struct<start: bigint, starts: array<bigint>>"
-
-    def step(s: Column, us: Column) -> Column:
-        opens = s["start"].isNull() | (us - s["start"] > width_us)
-        return F.when(
-            opens, F.struct(us.alias("start"), F.concat(s["starts"], F.array(us)).alias("starts"))
-        ).otherwise(s).cast(state)
-
-    empty = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("starts"))
-    scanned = (
-        pieces.join(short, on, "left_semi")
-        .groupBy(*on)
-        .agg(F.sort_array(F.collect_list("us")).alias("all"))
-        .select(*keys, F.explode(F.aggregate("all", empty.cast(state), step, lambda s: s["starts"])).alias("us"))
-    )
-    if long_heads.isEmpty():
-        return scanned
-
-    long = checkpointed(pieces.join(long_heads, on, "left_semi"))
-    probes = long.select(*keys, "us", (F.col("us") + width_us + 1).alias("at"))
-    jumps = first_at_or_after(
-        probes, long.select(*keys, F.col("us").alias("at")), {"next": F.col("at")},
-        keys=keys, rows_per_bucket=order.rows_per_bucket,
-    ).select(*keys, "us", "next").filter("next is not null")
-    jumps = checkpointed(jumps)
-    starts = checkpointed(long_heads.select(*keys, F.col("piece").alias("us")))
+    flagged = checkpointed(gapped.select(*keys, "us", head.alias("head")))
+    probes = flagged.select(*keys, "us", (F.col("us") + width_us + 1).alias("at"))
+    marks = flagged.select(*keys, F.col("us").alias("at"), "head")
+    jumps = first_at_or_after(probes, marks, {"next": F.struct("at", "head")}, keys=keys, ranges=order.ranges)
+    jumps = checkpointed(jumps.filter("not next.head").select(*keys, "us", F.col("next.at").alias("next")))
+    starts = checkpointed(flagged.filter("head").select(*keys, "us"))
     known = starts.count()
     while True:
         reached = starts.join(jumps, [*keys, "us"]).select(*keys, F.col("next").alias("us"))
         starts = checkpointed(starts.union(reached).distinct())
         grown = starts.count()
         if grown == known:
-            break
+            return starts
         known = grown
         further = jumps.select(*keys, F.col("us").alias("next"), F.col("next").alias("after"))
         jumps = checkpointed(
             jumps.join(further, [*keys, "next"]).select(*keys, "us", F.col("after").alias("next"))
         )
-    return scanned.union(starts)
 
 
 def anchored_groups(
@@ -110,8 +76,7 @@ def anchored_groups(
     *,
     keys: Sequence[str] = (),
     min_score: float | None = None,
-    rows_per_bucket: int | None = None,
-    short_piece: int = SHORT_PIECE,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Alerts with the start of their group (``window_start``, epoch microseconds).
 
@@ -121,14 +86,13 @@ def anchored_groups(
     width = int(width_seconds * SECOND)
     if min_score is not None:
         alerts = alerts.filter(F.col("score") >= min_score)
-    base = Order(keys, ("us",)) if rows_per_bucket is None else Order(keys, ("us",), rows_per_bucket)
-    instants = alerts.select(*keys, "us").distinct()
-    base = base.plan(instants)
-    starts = group_starts(instants, width, keys=keys, order=base, short_piece=short_piece)
+    base = Order(keys, ("us",), ranges)
+    instants = laid_out(alerts.select(*keys, "us").distinct(), base)
+    starts = group_starts(instants, width, keys=keys, order=base)
     flagged = instants.join(
         starts.withColumn("_start", F.col("us")), [*keys, "us"], "left"
     )
-    assigned = running(flagged, base, {"window_start": ("last", F.col("_start"))}).drop("_start")
+    assigned = running(flagged, base, {"window_start": ("last", F.col("_start"))}).drop("_start", base.range)
     return alerts.join(assigned, [*keys, "us"])
 
 

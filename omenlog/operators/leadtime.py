@@ -76,7 +76,7 @@ def lead_time(
         )
         marks = marked.filter("alert = 1").select(*keys, F.col("us").alias("at"))
         found = first_at_or_after(
-            probes, marks, {"alert_us": F.col("at")}, keys=keys, rows_per_bucket=order.rows_per_bucket
+            probes, marks, {"alert_us": F.col("at")}, keys=keys, ranges=order.ranges
         ).withColumn("alert_us", F.when(F.col("alert_us") < F.col("us"), F.col("alert_us")))
     elif mode in ("rows", "rows_raw"):
         numbered = ordinal(marked.select(*keys, "line_id", "us", "label", "alert"), order)
@@ -86,7 +86,7 @@ def lead_time(
         marks = numbered.filter("alert = 1").select(*keys, F.col("pos").alias("at"), "us")
         found = first_at_or_after(
             probes, marks, {"hit": F.struct(F.col("at").alias("pos"), F.col("us"))},
-            keys=keys, rows_per_bucket=order.rows_per_bucket,
+            keys=keys, ranges=order.ranges,
         ).withColumn("alert_us", F.when(F.col("hit.pos") < F.col("pos"), F.col("hit.us")))
     else:
         raise ValueError(f"unknown lead-time mode: {mode}")
@@ -215,7 +215,7 @@ def lead_times_per_threshold(
     # The time of the hit is enough: a hit at or after the failure is not earlier than it.
     hits = {f"t{i}": F.when(F.col("score") > float(t), F.col("us")) for i, t in enumerate(thresholds)}
     found = first_at_or_after(
-        probes, marks, hits, keys=keys, rows_per_bucket=order.rows_per_bucket, unique=True
+        probes, marks, hits, keys=keys, ranges=order.ranges
     )
     none = F.lit(0.0)
     dlts = [F.coalesce(F.greatest(_seconds(F.col("us"), F.col(n)), none), none).alias(n) for n in hits]

@@ -1,11 +1,13 @@
 """Ordered work that stays parallel when one key, or no key at all, orders everything.
 
 A window function sends a whole partition key to one task, so a key with a third
-of the rows (or a global order) would not scale.  The order is therefore cut into
-*buckets*: ranges of ``keys + by`` whose cut points come from a bounded sample, so
-a hot key or a hot instant is split like any other stretch of rows.
+of the rows (or a global order) would not scale.  The order is therefore always cut
+into ranges of ``keys + by`` by Spark's range partitioner, so a hot key or a hot
+instant is split like any other stretch of rows.  The number of ranges is the
+``ranges`` of the order or ``spark.sql.shuffle.partitions``, whatever the size.
 
-* ``running``    - unbounded frames: window per bucket + carry from earlier buckets
+* ``laid_out``   - the rows written in ranges, with the number of each row's range
+* ``running``    - unbounded frames: window per range + carry from earlier ranges
 * ``ordinal``    - position in the global order and inside the key
 * ``lookback``   - frames over the previous L rows: blocks of rows plus a copied tail
 * ``first_at_or_after`` / ``count_before`` - as-of probes, by merging probes into the
@@ -15,18 +17,16 @@ a hot key or a hot instant is split like any other stretch of rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from omenlog.session import checkpointed
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 8192
-SAMPLES_PER_BUCKET = 16
+#: Carry rows (two per range at most) are broadcast up to so many ranges.
+BROADCAST_RANGES = 16_384
 
 
 @dataclass(frozen=True)
@@ -35,54 +35,31 @@ class Order:
 
     keys: tuple[str, ...] = ()
     by: tuple[str, ...] = ("us", "line_id")
-    rows_per_bucket: int = ROWS_PER_BUCKET
-    cuts: tuple[tuple, ...] | None = field(default=None, compare=False)
+    ranges: int | None = None
 
     @property
     def columns(self) -> tuple[str, ...]:
         return self.keys + self.by
 
-    def plan(self, df: DataFrame) -> "Order":
-        """This order with its cut points fixed from ``df``."""
-        if self.cuts is not None:
-            return self
-        return replace(self, cuts=tuple(cut_points(df, self.columns, self.rows_per_bucket)))
-
+    @property
+    def range(self) -> str:
+        """The column that numbers the ranges of rows laid out in this order."""
+        return "_range_" + "_".join(self.columns)
 
-def planned(df: DataFrame, order: Order) -> tuple[DataFrame, Order]:
-    """``df`` and its order with cut points.
+    def count(self, spark: SparkSession) -> int:
+        return self.ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Rows that need more than one bucket are written once first: the sample, the bucket
-    totals and the windows then read the table instead of repeating the work before it.
-    """
-    if order.cuts is not None:
-        return df, order
-    if df.count() <= order.rows_per_bucket:
-        return df, replace(order, cuts=())
-    df = checkpointed(df)
-    return df, order.plan(df)
 
+def laid_out(df: DataFrame, order: Order) -> DataFrame:
+    """``df`` written in ranges of the order; does nothing if it is laid out already.
 
-def cut_points(df: DataFrame, columns: Sequence[str], rows_per_bucket: int) -> list[tuple]:
-    """Tuples that cut the order of ``columns`` into buckets of about ``rows_per_bucket``.
-
-    Only a sample of at most about MAX_BUCKETS * SAMPLES_PER_BUCKET narrow rows
-    reaches the driver, whatever the size of ``df``.
+    Written once, the range numbers stay the same in every later step and the totals and
+    windows read the table instead of repeating the work before it.
     """
-    narrow = df.select(*columns)
-    rows = narrow.count()
-    buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
-    if buckets <= 1:
-        return []
-    wanted = buckets * SAMPLES_PER_BUCKET
-    sample = narrow.sample(fraction=min(1.0, wanted / rows), seed=7) if rows > wanted else narrow
-    points = sorted((tuple(r) for r in sample.collect()), key=_nulls_first)
-    picked = [points[len(points) * i // buckets] for i in range(1, buckets)] if points else []
-    return [p for i, p in enumerate(picked) if i == 0 or p != picked[i - 1]]
-
-
-def _nulls_first(point: tuple) -> tuple:
-    return tuple((v is not None, v) for v in point)
+    if order.range in df.columns:
+        return df
+    ranged = df.repartitionByRange(order.count(df.sparkSession), *order.columns)
+    return checkpointed(ranged.withColumn(order.range, F.spark_partition_id()))
 
 
 def numbers(values: Sequence[float]) -> Column:
@@ -118,20 +95,6 @@ def search(
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, halve, lambda s: s["lo"])
 
 
-def bucket_of(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Bucket number of a row: how many cut points are not after it."""
-    if not cuts:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in columns]
-
-    def point(values: Sequence[Column]) -> Column:
-        return F.struct(*[v.cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(values, types))])
-
-    table = F.array(*[point([F.lit(v) for v in cut]) for cut in cuts])
-    here = point([F.col(c) for c in columns])
-    return search(table, len(cuts).bit_length() + 1, here, F.lit(len(cuts)))
-
-
 _LOCAL = {
     "sum": F.sum,
     "min": F.min,
@@ -141,7 +104,7 @@ _LOCAL = {
 }
 
 
-def _bucket_total(how: str, value: Column, position: Column, reverse: bool) -> Column:
+def _range_total(how: str, value: Column, position: Column, reverse: bool) -> Column:
     if how in ("sum", "min", "max"):
         return _LOCAL[how](value)
     pick_last = (how == "last") != reverse
@@ -172,7 +135,14 @@ def running(
     ``columns`` maps an output name to ``(how, value)`` with ``how`` one of sum, min,
     max, last, first; last and first skip nulls.  ``reverse`` runs from the end.
     """
-    df, order = planned(df, order)
+    done = _running(laid_out(df, order), order, columns, exclusive=exclusive, reverse=reverse)
+    return done if order.range in df.columns else done.drop(order.range)
+
+
+def _running(
+    df: DataFrame, order: Order, columns: Mapping[str, tuple[str, Column]], *, exclusive: bool = False, reverse: bool = False,
+) -> DataFrame:
+    """``running`` over rows that are laid out."""
     keys = [F.col(k) for k in order.keys]
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order.by]
     end = -1 if exclusive else Window.currentRow
@@ -182,41 +152,37 @@ def running(
             Window.partitionBy(*parts).orderBy(*direction).rowsBetween(Window.unboundedPreceding, end)
         )
 
-    if not order.cuts:
-        w = frame(keys)
-        return df.withColumns({n: _LOCAL[how](v).over(w) for n, (how, v) in columns.items()})
-
-    cut = df.withColumn("_bucket", bucket_of(df, order.columns, order.cuts))
     position = F.struct(*order.by)
-    per_bucket = cut.groupBy(*order.keys, "_bucket").agg(
-        *[_bucket_total(h, v, position, reverse).alias(n) for n, (h, v) in columns.items()]
+    per_range = df.groupBy(*order.keys, order.range).agg(
+        *[_range_total(h, v, position, reverse).alias(n) for n, (h, v) in columns.items()]
     )
-    # Keys inside one bucket need no carry.  The others number at most one per cut
-    # point, with at most two (key, bucket) rows per cut point: safe to broadcast.
+    # Keys inside one range need no carry.  The others number at most one per cut
+    # between ranges, with at most two (key, range) rows per cut.
     by_key = Window.partitionBy(*keys)
     carried = Window.partitionBy(*keys).orderBy(
-        F.col("_bucket").desc() if reverse else F.col("_bucket").asc()
+        F.col(order.range).desc() if reverse else F.col(order.range).asc()
     ).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        per_bucket.withColumn("_spread", F.count("*").over(by_key))
+        per_range.withColumn("_spread", F.count("*").over(by_key))
         .filter("_spread > 1")
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in order.keys],
-            F.col("_bucket").alias("_b"),
+            F.col(order.range).alias("_b"),
             *[_LOCAL[h](F.col(n)).over(carried).alias(f"_c_{n}") for n, (h, _) in columns.items()],
         )
     )
-    local = cut.withColumns(
-        {n: _LOCAL[how](v).over(frame([*keys, F.col("_bucket")])) for n, (how, v) in columns.items()}
+    if order.count(df.sparkSession) <= BROADCAST_RANGES:
+        carry = F.broadcast(carry)
+    local = df.withColumns(
+        {n: _LOCAL[how](v).over(frame([*keys, F.col(order.range)])) for n, (how, v) in columns.items()}
     )
-    match = F.col("_bucket") == F.col("_b")
+    match = F.col(order.range) == F.col("_b")
     for k in order.keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local.join(F.broadcast(carry), match, "left")
-    done = joined.withColumns(
+    done = local.join(carry, match, "left").withColumns(
         {n: _combine(how, F.col(f"_c_{n}"), F.col(n)) for n, (how, _) in columns.items()}
     )
-    return done.drop("_bucket", "_b", *[f"_k_{k}" for k in order.keys], *[f"_c_{n}" for n in columns])
+    return done.drop("_b", *[f"_k_{k}" for k in order.keys], *[f"_c_{n}" for n in columns])
 
 
 def ordinal(df: DataFrame, order: Order, name: str = "pos") -> DataFrame:
@@ -226,69 +192,53 @@ def ordinal(df: DataFrame, order: Order, name: str = "pos") -> DataFrame:
     )
 
 
-def lookback(df: DataFrame, order: Order, rows: int, block_rows: int = 200_000):
-    """Prepare frames over the previous ``rows`` rows.
+def _in_blocks(df: DataFrame, order: Order, rows: int, block_rows: int) -> DataFrame:
+    """Rows with ``_ord`` (position over all keys), ``_home`` and ``_block``.
 
-    Returns ``(frame, window, finish)``: compute ``expr.over(window.rowsBetween(-rows, ..))``
-    on ``frame``, then pass the result through ``finish``.  With several buckets the
-    rows of every block are followed by a copy of the block's last ``rows`` rows in the
-    next block, so the copies cost ``rows / block_rows`` of the data.
+    The last ``rows`` rows of every block are copied into the next one (``_block`` is not
+    ``_home`` there), so the copies cost ``rows / block_rows`` of the data.
     """
-    df, order = planned(df, order)
-    if not order.cuts:
-        return df, Window.partitionBy(*order.keys).orderBy(*order.by), lambda out: out
     block_rows = max(block_rows, rows)
-    numbered = ordinal(df, Order((), order.columns, cuts=order.cuts), "_ord")
+    whole = Order((), order.columns, order.ranges)
+    numbered = _running(laid_out(df, order), whole, {"_ord": ("sum", F.lit(1).cast("long"))})
+    numbered = numbered.withColumn("_ord", F.col("_ord") - 1)
     home = F.floor(F.col("_ord") / block_rows)
     is_tail = F.col("_ord") % block_rows >= block_rows - rows
-    spread = numbered.withColumn("_home", home).withColumn(
-        "_block",
-        F.explode(
-            F.when(is_tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(
-                F.array(F.col("_home"))
-            )
-        ),
+    both = F.array(F.col("_home"), F.col("_home") + 1)
+    return numbered.withColumn("_home", home).withColumn(
+        "_block", F.explode(F.when(is_tail, both).otherwise(F.array(F.col("_home"))))
     )
 
+
+def lookback(df: DataFrame, order: Order, rows: int, block_rows: int = 200_000):
+    """Prepare frames over the previous ``rows`` rows.
+
+    Returns ``(frame, window, finish)``: compute ``expr.over(window.rowsBetween(-rows, ..))``
+    on ``frame``, then pass the result through ``finish``.
+    """
+    extra = [] if order.range in df.columns else [order.range]
+    spread = _in_blocks(df, order, rows, block_rows)
+
     def finish(out: DataFrame) -> DataFrame:
-        return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_ord")
+        return out.filter(F.col("_block") == F.col("_home")).drop("_block", "_home", "_ord", *extra)
 
     return spread, Window.partitionBy("_block", *order.keys).orderBy("_ord"), finish
 
 
-def blocks(
-    df: DataFrame, order: Order, rows: int, block_rows: int
-) -> DataFrame:
+def blocks(df: DataFrame, order: Order, rows: int, block_rows: int) -> DataFrame:
     """Rows numbered over ``keys + by`` and laid out in blocks with the previous ``rows`` rows.
 
     Adds ``_ord`` (position over all keys), ``_pos`` (position in the key), ``_block`` and
     ``_own`` (false for the copied tail).  Every block holds at most block_rows + rows rows,
     so a grouped Python function over ``_block`` sees bounded input even for one hot key.
     """
-    block_rows = max(block_rows, rows)
-    df, order = planned(df, order)
-    whole = Order((), order.columns, cuts=order.cuts)
-    numbered = ordinal(df, whole, "_ord")
+    laid = laid_out(df, order)
     if order.keys:
-        numbered = running(numbered, order, {"_first": ("min", F.col("_ord"))})
-        numbered = numbered.withColumn("_pos", F.col("_ord") - F.col("_first")).drop("_first")
-    else:
-        numbered = numbered.withColumn("_pos", F.col("_ord"))
-    home = F.floor(F.col("_ord") / block_rows)
-    is_tail = F.col("_ord") % block_rows >= block_rows - rows
-    return (
-        numbered.withColumn("_home", home)
-        .withColumn(
-            "_block",
-            F.explode(
-                F.when(is_tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(
-                    F.array(F.col("_home"))
-                )
-            ),
-        )
-        .withColumn("_own", F.col("_block") == F.col("_home"))
-        .drop("_home")
-    )
+        laid = _running(laid, order, {"_pos": ("sum", F.lit(1).cast("long"))})
+    spread = _in_blocks(laid, order, rows, block_rows)
+    spread = spread.withColumn("_pos", F.col("_pos") - 1 if order.keys else F.col("_ord"))
+    out = spread.withColumn("_own", F.col("_block") == F.col("_home")).drop("_home")
+    return out if order.range in df.columns else out.drop(order.range)
 
 
 def first_at_or_after(
@@ -298,8 +248,7 @@ def first_at_or_after(
     *,
     keys: Sequence[str] = (),
     at: str = "at",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    unique: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """For each probe, the value of the first mark of its key with ``mark.at >= probe.at``.
 
@@ -324,9 +273,9 @@ def first_at_or_after(
         *values, F.lit(0).cast("long").alias("_tie"),
     )
     # Scanned backwards, ties put marks (kind 1) before probes (kind 0): ">=" holds.
-    # The hash only lets many probes of one instant fall into several buckets.
+    # The hash only lets many probes of one instant fall into several ranges.
     merged = left.unionByName(right)
-    order = Order(tuple(keys), ("_at", "_kind", "_tie"), rows_per_bucket)
+    order = Order(tuple(keys), ("_at", "_kind", "_tie"), ranges)
     found = running(merged, order, {n: ("last", F.col(n)) for n in values}, reverse=True)
     return found.filter("_kind = 0").select(
         *keys, F.col("_at").alias(at), *[F.col("_probe")[c].alias(c) for c in kept], *values
@@ -340,7 +289,7 @@ def count_before(
     keys: Sequence[str] = (),
     at: str = "at",
     name: str = "n",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
     """For each probe, how many marks of its key have ``mark.at < probe.at``."""
     kept = [c for c in probes.columns if c not in (*keys, at)]
@@ -358,7 +307,7 @@ def count_before(
             F.lit(0).cast("long").alias("_tie"),
         )
     )
-    order = Order(tuple(keys), ("_at", "_kind", "_tie"), rows_per_bucket)
+    order = Order(tuple(keys), ("_at", "_kind", "_tie"), ranges)
     counted = running(left.unionByName(right), order, {name: ("sum", F.col(name))})
     return counted.filter("_kind = 0").select(
         *keys, F.col("_at").alias(at), *[F.col("_probe")[c].alias(c) for c in kept], name
@@ -371,7 +320,7 @@ def quantiles(
     probs: Sequence[float],
     *,
     keys: Sequence[str] = (),
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: rows ``keys, q (index into probs), value``.
 
@@ -380,17 +329,13 @@ def quantiles(
     """
     probs = [float(p) for p in probs]
     counts = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
-    counts = counts.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    size = counts.agg(F.sum("_c").alias("n"), F.count("*").alias("distinct")).first()
-    order = Order(tuple(keys), ("_v",), rows_per_bucket, ())
-    if size["distinct"] > rows_per_bucket:
-        counts = checkpointed(counts)
-        order = replace(order, cuts=None).plan(counts)
-    ranked = running(counts, order, {"_cum": ("sum", F.col("_c"))})
+    order = Order(tuple(keys), ("_v",), ranges)
+    counts = laid_out(counts.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), order)
+    ranked = _running(counts, order, {"_cum": ("sum", F.col("_c"))})
     if keys:
         ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
     else:
-        ranked = ranked.withColumn("_n", F.lit(size["n"] or 0).cast("long"))
+        ranked = ranked.withColumn("_n", counts.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long")).scalar())
     distinct_probs = sorted(set(probs))
     grid = numbers(distinct_probs)
     steps = len(distinct_probs).bit_length() + 1

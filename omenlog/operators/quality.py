@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from omenlog.operators.order import Order, quantile_list, running
+from omenlog.operators.order import Order, laid_out, quantile_list, running
 from omenlog.operators.temporal import side_by_side
 from omenlog.schema import SECOND
 
@@ -142,7 +142,7 @@ def failure_calendar(df: DataFrame) -> DataFrame:
 
 def issues(df: DataFrame, *, order: Order = ARRIVAL) -> DataFrame:
     """Rows ``severity, type, measure`` for every finding."""
-    order = order.plan(df)
+    df = laid_out(df, order)
     facts = side_by_side(
         monotonicity(df, order=order).select("violations"),
         gap_audit(df, order=order).select("zero_gap_pct", "extreme_gaps", "negative_gaps"),

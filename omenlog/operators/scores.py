@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from omenlog.operators.order import Order, lookback, ordinal, running
+from omenlog.operators.order import Order, laid_out, lookback, ordinal, running
 from omenlog.operators.sweep import blend, scaled
 from omenlog.schema import SECOND
 
@@ -57,15 +57,15 @@ def trend_score(
     df: DataFrame, window: int = 20, weight: float = 0.5, *, order: Order | None = None
 ) -> DataFrame:
     """Score plus ``weight`` times a rising linear trend over the last ``window`` rows."""
-    order = (order or Order()).plan(df)
-    frame, w, finish = lookback(ordinal(df, order, "_pos"), order, window - 1)
+    order = order or Order()
+    frame, w, finish = lookback(ordinal(laid_out(df, order), order, "_pos"), order, window - 1)
     over = w.rowsBetween(-(window - 1), 0)
     out = frame.withColumns({
         "_n": F.count("*").over(over), "_slope": F.regr_slope(F.col("score"), F.col("_pos")).over(over)
     })
     rise = F.greatest(F.lit(0.0), F.col("_slope")) * F.lit(float(weight))
     trend = F.when(F.col("_n") < window, F.col("score")).otherwise(F.col("score") + rise)
-    return finish(out.withColumn("trend_score", trend)).drop("_n", "_slope", "_pos")
+    return finish(out.withColumn("trend_score", trend)).drop("_n", "_slope", "_pos", order.range)
 
 
 def warning_penalty(df: DataFrame, rows: int = 100, *, order: Order | None = None) -> DataFrame:
@@ -90,8 +90,8 @@ def ranking_violation(
     df: DataFrame, rows: int = 50, margin: float = 0.1, *, order: Order | None = None
 ) -> DataFrame:
     """Mean hinge ``max(0, margin - rise)`` over the steps of the rows before each failure."""
-    order = (order or Order()).plan(df)
-    steps = running(df, order, {"_prev": ("last", F.col("score"))}, exclusive=True).withColumn(
+    order = order or Order()
+    steps = running(laid_out(df, order), order, {"_prev": ("last", F.col("score"))}, exclusive=True).withColumn(
         "_hinge", F.greatest(F.lit(0.0), F.lit(margin) - (F.col("score") - F.col("_prev")))
     ).withColumn("_hinge", F.when(F.col("_prev").isNotNull(), F.col("_hinge")))
     frame, w, finish = lookback(steps, order, rows)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.functions.time import calendar
-from omenlog.operators.order import Order, count_before, quantile_list, running
+from omenlog.operators.order import Order, count_before, laid_out, quantile_list, running
 from omenlog.operators.sweep import scaled
 from omenlog.schema import SECOND
 
@@ -34,14 +34,13 @@ def delta_ms(df: DataFrame, *, keys: Sequence[str] = (), by: Sequence[str] = ("l
 
 def event_rates(
     df: DataFrame, windows: Mapping[str, int], *, keys: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Events of the key in ``[t - seconds, t)`` for each window: ``keys, line_id, <names>``.
 
     A rate is the difference of two running counts, so its cost does not depend on how
     many events a window holds.
     """
-    extra = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
     moments = [("now", 0), *windows.items()]
     probes = df.select(
         *keys, "line_id",
@@ -53,7 +52,7 @@ def event_rates(
         ).alias("m"),
     ).select(*keys, "line_id", "m.moment", "m.at")
     counted = count_before(
-        probes, df.select(*keys, F.col("us").alias("at")), keys=keys, **extra
+        probes, df.select(*keys, F.col("us").alias("at")), keys=keys, ranges=ranges
     )
 
     def seen(moment: str) -> Column:
@@ -67,16 +66,16 @@ def event_rates(
 def features(df: DataFrame, *, keys: Sequence[str] = (), order: Order | None = None) -> DataFrame:
     """Time features of every row: gap, calendar, rates over 5 minutes and 1 hour, age."""
     keys = tuple(keys)
-    order = (order or Order(keys)).plan(df)
-    base = gap_seconds(df, order=order)
+    order = order or Order(keys)
+    base = gap_seconds(laid_out(df, order), order=order)
     base = running(base, order, {"_first": ("min", F.col("us"))})
     base = base.withColumns({
         "delta_t": F.coalesce("delta_t", F.lit(0.0)),
         **calendar(F.col("ts")),
         "time_since_start": (F.col("us") - F.col("_first")) / F.lit(float(SECOND)),
-    }).drop("_first")
+    }).drop("_first", order.range)
     rates = event_rates(
-        df, {"rate_5min": 300, "rate_1hour": 3600}, keys=keys, rows_per_bucket=order.rows_per_bucket
+        df, {"rate_5min": 300, "rate_1hour": 3600}, keys=keys, ranges=order.ranges
     )
     return base.join(rates, [*keys, "line_id"])
 

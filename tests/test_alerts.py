@@ -20,13 +20,12 @@ def scan(us, width):
     return starts
 
 
-@pytest.mark.parametrize("short_piece", [1, 10, 10_000])
 @pytest.mark.parametrize("keys", [(), ("key",)])
 @pytest.mark.parametrize("width", [3, 120, 5000])
-def test_anchored_groups(spark, short_piece, keys, width):
+def test_anchored_groups(spark, keys, width):
     pdf = stream(400, seed=3)
     out = alerts.anchored_groups(
-        spark.createDataFrame(pdf), width / SECOND, keys=keys, rows_per_bucket=60, short_piece=short_piece
+        spark.createDataFrame(pdf), width / SECOND, keys=keys, ranges=9
     ).toPandas().sort_values([*keys, "us", "line_id"])
     want = pdf.sort_values([*keys, "us", "line_id"])
     if keys:
@@ -73,7 +72,7 @@ def brute_lead(pdf, threshold, mode, rows=50, width=900):
 def test_lead_time(spark, mode, keys):
     pdf = stream(300, seed=5)
     df = spark.createDataFrame(pdf)
-    order = Order(keys, rows_per_bucket=40)
+    order = Order(keys, ranges=9)
     # `within` counts seconds; the fixture's instants are microseconds
     scaled = df.withColumn("us", F.col("us") * SECOND) if mode == "within" else df
     out = leadtime.lead_time(scaled, 9.0, mode, keys=keys, rows=50, seconds=900, order=order).toPandas()
@@ -93,7 +92,7 @@ def test_sensitivity_matches_each_threshold(spark):
     pdf["us"] *= SECOND
     df = spark.createDataFrame(pdf)
     grid = [0.5, 3.0, 8.0, 8.0, 1000.0]
-    table = leadtime.sensitivity(df, grid, order=Order(rows_per_bucket=40)).toPandas().sort_values("q")
+    table = leadtime.sensitivity(df, grid, order=Order(ranges=9)).toPandas().sort_values("q")
     assert list(table["q"]) == [0, 1, 2, 3, 4]
     for r in table.itertuples():
         dlt = np.array(list(brute_lead(pdf, r.threshold, "rows", rows=1000).values()))

@@ -47,11 +47,11 @@ def compare(out, want):
             assert got[k] == pytest.approx(v, abs=1e-8)
 
 
-LAYOUTS = [(keys, rows, block) for keys in ((), ("key",)) for rows, block in ((25, 16), (10_000, 8192))]
+LAYOUTS = [(keys, ranges, block) for keys in ((), ("key",)) for ranges, block in ((9, 16), (1, 8192))]
 
 
-@pytest.mark.parametrize("keys,rows,block", LAYOUTS)
-def test_cosine_and_knn(df, pdf, keys, rows, block):
+@pytest.mark.parametrize("keys,ranges,block", LAYOUTS)
+def test_cosine_and_knn(df, pdf, keys, ranges, block):
     cos, near = {}, {}
     for g in sessions(pdf, keys):
         x = np.stack(g["vec"])
@@ -64,13 +64,13 @@ def test_cosine_and_knn(df, pdf, keys, rows, block):
                 cos[line] = 1 - x[i] @ m / np.linalg.norm(x[i]) / np.linalg.norm(m)
             if len(memory) >= 3:
                 near[line] = np.sort(np.linalg.norm(memory - x[i], axis=1))[:3].mean()
-    order = Order(keys, rows_per_bucket=rows)
+    order = Order(keys, ranges=ranges)
     compare(context.cosine(df, CAPACITY, LEAST, order=order, block_rows=block).toPandas(), cos)
     compare(context.knn(df, CAPACITY, 3, order=order, block_rows=block).toPandas(), near)
 
 
-@pytest.mark.parametrize("keys,rows,block", LAYOUTS)
-def test_mahalanobis_with_renewed_inverse(df, pdf, keys, rows, block):
+@pytest.mark.parametrize("keys,ranges,block", LAYOUTS)
+def test_mahalanobis_with_renewed_inverse(df, pdf, keys, ranges, block):
     want = {}
     for g in sessions(pdf, keys):
         x, inverse, pushed, valid = np.stack(g["vec"]), None, 0, False
@@ -87,13 +87,13 @@ def test_mahalanobis_with_renewed_inverse(df, pdf, keys, rows, block):
             if pushed >= REFRESH:
                 pushed, valid = 0, False
     out = context.mahalanobis(
-        df, CAPACITY, LEAST, REFRESH, order=Order(keys, rows_per_bucket=rows), not_ready=0.0, block_rows=block
+        df, CAPACITY, LEAST, REFRESH, order=Order(keys, ranges=ranges), not_ready=0.0, block_rows=block
     )
     compare(out.toPandas(), want)
 
 
 def test_memory_statistics_follow_eviction(df, pdf):
-    out = context.memory_statistics(df, CAPACITY, order=Order(rows_per_bucket=25), block_rows=16).toPandas()
+    out = context.memory_statistics(df, CAPACITY, order=Order(ranges=9), block_rows=16).toPandas()
     out = out.set_index("line_id")
     g = sessions(pdf, ())[0]
     x = np.stack(g["vec"])
@@ -127,7 +127,7 @@ def test_shrinkage_rule():
 
 def test_similarity_margin(df, pdf):
     g = sessions(pdf, ())[0].reset_index(drop=True)
-    got = context.similarity_margin(df, rows=7, normals=4, order=Order(rows_per_bucket=25), block_rows=16).first()
+    got = context.similarity_margin(df, rows=7, normals=4, order=Order(ranges=9), block_rows=16).first()
     draw = df.filter("label = 0").orderBy(F.xxhash64("line_id"), "line_id").limit(4).collect()
     normals = np.array([r["vec"] for r in draw])
     x, losses = np.stack(g["vec"]), []

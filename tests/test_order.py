@@ -35,14 +35,14 @@ def ordered(pdf, keys):
     return pdf.sort_values([*keys, "us", "line_id"]).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("rows", [40, 10_000])
+@pytest.mark.parametrize("ranges", [1, 9])
 @pytest.mark.parametrize("keys", [(), ("key",)])
 @pytest.mark.parametrize("reverse", [False, True])
 @pytest.mark.parametrize("exclusive", [False, True])
-def test_running(df, pdf, rows, keys, reverse, exclusive):
+def test_running(df, pdf, ranges, keys, reverse, exclusive):
     big = F.when(F.col("score") > 5, F.col("line_id"))
     out = o.running(
-        df, o.Order(keys, rows_per_bucket=rows),
+        df, o.Order(keys, ranges=ranges),
         {"s": ("sum", F.col("label")), "lo": ("min", F.col("score")), "hi": ("max", F.col("score")),
          "last": ("last", big), "first": ("first", big)},
         reverse=reverse, exclusive=exclusive,
@@ -71,23 +71,33 @@ def test_running(df, pdf, rows, keys, reverse, exclusive):
 
 @pytest.mark.parametrize("keys", [(), ("key",)])
 def test_ordinal(df, pdf, keys):
-    out = o.ordinal(df, o.Order(keys, rows_per_bucket=37)).toPandas().set_index("line_id")["pos"]
+    out = o.ordinal(df, o.Order(keys, ranges=9)).toPandas().set_index("line_id")["pos"]
     want = ordered(pdf, keys)
     want["pos"] = want.groupby(list(keys)).cumcount() if keys else range(len(want))
     assert (out.loc[want["line_id"]].to_numpy() == want["pos"].to_numpy()).all()
 
 
-def test_buckets_split_hot_keys_and_instants(df):
-    order = o.Order(("key",), rows_per_bucket=40).plan(df)
-    sizes = df.groupBy(o.bucket_of(df, order.columns, order.cuts).alias("b")).count().toPandas()["count"]
-    assert len(order.cuts) > 8
-    assert sizes.max() < 150
+def test_ranges_split_hot_keys_and_instants(df):
+    order = o.Order(("key",), ranges=9)
+    sizes = o.laid_out(df, order).groupBy(order.range).count().toPandas()["count"]
+    assert len(sizes) == 9 and sizes.max() < 150
+
+
+def test_rows_laid_out_are_not_moved_again(df):
+    order = o.Order(("key",), ranges=9)
+    laid = o.laid_out(df, order)
+    assert o.laid_out(laid, order) is laid
+    out = o.ordinal(laid, order)
+    assert order.range in out.columns and order.range not in o.ordinal(df, order).columns
+    plan = o.ordinal(df, o.Order(ranges=9))._jdf.queryExecution().executedPlan().toString().splitlines()
+    # only totals of the ranges meet in one task
+    assert all("HashAggregate" in plan[i + 1] for i, line in enumerate(plan) if "SinglePartition" in line)
 
 
 @pytest.mark.parametrize("keys", [(), ("key",)])
-@pytest.mark.parametrize("rows", [45, 10_000])
-def test_lookback(df, pdf, keys, rows):
-    frame, w, finish = o.lookback(df, o.Order(keys, rows_per_bucket=rows), 7, block_rows=20)
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_lookback(df, pdf, keys, ranges):
+    frame, w, finish = o.lookback(df, o.Order(keys, ranges=ranges), 7, block_rows=20)
     out = finish(frame.withColumn("m", F.max("score").over(w.rowsBetween(-7, -1)))).toPandas()
     assert len(out) == len(pdf)
     want = ordered(pdf, keys)
@@ -101,12 +111,12 @@ def test_lookback(df, pdf, keys, rows):
 
 
 @pytest.mark.parametrize("keys", [(), ("key",)])
-@pytest.mark.parametrize("rows", [50, 10_000])
-def test_first_at_or_after_and_count_before(df, pdf, keys, rows):
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_first_at_or_after_and_count_before(df, pdf, keys, ranges):
     probes = df.select(*keys, "line_id", (F.col("us") - 700).alias("at"))
     marks = df.filter("label = 1").select(*keys, F.col("us").alias("at"))
-    hit = o.first_at_or_after(probes, marks, {"hit": F.col("at")}, keys=keys, rows_per_bucket=rows).toPandas()
-    cnt = o.count_before(probes, marks, keys=keys, rows_per_bucket=rows).toPandas().set_index("line_id")["n"]
+    hit = o.first_at_or_after(probes, marks, {"hit": F.col("at")}, keys=keys, ranges=ranges).toPandas()
+    cnt = o.count_before(probes, marks, keys=keys, ranges=ranges).toPandas().set_index("line_id")["n"]
     hit = hit.set_index("line_id")["hit"]
     for r in pdf.itertuples():
         same = pdf[(pdf.label == 1) & ((pdf.key == r.key) if keys else True)]
@@ -118,10 +128,10 @@ def test_first_at_or_after_and_count_before(df, pdf, keys, rows):
 
 
 @pytest.mark.parametrize("keys", [(), ("key",)])
-@pytest.mark.parametrize("rows", [30, 10_000])
-def test_quantiles(df, pdf, keys, rows):
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_quantiles(df, pdf, keys, ranges):
     probs = [0.5, 0.0, 0.99, 1.0, 0.5, 0.123]
-    out = o.quantiles(df, F.col("score"), probs, keys=keys, rows_per_bucket=rows).toPandas()
+    out = o.quantiles(df, F.col("score"), probs, keys=keys, ranges=ranges).toPandas()
     groups = pdf.groupby(list(keys)) if keys else [((), pdf)]
     for k, g in groups:
         for q, p in enumerate(probs):
@@ -137,7 +147,7 @@ def test_quantiles_of_nothing(spark):
 
 
 def test_blocks_are_bounded(df):
-    out = o.blocks(df, o.Order(("key",), rows_per_bucket=50), 9, 30).toPandas()
+    out = o.blocks(df, o.Order(("key",), ranges=9), 9, 30).toPandas()
     assert out.groupby("_block").size().max() <= 39
     assert out["_own"].sum() == 600
     assert (out[out["_own"]].groupby("key")["_pos"].max() + 1 == out[out["_own"]].groupby("key").size()).all()

@@ -11,12 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from omenlog.operators.order import Order, blocks
+from omenlog.operators.order import Order, blocks, ordinal
+from omenlog.session import checkpointed
 
 BLOCK_ROWS = 8192
 CHUNK = 256
@@ -34,9 +33,14 @@ def _scan(
     halo: int,
     order: Order,
     extra: Sequence[str] = (),
+    sides: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Run ``fn(block, positions, own rows)`` over blocks; it returns one row per own row."""
+    """Run ``fn(block, positions, own rows)`` over blocks; it returns one row per own row.
+
+    ``sides`` (``_session, _side``) adds one value per session; each block gets those of the
+    sessions in it, one row each.
+    """
     keys = list(order.keys)
     columns = list(dict.fromkeys([*keys, *order.by, "line_id", "vec", *extra]))
     laid = blocks(df.select(*columns), order, halo, block_rows).drop("_home")
@@ -54,7 +58,17 @@ def _scan(
         head = pdf.iloc[own][[*keys, "line_id"]].reset_index(drop=True)
         return pd.concat([head, out.reset_index(drop=True)], axis=1)
 
-    return laid.groupBy("_block").applyInPandas(run, schema)
+    if sides is None:
+        return laid.groupBy("_block").applyInPandas(run, schema)
+    laid = checkpointed(laid.withColumn("_session", _session(order)))
+    here = laid.select(F.col("_block").alias("_at"), F.col("_session").alias("_of")).distinct()
+    here = checkpointed(here.join(sides, here["_of"] == sides["_session"]).select("_at", "_of", "_side"))
+
+    def beside(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        side = dict(zip(known["_of"], known["_side"])) if len(known) else {}
+        return run(pdf.assign(_side=[side.get(s) for s in pdf["_session"]]))
+
+    return laid.groupBy("_block").cogroup(here.groupBy("_at")).applyInPandas(beside, schema)
 
 
 def _starts(pos: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,32 +170,58 @@ def knn(
     """Distance to the k nearest rows of the memory, aggregated over the k.
 
     With ``pca`` rows after the warm-up are compared in the space of that many components,
-    fitted once on the first ``max(min_samples, pca + 1)`` rows of the stream.
+    fitted once on the first ``max(min_samples, pca + 1)`` rows of their own session.
     """
     order = order or Order()
     missing = np.nan if not_ready is None else not_ready
     warm = max(min_samples, (pca or 0) + 1)
-    if pca is not None:
-        df = df.join(reduced(df, pca, warm, order), "line_id")
 
     def fn(pdf, pos, own):
         lo, size = _starts(pos, capacity)
-        found = _nearest(_matrix(pdf), lo, size, own, k, aggregate)
+        early = own if pca is None else own[pos[own] < warm]
+        found = np.full(len(own), np.nan)
+        found[np.isin(own, early)] = _nearest(_matrix(pdf), lo, size, early, k, aggregate)
         if pca is not None:
-            small = _nearest(_matrix(pdf, "small"), lo, size, own, k, aggregate)
-            found = np.where(pos[own] >= warm, small, found)
+            late = own[pos[own] >= warm]
+            found[np.isin(own, late)] = _nearest(_projected(pdf, pca), lo, size, late, k, aggregate)
         return pd.DataFrame({"distance": np.where(size[own] < k, missing, found)})
 
-    extra = ("small",) if pca is not None else ()
-    return _nullable(_scan(df, fn, "distance double", halo=capacity, order=order, extra=extra, block_rows=block_rows))
+    sides = None if pca is None else bases(df, pca, warm, order)
+    return _nullable(_scan(df, fn, "distance double", halo=capacity, order=order, sides=sides, block_rows=block_rows))
+
+
+def _projected(pdf: pd.DataFrame, components: int) -> np.ndarray:
+    """The vectors of a block in the space of their own session (zeros where it is not fitted yet)."""
+    x = _matrix(pdf)
+    out = np.zeros((len(x), components))
+    for _, rows in pdf.groupby("_session").indices.items():
+        basis = pdf["_side"].iloc[rows[0]]
+        if basis is not None:
+            axes = np.asarray(basis, dtype=np.float64).reshape(-1, x.shape[1])
+            out[rows, : len(axes)] = x[rows] @ axes.T
+    return out
+
+
+def _session(order: Order) -> Column:
+    return F.xxhash64(*order.keys) if order.keys else F.lit(0).cast("long")
+
+
+def bases(df: DataFrame, components: int, warm: int, order: Order) -> DataFrame:
+    """``_session, _side``: the leading components of the first ``warm`` rows of each session.
+
+    At most ``min(components, warm - 1, dimensions)`` axes, one after the other.  A session with
+    fewer rows has none and needs none.
+    """
+    columns = list(dict.fromkeys([*order.keys, *order.by, "vec"]))
+    first = ordinal(df.select(*columns), order, "_pos").filter(F.col("_pos") < warm)
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf.sort_values("_pos"))
+        axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][: min(components, len(x) - 1, x.shape[1])]
+        return pd.DataFrame({"_session": [pdf["_session"].iloc[0]], "_side": [axes.ravel() if len(x) == warm else None]})
 
-def reduced(df: DataFrame, components: int, warm: int, order: Order) -> DataFrame:
-    """Vectors in the space of the leading components of the first ``warm`` rows."""
-    dense = df.select("line_id", *order.by, array_to_vector("vec").alias("v"))
-    first = dense.orderBy(*order.by).limit(warm)
-    model = PCA(k=components, inputCol="v", outputCol="s").fit(first)
-    return model.transform(dense).select("line_id", vector_to_array("s").alias("small"))
+    return first.withColumn("_session", _session(order)).groupBy("_session").applyInPandas(
+        fit, "_session long, _side array<double>")
 
 
 def shrinkage(n: int, d: int, spread: float, manual: float | None = None) -> float:

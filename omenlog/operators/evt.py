@@ -20,17 +20,12 @@ def tail(df: DataFrame, quantile: float = 0.98, *, keys: Sequence[str] = ()) ->
     """Exceedances over the quantile, counted per distinct value: ``keys, u, y, c``."""
     u = quantiles(df, F.col("score"), [quantile], keys=keys).select(*keys, F.col("value").alias("u"))
     if keys:
-        high = df.join(F.broadcast(u) if _few(u) else u, list(keys)).filter(F.col("score") > F.col("u"))
+        high = df.join(checkpointed(u), list(keys)).filter(F.col("score") > F.col("u"))
     else:
         high = df.withColumn("u", u.select("u").scalar()).filter(F.col("score") > F.col("u"))
     return high.groupBy(*keys, "u", (F.col("score") - F.col("u")).alias("y")).agg(F.count("*").alias("c"))
 
 
-def _few(u: DataFrame, limit: int = 100_000) -> bool:
-    """Whether there are few enough keys to broadcast one number for each."""
-    return u.limit(limit + 1).count() <= limit
-
-
 def moments(df: DataFrame, quantile: float = 0.98, *, keys: Sequence[str] = ()) -> DataFrame:
     """Shape and scale by the method of moments: ``keys, u, k, xi, sigma``."""
     high = tail(df, quantile, keys=keys)

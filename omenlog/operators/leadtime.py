@@ -212,13 +212,17 @@ def lead_times_per_threshold(
     marks = numbered.filter(F.col("score") > lowest).select(
         *keys, F.col("pos").alias("at"), "us", "score"
     )
-    # The time of the hit is enough: a hit at or after the failure is not earlier than it.
-    hits = {f"t{i}": F.when(F.col("score") > float(t), F.col("us")) for i, t in enumerate(thresholds)}
+    # A hit counts only if its row stands before the failure; in other orders than time that is not its time.
+    hit = F.struct(F.col("at").alias("pos"), "us")
+    hits = {f"t{i}": F.when(F.col("score") > float(t), hit) for i, t in enumerate(thresholds)}
     found = first_at_or_after(
         probes, marks, hits, keys=keys, ranges=order.ranges
     )
     none = F.lit(0.0)
-    dlts = [F.coalesce(F.greatest(_seconds(F.col("us"), F.col(n)), none), none).alias(n) for n in hits]
+    dlts = [
+        F.coalesce(F.when(F.col(n)["pos"] < F.col("pos"), F.greatest(_seconds(F.col("us"), F.col(n)["us"]), none)), none).alias(n)
+        for n in hits
+    ]
     return found.select(*keys, "line_id", "us", *dlts)
 
 
@@ -228,11 +232,15 @@ def sensitivity(
     *,
     min_lead: float = 300.0,
     medians: bool = True,
+    keys: Sequence[str] = (),
     order: Order | None = None,
 ) -> DataFrame:
-    """Per threshold: F1, precision, recall, FPR, warning rate, mean/median/max lead time."""
+    """Per threshold: F1, precision, recall, FPR, warning rate, mean/median/max lead time.
+
+    With ``keys`` an alert warns only of failures of its own session.
+    """
     quality = sweep(df, thresholds)
-    dlts = lead_times_per_threshold(df, thresholds, order=order)
+    dlts = lead_times_per_threshold(df, thresholds, keys=keys, order=order)
     names = [f"t{i}" for i in range(len(thresholds))]
     # One row with a struct per threshold: partial aggregates, no row per (failure, threshold).
     stats = dlts.agg(

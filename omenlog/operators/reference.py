@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import distance
 
-MAX_SLOTS = 4096
 
 
 def moments(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -184,11 +183,10 @@ def _ledoit_wolf(df, vec, n, mean, projection, cov, level) -> float:
 def soft_retrieval(df: DataFrame, memory: DataFrame, vec: str = "vec") -> DataFrame:
     """Similarity-weighted mean of the memory slots: adds ``retrieved`` and ``weights``.
 
-    Slots (columns ``slot, mean``) are few by definition; more than MAX_SLOTS is an error.
+    ``memory`` (columns ``slot, mean``) is the caller's fixed set of slots; every row gets a
+    weight for each of them, so it is as small as one value of the answer.
     """
-    rows = memory.select("slot", "mean").limit(MAX_SLOTS + 1).collect()
-    if len(rows) > MAX_SLOTS:
-        raise ValueError(f"a memory holds at most {MAX_SLOTS} slots")
+    rows = memory.select("slot", "mean").collect()
     slots = np.asarray([r["mean"] for r in sorted(rows, key=lambda r: r["slot"])], dtype=np.float64)
 
     def retrieve(values: pd.Series) -> pd.DataFrame:

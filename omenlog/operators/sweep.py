@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from omenlog.operators.classify import auroc, rates
 from omenlog.operators.order import numbers, quantile_list, quantiles, search
 
-MAX_GRID = 4096
-
 
 def linear(low: float, high: float, n: int) -> list[float]:
     """``n`` evenly spaced numbers from low to high, both included."""
@@ -41,9 +39,24 @@ def linear_thresholds(df: DataFrame, n: int, trim: float = 0.0) -> list[float]:
 
 
 def passed(score: Column, grid: Sequence[float], strict: bool) -> Column:
-    """How many grid values the score passes (grid ascending and distinct)."""
-    if len(grid) > MAX_GRID:
-        raise ValueError(f"a threshold grid holds at most {MAX_GRID} values")
+    """How many grid values the score passes (grid ascending and distinct).
+
+    The place of a score in an evenly spaced grid is computed and then corrected by the
+    neighbouring values; in any other grid it is found by halving.
+    """
+    step = (grid[-1] - grid[0]) / (len(grid) - 1) if len(grid) > 1 else 0.0
+    even = step > 0 and all(abs(grid[0] + i * step - t) <= 1e-6 * step for i, t in enumerate(grid))
+    if even:
+        table, last = numbers(grid), len(grid) - 1
+        near = F.greatest(F.lit(0.0), F.least(F.lit(float(last)), F.floor((score - grid[0]) / step))).cast("int")
+        near = F.when(F.isnan(score), F.lit(last)).otherwise(near)
+
+        def beats(at: Column) -> Column:
+            bound = F.get(table, at)
+            return F.coalesce((score > bound) if strict else (score >= bound), F.lit(False))
+
+        return F.greatest(near - 1, F.lit(0)) + sum(
+            (F.when(beats(F.greatest(near - 1, F.lit(0)) + i), 1).otherwise(0) for i in range(3)), F.lit(0))
     return search(numbers(grid), len(grid).bit_length() + 1, score, F.lit(len(grid)), strict=strict)
 
 
@@ -71,7 +84,7 @@ def sweep(
         "q int, threshold double, b int",
     )
     levels = spark.range(len(grid) + 1).select(F.col("id").cast("int").alias("b"))
-    down = Window.orderBy(F.col("b").desc())  # at most MAX_GRID + 1 rows
+    down = Window.orderBy(F.col("b").desc())  # one row per value of the grid
     sums = levels.join(F.broadcast(bins), "b", "left").select(
         "b",
         F.sum(F.coalesce("pos", F.lit(0))).over(down).alias("tp"),
@@ -165,8 +178,6 @@ def _sweep_per_alpha(mixed: DataFrame, grids: dict[int, list[float]], strict: bo
     """Counts for a grid per alpha: ``alpha_no, q, threshold, tp, fp, tn, fn`` and rates."""
     tables = {i: sorted(set(g)) for i, g in grids.items()}
     longest = max(len(g) for g in tables.values())
-    if longest > MAX_GRID:
-        raise ValueError(f"a threshold grid holds at most {MAX_GRID} values")
     per_alpha = F.array(*[numbers(tables[i]) for i in sorted(tables)])
     here = F.get(per_alpha, F.col("alpha_no"))
     b = search(here, longest.bit_length() + 1, F.col("score"), F.size(here), strict=strict)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions.binding import bound
 from omenlog.operators.order import Order, ordinal
+from omenlog.session import checkpointed
 
 METHODS = ("replace", "shuffle", "temporal", "mix")
 SPECIAL = ("[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]")  # fixed values
@@ -40,21 +41,30 @@ def _plain(tokens: Column) -> Column:
     return F.filter(placed, lambda s: ~s["token"].isin(*SPECIAL))
 
 
-def replaced(tokens: Column, sample: Column, vocabulary: Column, seed: int = 42, most: int = 3) -> Column:
-    """1 to ``most`` plain tokens replaced by words of the vocabulary (an array column)."""
+def replaced_places(tokens: Column, sample: Column, seed: int = 42, most: int = 3) -> Column:
+    """Where 1 to ``most`` plain tokens are to be replaced."""
 
     def pick(plain: Column) -> Column:
         wanted = 1 + draw_below(F.least(F.lit(most), F.greatest(F.size(tokens), F.lit(1))), seed, "count", sample)
         ranked = F.transform(plain, lambda s: F.struct(draw(seed, "place", sample, s["pos"]).alias("h"), s["pos"].alias("pos")))
         return F.transform(F.slice(F.sort_array(ranked), F.lit(1), wanted.cast("int")), lambda s: s["pos"])
 
-    def put(places: Column) -> Column:
-        def word(i: Column) -> Column:
-            return F.get(vocabulary, draw_below(F.size(vocabulary), seed, "word", sample, i).cast("int"))
+    return bound(_plain(tokens), pick)
 
-        return F.transform(tokens, lambda t, i: F.when(F.array_contains(places, i), word(i)).otherwise(t))
 
-    return bound(bound(_plain(tokens), pick), put)
+def replacements(picked: DataFrame, vocabulary: DataFrame, seed: int = 42) -> DataFrame:
+    """``sample, put``: the new word at each place that is replaced.
+
+    The words are numbered in order and drawn by number, so the whole vocabulary takes part
+    without ever being one value.
+    """
+    numbered = checkpointed(ordinal(vocabulary.filter(~F.col("word").isin(*SPECIAL)).select("word"), Order((), ("word",)), "_w"))
+    many = F.lit(max(1, numbered.count())).cast("long")
+    places = picked.filter("method = 'replace'").select(
+        "sample", F.explode(replaced_places(F.col("tokens"), F.col("sample"), seed)).alias("place"))
+    drawn = places.withColumn("_w", draw_below(many, seed, "word", F.col("sample"), F.col("place")))
+    return drawn.join(numbered, "_w").groupBy("sample").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("put"))
 
 
 def shuffled(tokens: Column, sample: Column, seed: int = 42) -> Column:
@@ -98,7 +108,7 @@ def augment(
     """Normal lines (label 0) with ``int(n * ratio)`` synthetic anomalies (label 1).
 
     ``lines`` has ``line_id, tokens`` and optionally ``delta``; samples are drawn with
-    replacement.  ``vocabulary`` (``word``) must be a limited one: it is used as an array.
+    replacement, words from the whole ``vocabulary`` (distinct, ``word``).
     """
     unknown = set(methods) - set(METHODS)
     if unknown:
@@ -121,10 +131,13 @@ def augment(
         picked = picked.join(other, "pos2")
     else:
         picked = picked.withColumn("tokens2", F.col("tokens"))
-    words = vocabulary.filter(~F.col("word").isin(*SPECIAL)).agg(F.sort_array(F.collect_list("word"))).scalar()
-    picked = picked.withColumn("_v", words)
+    if "replace" in methods:
+        picked = checkpointed(picked)
+        picked = picked.join(replacements(picked, vocabulary, seed), "sample", "left")
+    else:
+        picked = picked.withColumn("put", F.lit(None).cast("map<int,string>"))
     tokens = (
-        F.when(F.col("method") == "replace", replaced(F.col("tokens"), s, F.col("_v"), seed))
+        F.when(F.col("method") == "replace", F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("put", i), t)))
         .when(F.col("method") == "shuffle", shuffled(F.col("tokens"), s, seed))
         .when(F.col("method") == "mix", mixed(F.col("tokens"), F.col("tokens2")))
         .otherwise(F.col("tokens"))

@@ -17,7 +17,7 @@ def token_lines(spark, folder):
 
 
 def vocabulary(spark, folder):
-    return surprise.vocabulary(normal_lines(spark, folder), size=2000).filter("n > 0").select("word")
+    return surprise.word_counts(normal_lines(spark, folder)).select("word")
 
 
 @query(

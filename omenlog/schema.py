@@ -38,12 +38,17 @@ def scored(
 
 
 def split_lines(df: DataFrame, owner: str, text: str, *extra: str) -> DataFrame:
-    """One row per line of ``text``; ``line_id`` orders lines by ``(owner, position)``."""
+    """One row per line of ``text``; ``line_id`` orders lines by ``(owner, position)``.
+
+    An owner beyond 33 bits would share its line ids with another one and is an error.
+    """
     pieces = df.select(
         F.col(owner).cast("long").alias("owner"),
         *extra,
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "raw"),
     )
+    line_id = F.shiftleft(F.col("owner"), 31) + F.col("line_no")
+    fits = F.col("owner").isNull() | F.col("owner").between(-(1 << 32), (1 << 32) - 1)
     return pieces.withColumn(
-        "line_id", F.shiftleft(F.col("owner"), 31) + F.col("line_no")
+        "line_id", F.when(fits, line_id).otherwise(F.raise_error(F.lit("owner has more than 33 bits")).cast("long"))
     )

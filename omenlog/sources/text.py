@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from omenlog.functions.normalise import word_label
 from omenlog.operators.order import Order, ordinal
 
 
+def without_invalid(value: Column) -> Column:
+    """Text without invalid bytes; a replacement character that was written stays.
+
+    The written ones are put out of the way (with an escape for the escape itself) while
+    invalid bytes become replacement characters and go.
+    """
+    mark, bad = "\ufdd0", "\ufffd"
+    hidden = F.replace(F.replace(value, F.lit(mark), F.lit(mark + "a")), F.lit(bad), F.lit(mark + "b"))
+    valid = F.replace(F.make_valid_utf8(hidden), F.lit(bad), F.lit(""))
+    return F.replace(F.replace(valid, F.lit(mark + "b"), F.lit(bad)), F.lit(mark + "a"), F.lit(mark))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Log lines of text files: ``file, line_no, raw``, invalid bytes dropped.
 
@@ -20,7 +32,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"),
         # place inside the split: the reader emits the lines of a split in order
         F.monotonically_increasing_id().alias("_place"),
-        F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")).alias("raw"),
+        without_invalid(F.col("value")).alias("raw"),
     )
     return ordinal(read, Order(("file",), ("_block", "_place")), "line_no").drop("_block", "_place")
 

@@ -104,6 +104,20 @@ def test_sensitivity_matches_each_threshold(spark):
         assert (r.tp, r.fp) == ((hit & (pdf.label == 1)).sum(), (hit & (pdf.label == 0)).sum())
 
 
+def test_sensitivity_in_arrival_order_and_by_session(spark):
+    """An alert that arrives after the failure is no warning, whatever its time; nor is another session's."""
+    pdf = stream(200, seed=8)
+    pdf["us"] *= SECOND
+    df = spark.createDataFrame(pdf)
+    for keys in ((), ("key",)):
+        order = Order(keys, ("line_id",), ranges=9)
+        table = leadtime.sensitivity(df, [3.0, 8.0], keys=keys, order=order).toPandas().sort_values("q")
+        for r in table.itertuples():
+            dlt = leadtime.lead_time(df, r.threshold, "rows", keys=keys, order=order).toPandas()["dlt"]
+            assert r.mean_dlt == pytest.approx(dlt.mean()) and r.max_dlt == pytest.approx(dlt.max())
+            assert r.median_dlt == pytest.approx(dlt.median())
+
+
 def test_pareto_front_keeps_undominated_rows(spark):
     rows = [(0, 0.9, 10.0), (1, 0.8, 20.0), (2, 0.7, 15.0), (3, 0.9, 10.0)]
     table = spark.createDataFrame(rows, "q int, f1 double, ewr double")

@@ -119,6 +119,21 @@ def test_reduced_knn_is_exact_when_all_components_are_kept(df):
     np.testing.assert_allclose(plain["distance"], small["distance"], atol=1e-8)
 
 
+@pytest.mark.parametrize("ranges,block", [(9, 16), (1, 8192)])
+def test_reduced_knn_is_fitted_on_the_session_itself(df, pdf, ranges, block):
+    order, want = Order(("key",), ranges=ranges), {}
+    for g in sessions(pdf, ("key",)):
+        x = np.stack(g["vec"])
+        first = x[:6]
+        axes = np.linalg.svd(first - first.mean(axis=0), full_matrices=False)[2][:2]
+        for i, line in enumerate(g["line_id"]):
+            y = x if i < 6 else x @ axes.T
+            memory = y[max(0, i - CAPACITY):i]
+            want[line] = np.sort(np.linalg.norm(memory - y[i], axis=1))[:3].mean() if len(memory) >= 3 else None
+    out = context.knn(df, CAPACITY, 3, pca=2, min_samples=6, order=order, block_rows=block)
+    compare(out.toPandas(), want)
+
+
 def test_shrinkage_rule():
     assert context.shrinkage(3, 10, 1.0) == 0.5
     assert context.shrinkage(30, 10, 1.0) == pytest.approx(0.1)

@@ -11,6 +11,7 @@ from omenlog.functions import time as tf
 from omenlog.functions import words as wd
 from omenlog.operators import dedup, split, surprise, synthetic, temporal
 from omenlog.operators.order import Order
+from omenlog.schema import split_lines
 from omenlog.sources import text
 
 
@@ -164,6 +165,20 @@ def test_read_lines_drops_invalid_bytes_and_numbers_lines(spark, tmp_path):
                    ("b.log", 0, "only")]
 
 
+def test_read_lines_keeps_written_replacement_characters(spark, tmp_path):
+    (tmp_path / "c.log").write_bytes("a\ufffdb \ufdd0a \ufdd0b\n".encode() + b"x\xc3\xef\xbf\xbdy\xf0\x9f\n")
+    got = sorted((r.line_no, r.raw) for r in text.read_lines(spark, str(tmp_path)).collect())
+    assert got == [(0, "a\ufffdb \ufdd0a \ufdd0b"), (1, "x\ufffdy")]
+
+
+def test_line_ids_never_collide(spark):
+    fine = split_lines(spark.createDataFrame([(1, "a\nb"), (2, "c"), (-1, "d"), ((1 << 32) - 1, "e")], "i long, t string"), "i", "t")
+    assert len({r.line_id for r in fine.collect()}) == 5
+    wide = split_lines(spark.createDataFrame([(1 + (1 << 33), "a")], "i long, t string"), "i", "t")
+    with pytest.raises(Exception, match="33 bits"):
+        wide.collect()
+
+
 def test_label_files(spark, tmp_path):
     (tmp_path / "l.csv").write_text("BlockId,Label\nblk_1, anomaly \nblk_2,Normal\n")
     got = {r.block: r.label for r in text.read_block_labels(spark, str(tmp_path / "l.csv")).collect()}
@@ -227,7 +242,7 @@ def test_rare_words_and_template_mixes(spark):
 
 def test_row_roll_up_drops_the_partial_tail(spark):
     df = spark.createDataFrame([(i, i, float(i)) for i in range(10)], "line_id long, us long, score double")
-    out = temporal.roll_up_rows(df, 4, order=Order(rows_per_bucket=3)).orderBy("step").collect()
+    out = temporal.roll_up_rows(df, 4, order=Order(ranges=3)).orderBy("step").collect()
     assert [(r.step, r.mean) for r in out] == [(0, 1.5), (1, 5.5)]
 
 

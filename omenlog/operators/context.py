@@ -298,7 +298,7 @@ def similarity_margin(
     ``early`` are the previous rows; the normals are a fixed draw by hash of the line.
     """
     order = order or Order()
-    draw = df.filter("label = 0").orderBy(F.xxhash64("line_id"), "line_id").limit(normals)
+    draw = df.filter("label = 0").orderBy(F.md5(F.col("line_id").cast("string")), "line_id").limit(normals)
     sample = [r["vec"] for r in draw.select("vec").collect()]  # ``normals`` rows
     reference = np.asarray(sample, dtype=np.float64)
 

@@ -20,8 +20,9 @@ SPECIAL = ("[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]")  # fixed values
 
 
 def draw(seed: int, purpose: str, *of: Column) -> Column:
-    """A 64-bit draw."""
-    return F.xxhash64(F.lit(seed), F.lit(purpose), *of)
+    """A 60-bit draw: the first 15 hex digits of an MD5, which any SQL engine can repeat."""
+    name = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[c.cast("string") for c in of])
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def draw_below(n: Column, seed: int, purpose: str, *of: Column) -> Column:

@@ -8,7 +8,7 @@ from omenlog.functions.normalise import normalise
 from omenlog.operators import surprise
 from omenlog.plans.inputs import EV, LN, THR, events, normal_p99
 from omenlog.plans.registry import query
-from omenlog.plans.surprise import labelled_lines
+from omenlog.plans.surprise import ADAPTIVE, LINE_SQL, labelled_lines, model_sql
 from omenlog.schema import scored, split_lines
 from omenlog.streaming import stateful as st
 from omenlog.streaming import windows
@@ -107,17 +107,27 @@ def stream_anchored_groups(spark, folder):
     )
 
 
-@query("stream_memory_distance")
+def session_knn_sql(capacity: int, k: int) -> str:
+    """kNN distance to the last rows of the same label; -1 until there are enough."""
+    return f"""WITH o AS (SELECT label AS key, vec_id AS line_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT a.line_id, list_distance(a.e, b.e) AS dist, row_number() OVER (PARTITION BY a.line_id ORDER BY list_distance(a.e, b.e)) AS rk
+  FROM o a JOIN o b ON a.key = b.key AND b.i BETWEEN a.i - {capacity} AND a.i - 1),
+n AS (SELECT line_id, avg(dist) AS distance FROM r WHERE rk <= {k} GROUP BY line_id HAVING count(*) = {k})
+SELECT key, line_id, coalesce(distance, -1) AS distance FROM o LEFT JOIN n USING (line_id)"""
+
+
+@query("stream_memory_distance", session_knn_sql(32, 5), digits={"distance": 6}, ints=("key",))
 def stream_memory_distance(spark, folder):
     raw = file_stream(spark, f"{folder}/embeddings.parquet", f"{folder}/embeddings.parquet")
     stream = raw.select(
         F.col("label").alias("key"), F.col("vec_id").alias("line_id"), F.col("vec_id").alias("us"),
         F.col("embedding").alias("vec"),
     )
-    return run_available(st.stateful(stream, st.Memory(32, 5), "key int, line_id long, distance double"), "memory")
+    out = run_available(st.stateful(stream, st.Memory(32, 5), "key int, line_id long, distance double"), "memory")
+    return out.withColumn("distance", F.coalesce(F.nanvl("distance", F.lit(None)), F.lit(-1.0)))  # -1: not ready
 
 
-@query("stream_memory_with_idle_reset")
+@query("stream_memory_with_idle_reset", session_knn_sql(32, 5), digits={"distance": 6}, ints=("key",))
 def stream_memory_with_idle_reset(spark, folder):
     raw = file_stream(spark, f"{folder}/embeddings.parquet", f"{folder}/embeddings.parquet")
     stream = raw.select(
@@ -126,7 +136,8 @@ def stream_memory_with_idle_reset(spark, folder):
     )
     processor = st.Memory(32, 5, idle_ms=3_600_000)
     out = st.stateful(stream, processor, "key int, line_id long, distance double", time_mode="ProcessingTime")
-    return run_available(out, "memory-idle", one_batch=True)
+    out = run_available(out, "memory-idle", one_batch=True)
+    return out.withColumn("distance", F.coalesce(F.nanvl("distance", F.lit(None)), F.lit(-1.0)))  # -1: not ready
 
 
 def document_stream(spark, folder):
@@ -145,7 +156,11 @@ def stream_distinct_lines(spark, folder):
     return run_available(stream.select("raw"), "distinct")
 
 
-@query("stream_line_scores")
+@query(
+    "stream_line_scores",
+    f"{model_sql()}, {LINE_SQL} SELECT line_id, {', '.join(ADAPTIVE)} FROM lb JOIN ls USING (norm)",
+    digits={c: 6 for c in ADAPTIVE},
+)
 def stream_line_scores(spark, folder):
     model = surprise.train(labelled_lines(spark, folder).filter("label = 0"))
 

@@ -130,7 +130,17 @@ def drift_before_failure(spark, folder):
     return reference.drift_before_failure(vectors(spark, folder).drop("label").join(flagged, "line_id"))
 
 
-@query("early_failure_similarity_margin")
+@query(
+    "early_failure_similarity_margin",
+    f"""WITH {EV}, o AS (SELECT vec_id AS line_id, embedding::DOUBLE[] AS e, label, row_number() OVER (ORDER BY vec_id) AS i
+  FROM (SELECT vec_id, embedding, ev.label FROM embeddings JOIN ev ON ev.line_id = vec_id)),
+d AS (SELECT e FROM o WHERE label = 0 ORDER BY md5(CAST(line_id AS VARCHAR)), line_id LIMIT 10),
+n AS (SELECT o.i, avg(list_inner_product(o.e, d.e)) AS near FROM o, d GROUP BY o.i),
+p AS (SELECT f.line_id, greatest(0, 0.5 - list_cosine_similarity(b.e, f.e) + near) AS loss FROM o f JOIN o b ON b.i BETWEEN f.i - 50 AND f.i - 1
+  JOIN n ON n.i = b.i WHERE f.label = 1), m AS (SELECT line_id, avg(loss) AS m FROM p GROUP BY line_id)
+SELECT count(*) AS failures, coalesce(avg(m), 0) AS margin FROM m""",
+    digits={"margin": 6},
+)
 def early_failure_similarity_margin(spark, folder):
     labels = events(spark, folder).select("line_id", "label")
     return context.similarity_margin(vectors(spark, folder).drop("label").join(labels, "line_id"))

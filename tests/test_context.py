@@ -143,7 +143,7 @@ def test_shrinkage_rule():
 def test_similarity_margin(df, pdf):
     g = sessions(pdf, ())[0].reset_index(drop=True)
     got = context.similarity_margin(df, rows=7, normals=4, order=Order(ranges=9), block_rows=16).first()
-    draw = df.filter("label = 0").orderBy(F.xxhash64("line_id"), "line_id").limit(4).collect()
+    draw = df.filter("label = 0").orderBy(F.md5(F.col("line_id").cast("string")), "line_id").limit(4).collect()
     normals = np.array([r["vec"] for r in draw])
     x, losses = np.stack(g["vec"]), []
     for i in np.flatnonzero(g["label"] == 1):

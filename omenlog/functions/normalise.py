@@ -38,6 +38,7 @@ BGL_MASKS = (
     (r"[0-9a-fA-F]{8}", " IAR ", ""),
     (r"(\d+)", " NUM ", ""),
 )
+GENERIC_MASKS = ((BLOCK_ID, "BLK", "blk_"), (IP, "IP", "."), (r"\d+", "NUM", ""))
 HDFS_MASKS = ((r"blk_.\d+", "BLK", "blk_"), (IP, "IP", "."), (r"\d*\d", "NUM", ""))
 # The look-ahead only spares the alternation where no month can start.
 MONTHS = (
@@ -172,85 +173,68 @@ def fold_letters(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Canonical decomposition without non-spacing marks, exact for every script."""
+    """Canonical decomposition without non-spacing marks, exact for every script.
+
+    Only texts with other than ASCII characters go to Python.
+    """
 
     @F.pandas_udf("string")
     def fold(values: pd.Series) -> pd.Series:
         def one(s):
-            if s is None or s.isascii():
-                return s
-            return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+            return s and "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
 
         return values.map(one)
 
-    return fold(text)
+    plain = is_ascii(text)
+    return F.when(plain, text).otherwise(fold(F.when(~plain, text)))
 
 
 @dataclass(frozen=True)
-class ParseOptions:
-    """Switches of the normaliser."""
-
-    profile: str = "generic"
-    mask_block_id: bool = True
-    mask_ip: bool = True
-    mask_number: bool = True
-    lowercase: bool = True
-    drop_header_fields: int = 0
-
-
-def _drop(text: Column, fields: int) -> Column:
-    if fields <= 0:
-        return text
-    words = F.split(text, " ")
-    return F.array_join(F.slice(words, F.lit(fields + 1), F.size(words)), " ")
-
-
-def _clean(text: Column, pattern: str, fields: int) -> Column:
-    return _drop(F.trim(F.regexp_replace(text, F.lit(pattern), F.lit(" "))), fields)
-
-
-def _generic(raw: Column, o: ParseOptions) -> Column:
-    text = fold_letters(F.lower(raw) if o.lowercase else raw)
-    masks = []
-    if o.mask_block_id:
-        masks.append((BLOCK_ID, "BLK", "blk_"))
-    if o.mask_ip:
-        masks.append((IP, "IP", "."))
-    if o.mask_number:
-        masks.append((r"\d+", "NUM", ""))
-    return _clean(mask(text, tuple(masks)), LETTERS, o.drop_header_fields)
-
-
-def _bgl(raw: Column, o: ParseOptions) -> Column:
-    text = fold_letters(F.lower(mask(raw, BGL_MASKS)))
-    return _clean(text, LETTERS_AND_ANGLES, o.drop_header_fields)
-
-
-def _hdfs(raw: Column, o: ParseOptions) -> Column:
-    return _clean(mask(fold_letters(F.lower(raw)), HDFS_MASKS), LETTERS, o.drop_header_fields)
-
-
-def _thunderbird(raw: Column, o: ParseOptions) -> Column:
-    body = F.substr(raw, F.lit(3))
-    return _clean(fold_letters(F.lower(mask(body, THUNDERBIRD_MASKS))), LETTERS_AND_ANGLES, 0)
+class Profile:
+    """A log dialect: its masks in order, and what is done around them.
 
+    ``raw_masks`` look at the line as written, ``masks`` at its folded (and, with ``lower``,
+    lower-cased) letters.  What is no ``letters`` then becomes a blank, and the first
+    ``skip`` words go.  A dialect without one of its masks is ``replace(profile, masks=...)``.
+    """
 
-PROFILES: dict[str, Callable[[Column, ParseOptions], Column]] = {
-    "generic": _generic, "bgl": _bgl, "hdfs": _hdfs, "thunderbird": _thunderbird,
+    masks: tuple[tuple[str, str, str], ...] = ()
+    raw_masks: tuple[tuple[str, str, str], ...] = ()
+    letters: str = LETTERS
+    lower: bool = True
+    skip: int = 0
+    skip_chars: int = 0
+
+    def template(self, raw: Column) -> Column:
+        body = F.substr(raw, F.lit(self.skip_chars + 1)) if self.skip_chars else raw
+        text = mask(body, self.raw_masks) if self.raw_masks else body
+        text = fold_letters(F.lower(text) if self.lower else text)
+        text = mask(text, self.masks) if self.masks else text
+        text = F.trim(F.regexp_replace(text, F.lit(self.letters), F.lit(" ")))
+        if self.skip <= 0:
+            return text
+        words = F.split(text, " ")
+        return F.array_join(F.slice(words, F.lit(self.skip + 1), F.size(words)), " ")
+
+
+PROFILES: dict[str, Profile] = {
+    "generic": Profile(GENERIC_MASKS),
+    "bgl": Profile(raw_masks=BGL_MASKS, letters=LETTERS_AND_ANGLES),
+    "hdfs": Profile(HDFS_MASKS),
+    "thunderbird": Profile(raw_masks=THUNDERBIRD_MASKS, letters=LETTERS_AND_ANGLES, skip_chars=2),
 }
 
 
-def normalise(raw: Column, options: ParseOptions | None = None) -> Column:
-    """A raw line as a template of words; empty when nothing is left."""
-    options = options or ParseOptions()
-    if options.profile not in PROFILES:
-        raise ValueError(f"unknown profile: {options.profile} (one of {sorted(PROFILES)})")
-    return PROFILES[options.profile](raw, options)
+def normalise(raw: Column, profile: str | Profile = "generic") -> Column:
+    """A raw line as a template of words; empty when nothing is left.
 
-
-def register_profile(name: str, build: Callable[[Column, ParseOptions], Column]) -> None:
-    """Add a log dialect of one's own."""
-    PROFILES[name] = build
+    ``profile`` names a dialect or is one of the caller's own.
+    """
+    if isinstance(profile, str):
+        if profile not in PROFILES:
+            raise ValueError(f"unknown profile: {profile} (one of {sorted(PROFILES)})")
+        profile = PROFILES[profile]
+    return profile.template(raw)
 
 
 def marker_label(raw: Column, marker: str = "-") -> Column:

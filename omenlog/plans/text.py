@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
@@ -32,9 +34,9 @@ THUNDERBIRD = "trim(regexp_replace(strip_accents(lower(" + masks_sql(
 NORM = f"nm AS (SELECT line_id, owner, source, norm FROM (SELECT *, {GENERIC} AS norm FROM ln) WHERE norm <> '')"
 
 
-def normal_lines(spark, folder, options=None):
+def normal_lines(spark, folder, profile="generic"):
     """Lines with their template; lines that become empty are dropped with their id."""
-    return parse.normalise_lines(lines(spark, folder), options)
+    return parse.normalise_lines(lines(spark, folder), profile)
 
 
 @query("normalise_generic", f"WITH {LN}, {NORM} SELECT line_id, norm FROM nm")
@@ -48,15 +50,13 @@ def normalise_generic(spark, folder):
 SELECT line_id, array_to_string(w[3:], ' ') AS norm FROM n WHERE len(w) > 2""",
 )
 def normalise_generic_options(spark, folder):
-    options = nz.ParseOptions(
-        mask_block_id=False, mask_ip=False, mask_number=False, lowercase=False, drop_header_fields=2
-    )
-    return normal_lines(spark, folder, options).select("line_id", "norm")
+    letters_only = nz.Profile(skip=2, lower=False)
+    return normal_lines(spark, folder, letters_only).select("line_id", "norm")
 
 
 @query("normalise_hdfs", f"WITH {LN}, n AS (SELECT line_id, {HDFS} AS norm FROM ln) SELECT * FROM n WHERE norm <> ''")
 def normalise_hdfs(spark, folder):
-    return normal_lines(spark, folder, nz.ParseOptions("hdfs")).select("line_id", "norm")
+    return normal_lines(spark, folder, "hdfs").select("line_id", "norm")
 
 
 @query(
@@ -64,12 +64,12 @@ def normalise_hdfs(spark, folder):
     f"WITH {LN}, n AS (SELECT line_id, {THUNDERBIRD} AS norm FROM ln) SELECT * FROM n WHERE norm <> ''",
 )
 def normalise_thunderbird(spark, folder):
-    return normal_lines(spark, folder, nz.ParseOptions("thunderbird")).select("line_id", "norm")
+    return normal_lines(spark, folder, "thunderbird").select("line_id", "norm")
 
 
 @query("normalise_bgl")
 def normalise_bgl(spark, folder):
-    return normal_lines(spark, folder, nz.ParseOptions("bgl", drop_header_fields=3)).select("line_id", "norm")
+    return normal_lines(spark, folder, replace(nz.PROFILES["bgl"], skip=3)).select("line_id", "norm")
 
 
 @query("accent_folding", "SELECT doc_id, strip_accents(text) AS folded FROM documents")

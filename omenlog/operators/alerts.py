@@ -151,9 +151,23 @@ def window_counts(df: DataFrame, alert: Column, width: str) -> DataFrame:
     ).select(F.unix_micros("w.start").alias("window_start"), "alerts", "failures")
 
 
-def window_precision(df: DataFrame, alert: Column, width: str) -> DataFrame:
-    """How many alerting windows hold a failure, one row."""
-    w = window_counts(df, alert, width)
+def window_precision(df: DataFrame, alert: Column, width: str, *wider: str) -> DataFrame:
+    """How many alerting windows hold a failure, one row for each width.
+
+    The rows are counted once, in windows of ``width``; ``wider`` widths, whole multiples of
+    it, are summed up from those counts.
+    """
+    finest = checkpointed(window_counts(df, alert, width))
+    out = _precision(finest, width)
+    for w in wider:
+        sums = finest.groupBy(F.window(F.timestamp_micros("window_start"), w).alias("w")).agg(
+            F.sum("alerts").alias("alerts"), F.sum("failures").alias("failures"))
+        out = out.unionByName(_precision(sums, w))
+    return out
+
+
+def _precision(w: DataFrame, width: str) -> DataFrame:
+    """One row from the counts of windows of one width."""
     alerting = F.col("alerts") > 0
     false_alarm = alerting & (F.col("failures") == 0)
     row = w.agg(

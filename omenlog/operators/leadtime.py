@@ -26,6 +26,7 @@ from omenlog.operators.order import (
 )
 from omenlog.operators.sweep import sweep
 from omenlog.schema import SECOND
+from omenlog.session import checkpointed
 
 HORIZONS = (60, 300, 600, 1800, 3600, 21600)
 # Upper bounds (seconds, inclusive) and names of the lead-time categories.
@@ -121,6 +122,7 @@ def horizons(dlts: DataFrame, seconds: Sequence[int] = HORIZONS) -> DataFrame:
 def summary(dlts: DataFrame) -> DataFrame:
     """One row: count, mean, median, population std, min, max, share above 0, warning rates."""
     d = F.col("dlt")
+    dlts = checkpointed(dlts)
     median = quantiles(dlts, d, [0.5]).select("value").scalar()
     return dlts.agg(
         F.count("*").alias("total_failures"),
@@ -240,7 +242,7 @@ def sensitivity(
     With ``keys`` an alert warns only of failures of its own session.
     """
     quality = sweep(df, thresholds)
-    dlts = lead_times_per_threshold(df, thresholds, keys=keys, order=order)
+    dlts = checkpointed(lead_times_per_threshold(df, thresholds, keys=keys, order=order))
     names = [f"t{i}" for i in range(len(thresholds))]
     # One row with a struct per threshold: partial aggregates, no row per (failure, threshold).
     stats = dlts.agg(

@@ -11,6 +11,7 @@ from omenlog.functions.scoring import recommendation
 from omenlog.operators import alerts, classify, leadtime
 from omenlog.operators.order import Order, quantiles
 from omenlog.operators.temporal import side_by_side
+from omenlog.session import checkpointed
 
 NUMBER = r"([-+0-9.eE]+)"
 LOWER_IS_BETTER = ("fpr", "fp", "fn")
@@ -158,7 +159,8 @@ def comprehensive(
     """One row of nested structs: quality, lead time, alert fatigue, value, summary."""
     order = order or Order()
     hit = classify.flag(F.col("score"), threshold)
-    raw = leadtime.lead_time(df, threshold, "rows_raw", order=order)
+    df = checkpointed(df)
+    raw = checkpointed(leadtime.lead_time(df, threshold, "rows_raw", order=order))
     clamped = raw.withColumn("dlt", F.greatest("dlt", F.lit(0.0)))
 
     quality = side_by_side(classify.confusion(df, hit), classify.auroc(df))
@@ -177,7 +179,8 @@ def comprehensive(
     def one(row: DataFrame) -> Column:
         return row.select(F.struct(*row.columns)).scalar()
 
-    fatigue = [one(alerts.window_precision(df, hit, w)) for w in windows]
+    precision = checkpointed(alerts.window_precision(df, hit, *windows))
+    fatigue = [one(precision.filter(F.col("window_size") == w)) for w in windows]
     report = df.sparkSession.range(1).select(
         F.lit(float(threshold)).alias("threshold"),
         one(quality).alias("quality"), one(lead).alias("lead_time"),

@@ -137,8 +137,7 @@ WINDOW_INTS = ("total_windows", "alert_windows", "failure_windows", "false_alarm
 def window_alert_precision(spark, folder):
     df = events(spark, folder)
     hit = flag(F.col("score"), normal_p99(df))
-    out = [alerts.window_precision(df, hit, name) for name, _ in WINDOWS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return alerts.window_precision(df, hit, *[name for name, _ in WINDOWS])
 
 
 @query(

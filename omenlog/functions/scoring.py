@@ -95,10 +95,6 @@ def recommendation(f1: Column, ewr: Column, roi: Column) -> Column:
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return array_sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-
-
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(

@@ -118,13 +118,15 @@ def curve(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> Dat
 
 
 def roc(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
-    """ROC points: threshold, tpr, fpr."""
-    return curve(df, by=by).select(
+    """ROC points: threshold, tpr, fpr; the curve starts at (0, 0), one above the highest score."""
+    points = curve(df, by=by).select(
         *by,
         F.col("score").alias("threshold"),
         ratio(F.col("fp"), F.col("n")).alias("fpr"),
         ratio(F.col("tp"), F.col("p")).alias("tpr"),
     )
+    start = df.groupBy(*by).agg((F.max("score") + 1).cast("double").alias("threshold")).filter("threshold IS NOT NULL")
+    return points.unionByName(start.withColumns({"fpr": F.lit(0.0), "tpr": F.lit(0.0)}))
 
 
 def auroc(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:

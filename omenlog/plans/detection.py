@@ -75,8 +75,8 @@ cur AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n
 
 @query(
     "roc_points",
-    f"WITH {EV}, {CURVE} SELECT score AS threshold, fp / n AS fpr, tp / p AS tpr FROM cur",
-    digits={"fpr": 6, "tpr": 6},
+    f"WITH {EV}, {CURVE} SELECT score AS threshold, fp / n AS fpr, tp / p AS tpr FROM cur UNION ALL SELECT max(score) + 1, 0, 0 FROM ev",
+    digits={"threshold": 6, "fpr": 6, "tpr": 6},
 )
 def roc_points(spark, folder):
     return classify.roc(events(spark, folder))

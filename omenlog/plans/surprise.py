@@ -121,6 +121,31 @@ def surprise_quality(spark, folder):
     return classify.auroc(checkpointed(lines.select("label", F.round("error_mean", 9).alias("score"))))
 
 
+@query(
+    "surprise_quality_by_k",
+    f"""{model_sql()}, q AS (SELECT norm, err, prob, row_number() OVER (PARTITION BY norm ORDER BY err DESC) AS e,
+  row_number() OVER (PARTITION BY norm ORDER BY prob) AS lo, row_number() OVER (PARTITION BY norm ORDER BY prob DESC) AS hi FROM sc),
+t AS (SELECT norm, k, avg(CASE WHEN e <= k THEN err END) AS error, avg(CASE WHEN lo <= k THEN prob END) AS prob, avg(CASE WHEN hi <= k THEN prob END) AS probtopk
+  FROM q, (VALUES (1), (3), (5), (10)) AS v(k) GROUP BY norm, k),
+f AS (SELECT norm, k, unnest(['error', 'prob', 'probtopk']) AS family, unnest([error, prob, probtopk]) AS score FROM t),
+c AS (SELECT family, k, round(score, 6) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM lb JOIN f USING (norm) GROUP BY ALL),
+u AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY family, k) AS p, sum(neg) OVER (PARTITION BY family, k) AS n
+  FROM c WINDOW w AS (PARTITION BY family, k ORDER BY score DESC))
+SELECT family, k, sum(neg * (tp - pos / 2)) / max(p * n) AS auroc, max(2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p + 1e-12)) AS best_f1
+FROM u GROUP BY family, k""",
+    digits={"auroc": 5, "best_f1": 5}, ints=("k",),
+)
+def surprise_quality_by_k(spark, folder):
+    """How well each score family tells failures apart, for every k."""
+    df, signals = scored_lines(spark, folder)
+    families = ("error", "prob", "probtopk")
+    cells = F.array(*[F.struct(F.lit(n).alias("family"), F.round(n, 6).alias("score")) for n in families])
+    once = surprise.top_k_scores(signals).select("norm", "k", F.explode(cells).alias("c")).select("norm", "k", "c.*")
+    rows = checkpointed(df.select("label", "norm").join(once, "norm").drop("norm"))
+    by = ["family", "k"]
+    return classify.auroc(rows, by=by).join(classify.best_f1(rows, by=by).select(*by, "best_f1"), by)
+
+
 def letter_model(batches):
     """A stand-in for a model of the user's own: share of vowels as surprise."""
     for pdf in batches:

@@ -31,7 +31,19 @@ def run_available(
     the clock asks for further (empty) batches without end; ``one_batch`` stops after one.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # read when the query starts, then put back
+    try:
+        return _run(stream, name, mode, each, one_batch)
+    finally:
+        spark.conf.set(provider, before)
+
+
+def _run(
+    stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame], DataFrame] | None, one_batch: bool,
+) -> DataFrame:
+    spark = stream.sparkSession
     out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
     when = {"once": True} if one_batch else {"availableNow": True}
     writer = stream.writeStream.option("checkpointLocation", state).trigger(**when)
@@ -48,4 +60,6 @@ def run_available(
         result.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer.foreachBatch(write).start().awaitTermination()
+    if not shape:  # no batch arrived
+        return each(spark.createDataFrame([], stream.schema)).limit(0)
     return spark.read.schema(shape["schema"]).parquet(f"{out}/batch=*")

@@ -11,6 +11,8 @@ from omenlog.functions import words as wd
 from omenlog.operators import dedup, parse, split, surprise
 from omenlog.plans.inputs import EV, LN, events, lines, table
 from omenlog.plans.registry import query
+from omenlog.session import new_folder
+from omenlog.sources import text as files
 
 
 def quoted(text: str) -> str:
@@ -131,6 +133,41 @@ def word_labels(spark, folder):
     return events(spark, folder).select("line_id", nz.word_label(word).alias("label"))
 
 
+@query(
+    "text_file_lines",
+    f"WITH {LN} SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_id) - 1 AS line_no, raw FROM ln",
+)
+def text_file_lines(spark, folder):
+    """One log file for each source, written and read back with its line numbers."""
+    path = new_folder(spark, "logs")
+    logs = lines(spark, folder).repartition("source").sortWithinPartitions("source", "line_id")
+    logs.select("source", "raw").write.partitionBy("source").text(path)
+    read = files.read_lines(spark, path)
+    return read.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("source"), "line_no", "raw")
+
+
+@query(
+    "text_file_labels",
+    f"""WITH {EV}, w AS (SELECT key % 4 AS part, line_id, kind FROM ev WHERE kind <> 'signup')
+SELECT part, row_number() OVER (PARTITION BY part ORDER BY line_id) - 1 AS line_no,
+  CASE WHEN kind IN ('error', 'purchase') THEN 1 ELSE 0 END AS label FROM w""",
+    ints=("part", "label"),
+)
+def text_file_labels(spark, folder):
+    """Label files, one word a line with blank lines between, written and read back."""
+    path = new_folder(spark, "label-files")
+    kind = F.col("kind")
+    word = (
+        F.when(kind == "error", "anomaly").when(kind == "view", " Normal ").when(kind == "signup", "")
+        .when(kind == "purchase", "1").otherwise("-")
+    )
+    rows = events(spark, folder).select((F.col("key") % 4).alias("part"), "line_id", word.alias("word"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "line_id")
+    rows.select("part", "word").write.partitionBy("part").text(path)
+    read = files.read_line_labels(spark, path)
+    return read.select(F.regexp_extract("file", "part=([0-9]+)/", 1).cast("int").alias("part"), "line_no", "label")
+
+
 @query(
     "block_ids_in_lines",
     f"""WITH {LN} SELECT line_id, coalesce(nullif(regexp_extract(raw, '[0-9]+'), ''), '') AS first_id,

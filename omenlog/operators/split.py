@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from omenlog.operators.order import Order, ordinal, running
+from omenlog.operators.order import Order, laid_out, ordinal, running
 
 
 def _cut(n: Column, share: float) -> Column:
@@ -69,28 +69,18 @@ def split_statistics(df: DataFrame) -> DataFrame:
 
 
 def group_blocks(
-    df: DataFrame,
-    block: str,
-    *,
-    order: Sequence[str] = ("line_id",),
-    text: str = "raw",
-    lines_per_chunk: int = 10_000,
+    df: DataFrame, block: str, *, order: Sequence[str] = ("line_id",), text: str = "raw",
 ) -> DataFrame:
-    """Lines of a block joined in order: ``block, chunk, first_seen, n_lines, text``.
+    """The lines of each block in order: ``block, pos, line, first_seen, n_lines``.
 
-    A block of up to ``lines_per_chunk`` lines is one row.  A larger one continues in
-    further chunks, so no task ever holds a whole hot block and no line is lost.
+    One row for each line, whatever the size of a block, so that no task ever holds a whole
+    hot block; ``first_seen`` and ``n_lines`` are those of the block.  Null is a block.
     """
-    placed = ordinal(df.select(block, *order, text), Order((block,), tuple(order)), "_pos")
-    placed = placed.withColumn("chunk", F.floor(F.col("_pos") / lines_per_chunk))
-    item = F.struct("_pos", F.trim(text).alias("line"))
-    return placed.groupBy(F.col(block).alias("block"), "chunk").agg(
-        F.min(order[0]).alias("first_seen"),
-        F.count("*").alias("n_lines"),
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(item)), lambda s: s["line"]), " "
-        ).alias("text"),
-    )
+    order_ = Order((block,), tuple(order))
+    laid = laid_out(df.select(block, *order, text), order_)
+    sizes = laid.groupBy(F.col(block).alias("_of")).agg(F.min(order[0]).alias("first_seen"), F.count("*").alias("n_lines"))
+    placed = ordinal(laid, order_, "pos").join(sizes, F.col(block).eqNullSafe(F.col("_of")))
+    return placed.select(F.col(block).alias("block"), "pos", F.trim(text).alias("line"), "first_seen", "n_lines")
 
 
 def explode_blocks(df: DataFrame, pattern: str, *, text: str = "raw") -> DataFrame:

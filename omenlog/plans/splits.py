@@ -89,9 +89,8 @@ def train_test_shared_text(spark, folder):
 
 @query(
     "conversation_blocks",
-    """SELECT conv_id AS block, 0 AS chunk, min(turn) AS first_seen, count(*) AS n_lines,
-  string_agg(trim(text, ' '), ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""",
-    ints=("chunk",),
+    """SELECT conv_id AS block, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, trim(text, ' ') AS line,
+  min(turn) OVER (PARTITION BY conv_id) AS first_seen, count(*) OVER (PARTITION BY conv_id) AS n_lines FROM conversations""",
 )
 def conversation_blocks(spark, folder):
     return split.group_blocks(

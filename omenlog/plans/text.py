@@ -193,14 +193,13 @@ def lines_per_block_id(spark, folder):
 
 @query(
     "lines_grouped_by_block",
-    f"""WITH {LN}, x AS (SELECT line_id, trim(raw, ' ') AS raw, unnest(list_distinct(regexp_extract_all(raw, '[0-9]+'))) AS block FROM ln),
-p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY line_id) - 1 AS rn FROM x)
-SELECT block, CAST(rn // 100 AS BIGINT) AS chunk, min(line_id) AS first_seen, count(*) AS n_lines, md5(string_agg(raw, ' ' ORDER BY line_id)) AS text_md5 FROM p GROUP BY 1, 2""",
+    f"""WITH {LN}, x AS (SELECT line_id, trim(raw, ' ') AS raw, unnest(list_distinct(regexp_extract_all(raw, '[0-9]+'))) AS block FROM ln)
+SELECT block, row_number() OVER w - 1 AS pos, raw AS line, min(line_id) OVER (PARTITION BY block) AS first_seen,
+  count(*) OVER (PARTITION BY block) AS n_lines FROM x WINDOW w AS (PARTITION BY block ORDER BY line_id)""",
 )
 def lines_grouped_by_block(spark, folder):
     found = split.explode_blocks(lines(spark, folder).select("line_id", "raw"), "[0-9]+")
-    grouped = split.group_blocks(found, "block", lines_per_chunk=100)
-    return grouped.select("block", "chunk", "first_seen", "n_lines", F.md5("text").alias("text_md5"))
+    return split.group_blocks(found, "block")
 
 
 @query(

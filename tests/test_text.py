@@ -141,14 +141,15 @@ def test_scores_reach_every_copy_of_a_hot_text(spark):
     assert sorted((r.line_id, r.norm, r.n) for r in out) == [(i, t, len(t)) for i, t in rows]
 
 
-def test_blocks_continue_in_chunks(spark):
-    rows = [(i, "a" if i % 4 else "b", f"l{i}") for i in range(20)]
-    df = spark.createDataFrame(rows, "line_id long, block string, raw string")
-    whole = {r.block: r.text for r in split.group_blocks(df, "block").collect()}
-    parts = split.group_blocks(df, "block", lines_per_chunk=4).orderBy("block", "chunk").collect()
-    for b in ("a", "b"):
-        assert " ".join(p.text for p in parts if p.block == b) == whole[b]
-    assert max(p.n_lines for p in parts) == 4
+def test_blocks_are_ordered_rows(spark):
+    rows = [(i, None if i == 7 else "a" if i % 4 else "b", f" l{i} ") for i in range(20)]
+    df = spark.createDataFrame(rows, "line_id long, block string, raw string").repartition(3)
+    got = sorted((r.block or "", r.pos, r.line, r.first_seen, r.n_lines) for r in split.group_blocks(df, "block").collect())
+    want = []
+    for name in ("a", "b", None):
+        mine = [(i, t) for i, b, t in rows if b == name]
+        want += [(name or "", k, t.strip(), mine[0][0], len(mine)) for k, (i, t) in enumerate(mine)]
+    assert got == sorted(want)
 
 
 def test_early_anomalies_can_be_left_out(spark):

@@ -3,8 +3,9 @@
 A window function sends a whole partition key to one task, so a key with a third
 of the rows (or a global order) would not scale.  The order is therefore always cut
 into ranges of ``keys + by`` by Spark's range partitioner, so a hot key or a hot
-instant is split like any other stretch of rows.  The number of ranges is the
-``ranges`` of the order or ``spark.sql.shuffle.partitions``, whatever the size.
+instant is split like any other stretch of rows.  There are as many ranges as the order
+says, else ``spark.sql.shuffle.partitions``, of which adaptive execution may join small
+neighbours.
 
 * ``laid_out``   - the rows written in ranges, with the number of each row's range
 * ``running``    - unbounded frames: window per range + carry from earlier ranges
@@ -46,7 +47,8 @@ class Order:
         """The column that numbers the ranges of rows laid out in this order."""
         return "_range_" + "_".join(self.columns)
 
-    def count(self, spark: SparkSession) -> int:
+    def most(self, spark: SparkSession) -> int:
+        """The most ranges there can be."""
         return self.ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -58,7 +60,7 @@ def laid_out(df: DataFrame, order: Order) -> DataFrame:
     """
     if order.range in df.columns:
         return df
-    ranged = df.repartitionByRange(order.count(df.sparkSession), *order.columns)
+    ranged = df.repartitionByRange(*([order.ranges] if order.ranges else []), *order.columns)
     return checkpointed(ranged.withColumn(order.range, F.spark_partition_id()))
 
 
@@ -171,7 +173,7 @@ def _running(
             *[_LOCAL[h](F.col(n)).over(carried).alias(f"_c_{n}") for n, (h, _) in columns.items()],
         )
     )
-    if order.count(df.sparkSession) <= BROADCAST_RANGES:
+    if order.most(df.sparkSession) <= BROADCAST_RANGES:
         carry = F.broadcast(carry)
     local = df.withColumns(
         {n: _LOCAL[how](v).over(frame([*keys, F.col(order.range)])) for n, (how, v) in columns.items()}

@@ -155,11 +155,15 @@ def one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     mark = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     rows = checkpointed(docs.select(mark.alias("mark"), fingerprints(F.col(text_col)).alias("fp")))
-    per_print = rows.groupBy("fp").agg(F.min("mark").alias("mark"))
-    chosen = classes(rows, radius).join(per_print, "fp").groupBy("root").agg(F.min("mark").alias("mark"))
-    chosen = checkpointed(chosen.select(F.col("mark.id").alias("kept_id"), F.col("mark.h").alias("kept_h")))
-    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("kept_id"), F.xxhash64(text_col).alias("kept_h"))
-    same = whole["kept_id"].eqNullSafe(chosen["kept_id"]) & (whole["kept_h"] == chosen["kept_h"])
-    kept = whole.join(chosen, same, "left_semi")
-    # Rows that repeat id and text are one document.
-    return kept.dropDuplicates(["kept_id", "kept_h"]).select("doc.*")
+    per_mark = rows.groupBy("fp", "mark").agg(F.count("*").alias("n"))
+    per_print = per_mark.groupBy("fp").agg(F.min(F.struct("mark", "n")).alias("first"))
+    chosen = classes(rows, radius).join(per_print, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = checkpointed(chosen.select(
+        F.col("first.mark.id").alias("kept_id"), F.col("first.mark.h").alias("kept_h"), F.col("first.n").alias("n")))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("whole_id"), F.xxhash64(text_col).alias("whole_h"))
+    same = whole["whole_id"].eqNullSafe(chosen["kept_id"]) & (whole["whole_h"] == chosen["kept_h"])
+    kept = whole.join(chosen, same)
+    # Rows that repeat id and text are one document; only such rows are moved a second time.
+    once = kept.filter("n = 1").select("doc")
+    repeated = kept.filter("n > 1").dropDuplicates(["kept_id", "kept_h"]).select("doc")
+    return once.unionByName(repeated).select("doc.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +40,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's source, size, tokens and the digest of its decoding, in the order given."""
+    """Each document's source, place in the mix, tokens and the digest of its decoding.
+
+    The mixing stage wrote its files in order, so (mix_file, mix_row) sorts as the mix; documents
+    that come from no file have no place.
+    """
     ship(spark)
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), TOKENIZER)
-    return encoded.select(
-        "doc_id", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+    try:
+        place = [F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row")]
+        placed = docs.select("doc_id", "source", "text", *place)
+    except AnalysisException:
+        place = [F.lit(None).cast("string").alias("mix_file"), F.lit(None).cast("long").alias("mix_row")]
+        placed = docs.select("doc_id", "source", "text", *place)
+    return bpe.encode(placed, TOKENIZER).select(
+        "doc_id", "source", "mix_file", "mix_row", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 

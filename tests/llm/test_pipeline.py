@@ -55,8 +55,10 @@ def test_mixing_keeps_all_and_orders_files(stages):
     sources = Counter(r["source"] for r in docs.collect())
     want = mixing.mix(docs).orderBy("mix_position").toPandas()["source"].tolist()
     files = sorted(got.inputFiles())
-    in_order = [r["source"] for f in files for r in docs.sparkSession.read.parquet(f).collect()]
-    assert in_order == want and Counter(in_order) == sources
+    in_order = [(r["source"], r["doc_id"]) for f in files for r in docs.sparkSession.read.parquet(f).collect()]
+    assert [s for s, _ in in_order] == want and Counter(s for s, _ in in_order) == sources
+    last = stages[4][1].orderBy("mix_file", "mix_row").collect()
+    assert [(r["source"], r["doc_id"]) for r in last] == in_order
 
 
 def test_encoding(stages):

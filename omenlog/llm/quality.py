@@ -18,12 +18,12 @@ from omenlog.session import checkpointed
 
 GRAMS = Grams(sizes=(2, 3, 4), lower=False)
 #: Bounds of the two samples that the classifiers are fitted on.
-FIT_ROWS = 8_192
-POOL_ROWS = 8_192
+FIT_ROWS = 4_096
+POOL_ROWS = 4_096
 FEATURES = 1 << 12
 ROUNDS = 4
 #: Pseudo-labels that a view may give the other one in a round.
-EXCHANGED = 512
+EXCHANGED = 256
 
 _SLOTS = 1 << 12  # hashed metadata features
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,15 +122,31 @@ class Dense:
         return self.values.T @ g
 
 
-def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
-    """Weights and intercept (last) of a weighted, ridge-penalised logistic regression (L-BFGS)."""
+def loss_and_gradient(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted logistic loss of weights and intercept (last), and its gradient."""
+    z = x.times(w[:-1]) + w[-1]
+    g = weight * (sigmoid(z) - y)
+    return float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum()), np.append(x.transposed_times(g), g.sum())
+
+
+def penalised(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The same with a ridge penalty on all but the intercept, as a function of the weights."""
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x.times(w[:-1]) + w[-1]
-        g = weight * (sigmoid(z) - y)
-        value = float((weight * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + l2 / 2 * (w[:-1] ** 2).sum())
-        return value, np.append(x.transposed_times(g) + l2 * w[:-1], g.sum())
+        value, grad = loss_and_gradient(x, y, weight, w)
+        return value + float(l2 / 2 * (w[:-1] ** 2).sum()), grad + l2 * np.append(w[:-1], 0.0)
+
+    return loss
+
+
+def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
+    """Weights and intercept (last) of a weighted, ridge-penalised logistic regression."""
+    return minimised(penalised(x, y, weight, l2), np.zeros(x.shape[1] + 1), rounds)
+
 
-    w = np.zeros(x.shape[1] + 1)
+def minimised(
+    loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int, least: float = 1e-7,
+) -> np.ndarray:
+    """Where ``loss`` (value and gradient) is smallest, from ``w`` on (L-BFGS), until a step gains less than ``least``."""
     value, grad = loss(w)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -150,7 +166,7 @@ def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, ro
                 break
             rate /= 2
         s, d = new - w, new_grad - grad
-        done = value - new_value <= 1e-7 * max(1.0, abs(value))
+        done = value - new_value <= least * max(1.0, abs(value))
         w, value, grad = new, new_value, new_grad
         if done:
             break

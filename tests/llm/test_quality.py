@@ -44,6 +44,35 @@ def test_views_teach_each_other():
     assert abs(alone[1][2]) < 1e-6 and taught[1][2] > 1
 
 
+def test_rare_type_among_many_is_taught():
+    """The rows of a rare type count however many others a view is surer of."""
+    views = [[[0, 2], [1], [0], [1]] * 10, [[0], [1]] * 20]
+    y, weight = np.array([1.0, 0.0] * 20), np.ones(40)
+    pool = [[[0, 2]] * 3000 + [[1]] * 3000 + [[0]] * 40, [[0]] * 3000 + [[1]] * 3000 + [[2]] * 40]
+    taught = quality.co_train(views, [np.ones(3), np.ones(3)], y, weight, pool, 4, 0.01)
+    assert taught[1][2] > 1
+
+
+def test_every_unlabelled_document_is_summed(spark):
+    """More documents than any sample held; sums over tasks are those over all rows at once."""
+    kinds, _, _ = corpus(60)
+    docs = spark.createDataFrame([(i, *kinds[i % 60][1:]) for i in range(6000)] + [(None, *kinds[0][1:])], SCHEMA).repartition(7)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    buckets = np.unique(np.concatenate([quality.GRAMS.distinct(k[1]) for k in kinds]))[:203]
+    pool = quality._unlabelled(docs, labels, buckets)
+    place = quality.placement(buckets)
+    free = [kinds[i % 60] for i in range(6000) if i % 2 or i >= 200] + [kinds[0]]
+    lists = [[quality.GRAMS.columns(k[1], place).tolist() for k in free],
+             [quality._metadata(k[1], k[2], k[3], str(k[4])) for k in free]]
+    local = quality.Local(lists, (203, quality._SLOTS))
+    draw = np.random.default_rng(1)
+    teachers, pupils = ([draw.normal(size=204), draw.normal(size=quality._SLOTS + 1)] for _ in range(2))
+    told = pool.sums(quality._told, teachers)
+    assert pool.table.count() == len(free) and told.sum() > 0 and (told == local.sums(quality._told, teachers)).all()
+    worth = np.array([[0.5, 1.0], [1.0, 0.25]])
+    assert np.allclose(pool.sums(quality._lesson, teachers, worth, pupils), local.sums(quality._lesson, teachers, worth, pupils))
+
+
 def test_odd_rows(spark):
     docs, labels, _ = corpus()
     odd = docs + [(None, docs[1][1], None, None, None), (900, None, "en", "src1", 0), (901, "", None, "src1", None),

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,19 +86,125 @@ def schedule(blocks: Mapping[int, int], weights: Mapping[int, float], slots: int
     return phases
 
 
+#: Slots that are scheduled at a time, at least.
+STRETCH = 1024
+
+#: (source, weight) in whole numbers, exactly in the proportion of the target weights.
+Exact = tuple[tuple[int, int], ...]
+
+
+def whole(weights: Mapping[int, float]) -> Exact:
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return tuple(sorted((s, int(w * scale)) for s, w in exact.items()))
+
+
+def window(weights: Exact, s: int, i: int) -> tuple[int, int]:
+    """Release and deadline of block i of a source; inside it the source is less than a block off."""
+    k, n = dict(weights)[s], sum(k for _, k in weights)
+    return i * n // k, -(-(i + 1) * n // k)
+
+
+@lru_cache(256)
+def done(weights: Exact, t: int) -> dict[int, int]:
+    """How many blocks of each source the first t slots hold, from t alone.
+
+    Each source has its target rounded down, and some have one block more: by earliest deadline,
+    as long as the blocks released at slot a or later are at most t - a, for every a.  So all
+    slots up to t can be filled in time, and all slots after it.
+    """
+    n = sum(k for _, k in weights)
+    out = {s: t * k // n for s, k in weights}
+    rest = t - sum(out.values())
+    back = min(t, -(-n // min(k for _, k in weights)) + 1)
+    late = np.zeros(back, np.int64)
+    for s, k in weights:
+        for i in range(-(-(t - back) * k // n), out[s]):
+            late[i * n // k - (t - back)] += 1
+    room = np.arange(back, 0, -1) - late[::-1].cumsum()[::-1]
+    begun = sorted((-(-(out[s] + 1) * n // k), s, out[s] * n // k) for s, k in weights if t * k % n)
+    for _, s, release in begun:
+        until = release - (t - back) + 1
+        if rest and room[:until].min() > 0:
+            room[:until] -= 1
+            out[s] += 1
+            rest -= 1
+    return out
+
+
+@lru_cache(32)
+def stretch(weights: Exact, slots: int, p: int) -> dict[int, tuple[int, np.ndarray]]:
+    """Slots p * slots .. (p + 1) * slots: each source's first block there, and the slots of its blocks."""
+    start, end = p * slots, (p + 1) * slots
+    first, until = done(weights, start), done(weights, end)
+    n, share = sum(k for _, k in weights), dict(weights)
+    coming = [(max(start, first[s] * n // k), s, first[s]) for s, k in weights if first[s] < until[s]]
+    heapq.heapify(coming)
+    ready: list[tuple[int, int, int]] = []
+    out: dict[int, list[int]] = {s: [] for s in first}
+    for slot in range(start, end):
+        while coming and coming[0][0] <= slot:
+            _, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (min(end, -(-(i + 1) * n // share[s])), s, i))
+        _, s, i = heapq.heappop(ready)
+        out[s].append(slot)
+        if i + 1 < until[s]:
+            heapq.heappush(coming, (max(slot + 1, (i + 1) * n // share[s]), s, i + 1))
+    return {s: (first[s], np.array(x, dtype=np.int64)) for s, x in out.items()}
+
+
+def slot_of(weights: Exact, slots: int, s: int, i: int) -> int:
+    p = window(weights, s, i)[0] // slots
+    while done(weights, (p + 1) * slots)[s] <= i:
+        p += 1
+    first, places = stretch(weights, slots, p)[s]
+    return int(places[i - first])
+
+
+def exact_schedule(blocks: Mapping[int, int], weights: Mapping[int, float], least: int = STRETCH) -> list[dict]:
+    """Phases like those of ``schedule``, with exact weights instead of the slots of a period.
+
+    A stretch has so many slots that every source has a block in it: then the stretches can be
+    scheduled one by one.  The driver schedules those in which sources end.
+    """
+    left = {s: n for s, n in blocks.items() if n > 0}
+    so_far = dict.fromkeys(left, 0)
+    phases, base = [], 0
+    while left:
+        active = whole({s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or {s: float(n) for s, n in left.items()})
+        n = sum(k for _, k in active)
+        slots = min(max(least, -(-n // min(k for _, k in active))), sum(left.values()))
+        windows = {s: window(active, s, left[s] - 1) for s, _ in active}
+        soon = min(due for _, due in windows.values())
+        ends = {s: slot_of(active, slots, s, left[s] - 1) for s, (release, _) in windows.items() if release < soon}
+        last = min(ends, key=ends.get)
+        phases.append({
+            "base": base, "weights": active, "slots": slots, "first": {s: so_far[s] for s, _ in active}, "last": last,
+        })
+        for s, (first, places) in stretch(active, slots, ends[last] // slots).items():
+            used = first + int(np.searchsorted(places, ends[last], "right"))
+            so_far[s] += used
+            left[s] -= used
+        left = {s: n for s, n in left.items() if n > 0}
+        base += ends[last] + 1
+    return phases
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str | None, float] | None = None, *, temper: float = 0.5,
-    block_rows: int = 8, slots: int = 1024, source: str | Column = "source",
+    block_rows: int = 8, slots: int | None = None, source: str | Column = "source",
 ) -> DataFrame:
     """All columns of ``docs`` plus ``mix_source`` .. ``mix_position``; every row stays, once.
 
     The rows of a source are cut into blocks of ``block_rows`` in table order.  Target weights
-    are given by source or, by default, proportional to rows ** ``temper``.  Within a period of
-    ``slots`` slots (8 per source at least) the weights become whole numbers of slots; one period
-    is scheduled earliest deadline first on the driver, and a block finds its slot by arithmetic
-    (period = block div share, place = block mod share), so nothing grows with the data there.
-    When a source runs out, the others go on by their weights in a new phase.  In every prefix of
-    a phase each source is less than one block away from its share.
+    are given by source or, by default, proportional to rows ** ``temper``.  Blocks have their
+    windows from the exact weights and are scheduled earliest deadline first, in stretches that
+    every task can schedule for the rows it has, as the blocks done before a stretch follow from
+    its number alone.  When a source runs out, the others go on by their weights in a new phase.
+    In every prefix of a phase each source is less than one block away from its target.
+
+    With ``slots`` the weights become whole numbers of slots of a period that is repeated (8 slots
+    per source at least): shares are then those rounded ones, not the target.
 
     A null source is a source.  Sources of weight 0 or without a weight follow after the others,
     in proportion to their size.  Null ids, texts and repeated rows are ordinary rows; an empty
@@ -111,10 +222,47 @@ def mix(
     else:
         wanted = {i: float(weights.get(names[i], 0) or 0) for i in count}
     blocks = {i: -(-n // block_rows) for i, n in count.items()}
+    if slots is None:
+        return placed_exactly(rows, names, count, exact_schedule(blocks, wanted), block_rows)
     phases = schedule(blocks, wanted, max(slots, 8 * len(names)))
     return placed(rows, names, count, phases, block_rows, max(slots, 8 * len(names)))
 
 
+def placed_exactly(rows: DataFrame, names: list, count: dict, phases: list[dict], block_rows: int) -> DataFrame:
+    """Each numbered row with its block's window and slot and its own position."""
+    number = local(rows.sparkSession, {"_name": names, "_src": list(range(len(names)))}, "_name string, _src long")
+    shorts = np.cumsum([0, *(-count[phase["last"]] % block_rows for phase in phases)]).tolist()
+    fields = ("phase", "release", "deadline", "slot", "short")
+
+    def each(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        spans = {
+            s: [(p, phase["first"][s]) for p, phase in enumerate(phases) if s in phase["first"]] for s in range(len(names))
+        }
+        for sources, blocks in batches:
+            pairs, at = np.unique(np.stack([sources.to_numpy(), blocks.to_numpy()]), axis=1, return_inverse=True)
+            found = np.zeros((pairs.shape[1], len(fields)), dtype=np.int64)
+            for x, (s, block) in enumerate(pairs.T.tolist()):
+                p, first = next(span for span in reversed(spans[s]) if span[1] <= block)
+                phase = phases[p]
+                release, due = window(phase["weights"], s, block - first)
+                slot = slot_of(phase["weights"], phase["slots"], s, block - first)
+                found[x] = p, *(phase["base"] + v for v in (release, due, slot)), shorts[p]
+            yield pd.DataFrame(found[at.ravel()], columns=list(fields))
+
+    at = F.pandas_udf(each, ", ".join(f"{f} long" for f in fields))(F.col("_src"), F.col("mix_block"))
+    out = (
+        rows.withColumn("mix_block", F.floor(F.col("_row") / block_rows))
+        .join(small(number, len(names)), F.col("mix_source").cast("string").eqNullSafe(F.col("_name")))
+        .withColumn("_at", at)
+    )
+    added = {
+        "mix_phase": F.col("_at.phase"), "mix_release": F.col("_at.release"), "mix_deadline": F.col("_at.deadline"),
+        "mix_slot": F.col("_at.slot"),
+        "mix_position": F.col("_at.slot") * block_rows + F.col("_row") % block_rows - F.col("_at.short"),
+    }
+    return out.select("doc.*", "mix_source", "mix_block", *[v.cast("long").alias(k) for k, v in added.items()])
+
+
 def placed(rows: DataFrame, names: list, count: dict, phases: list[dict], block_rows: int, slots: int) -> DataFrame:
     """Each numbered row with its block's window and slot and its own position."""
     spark = rows.sparkSession

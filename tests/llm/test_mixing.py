@@ -68,3 +68,52 @@ def test_hot_source_repeated_rows_and_empty_table(spark):
     got = mixing.mix(table, block_rows=8, slots=32).toPandas()
     check(got, [("cold", 3), ("hot", 400)], 8, 32)
     assert mixing.mix(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("weights", [
+    dict.fromkeys(range(20), 1.0), {0: 1}, {0: 0.7, 1: 0.1, 2: 0.1, 3: 0.1}, {0: 1000.0, 1: 1.0, 2: 1.0, 3: 37.5},
+    {i: (i * 7919 % 97 + 1) ** 0.5 for i in range(30)}, {0: 2**0.5, 1: 3**0.5, 2: 0.003, 3: 0.003}, {i: 3.0**-i for i in range(7)},
+])
+def test_exact_weights_over_many_stretches(weights):
+    """No source is a block off its true target weight after any number of blocks."""
+    exact = mixing.whole(weights)
+    total = sum(Fraction(w) for w in weights.values())
+    slots = max(64, -int(-total // min(Fraction(w) for w in weights.values())))
+    slot_of, seen = {}, Counter()
+    for p in range(max(20, 20_000 // slots)):
+        for s, (first, places) in mixing.stretch(exact, slots, p).items():
+            assert first == seen[s]
+            for i, slot in enumerate(places.tolist(), first):
+                release, due = mixing.window(exact, s, i)
+                assert release <= slot < due and slot not in slot_of
+                slot_of[slot] = s
+            seen[s] += len(places)
+    assert sorted(slot_of) == list(range(len(slot_of)))
+    seen = Counter()
+    for slot in range(len(slot_of)):
+        seen[slot_of[slot]] += 1
+        if slot % 7 == 0:
+            assert all(abs(seen[s] - (slot + 1) * Fraction(w) / total) < 1 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.11, None: 0.09}])
+def test_rows_follow_the_target_weights(spark, weights):
+    sizes = [("a", 40_001), ("b", 30_000), ("c", 19_999), (None, 9_003), ("d", 5)]
+    data, schema = rows(sizes)
+    got = mixing.mix(spark.createDataFrame(data, schema).repartition(5), weights, block_rows=1).toPandas()
+    got["source"] = got["source"].astype(object).where(got["source"].notna(), None)
+    got = got.sort_values("mix_position")
+    assert len(got) == len(data) and got["mix_position"].tolist() == list(range(len(got)))
+    assert Counter(zip(got["doc_id"], got["source"])) == Counter((i, s) for i, s, _ in data)
+    assert got["mix_slot"].between(got["mix_release"], got["mix_deadline"] - 1).all()
+    target = {s: n**0.5 for s, n in sizes} if weights is None else weights
+    left, walk = Counter(dict(sizes)), got["source"].tolist()
+    at = 0
+    while at < len(walk):  # a phase: until some source has no rows left
+        active = {s: Fraction(target.get(s, 0)) for s, n in left.items() if n and target.get(s)} or {s: Fraction(n) for s, n in left.items() if n}
+        total, seen = sum(active.values()), Counter()
+        while all(left[s] for s in active):
+            seen[walk[at]] += 1
+            left[walk[at]] -= 1
+            at += 1
+            assert all(abs(seen[s] - at_phase * w / total) < 1 for at_phase in [sum(seen.values())] for s, w in active.items())

@@ -15,8 +15,6 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: A combination must be held by this share of the labelled pages, and by so many of them.
 SUPPORT, LEAST_PAGES = 0.002, 12
 CONFIDENCE = 0.6
-#: Tokens of a combination.
-TOKENS = 3
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item that marks a page to be blocked; a token never has an upper-case letter.
@@ -58,13 +56,14 @@ def blocked_labels(labels: DataFrame) -> DataFrame:
 
 def mined(
     pages: DataFrame, labels: DataFrame, *, support: float = SUPPORT, least_pages: int = LEAST_PAGES,
-    confidence: float = CONFIDENCE, most_tokens: int = TOKENS,
+    confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """``items, size, key``: token combinations of which enough pages, and mostly bad ones, are labelled.
 
     FP-growth over the distinct tokens of each labelled page and its label.  Kept are rules that
-    end in the label, with at most ``most_tokens`` tokens, at least the given confidence and
-    support.  ``key`` is the rarest token of the rule, its place in the inverted index.
+    end in the label, of any number of tokens, with at least the given confidence and support;
+    a rule that holds all tokens of another one says nothing new and is left out.  ``key`` is the
+    rarest token of the rule, its place in the inverted index.
     """
     spark = pages.sparkSession
     known = pages.join(blocked_labels(labels), F.col("page_id") == F.col("id"))
@@ -77,13 +76,22 @@ def mined(
         return spark.range(0).select(
             F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("size"), F.lit("").alias("key"))
     model = FPGrowth(minSupport=(least - 0.5) / n, minConfidence=confidence).fit(known)
-    rules = model.associationRules.filter(
-        (F.col("consequent") == F.array(F.lit(_BLOCK))) & (F.size("antecedent") <= most_tokens)
-    ).select(F.array_sort("antecedent").alias("items"))
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BLOCK)))
+    rules = rules.select(F.array_sort("antecedent").alias("items"))
     rules = checkpointed(rules.withColumn("size", F.size("items")))
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     placed = rules.select("items", "size", F.explode("items").alias("token")).join(single, "token")
-    return checkpointed(placed.groupBy("items", "size").agg(F.min_by("token", F.struct("freq", "token")).alias("key")))
+    return smallest(checkpointed(placed.groupBy("items", "size").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))))
+
+
+def smallest(rules: DataFrame) -> DataFrame:
+    """The rules that hold no other rule, found by number of tokens."""
+    for size in sorted(r["size"] for r in rules.select("size").distinct().collect())[:-1]:
+        short = rules.filter(F.col("size") == size).select(F.col("items").alias("part"), F.col("key").alias("token"))
+        longer = rules.filter(F.col("size") > size).select("items", F.explode("items").alias("token")).join(short, "token")
+        implied = longer.filter(F.size(F.array_except("part", "items")) == 0).select("items").distinct()
+        rules = checkpointed(rules.join(implied, "items", "left_anti"))
+    return rules
 
 
 def blocked_sets(pages: DataFrame, rules: DataFrame) -> DataFrame:

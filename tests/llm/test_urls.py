@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+from itertools import combinations
+
 import duckdb
 import pandas as pd
 import pytest
@@ -51,6 +55,39 @@ def test_combinations_are_mined(spark):
     assert got == {i: "block" if i % 4 == 0 else "allow" for i, _ in pages}
 
 
+def minimal_rules(pages, labels):
+    """All combinations of tokens of labelled pages by counting each one."""
+    bad = {i: q == 0 or t == 1 for i, q, t in labels}
+    sets = [(frozenset(re.findall("[a-z#]+", re.sub("[0-9]+", "#", u))), bad[i]) for i, u in pages if i in bad]
+    least = max(urls.LEAST_PAGES, -int(-urls.SUPPORT * len(sets) // 1))
+    held, hits = Counter(), Counter()
+    for (tokens, b), n in Counter(sets).items():
+        for size in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), size):
+                held[c] += n
+                hits[c] += n * b
+    rules = [frozenset(c) for c, n in held.items() if hits[c] >= least and hits[c] / n >= urls.CONFIDENCE]
+    return {r for r in rules if not any(x < r for x in rules)}
+
+
+def test_combinations_of_more_than_three_tokens(spark):
+    """Pages are bad with all four words (or with wolf and moon); any three of the four are mostly good."""
+    pages, labels = [], []
+    for i in range(640):
+        kind = i % 16
+        words = [w for k, w in enumerate(("ash", "birch", "cedar", "elm")) if kind >> k & 1] + ["wolf"] * (i % 3 == 0) + ["moon"] * (i % 5 == 0)
+        pages.append((i, "https://m.example.org/en/" + "-".join(words)))
+        if i % 7:
+            labels.append((i, int(kind < 15 and i % 15 > 0), 0))
+    rules = minimal_rules(pages, labels)
+    assert frozenset(("ash", "birch", "cedar", "elm")) in rules and frozenset(("moon", "wolf")) in rules
+    table, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, LABELS)
+    assert {frozenset(r["items"]) for r in urls.mined(table, known).collect()} == rules
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known).collect()}
+    want = {i: any(r <= set(re.findall("[a-z#]+", u)) for r in rules) for i, u in pages}
+    assert got == {i: "block" if b else "allow" for i, b in want.items()}
+
+
 @pytest.mark.parametrize("least", [12, 10**6])
 def test_sql_says_the_same(spark, least):
     pages, labels = spam()

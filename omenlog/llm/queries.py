@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omenlog.llm import ann, bpe, chat, mixing, quality, sharding, simhash, topk, toxicity, urls
+from omenlog.llm import ann, bpe, chat, mixing, periodic, quality, sharding, simhash, topk, toxicity, urls
 from omenlog.llm.common import table
 from omenlog.session import ship
 
@@ -58,6 +58,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_periods(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
 def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -69,7 +74,7 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _run(f) for f in (
         op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op4_exact_top_k, op5_shard_documents, op6_quality, op7_url_filters,
-        op8_tool_calls, op9_bpe, op10_nearest,
+        op8_tool_calls, op9_bpe, op10_nearest, op13_periodic_runs,
     )
 }
 

@@ -159,7 +159,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, shared: dict[bytes, bytes] | None = None) -> Encoder:
+def encoder(path: str, shared: dict[bytes, bytes] | None = None) -> Encoder:
+    """This worker's encoder for the tokenizer in ``path``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     _ENCODERS[path].shared = shared or {}
@@ -207,10 +208,10 @@ def dictionary(texts: DataFrame, path: str, entries: int = DICTIONARY) -> dict[b
             yield pd.DataFrame({"key": list(found), "chunk": list(found.values())}).astype({"key": "int64"})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
+        tool = encoder(path)
         for batch in batches:
             parts = sorted({c[i:j] for c in batch["chunk"] for i, j in [core(c)] if i < j})
-            yield pd.DataFrame({"core": parts, "ids": encoder.plain(parts)})
+            yield pd.DataFrame({"core": parts, "ids": tool.plain(parts)})
 
     where = best.select("doc").distinct()  # at most `entries` rows
     fetched = docs.join(F.broadcast(where), "doc", "left_semi").select("text").mapInPandas(fetch, "key long, chunk binary")
@@ -237,14 +238,14 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", entries: int =
     schema = T.StructType([inner.schema["doc"], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, shared.value)
+        tool = encoder(path, shared.value)
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
             ends = np.flatnonzero(np.diff(sizes // PORTION, append=-1)) + 1
             for i, j in zip([0, *ends], ends):
                 part = batch.slice(i, j - i)
-                ids = encoder.encode([t.encode() for t in part.column("text").to_pylist()])
-                decoded = encoder.decode(ids)
+                ids = tool.encode([t.encode() for t in part.column("text").to_pylist()])
+                decoded = tool.decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc", "ids", "decoded"]
                 )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omenlog.llm import ann, bpe, chat, mixing, packing, periodic, quality, sharding, simhash, topk, toxicity, urls
+from omenlog.llm import ann, bpe, chat, mixing, packing, periodic, quality, repair, sharding, simhash, topk, toxicity, urls
 from omenlog.llm.common import table
 from omenlog.session import ship
 
@@ -62,6 +62,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.summary(conversations, repair.repair(repair.damaged(conversations)))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_periods(table(spark, sf_dir, "documents"))
     return periodic.digests(periodic.periodic_runs(docs))
@@ -78,7 +83,8 @@ def _run(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _run(f) for f in (
         op1_toxicity, op2_simhash_near_dedup, op3_mix_sources, op4_exact_top_k, op5_shard_documents, op6_quality, op7_url_filters,
-        op8_tool_calls, op9_bpe, op10_nearest, op11_packing, op13_periodic_runs,
+        op8_tool_calls, op9_bpe, op10_nearest, op11_packing, op12_repair,
+        op13_periodic_runs,
     )
 }
 

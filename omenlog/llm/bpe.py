@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Collection, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -82,6 +85,44 @@ def core(chunk: bytes) -> tuple[int, int]:
     return found.end(), len(chunk[: last + 1].rstrip(_SPACE))
 
 
+#: How a lower-casing tokenizer of words announces itself in its file.
+_LOWER_CASED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Texts of these characters and white space are in normal form, and Python lower-cases and splits them as the library does.
+_EASY_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ \\t-\\r]*")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \\t-\\r]+")
+#: The printable character for every byte of a piece; those that are none get the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = dict(zip((b for b in range(256) if b not in _PRINTABLE), range(256, 512)))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memory:
+    """A dictionary of two generations: what was not asked for during a whole one is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: Collection) -> list:
+        """Those of the (different) ``keys`` that are not known; all others can be read from ``new`` afterwards."""
+        absent = [k for k in keys if k not in self.new]
+        if len(self.new) + len(absent) > self.size:
+            self.old, self.new = self.new, {}
+            absent = list(keys)
+        known = {k: self.old[k] for k in absent if k in self.old}
+        self.new.update(known)
+        return [k for k in absent if k not in known]
+
+
 class Encoder:
     """Encodes and decodes in a worker; a word and a chunk are encoded once while remembered."""
 
@@ -93,27 +134,67 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.shared: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.words = Memory(WORDS)
+        told = json.loads(self.tokenizer.to_str())
+        self.lower_cased = all(told[k] == v for k, v in _LOWER_CASED.items()) and told["model"]["type"] == "BPE"
+        self.added = tuple(t["content"] for t in told["added_tokens"])
         # Without a decoder the library puts a blank between the tokens.
         self.tokens = None if self.tokenizer.decoder else [
             self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.cores: dict[bytes, bytes] = {}
 
-    def plain(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids (little-endian 32 bits) of texts that start with white space or stand alone."""
-        split = [_WORD.findall(p) for p in pieces]
-        wanted = {w for words in split for w in words if w not in self.words}
-        if len(wanted) + len(self.words) > WORDS:  # words not met for a whole generation are forgotten
-            self.older, self.words = self.words, {}
-            wanted = {w for words in split for w in words}
-        known = {w: self.older[w] for w in wanted if w in self.older}
-        self.words.update(known)
-        new = [w for w in wanted if w not in known]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text that are encoded by themselves: pieces, or words behind a blank.
+
+        A lower-casing tokenizer's pieces are found in whole texts of easy characters, else in easy
+        words; other words are left to the library.
+        """
+        if not self.lower_cased:
+            return [" " + w.decode() for w in _WORD.findall(text.encode())]
+        if _EASY_TEXT.fullmatch(text) and not self.special(text):
+            return _PIECE.findall(text.lower())
+        out: list[str] = []
+        for w in (w.decode() for w in text.encode().split()):
+            if _EASY_TEXT.fullmatch(w) and not self.special(w):
+                out += _PIECE.findall(w.lower())
+            else:
+                out.append(" " + w)
+        return out
+
+    def special(self, text: str) -> bool:
+        return any(t in text for t in self.added)
+
+    def new_ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts; a piece goes straight to the library's BPE, past its normalizer and its splitting."""
+        words = [p[1:] for p in parts if p[0] == " "]
+        found = iter(self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        bpe = self.tokenizer.model.tokenize
+        return [
+            _packed(next(found).ids) if p[0] == " "
+            else _packed([t.id for t in bpe(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
+            for p in parts
+        ]
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids (little-endian 32 bits) of texts that start with white space or stand alone.
+
+        The parts of all texts are numbered, each different one is looked up or encoded once, and
+        the ids of the texts are gathered from those of the parts.
+        """
+        split = [self.parts(t.decode()) for t in texts]
+        numbered = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        parts = numbered.dictionary.to_pylist()
+        new = self.words.missing(parts)
+        self.words.new.update(zip(new, self.new_ids(new)))
+        found = [self.words.new[w] for w in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        part = numbered.indices.to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes[part])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[part] - (ends - sizes[part]), sizes[part])
+        out = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
+        return [out[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts: cores of chunks looked up, the joins between them encoded anew.

@@ -14,7 +14,8 @@ from omenlog.session import checkpointed
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: A combination must be held by this share of the labelled pages, and by so many of them.
 SUPPORT, LEAST_PAGES = 0.002, 12
-CONFIDENCE = 0.6
+#: A rule's confidence must be so many times the share of bad pages among the labelled ones.
+LIFT = 1.3
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item that marks a page to be blocked; a token never has an upper-case letter.
@@ -54,34 +55,62 @@ def blocked_labels(labels: DataFrame) -> DataFrame:
     return labels.filter(known).groupBy(F.col("doc_id").alias("id")).agg(F.max(bad).alias("bad"))
 
 
+def _words(url: Column) -> Column:
+    return F.filter(F.split(tokens(url), " "), lambda t: t != "")
+
+
+def joined_tokens(known: DataFrame, least: int) -> DataFrame:
+    """``token, item``: tokens of at least ``least`` bad pages; those of exactly the same pages share an item.
+
+    Tokens that stand on the same labelled pages have equal support in every combination, so one of
+    them mines for all.  Equal sets of pages are found by their size and two hashes.
+    """
+    held = known.select("row", "bad", F.explode("words").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("hits"),
+        *[F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (1, 2)])
+    held = held.filter(F.col("hits") >= least)
+    item = held.groupBy("n", "h1", "h2").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return item.select(F.explode("tokens").alias("token"), "item")
+
+
 def mined(
     pages: DataFrame, labels: DataFrame, *, support: float = SUPPORT, least_pages: int = LEAST_PAGES,
-    confidence: float = CONFIDENCE,
-) -> DataFrame:
-    """``items, size, key``: token combinations of which enough pages, and mostly bad ones, are labelled.
-
-    FP-growth over the distinct tokens of each labelled page and its label.  Kept are rules that
-    end in the label, of any number of tokens, with at least the given confidence and support;
-    a rule that holds all tokens of another one says nothing new and is left out.  ``key`` is the
-    rarest token of the rule, its place in the inverted index.
+    confidence: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rules ``items, size, key`` and the items ``token, item`` they are made of.
+
+    FP-growth over the items of each labelled page and its label: tokens that stand on exactly the
+    same labelled pages are one item, so a long URL that many pages repeat is one item and not all
+    subsets of its tokens.  Kept are rules that end in the label, of any number of items, with at
+    least the given support and confidence (by default ``LIFT`` times the share of bad pages); a
+    rule that holds all items of another one says nothing new and is left out.  ``key`` is the
+    rarest item of the rule, its place in the inverted index.  A page has an item if it holds any of
+    its tokens, so no rule over tokens is lost.
     """
     spark = pages.sparkSession
     known = pages.join(blocked_labels(labels), F.col("page_id") == F.col("id"))
-    words = F.filter(F.split(tokens(F.col("url")), " "), lambda t: t != "")
-    items = F.when(F.col("bad"), F.concat(words, F.array(F.lit(_BLOCK)))).otherwise(words)
-    known = checkpointed(known.select(items.alias("items")))
-    n = known.count()
-    least = max(least_pages, -int(-support * n // 1))
-    if n < least:
+    known = checkpointed(known.select(F.monotonically_increasing_id().alias("row"), "bad", _words(F.col("url")).alias("words")))
+    seen = known.agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).first()
+    least = max(least_pages, -int(-support * seen["n"] // 1))
+    if confidence is None:
+        confidence = min(1.0, LIFT * seen["bad"] / max(1, seen["n"]))
+    items = checkpointed(joined_tokens(known, least))
+    if seen["bad"] < least:
         return spark.range(0).select(
-            F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("size"), F.lit("").alias("key"))
-    model = FPGrowth(minSupport=(least - 0.5) / n, minConfidence=confidence).fit(known)
+            F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("size"), F.lit("").alias("key")), items
+    held = known.select("row", "bad", F.explode("words").alias("token")).join(items, "token")
+    held = held.groupBy("row", "bad").agg(F.collect_set("item").alias("held"))
+    baskets = F.when(F.col("bad"), F.concat("held", F.array(F.lit(_BLOCK)))).otherwise(F.col("held"))
+    baskets = checkpointed(held.select(baskets.alias("items")))
+    n = max(1, baskets.count())
+    model = FPGrowth(minSupport=(least - 0.5) / n, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(_BLOCK)))
     rules = rules.select(F.array_sort("antecedent").alias("items"))
     rules = checkpointed(rules.withColumn("size", F.size("items")))
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     placed = rules.select("items", "size", F.explode("items").alias("token")).join(single, "token")
-    return smallest(checkpointed(placed.groupBy("items", "size").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))))
+    placed = placed.groupBy("items", "size").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
+    return smallest(checkpointed(placed)), items
 
 
 def smallest(rules: DataFrame) -> DataFrame:
@@ -94,11 +123,13 @@ def smallest(rules: DataFrame) -> DataFrame:
     return rules
 
 
-def blocked_sets(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """``set``: the distinct token sets of ``pages`` that hold all tokens of some rule."""
-    sets = pages.select(tokens(F.col("url")).alias("set")).distinct().withColumn("of", F.split("set", " "))
-    held = sets.select("set", "of", F.explode("of").alias("key")).join(rules, "key")
-    return held.filter(F.size(F.array_intersect("items", "of")) == F.col("size")).select("set").distinct()
+def blocked_sets(pages: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``set``: the distinct token sets of ``pages`` that have all items of some rule."""
+    sets = pages.select(tokens(F.col("url")).alias("set")).distinct()
+    held = sets.select("set", F.explode(F.split("set", " ")).alias("token")).join(items, "token")
+    held = held.groupBy("set").agg(F.collect_set("item").alias("of"))
+    met = held.select("set", "of", F.explode("of").alias("key")).join(rules, "key")
+    return met.filter(F.size(F.array_intersect("items", "of")) == F.col("size")).select("set").distinct()
 
 
 def judge(
@@ -113,7 +144,7 @@ def judge(
     nothing is mined; an empty table gives an empty result; other columns are not read.
     """
     pages = pages.select("page_id", "url")
-    bad = checkpointed(blocked_sets(pages, mined(pages, labels, **options))).withColumn("hit", F.lit(True))
+    bad = checkpointed(blocked_sets(pages, *mined(pages, labels, **options))).withColumn("hit", F.lit(True))
     host, path = parts(F.col("url"))
     known = pages.select("page_id", host.alias("host"), path.alias("path"), tokens(F.col("url")).alias("set"))
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
@@ -122,8 +153,9 @@ def judge(
     return known.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
 
-def judge_sql(support: float = SUPPORT, least_pages: int = LEAST_PAGES, confidence: float = CONFIDENCE) -> str:
-    """The same for DuckDB, with combinations of up to three tokens counted one by one."""
+def judge_sql(support: float = SUPPORT, least_pages: int = LEAST_PAGES, confidence: float | None = None) -> str:
+    """The same for DuckDB: every combination of tokens that enough bad pages hold, grown token by token."""
+    asked = str(confidence) if confidence is not None else f"least(1.0, {LIFT} * (SELECT sum(bad) / count(*) FROM tr))"
     cases = [
         (f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}'))"
          f" AND starts_with(path, '/{t.partition('/')[2]}')", t, what)
@@ -132,7 +164,7 @@ def judge_sql(support: float = SUPPORT, least_pages: int = LEAST_PAGES, confiden
     rule = " ".join(f"WHEN {fits} THEN '{t}'" for fits, t, _ in cases)
     verdict = " ".join(f"WHEN {fits} THEN '{what}'" for fits, _, what in cases)
     return f"""
-    WITH cut AS (
+    WITH RECURSIVE cut AS (
       SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
       FROM pages),
     known AS (
@@ -148,15 +180,13 @@ def judge_sql(support: float = SUPPORT, least_pages: int = LEAST_PAGES, confiden
     least AS (SELECT greatest({least_pages}, ceil({support} * count(*))) AS k FROM tr),
     one AS (SELECT r, unnest(toks) AS t, bad FROM tr),
     often AS (SELECT t FROM one GROUP BY t HAVING sum(bad) >= (SELECT k FROM least)),
-    it AS (SELECT r, t, bad FROM one WHERE t IN (SELECT t FROM often)),
-    mined AS (
-      SELECT [t] AS items FROM it GROUP BY t HAVING sum(bad) >= (SELECT k FROM least) AND sum(bad) / count(*) >= {confidence}
-      UNION ALL
-      SELECT [a.t, b.t] FROM it a JOIN it b ON a.r = b.r AND a.t < b.t GROUP BY a.t, b.t
-      HAVING sum(a.bad) >= (SELECT k FROM least) AND sum(a.bad) / count(*) >= {confidence}
+    tok AS (SELECT t, list(r) FILTER (bad = 1) AS b, list(r) AS a FROM one WHERE t IN (SELECT t FROM often) GROUP BY t),
+    grown AS (
+      SELECT [t] AS items, t AS last, b, a FROM tok
       UNION ALL
-      SELECT [a.t, b.t, c.t] FROM it a JOIN it b ON a.r = b.r AND a.t < b.t JOIN it c ON a.r = c.r AND b.t < c.t
-      GROUP BY a.t, b.t, c.t HAVING sum(a.bad) >= (SELECT k FROM least) AND sum(a.bad) / count(*) >= {confidence}),
+      SELECT list_append(items, tok.t), tok.t, list_intersect(grown.b, tok.b), list_intersect(grown.a, tok.a) FROM grown, tok
+      WHERE tok.t > last AND len(list_intersect(grown.b, tok.b)) >= (SELECT k FROM least)),
+    mined AS (SELECT items FROM grown WHERE len(b) / len(a) >= {asked}),
     hit AS (SELECT DISTINCT toks FROM known WHERE EXISTS (SELECT 1 FROM mined WHERE list_has_all(toks, items)))
     SELECT page_id, host, path, CASE {rule} END AS rule,
       coalesce(CASE {verdict} END, CASE WHEN hit.toks IS NULL THEN 'allow' ELSE 'block' END) AS verdict

@@ -1,6 +1,7 @@
 import re
-from collections import Counter
-from itertools import combinations
+import time
+from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import duckdb
 import pandas as pd
@@ -49,13 +50,13 @@ def spam(n=400):
 def test_combinations_are_mined(spark):
     pages, labels = spam()
     table, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, LABELS)
-    rules = [set(r["items"]) for r in urls.mined(table, known).collect()]
+    rules = [set(r["items"]) for r in urls.mined(table, known, confidence=0.6)[0].collect()]
     assert {"cheap", "pills"} in rules and all({"cheap", "pills"} <= r for r in rules)
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known, confidence=0.6).collect()}
     assert got == {i: "block" if i % 4 == 0 else "allow" for i, _ in pages}
 
 
-def minimal_rules(pages, labels):
+def minimal_rules(pages, labels, confidence=0.6):
     """All combinations of tokens of labelled pages by counting each one."""
     bad = {i: q == 0 or t == 1 for i, q, t in labels}
     sets = [(frozenset(re.findall("[a-z#]+", re.sub("[0-9]+", "#", u))), bad[i]) for i, u in pages if i in bad]
@@ -66,7 +67,7 @@ def minimal_rules(pages, labels):
             for c in combinations(sorted(tokens), size):
                 held[c] += n
                 hits[c] += n * b
-    rules = [frozenset(c) for c, n in held.items() if hits[c] >= least and hits[c] / n >= urls.CONFIDENCE]
+    rules = [frozenset(c) for c, n in held.items() if hits[c] >= least and hits[c] / n >= confidence]
     return {r for r in rules if not any(x < r for x in rules)}
 
 
@@ -82,12 +83,63 @@ def test_combinations_of_more_than_three_tokens(spark):
     rules = minimal_rules(pages, labels)
     assert frozenset(("ash", "birch", "cedar", "elm")) in rules and frozenset(("moon", "wolf")) in rules
     table, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, LABELS)
-    assert {frozenset(r["items"]) for r in urls.mined(table, known).collect()} == rules
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known).collect()}
+    mined, items = urls.mined(table, known, confidence=0.6)
+    assert over_tokens(mined, items) == rules
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known, confidence=0.6).collect()}
     want = {i: any(r <= set(re.findall("[a-z#]+", u)) for r in rules) for i, u in pages}
     assert got == {i: "block" if b else "allow" for i, b in want.items()}
 
 
+def over_tokens(mined, items):
+    """Rules over items as rules over tokens: one token of each item, in every way."""
+    tokens = defaultdict(list)
+    for r in items.collect():
+        tokens[r["item"]].append(r["token"])
+    return {frozenset(way) for r in mined.collect() for way in product(*[tokens[i] for i in r["items"]])}
+
+
+def test_joined_tokens_lose_no_rule(spark):
+    """Tokens that always come together are mined as one, and rules over single tokens stay what they are."""
+    pages, labels = [], []
+    for i in range(300):
+        words = [["ant", "bee"], ["cat", "dog"], ["ant", "bee", "cat", "dog"], ["fox"]][i % 4] + ["yak"] * (i % 3 == 0)
+        pages.append((i, "https://x.org/" + "-".join(words)))
+        labels.append((i, int(i % 4 != 2 or i % 20 == 2), 0))
+    pages += [(1000, "https://y.net/cat-bee"), (1001, "https://y.net/cat-owl")]
+    table, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, LABELS)
+    mined, items = urls.mined(table, known, confidence=0.6)
+    assert len({r["item"] for r in items.collect() if r["token"] in ("ant", "bee")}) == 1
+    want = minimal_rules(pages, labels)
+    assert frozenset(("bee", "cat")) in want and over_tokens(mined, items) == want
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known, rules=(), confidence=0.6).collect()}
+    assert got == {i: "block" if any(r <= set(re.findall("[a-z#]+", u)) for r in want) else "allow" for i, u in pages}
+
+
+def test_one_long_address_on_many_pages(spark):
+    """60 tokens on 20 labelled pages are one item, not 2 to the power of 60 combinations."""
+    pages, labels = spam(80)
+    long = "https://track.example.org/" + "-".join(f"{a}{b}" for a in "qrstuv" for b in "abcdefghij")
+    pages += [(500 + i, long) for i in range(20)] + [(600, "https://other.org/qa-zz")]
+    labels += [(500 + i, 0, 1) for i in range(20)]
+    table, known = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, LABELS)
+    begin = time.monotonic()
+    mined, items = urls.mined(table, known, confidence=0.6)
+    rules = [r["items"] for r in mined.collect()]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, known, confidence=0.6).collect()}
+    assert time.monotonic() - begin < 60
+    assert len({r["item"] for r in items.collect() if len(r["token"]) == 2 and r["token"] != "en"}) == 1
+    assert ["qa"] in rules and got[500] == got[600] == "block" and got[1] == "allow"
+
+
+def test_rules_are_mined_on_the_given_table(spark):
+    folder = "/root/testdata/sf0.01"
+    pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
+    mined, items = urls.mined(pages.select("page_id", "url"), labels)
+    assert mined.count() > 0
+    plain = urls.judge(pages, labels.limit(0)).filter("verdict = 'block'").count()
+    assert urls.judge(pages, labels).filter("verdict = 'block'").count() > plain
+
+
 @pytest.mark.parametrize("least", [12, 10**6])
 def test_sql_says_the_same(spark, least):
     pages, labels = spam()

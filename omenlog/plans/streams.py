@@ -9,58 +9,61 @@ from omenlog.operators import surprise
 from omenlog.plans.inputs import EV, LN, THR, events, normal_p99
 from omenlog.plans.registry import query
 from omenlog.plans.surprise import ADAPTIVE, LINE_SQL, labelled_lines, model_sql
-from omenlog.schema import scored, split_lines
+from omenlog.schema import split_lines
+from omenlog.streaming import joins, windows
 from omenlog.streaming import stateful as st
-from omenlog.streaming import windows
-from omenlog.streaming.run import file_stream, run_available
+from omenlog.streaming.run import file_stream, run_available, staged
 
 HOUR = 3_600_000_000
 
 
-def event_stream(spark, folder):
-    raw = file_stream(spark, f"{folder}/events.parquet", f"{folder}/events.parquet")
-    return scored(
-        raw, line_id="event_id", ts="ts", score="value",
-        label=F.when(F.col("event_type") == "error", 1).otherwise(0), key="user_id",
-        dist=F.regexp_extract("props", r"(\d+)", 1).cast("double"),
-    )
+def arriving_events(spark, folder, reach=0):
+    """Reads the events as a stream of files, one of them late; and how late rows may be."""
+    path, late = staged(events(spark, folder).drop("kind"), reach=reach)
+    return lambda: file_stream(spark, path, path, files_per_batch=1), late
+
+
+def in_order(stream, late, *columns):
+    """The columns of all rows but the closing one, which has moved the watermark by then."""
+    rows = stream.withWatermark("ts", late).filter(windows.timely(F.col("line_id").isNotNull()))
+    return rows.select("key", "line_id", "ts", "us", *columns)
 
 
 @query(
     "stream_tumbling_alerts",
-    f"""WITH {EV}, {THR}, w AS (SELECT us - us % {HOUR} AS window_start, sum(CASE WHEN score > t THEN 1 ELSE 0 END) AS alerts, sum(label) AS failures FROM ev, thr GROUP BY 1)
-SELECT * FROM w WHERE window_start + {HOUR} <= (SELECT max(us) FROM ev) // 1000 * 1000 - 600000000""",
+    f"""WITH {EV}, {THR}
+SELECT us - us % {HOUR} AS window_start, sum(CASE WHEN score > t THEN 1 ELSE 0 END) AS alerts, sum(label) AS failures FROM ev, thr GROUP BY 1""",
     ints=("alerts", "failures"),
 )
 def stream_tumbling_alerts(spark, folder):
     t = normal_p99(events(spark, folder))
-    return run_available(windows.tumbling_alerts(event_stream(spark, folder), t, "1 hour", "10 minutes"), "tumbling")
+    stream, late = arriving_events(spark, folder, 3600)
+    return run_available(windows.tumbling_alerts(stream(), t, "1 hour", late), "tumbling")
 
 
 @query(
     "stream_sliding_alerts",
     f"""WITH {EV}, {THR}, a AS (SELECT * FROM ev, thr WHERE score > t), w AS (SELECT score, us - us % {HOUR // 2} - i * {HOUR // 2} AS window_start FROM a, (VALUES (0), (1)) AS v(i))
-SELECT window_start, count(*) AS alert_count, max(score) AS max_score FROM w GROUP BY 1 HAVING window_start + {HOUR} <= (SELECT max(us) FROM a) // 1000 * 1000 - 600000000""",
+SELECT window_start, count(*) AS alert_count, max(score) AS max_score FROM w GROUP BY 1""",
     digits={"max_score": 4},
 )
 def stream_sliding_alerts(spark, folder):
     t = normal_p99(events(spark, folder))
-    stream = windows.sliding_alerts(event_stream(spark, folder), t, "1 hour", "30 minutes", "10 minutes")
-    return run_available(stream, "sliding")
+    stream, late = arriving_events(spark, folder, 3600)
+    return run_available(windows.sliding_alerts(stream(), t, "1 hour", "30 minutes", late), "sliding")
 
 
 @query(
     "stream_alert_sessions",
     f"""WITH {EV}, {THR}, a AS (SELECT *, us - lag(us) OVER (PARTITION BY key ORDER BY us, line_id) AS gap FROM ev, thr WHERE score > t),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY us, line_id) AS s FROM a)
-SELECT key, min(us) AS session_start, count(*) AS alert_count, max(score) AS max_score FROM s GROUP BY key, s.s
-HAVING max(us) + {HOUR} <= (SELECT max(us) FROM a) // 1000 * 1000 - 600000000""",
+SELECT key, min(us) AS session_start, count(*) AS alert_count, max(score) AS max_score FROM s GROUP BY key, s.s""",
     digits={"max_score": 4},
 )
 def stream_alert_sessions(spark, folder):
     t = normal_p99(events(spark, folder))
-    stream = windows.alert_sessions(event_stream(spark, folder), t, "1 hour", "10 minutes", ["key"])
-    return run_available(stream, "sessions")
+    stream, late = arriving_events(spark, folder, 3600)
+    return run_available(windows.alert_sessions(stream(), t, "1 hour", late, ["key"]), "sessions")
 
 
 @query(
@@ -69,8 +72,9 @@ def stream_alert_sessions(spark, folder):
     digits={"delta_ms": 3},
 )
 def stream_delta_ms(spark, folder):
-    stream = event_stream(spark, folder).select("key", "line_id", "us")
-    return run_available(st.stateful(stream, st.DeltaMs(), "key long, line_id long, delta_ms double"), "delta")
+    stream, late = arriving_events(spark, folder)
+    out = st.stateful(in_order(stream(), late), st.DeltaMs(wait=True), "key long, line_id long, delta_ms double", time_mode="EventTime")
+    return run_available(out, "delta")
 
 
 @query(
@@ -81,8 +85,10 @@ SELECT key, line_id, 0.5 * (CASE WHEN h1 - l1 < 1e-8 THEN 0 ELSE (score - l1) /
     digits={"hybrid": 6},
 )
 def stream_hybrid(spark, folder):
-    stream = event_stream(spark, folder).select("key", "line_id", "us", "score", "dist")
-    return run_available(st.stateful(stream, st.Hybrid(), "key long, line_id long, hybrid double"), "hybrid")
+    stream, late = arriving_events(spark, folder)
+    rows = in_order(stream(), late, "score", "dist")
+    out = st.stateful(rows, st.Hybrid(wait=True), "key long, line_id long, hybrid double", time_mode="EventTime")
+    return run_available(out, "hybrid")
 
 
 @query(
@@ -93,18 +99,27 @@ SELECT key, line_id, CASE WHEN a IS NULL THEN 0 ELSE (us - a) / 1e6 END AS dlt F
 )
 def stream_lead_time(spark, folder):
     t = normal_p99(events(spark, folder))
-    stream = event_stream(spark, folder).select("key", "line_id", "us", "score", "label")
-    return run_available(st.stateful(stream, st.LeadTime(t, 86400), "key long, line_id long, dlt double"), "lead")
+    stream, late = arriving_events(spark, folder, 86400)
+    found = run_available(joins.failures_with_alerts(stream(), stream(), t, 86400, late), "lead")
+    return joins.lead_times(found).select("key", "line_id", "dlt")
 
 
-@query("stream_anchored_groups")
+@query(
+    "stream_anchored_groups",
+    f"""WITH RECURSIVE {EV}, {THR}, a AS (SELECT key, us, score FROM ev, thr WHERE score > t),
+g AS (SELECT key, min(us) AS start FROM a GROUP BY key
+  UNION ALL
+  SELECT key, nxt AS start FROM (SELECT g.key, (SELECT min(a.us) FROM a WHERE a.key = g.key AND a.us > g.start + 86400000000) AS nxt FROM g) WHERE nxt IS NOT NULL)
+SELECT g.key, g.start AS window_start, max(a.us) AS window_end, count(*) AS alert_count, max(a.score) AS max_score, avg(a.score) AS mean_score
+FROM g JOIN a ON a.key = g.key AND a.us BETWEEN g.start AND g.start + 86400000000 GROUP BY g.key, g.start""",
+    digits={"max_score": 4, "mean_score": 6},
+)
 def stream_anchored_groups(spark, folder):
     t = normal_p99(events(spark, folder))
-    stream = event_stream(spark, folder).select("key", "line_id", "ts", "us", "score").withWatermark("ts", "10 minutes")
+    stream, late = arriving_events(spark, folder, 86400)
     schema = "key long, window_start long, window_end long, alert_count long, max_score double, mean_score double"
-    return run_available(
-        st.stateful(stream, st.AnchoredGroups(t, 86400), schema, time_mode="EventTime"), "groups"
-    )
+    groups = st.AnchoredGroups(t, 86400, wait=True)
+    return run_available(st.stateful(in_order(stream(), late, "score"), groups, schema, time_mode="EventTime"), "groups")
 
 
 def session_knn_sql(capacity: int, k: int) -> str:

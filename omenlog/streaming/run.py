@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from omenlog.operators.order import quantile_list
+from omenlog.schema import SECOND
 from omenlog.session import new_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,6 +23,36 @@ def file_stream(spark: SparkSession, path: str, like: str, *, files_per_batch: i
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def staged(df: DataFrame, *, slices: int = 6, reach: int = 0) -> tuple[str, str]:
+    """Scored lines as files that arrive one after another: their folder, and how late rows may be.
+
+    The order of time is cut into ``slices`` files.  A tenth of the second one (by line number)
+    arrives in a file of its own after the third.  Last comes a copy of the last row without a line
+    number, whose time lies behind all others by the lateness and ``reach`` seconds, so that the
+    watermark passes every row and every window of that length is closed.  (Its other columns are
+    not null, as joins drop null keys before they see the time.)
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, "arriving")
+    cuts = quantile_list(df, F.col("us"), [i / slices for i in range(slices + 1)])
+    if not cuts:
+        df.coalesce(1).write.parquet(folder)
+        return folder, "1 second"
+    late = (F.pmod(F.xxhash64("line_id"), F.lit(10)) == 0)
+    part = F.lit(0)
+    for cut in cuts[1:-1]:
+        part = part + (F.col("us") >= F.lit(cut)).cast("int")
+    arrival = F.when((part == 1) & late, 2.5).otherwise(part.cast("double"))
+    for k in sorted({*range(slices), 2.5}):
+        df.filter(arrival == F.lit(float(k))).coalesce(1).write.mode("append").parquet(folder)
+    span = int(max(b - a for a, b in zip(cuts, cuts[2:] if slices > 1 else cuts[1:])) // SECOND) + 1
+    last = F.max("us") + F.lit((span + reach + 86_400) * SECOND)
+    own = {"us": last, "ts": F.timestamp_micros(last), "line_id": F.lit(None)}
+    closing = [own.get(f.name, F.max_by(f.name, "us")).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    df.agg(*closing).coalesce(1).write.mode("append").parquet(folder)
+    return folder, f"{span} seconds"
+
+
 def run_available(
     stream: DataFrame, name: str, *, mode: str = "append",
     each: Callable[[DataFrame], DataFrame] | None = None, one_batch: bool = False,

@@ -1,12 +1,16 @@
 """Order-dependent operators per key with managed state.
 
 The rows of a micro-batch are sorted by time before they meet the state of their key, so a
-stream that is ordered across batches gives the results of the batch operators.
+stream that is ordered across batches gives the results of the batch operators.  With ``wait``
+rows are kept in a list state until the watermark has passed them and are then released in order
+of time, so files may arrive out of order as far as the watermark allows; timers release what no
+later row of the key pushes out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,20 +27,64 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """One value of state per key, optionally forgotten after an idle time."""
+    """One value of state per key, optionally forgotten after an idle time.
+
+    ``fields`` names the columns that ``advance`` reads after ``us`` and ``line_id``.  Waiting rows
+    number at most those that arrive for a key while the watermark lags behind.
+    """
 
     state_schema = ""
+    fields: Mapping[str, str] = {}
 
-    def __init__(self, idle_ms: int | None = None):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int | None = None, wait: bool = False):
+        self.idle_ms, self.wait = idle_ms, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema, self.idle_ms)
+        if self.wait:
+            kinds = {"us": "long", "line_id": "long", **self.fields}
+            self.columns = list(kinds)
+            self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
     def read(self, default: tuple) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else default
 
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.wait:
+            yield from self.advance(key, _sorted(rows))
+            return
+        for pdf in rows:
+            columns = [[v.tolist() if isinstance(v, np.ndarray) else v for v in pdf[c].tolist()] for c in self.columns]
+            self.waiting.appendList(list(zip(*columns)))
+        yield from self._release(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.wait:
+            yield from self._release(key, timerValues)
+
+    def _release(self, key, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due = bisect_left(rows, passed, key=lambda r: r[0])
+        if due:
+            yield from self.advance(key, pd.DataFrame(rows[:due], columns=self.columns))
+            if due < len(rows):
+                self.waiting.put(rows[due:])
+            else:
+                self.waiting.clear()
+        yield from self.settle(key, passed)
+        if due < len(rows):
+            self.handle.registerTimer(rows[due][0] // 1000 + 1)
+
+    def advance(self, key, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Results of the next rows of the key, in order of time."""
+        raise NotImplementedError
+
+    def settle(self, key, passed: int) -> Iterator[pd.DataFrame]:
+        """What the state gives once all rows before ``passed`` are behind."""
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -46,8 +94,7 @@ class DeltaMs(_Keyed):
 
     state_schema = "us long"
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def advance(self, key, pdf):
         (last,) = self.read((None,))
         us = pdf["us"].to_numpy()
         before = np.concatenate([[us[0] if last is None else last], us[:-1]])
@@ -61,13 +108,13 @@ class Hybrid(_Keyed):
     """Blend of score and distance, each scaled by its running range."""
 
     state_schema = "a_lo double, a_hi double, b_lo double, b_hi double"
+    fields = {"score": "double", "dist": "double"}
 
-    def __init__(self, alpha: float = 0.5, idle_ms: int | None = None):
-        super().__init__(idle_ms)
+    def __init__(self, alpha: float = 0.5, idle_ms: int | None = None, wait: bool = False):
+        super().__init__(idle_ms, wait)
         self.alpha = alpha
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def advance(self, key, pdf):
         inf = float("inf")
         a_lo, a_hi, b_lo, b_hi = self.read((inf, -inf, inf, -inf))
         a, b = pdf["score"].to_numpy(), pdf["dist"].to_numpy()
@@ -97,13 +144,13 @@ class LeadTime(_Keyed):
     """
 
     state_schema = "alerts array<long>"
+    fields = {"score": "double", "label": "int"}
 
-    def __init__(self, threshold: float, seconds: int = 3600, idle_ms: int | None = None):
-        super().__init__(idle_ms)
+    def __init__(self, threshold: float, seconds: int = 3600, idle_ms: int | None = None, wait: bool = False):
+        super().__init__(idle_ms, wait)
         self.threshold, self.width = threshold, seconds * SECOND
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def advance(self, key, pdf):
         (kept,) = self.read(([],))
         us = pdf["us"].to_numpy()
         fresh = us[pdf["score"].to_numpy() > self.threshold]
@@ -124,13 +171,15 @@ class Memory(_Keyed):
     """kNN distance to the last ``capacity`` vectors of the key; null until there are k."""
 
     state_schema = "n long, dim int, vectors binary"
+    fields = {"vec": "array<double>"}
 
-    def __init__(self, capacity: int = 128, k: int = 10, aggregate: str = "mean", idle_ms: int | None = None):
-        super().__init__(idle_ms)
+    def __init__(
+        self, capacity: int = 128, k: int = 10, aggregate: str = "mean", idle_ms: int | None = None, wait: bool = False,
+    ):
+        super().__init__(idle_ms, wait)
         self.capacity, self.k, self.aggregate = capacity, k, aggregate
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def advance(self, key, pdf):
         fresh = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
         n, dim, raw = self.read((0, fresh.shape[1], b""))
         old = np.frombuffer(raw, dtype=np.float64).reshape(-1, dim) if raw else np.empty((0, dim))
@@ -145,12 +194,13 @@ class Memory(_Keyed):
 
 
 class AnchoredGroups(_Keyed):
-    """Anchored alert groups; an open group is closed by the next alert or by its timer."""
+    """Anchored alert groups; an open group is closed by the next alert or once the watermark has left it."""
 
     state_schema = "start long, stop long, n long, top double, total double"
+    fields = {"score": "double"}
 
-    def __init__(self, threshold: float, width_seconds: int):
-        super().__init__(None)
+    def __init__(self, threshold: float, width_seconds: int, wait: bool = False):
+        super().__init__(None, wait)
         self.threshold, self.width = threshold, width_seconds * SECOND
 
     def _row(self, key, group) -> pd.DataFrame:
@@ -160,8 +210,7 @@ class AnchoredGroups(_Keyed):
             "max_score": [top], "mean_score": [total / n],
         })
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _sorted(rows)
+    def advance(self, key, pdf):
         pdf = pdf[pdf["score"] > self.threshold]
         group = self.read(()) or None
         for us, score in zip(pdf["us"].tolist(), pdf["score"].tolist()):
@@ -177,21 +226,27 @@ class AnchoredGroups(_Keyed):
         if group is not None:
             self.state.update(group)
 
+    def settle(self, key, passed):
+        group = self.read(()) or None
+        if group is not None and self._due(group[0]) * 1000 <= passed:
+            self.state.clear()
+            yield self._row(key, group)
+
     def _due(self, start: int) -> int:
         return (start + self.width) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        group = self.read(()) or None
-        if group is not None and self._due(group[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-            yield self._row(key, group)
+        if self.wait:
+            yield from self._release(key, timerValues)
+        else:
+            yield from self.settle(key, expiredTimerInfo.getExpiryTimeInMs() * 1000)
 
 
 def stateful(
     stream: DataFrame, processor: StatefulProcessor, schema: str | StructType, *,
     keys: Sequence[str] = ("key",), time_mode: str = "None", mode: str = "append",
 ) -> DataFrame:
-    """Run a processor per key (``ProcessingTime`` when its state has an idle time)."""
+    """Run a processor per key (``ProcessingTime`` when its state has an idle time, ``EventTime`` when rows wait)."""
     return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode
     )

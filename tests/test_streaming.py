@@ -9,8 +9,8 @@ from omenlog.operators import alerts, context, leadtime, scores, temporal
 from omenlog.operators.order import Order
 from omenlog.schema import SECOND
 from omenlog.streaming import stateful as st
-from omenlog.streaming import windows
-from omenlog.streaming.run import file_stream, run_available
+from omenlog.streaming import joins, windows
+from omenlog.streaming.run import file_stream, run_available, staged
 
 START = 1_704_067_200 * SECOND
 
@@ -93,6 +93,50 @@ def test_anchored_groups(stream, batch):
     assert len(got) > len(want) / 2
 
 
+@pytest.fixture
+def arriving(spark, batch):
+    """The rows in four files and a late one, with the row that closes the stream; and how late rows may be."""
+    path, late = staged(batch, slices=4, reach=3600)
+    assert len(spark.read.parquet(path).inputFiles()) == 6
+    return (lambda: file_stream(spark, path, path, files_per_batch=1)), late
+
+
+def waiting(stream, late, processor, schema):
+    rows = stream.withWatermark("ts", late).filter(windows.timely(F.col("line_id").isNotNull()))
+    return run_available(st.stateful(rows, processor, schema, time_mode="EventTime"), "t")
+
+
+def test_rows_wait_for_late_ones(arriving, batch):
+    stream, late = arriving
+    out = waiting(stream(), late, st.DeltaMs(wait=True), "key long, line_id long, delta_ms double")
+    same(out, temporal.delta_ms(batch, keys=["key"], by=["us", "line_id"]), "delta_ms")
+    out = waiting(stream(), late, st.Memory(20, 4, wait=True), "key long, line_id long, distance double")
+    same(out, context.knn(batch, 20, 4, order=Order(("key",))), "distance")
+
+
+def test_all_groups_are_closed(arriving, batch):
+    stream, late = arriving
+    schema = "key long, window_start long, window_end long, alert_count long, max_score double, mean_score double"
+    out = waiting(stream(), late, st.AnchoredGroups(4.0, 900, wait=True), schema)
+    whole = alerts.group_summary(alerts.anchored_groups(batch.filter("score > 4.0"), 900, keys=["key"]), keys=["key"])
+    columns = ["key", "window_start", "window_end", "alert_count", "max_score"]
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
+def test_failures_meet_alerts_in_time(arriving, batch):
+    stream, late = arriving
+    found = run_available(joins.failures_with_alerts(stream(), stream(), 8.0, 1800, late), "t")
+    same(joins.lead_times(found), leadtime.lead_time(batch, 8.0, "within", keys=["key"], seconds=1800), "dlt")
+
+
+def test_all_windows_are_closed(arriving, batch):
+    stream, late = arriving
+    out = run_available(windows.tumbling_alerts(stream(), 5.0, "1 hour", late), "t")
+    whole = alerts.window_counts(batch, (F.col("score") > 5.0).cast("int"), "1 hour")
+    columns = ["window_start", "alerts", "failures"]
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
 def test_windows(stream, batch):
     out = run_available(windows.tumbling_alerts(stream, 5.0, "1 hour", "10 minutes"), "t").toPandas()
     whole = alerts.window_counts(batch, (F.col("score") > 5.0).cast("int"), "1 hour").toPandas()

@@ -15,35 +15,54 @@ from omenlog.session import checkpointed, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go.
+
+    Null and empty texts have the score of a text without evidence and stay; columns are those of
+    ``docs`` whatever their names; an empty table gives an empty one.
+    """
     ship(spark)
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that both views of the quality classifier together reject go."""
+    """Documents that both views of the quality classifier together reject go.
+
+    Null and empty texts are judged by their metadata; columns are those of ``docs``; an empty table
+    gives an empty one.
+    """
     ship(spark)
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    Null and empty texts are near-duplicates of each other; columns are those of ``docs``; an empty
+    table gives an empty one.
+    """
     ship(spark)
     return simhash.one_per_component(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: files and the rows in them follow the position."""
+    """All documents in the order of the mix: files and the rows in them follow the position.
+
+    A null source is a source; texts are not read.  The columns of ``docs`` travel in one structure,
+    so names that the mix uses itself (``mix_position``) and names with dots stay what they are; an
+    empty table gives an empty one.
+    """
     ship(spark)
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    mixed = mixing.mix(docs.select(whole, F.col("source")))
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's source, place in the mix, tokens and the digest of its decoding.
 
     The mixing stage wrote its files in order, so (mix_file, mix_row) sorts as the mix; documents
-    that come from no file have no place.
+    that come from no file have no place.  Null text is the empty text, without tokens; columns of
+    ``docs`` other than doc_id, source and text are not read; an empty table gives an empty one.
     """
     ship(spark)
     try:

@@ -96,3 +96,15 @@ def test_odd_documents(spark):
         assert empty.count() == 0
         if "text" not in empty.columns:
             break
+
+
+def test_columns_with_odd_names(spark):
+    rows = [(k, None if k == 3 else f"text {k}", "x" if k % 3 else None, k, -k, "f", 7) for k in range(40)]
+    names = ["doc_id", "text", "source", "a.b", "mix_position", "mix_file", "ids"]
+    docs = spark.createDataFrame(rows, names)
+    got = corpus_pipeline.mix_sources(spark, docs, FOLDER)
+    assert got.columns == names and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    encoded = corpus_pipeline.encode(spark, docs, FOLDER).collect()
+    assert {r["doc_id"]: r["n_tokens"] > 0 for r in encoded} == {k: k != 3 for k in range(40)}
+    empty = corpus_pipeline.mix_sources(spark, docs.limit(0), FOLDER)
+    assert empty.columns == names and empty.count() == 0

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from omenlog.operators.moments import window_moments
 from omenlog.operators.order import Order, blocks, ordinal
 from omenlog.session import checkpointed
 
@@ -77,10 +78,25 @@ def _starts(pos: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(pos)) - size, size
 
 
-def _means(x: np.ndarray, lo: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    sums = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
-    lo_ = np.maximum(lo[rows], 0)
-    return (sums[rows] - sums[lo_]) / np.maximum(size[rows], 1)[:, None]
+def statistics_of(x: np.ndarray, pos: np.ndarray, rows: np.ndarray, capacity: int) -> pd.DataFrame:
+    """``n, mean, total_variance`` of the memory of each of ``rows``."""
+    n, mean, scatter = window_moments(x, pos, capacity, rows)
+    return pd.DataFrame({
+        "n": n, "mean": [m if k else None for m, k in zip(mean.tolist(), n)],
+        "total_variance": np.where(n > 1, scatter / np.maximum(n - 1, 1), np.nan),
+    })
+
+
+def cosine_of(
+    x: np.ndarray, pos: np.ndarray, rows: np.ndarray, capacity: int, min_samples: int, missing: float = np.nan,
+) -> np.ndarray:
+    """Cosine distance of each of ``rows`` to the mean of its memory."""
+    size, mean, _ = window_moments(x, pos, capacity, rows)
+    mine = x[rows]
+    norms = np.linalg.norm(mine, axis=1) * np.linalg.norm(mean, axis=1)
+    dots = np.einsum("ij,ij->i", mine, mean)
+    far = np.where(norms == 0, 1.0, 1.0 - dots / np.where(norms == 0, 1.0, norms))
+    return np.where(size < min_samples, missing, far)
 
 
 def memory_statistics(
@@ -90,17 +106,7 @@ def memory_statistics(
     order = order or Order()
 
     def fn(pdf, pos, own):
-        x = _matrix(pdf)
-        lo, size = _starts(pos, capacity)
-        mean = _means(x, lo, size, own)
-        squares = np.concatenate([[0.0], np.cumsum(np.einsum("ij,ij->i", x, x))])
-        total = squares[own] - squares[np.maximum(lo[own], 0)]
-        n = size[own]
-        spread = (total - n * np.einsum("ij,ij->i", mean, mean)) / np.maximum(n - 1, 1)
-        return pd.DataFrame({
-            "n": n, "mean": [m if k else None for m, k in zip(mean.tolist(), n)],
-            "total_variance": np.where(n > 1, np.maximum(spread, 0.0), np.nan),
-        })
+        return statistics_of(_matrix(pdf), pos, own, capacity)
 
     return _scan(df, fn, "n bigint, mean array<double>, total_variance double",
                  halo=capacity, order=order, block_rows=block_rows)
@@ -115,14 +121,7 @@ def cosine(
     missing = np.nan if not_ready is None else not_ready
 
     def fn(pdf, pos, own):
-        x = _matrix(pdf)
-        lo, size = _starts(pos, capacity)
-        mean = _means(x, lo, size, own)
-        mine = x[own]
-        norms = np.linalg.norm(mine, axis=1) * np.linalg.norm(mean, axis=1)
-        dots = np.einsum("ij,ij->i", mine, mean)
-        far = np.where(norms == 0, 1.0, 1.0 - dots / np.where(norms == 0, 1.0, norms))
-        return pd.DataFrame({"distance": np.where(size[own] < min_samples, missing, far)})
+        return pd.DataFrame({"distance": cosine_of(_matrix(pdf), pos, own, capacity, min_samples, missing)})
 
     return _nullable(_scan(df, fn, "distance double", halo=capacity, order=order, block_rows=block_rows))
 
@@ -246,6 +245,32 @@ def shrunk_inverse(rows: np.ndarray, manual: float | None = None) -> np.ndarray:
         return np.linalg.pinv(mixed)
 
 
+def mahalanobis_of(
+    x: np.ndarray, pos: np.ndarray, rows: np.ndarray, capacity: int, min_samples: int, refresh: int,
+    manual_shrinkage: float | None = None, missing: float = np.nan, known: tuple[int, np.ndarray] | None = None,
+) -> tuple[np.ndarray, tuple[int, np.ndarray] | None]:
+    """Mahalanobis distance of each of ``rows``, and the last inverse with the position it was made at.
+
+    ``known`` is such a pair from earlier rows of the only session in ``x``.
+    """
+    size, mean, _ = window_moments(x, pos, capacity, rows)
+    out, last = np.full(len(rows), missing), known
+    renewed = np.maximum(min_samples, refresh * (pos[rows] // refresh))
+    base = rows - pos[rows]  # index where the key starts (may lie before the block)
+    ready = np.flatnonzero(size >= min_samples)
+    marks = pd.Series(list(zip(base[ready], renewed[ready])), dtype=object)
+    for (start, at), same in marks.groupby(marks, sort=False).indices.items():
+        mine = ready[same]
+        if known is not None and known[0] == at:
+            inverse = known[1]
+        else:
+            inverse = shrunk_inverse(x[start + max(0, at - capacity):start + at], manual_shrinkage)
+        last = int(at), inverse
+        gap = x[rows[mine]] - mean[mine]
+        out[mine] = np.sqrt(np.maximum(0.0, np.einsum("ij,jk,ik->i", gap, inverse, gap)))
+    return out, last
+
+
 def mahalanobis(
     df: DataFrame, capacity: int = 128, min_samples: int = 10, refresh: int = 128, *,
     manual_shrinkage: float | None = None, order: Order | None = None,
@@ -261,20 +286,8 @@ def mahalanobis(
     missing = np.nan if not_ready is None else not_ready
 
     def fn(pdf, pos, own):
-        x = _matrix(pdf)
-        lo, size = _starts(pos, capacity)
-        mean = _means(x, lo, size, own)
-        out = np.full(len(own), missing)
-        renewed = np.maximum(min_samples, refresh * (pos[own] // refresh))
-        base = own - pos[own]  # index where the key starts (may lie before the block)
-        ready = size[own] >= min_samples
-        marks = pd.Series(list(zip(base, renewed)))[ready]
-        for (start, at), rows in marks.groupby(marks).groups.items():
-            rows = rows.to_numpy()
-            inverse = shrunk_inverse(x[start + max(0, at - capacity):start + at], manual_shrinkage)
-            gap = x[own[rows]] - mean[rows]
-            out[rows] = np.sqrt(np.maximum(0.0, np.einsum("ij,jk,ik->i", gap, inverse, gap)))
-        return pd.DataFrame({"distance": out})
+        far, _ = mahalanobis_of(_matrix(pdf), pos, own, capacity, min_samples, refresh, manual_shrinkage, missing)
+        return pd.DataFrame({"distance": far})
 
     return _nullable(_scan(df, fn, "distance double", halo=capacity + refresh, order=order, block_rows=block_rows))
 

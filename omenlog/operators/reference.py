@@ -13,49 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import distance
-
-
-
-def moments(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Means and second moments: rows ``i, j, s, n`` (``j = -1`` for the plain sums).
-
-    Every task adds up its rows first; what is shuffled is one d x d matrix per task.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sums, outer = 0, None, None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            if sums is None:
-                sums, outer = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
-            n += len(x)
-            sums += x.sum(axis=0)
-            outer += x.T @ x
-        if n:
-            d = len(sums)
-            i, j = np.indices((d, d))
-            yield pd.DataFrame({
-                "i": np.concatenate([np.arange(d), i.ravel()]),
-                "j": np.concatenate([np.full(d, -1), j.ravel()]),
-                "s": np.concatenate([sums, outer.ravel()]), "n": n,
-            })
-
-    parts = df.select(vec).mapInPandas(partial, "i int, j int, s double, n long")
-    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+from omenlog.operators import moments
 
 
 def covariance(df: DataFrame, vec: str = "vec") -> DataFrame:
     """Sample covariance (n - 1) in long form ``i, j, cov``."""
-    m = moments(df, vec)
-    means = m.filter("j = -1").select(F.col("i").alias("k"), (F.col("s") / F.col("n")).alias("mean"))
-    a, b = means.select(F.col("k").alias("i"), F.col("mean").alias("mi")), means.select(
-        F.col("k").alias("j"), F.col("mean").alias("mj")
-    )
-    return m.filter("j >= 0").join(F.broadcast(a), "i").join(F.broadcast(b), "j").select(
-        "i", "j", ((F.col("s") - F.col("n") * F.col("mi") * F.col("mj")) / (F.col("n") - 1)).alias("cov")
-    )
+    return moments.long_form(moments.co_moments(df, vec))
 
 
 def mean_vector(df: DataFrame, vec: str = "vec", by: tuple[str, ...] = ()) -> DataFrame:
@@ -67,7 +30,8 @@ def mean_vector(df: DataFrame, vec: str = "vec", by: tuple[str, ...] = ()) -> Da
 
 
 def separation(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """Distance of the class centroids against the spread inside the classes, one row."""
+    """Distance of the centroids of labels 0 and 1 against the spread inside them, one row."""
+    df = df.filter("label IN (0, 1)")  # so there are two centroids at most
     centres = mean_vector(df, vec, ("label",))
     near = df.join(F.broadcast(centres), "label").groupBy("label").agg(
         F.avg(distance(F.col(vec), F.col("mean"))).alias("spread"), F.first("mean").alias("mean")
@@ -123,19 +87,12 @@ def fit(
     The data is read once for the moments (twice for ledoit_wolf, which needs the fourth
     moment of the norm); only d x d numbers come to the driver.
     """
-    cells = moments(df, vec).collect()
-    n = cells[0]["n"] if cells else 0
+    found = moments.whole(moments.co_moments(df, vec))
+    n = found[0] if found else 0
     if n < 10:
         raise ValueError(f"at least 10 rows are needed, got {n}")
-    d = 1 + max(r["i"] for r in cells)
-    sums, outer = np.zeros(d), np.zeros((d, d))
-    for r in cells:
-        if r["j"] < 0:
-            sums[r["i"]] = r["s"]
-        else:
-            outer[r["i"], r["j"]] = r["s"]
-    mean = sums / n
-    cov = outer / n - np.outer(mean, mean)  # population covariance
+    _, mean, scatter = found
+    d, cov = len(mean), scatter / n  # population covariance
     projection = None
     if components is not None and components < d:
         values, vectors = np.linalg.eigh(cov)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from omenlog.functions import scoring
 from omenlog.functions.normalise import normalise
 from omenlog.operators import surprise
-from omenlog.plans.inputs import EV, LN, THR, events, normal_p99
+from omenlog.plans.inputs import EV, LN, THR, events, normal_p99, vectors
 from omenlog.plans.registry import query
 from omenlog.plans.surprise import ADAPTIVE, LINE_SQL, labelled_lines, model_sql
+from omenlog.plans.vectors import XS, cosine_sql
 from omenlog.schema import split_lines
 from omenlog.streaming import joins, windows
 from omenlog.streaming import stateful as st
@@ -155,6 +157,44 @@ def stream_memory_with_idle_reset(spark, folder):
     return out.withColumn("distance", F.coalesce(F.nanvl("distance", F.lit(None)), F.lit(-1.0)))  # -1: not ready
 
 
+def session_memory(spark, folder, metric, capacity):
+    """``SessionMemory`` per label over vectors that arrive in several files, one of them late; a vector's number is its second."""
+    us = F.lit(1_704_067_200_000_000) + F.col("line_id") * 1_000_000
+    timed = vectors(spark, folder).select("line_id", F.col("label").cast("int").alias("key"), "vec").withColumn("us", us)
+    path, late = staged(timed.withColumn("ts", F.timestamp_micros("us")))
+    rows = in_order(file_stream(spark, path, path, files_per_batch=1), late, F.col("vec").cast("array<double>").alias("vec"))
+    processor = st.SessionMemory(metric, capacity, wait=True)
+    schema = f"key int, line_id long, {st.SESSION_MEMORY[metric]}"
+    return run_available(st.stateful(rows, processor, schema, time_mode="EventTime"), f"memory-{metric}")
+
+
+@query("stream_memory_cosine", cosine_sql("label,", "label AS key,", "label,"), digits={"distance": 6}, ints=("key",))
+def stream_memory_cosine(spark, folder):
+    out = session_memory(spark, folder, "cosine", 128)
+    return out.withColumn("distance", F.coalesce(F.nanvl("distance", F.lit(None)), F.lit(-1.0)))  # -1: not ready
+
+
+@query("stream_memory_mahalanobis")
+def stream_memory_mahalanobis(spark, folder):
+    out = session_memory(spark, folder, "mahalanobis", 32)
+    return out.withColumn("distance", F.nanvl("distance", F.lit(None)))
+
+
+@query(
+    "stream_memory_statistics",
+    f"""WITH {XS}, w AS (SELECT line_id, label, d, avg(v) OVER f AS m, count(*) OVER f AS n, var_samp(v) OVER f AS s FROM x
+  WINDOW f AS (PARTITION BY label, d ORDER BY line_id ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING))
+SELECT label AS key, line_id, max(n) AS n, coalesce(sum(m), 0) AS sum_mean, coalesce(sum(s), 0) AS total_variance FROM w GROUP BY label, line_id""",
+    digits={"sum_mean": 6, "total_variance": 6}, ints=("key", "n"),
+)
+def stream_memory_statistics(spark, folder):
+    zero = F.lit(0.0)
+    return session_memory(spark, folder, "statistics", 64).select(
+        "key", "line_id", "n", F.coalesce(scoring.array_sum(F.col("mean")), zero).alias("sum_mean"),
+        F.coalesce(F.nanvl("total_variance", F.lit(None)), zero).alias("total_variance"),
+    )
+
+
 def document_stream(spark, folder):
     raw = file_stream(spark, f"{folder}/documents.parquet", f"{folder}/documents.parquet")
     lines = split_lines(raw, "doc_id", "text", "source")

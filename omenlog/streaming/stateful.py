@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from omenlog.operators.context import _nearest, _starts
+from omenlog.operators.context import _nearest, _starts, cosine_of, mahalanobis_of, statistics_of
 from omenlog.schema import SECOND
 
 
@@ -193,6 +193,69 @@ class Memory(_Keyed):
         yield pd.DataFrame({"key": key[0], "line_id": pdf["line_id"], "distance": found})
 
 
+class SessionMemory(_Keyed):
+    """Cosine or Mahalanobis distance to the last ``capacity`` vectors of the key, or their statistics.
+
+    The state holds those vectors and, for ``mahalanobis``, the last inverse covariance, which is
+    renewed every ``refresh`` rows as in the batch operator.  Rows are worked on in stretches of
+    bounded length, and the moments of a row's memory come from sums over the ends of two stretches,
+    so no sum is ever updated by taking rows out of it.  ``statistics`` gives ``n, mean,
+    total_variance``, the other two ``distance`` (NaN until there are ``min_samples`` vectors).
+    Rows without a vector are left out.
+    """
+
+    state_schema = "n long, dim int, vectors binary, made_at long, inverse binary"
+    fields = {"vec": "array<double>"}
+    stretch = 4096
+
+    def __init__(
+        self, metric: str = "mahalanobis", capacity: int = 128, min_samples: int = 10, refresh: int = 128, *,
+        manual_shrinkage: float | None = None, idle_ms: int | None = None, wait: bool = False,
+    ):
+        super().__init__(idle_ms, wait)
+        if metric not in SESSION_MEMORY:
+            raise ValueError(f"unknown metric: {metric} (one of {sorted(SESSION_MEMORY)})")
+        self.metric, self.capacity, self.min_samples = metric, capacity, min_samples
+        self.refresh, self.manual_shrinkage = refresh, manual_shrinkage
+
+    def advance(self, key, pdf):
+        pdf = pdf[pdf["vec"].notna()]
+        if not len(pdf):
+            return
+        n, dim, raw, made_at, inverse = self.read((0, len(pdf["vec"].iloc[0]), b"", -1, b""))
+        x = np.frombuffer(raw, dtype=np.float64).reshape(-1, dim)
+        known = (made_at, np.frombuffer(inverse, dtype=np.float64).reshape(dim, dim)) if inverse else None
+        for at in range(0, len(pdf), self.stretch):
+            rows = pdf.iloc[at:at + self.stretch]
+            old = len(x)
+            x = np.vstack([x, np.stack(rows["vec"].to_numpy()).astype(np.float64)])
+            pos, own = np.arange(n - old, n - old + len(x)), np.arange(old, len(x))
+            out, known = self._found(x, pos, own, known)
+            yield pd.concat([
+                pd.DataFrame({"key": key[0], "line_id": rows["line_id"].to_numpy()}), out.reset_index(drop=True),
+            ], axis=1)
+            n += len(rows)
+            x = x[-self.capacity:]
+        made_at, inverse = (known[0], known[1].tobytes()) if known else (-1, b"")
+        self.state.update((int(n), int(dim), x.tobytes(), int(made_at), inverse))
+
+    def _found(self, x, pos, own, known):
+        if self.metric == "statistics":
+            return statistics_of(x, pos, own, self.capacity), None
+        if self.metric == "cosine":
+            return pd.DataFrame({"distance": cosine_of(x, pos, own, self.capacity, self.min_samples)}), None
+        far, known = mahalanobis_of(
+            x, pos, own, self.capacity, self.min_samples, self.refresh, self.manual_shrinkage, known=known)
+        return pd.DataFrame({"distance": far}), known
+
+
+#: What ``SessionMemory`` gives for each row, by metric.
+SESSION_MEMORY = {
+    "cosine": "distance double", "mahalanobis": "distance double",
+    "statistics": "n long, mean array<double>, total_variance double",
+}
+
+
 class AnchoredGroups(_Keyed):
     """Anchored alert groups; an open group is closed by the next alert or once the watermark has left it."""
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from omenlog.operators import context, evt, reference
+from omenlog.operators import context, evt, moments, reference
 from omenlog.operators.order import Order
 
 CAPACITY, LEAST, REFRESH = 12, 5, 8
@@ -205,3 +205,63 @@ def test_tail_fit_falls_back_with_few_exceedances(spark):
     row = evt.fit(df).first()
     assert (row.xi, row.sigma) == (0.0, 1.0)
     assert row.threshold == pytest.approx(np.quantile(np.arange(20), 0.999))
+
+
+def far_away(n=400, d=3, at=1e6, seed=5):
+    """Vectors around a mean far from zero, in doubles as they are."""
+    x = np.random.default_rng(seed).normal(size=(n, d)) * [1.0, 0.99, 2.0] + at
+    return x, pd.DataFrame({"line_id": np.arange(n), "us": np.arange(n), "key": np.arange(n) % 2, "vec": x.tolist()})
+
+
+def exact_covariance(x):
+    y = (x - x[0]).astype(np.longdouble)
+    y = y - y.mean(axis=0)
+    return (y.T @ y / (len(x) - 1)).astype(float)
+
+
+@pytest.mark.parametrize("cell", [1 << 19, 24])
+def test_covariance_far_from_zero(spark, monkeypatch, cell):
+    """Several tasks, and cells of the whole matrix or of one row of it."""
+    monkeypatch.setattr(moments, "CELL_BYTES", cell)
+    x, rows = far_away()
+    df = spark.createDataFrame(rows).repartition(7).union(spark.createDataFrame([(-1, -1, 0, None)], "line_id long, us long, key long, vec array<double>"))
+    got = reference.covariance(df).toPandas().pivot(index="i", columns="j", values="cov").to_numpy()
+    np.testing.assert_allclose(got, exact_covariance(x), rtol=1e-9, atol=1e-9)
+    n, mean, _ = moments.whole(moments.co_moments(df))
+    assert n == len(x)
+    np.testing.assert_allclose(mean, x.mean(axis=0), rtol=1e-12)
+
+
+def test_covariance_of_no_row_and_of_one(spark):
+    schema = "vec array<double>"
+    assert reference.covariance(spark.createDataFrame([], schema)).count() == 0
+    one = reference.covariance(spark.createDataFrame([([1.0, 2.0],)], schema)).collect()
+    assert sorted((r.i, r.j, r.cov) for r in one) == [(i, j, None) for i in (0, 1) for j in (0, 1)]
+
+
+@pytest.mark.parametrize("keys", [(), ("key",)])
+def test_memory_statistics_far_from_zero(spark, keys):
+    x, rows = far_away()
+    df = spark.createDataFrame(rows)
+    out = context.memory_statistics(df, CAPACITY, order=Order(keys, ranges=5), block_rows=64).toPandas().set_index("line_id")
+    for g in sessions(rows, keys):
+        lines = g["line_id"].to_numpy()
+        for i, line in enumerate(lines):
+            memory = x[lines[max(0, i - CAPACITY):i]]
+            if len(memory) > 1:
+                np.testing.assert_allclose(out.loc[line, "mean"], memory.mean(axis=0), rtol=1e-12)
+                assert out.loc[line, "total_variance"] == pytest.approx(np.trace(exact_covariance(memory)), rel=1e-9)
+
+
+def test_window_moments_after_a_jump():
+    """Rows of another size that have left the window leave nothing behind."""
+    x = np.concatenate([np.full((20, 2), 1e9), np.random.default_rng(1).normal(size=(60, 2))])
+    rows = np.arange(len(x))
+    size, mean, scatter = moments.window_moments(x, rows, 7, rows)
+    for i in rows:
+        memory = x[max(0, i - 7):i]
+        assert size[i] == len(memory)
+        if len(memory):
+            np.testing.assert_allclose(mean[i], memory.mean(axis=0), rtol=1e-12)
+            want = ((memory - memory.mean(axis=0)) ** 2).sum()
+            assert scatter[i] == pytest.approx(want, rel=1e-9, abs=1e-9)

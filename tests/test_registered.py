@@ -86,6 +86,7 @@ def test_memory_knn_reduced(spark):
 
 @pytest.mark.parametrize("name, by, capacity", [
     ("memory_mahalanobis", None, 128), ("memory_mahalanobis_by_session", "label", 32),
+    ("stream_memory_mahalanobis", "label", 32),
 ])
 def test_memory_mahalanobis(spark, name, by, capacity):
     want = {}
@@ -102,17 +103,37 @@ def test_memory_mahalanobis(spark, name, by, capacity):
     close(run(spark, name), want, 0.0)
 
 
-@pytest.mark.parametrize("name, components", [
-    ("reference_mahalanobis_oas", 32), ("reference_mahalanobis_ledoit_wolf", None), ("memory_slot_mahalanobis", None),
+@pytest.mark.parametrize("name, components, estimator", [
+    ("reference_mahalanobis_oas", 32, "oas"), ("reference_mahalanobis_ledoit_wolf", None, "ledoit_wolf"),
+    ("memory_slot_mahalanobis", None, "ridge"),
 ])
-def test_reference_distances_rank_like_their_definition(spark, name, components):
-    """Squared distances of the rows fitted on average to their number of (kept) dimensions, up to shrinkage."""
-    got = run(spark, name)
-    pdf = read("embeddings")
-    assert sorted(got["line_id"]) == sorted(pdf["vec_id"]) and (got["distance"] >= 0).all()
-    fitted = got[got["label"] == 1]["distance"] ** 2
-    dims = components or len(pdf["embedding"].iloc[0])
-    assert 0.3 * dims < fitted.mean() < 1.7 * dims
+def test_reference_distances(spark, name, components, estimator):
+    pdf = read("embeddings").sort_values("vec_id")
+    x = np.stack(pdf["embedding"]).astype(float)
+    own = x[(pdf["label"] != 0).to_numpy()]
+    n, mean = len(own), own.mean(axis=0)
+    gap, far = own - mean, x - mean
+    if components:
+        axes = np.linalg.svd(gap, full_matrices=False)[2][:components].T
+        gap, far = gap @ axes, far @ axes
+    s, p = gap.T @ gap / n, gap.shape[1]
+    level = np.trace(s) / p
+    if estimator == "ridge":
+        cov = s + 1e-4 * np.eye(p)
+    else:
+        if estimator == "oas":
+            square = (s**2).mean()
+            weight = min((square + level**2) / ((n + 1) * (square - level**2 / p)), 1.0)
+        else:
+            delta = ((s - level * np.eye(p)) ** 2).sum()
+            beta = sum(((np.outer(r, r) - s) ** 2).sum() for r in gap) / n**2
+            weight = min(beta, delta) / delta
+        cov = (1 - weight) * s + weight * level * np.eye(p)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", far, np.linalg.inv(cov), far))
+    got = run(spark, name).sort_values("line_id")
+    assert got["line_id"].tolist() == pdf["vec_id"].tolist()
+    assert got["label"].tolist() == (pdf["label"] != 0).astype(int).tolist()
+    np.testing.assert_allclose(got["distance"], want, rtol=1e-8)
 
 
 def test_evt_threshold_leaves_the_risk_above_it(spark):

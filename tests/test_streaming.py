@@ -114,6 +114,42 @@ def test_rows_wait_for_late_ones(arriving, batch):
     same(out, context.knn(batch, 20, 4, order=Order(("key",))), "distance")
 
 
+@pytest.mark.parametrize("metric", ["cosine", "mahalanobis", "statistics"])
+def test_session_memory(arriving, batch, monkeypatch, metric):
+    """Several calls per key, several stretches per call, an inverse kept from call to call."""
+    stream, late = arriving
+    monkeypatch.setattr(st.SessionMemory, "stretch", 7)
+    order, schema = Order(("key",)), f"key long, line_id long, {st.SESSION_MEMORY[metric]}"
+    out = waiting(stream(), late, st.SessionMemory(metric, 9, 4, 16, wait=True), schema)
+    if metric == "cosine":
+        same(out, context.cosine(batch, 9, 4, order=order), "distance")
+    elif metric == "mahalanobis":
+        same(out, context.mahalanobis(batch, 9, 4, 16, order=order), "distance")
+    else:
+        whole = context.memory_statistics(batch, 9, order=order)
+        same(out, whole, "n")
+        same(out, whole, "total_variance")
+        same(*(t.withColumn("mean", F.coalesce(F.get("mean", F.lit(2)), F.lit(-9.0))) for t in (out, whole)), "mean")
+
+
+def test_session_memory_leaves_out_rows_without_a_vector():
+    with pytest.raises(ValueError):
+        st.SessionMemory("euclid")
+
+    class Kept:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, value: setattr(self, "value", value)
+
+    processor = st.SessionMemory("cosine", 3, 1)
+    processor.state = Kept()
+    rows = pd.DataFrame({"line_id": [1, 2, 3], "vec": [[1.0, 0.0], None, [0.0, 1.0]]})
+    out = pd.concat(processor.advance((5,), rows))
+    assert out["line_id"].tolist() == [1, 3] and out["distance"].tolist()[1] == 1.0
+    assert list(processor.advance((5,), rows.iloc[1:2])) == []
+
+
 def test_all_groups_are_closed(arriving, batch):
     stream, late = arriving
     schema = "key long, window_start long, window_end long, alert_count long, max_score double, mean_score double"

@@ -13,12 +13,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.operators.classify import flag, ratio
 from omenlog.operators.order import (
     Order,
+    blocks,
     first_at_or_after,
     ordinal,
     quantiles,
@@ -191,41 +194,75 @@ def by_calendar(dlts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sweeps over thresholds
 
 
-def lead_times_per_threshold(
+def _rises(ranks: np.ndarray) -> np.ndarray:
+    """For each entry the next one of a higher rank (their number if there is none)."""
+    after, waiting = np.full(len(ranks), len(ranks)), []
+    known = ranks.tolist()
+    for i, rank in enumerate(known):
+        while waiting and known[waiting[-1]] < rank:
+            after[waiting.pop()] = i
+        waiting.append(i)
+    return after
+
+
+def _steps(score: np.ndarray, us: np.ndarray, failures: np.ndarray, first: np.ndarray, grid: np.ndarray) -> pd.DataFrame:
+    """Steps of failures whose windows are the rows from ``first`` up to the failure."""
+    alerts = np.flatnonzero(score > grid[0])
+    ranks = np.searchsorted(grid, score[alerts], side="left")  # how many thresholds a row passes
+    after = _rises(ranks)
+    at, end = np.searchsorted(alerts, first), np.searchsorted(alerts, failures)
+    passed, found = np.zeros(len(failures), dtype=np.int64), []
+    while (live := np.flatnonzero(at < end)).size:
+        here = at[live]
+        lead = np.nan_to_num(np.maximum(0, us[failures[live]] - us[alerts[here]]))
+        found.append((live, passed[live], ranks[here], lead))
+        passed[live], at[live] = ranks[here], after[here]
+    live = np.flatnonzero(passed < len(grid))
+    found.append((live, passed[live], np.full(len(live), len(grid)), np.zeros(len(live))))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)]
+    return pd.DataFrame(dict(zip(("_at", "low", "high", "lead_us"), columns)))
+
+
+def lead_steps(
     df: DataFrame,
     thresholds: Sequence[float],
     *,
     keys: Sequence[str] = (),
     rows: int = 1000,
     order: Order | None = None,
+    block_rows: int = 8192,
 ) -> DataFrame:
-    """Per failure, an array with the lead time at every threshold (``rows`` reading).
-
-    One backward scan carries, for every threshold, the next row that passes it; the
-    failure is never joined with thresholds or with the rows it looks back on.
+    """Lead time (``rows`` reading) of each failure at all thresholds, as steps.
+
+    A row ``keys, line_id, low, high, lead_us`` says that the lead time is ``lead_us`` at the
+    thresholds of ranks ``low`` to ``high - 1`` in rising order; the steps of a failure cover all
+    thresholds, the last one often with 0 where no alert is left.  The earliest row above a threshold
+    is one of those at which the highest score since the window's begin rises, so a failure
+    follows pointers from each alert to the next higher one; how many there are depends on these rises,
+    not on the thresholds.  A task sees a block of the order and the ``rows`` rows before it.
     """
     keys = tuple(keys)
     order = order or Order(keys)
-    lowest = min(thresholds)
-    numbered = ordinal(df.select(*keys, "line_id", "us", "label", "score"), order)
-    probes = numbered.filter("label = 1").select(
-        *keys, "line_id", "us", "pos", (F.col("pos") - rows).alias("at")
-    )
-    marks = numbered.filter(F.col("score") > lowest).select(
-        *keys, F.col("pos").alias("at"), "us", "score"
-    )
-    # A hit counts only if its row stands before the failure; in other orders than time that is not its time.
-    hit = F.struct(F.col("at").alias("pos"), "us")
-    hits = {f"t{i}": F.when(F.col("score") > float(t), hit) for i, t in enumerate(thresholds)}
-    found = first_at_or_after(
-        probes, marks, hits, keys=keys, ranges=order.ranges
-    )
-    none = F.lit(0.0)
-    dlts = [
-        F.coalesce(F.when(F.col(n)["pos"] < F.col("pos"), F.greatest(_seconds(F.col("us"), F.col(n)["us"]), none)), none).alias(n)
-        for n in hits
-    ]
-    return found.select(*keys, "line_id", "us", *dlts)
+    grid = np.sort(np.asarray(thresholds, dtype=np.float64))
+    named = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("_score")
+    failed = F.coalesce(F.col("label") == 1, F.lit(False)).alias("_failed")
+    columns = list(dict.fromkeys([*keys, *order.columns, "line_id", "us"]))
+    laid = blocks(df.select(*columns, score, failed), order, rows, block_rows)
+    names = [*keys, "line_id", "low", "high", "lead_us"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_ord", kind="stable").reset_index(drop=True)
+        failures = np.flatnonzero((pdf["_own"] & pdf["_failed"]).to_numpy())
+        first = failures - np.minimum(pdf["_pos"].to_numpy()[failures], rows)
+        values = pdf["_score"].to_numpy(dtype=np.float64)
+        # SQL's order puts NaN above all numbers
+        found = _steps(np.where(np.isnan(values), np.inf, values), pdf["us"].to_numpy(), failures, first, grid)
+        whose = pdf[[*keys, "line_id"]].iloc[failures[found["_at"]]].reset_index(drop=True)
+        return pd.concat([whose, found], axis=1)[names]
+
+    schema = ", ".join([*(f"`{k}` {named[k]}" for k in keys), f"line_id {named['line_id']}", "low int, high int, lead_us long"])
+    return laid.groupBy("_block").applyInPandas(run, schema)
 
 
 def sensitivity(
@@ -242,27 +279,26 @@ def sensitivity(
     With ``keys`` an alert warns only of failures of its own session.
     """
     quality = sweep(df, thresholds)
-    dlts = checkpointed(lead_times_per_threshold(df, thresholds, keys=keys, order=order))
-    names = [f"t{i}" for i in range(len(thresholds))]
-    # One row with a struct per threshold: partial aggregates, no row per (failure, threshold).
-    stats = dlts.agg(
-        F.array(*[
-            F.struct(
-                F.lit(i).alias("q"),
-                warning_rate(min_lead, F.col(n)).alias("ewr"),
-                F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_dlt"),
-                F.coalesce(F.max(n), F.lit(0.0)).alias("max_dlt"),
-            )
-            for i, n in enumerate(names)
-        ]).alias("s")
-    ).select(F.explode("s").alias("s")).select("s.*")
-    out = quality.join(F.broadcast(stats), "q")
+    ranked = [int(q) for q in np.argsort(np.asarray(thresholds, dtype=np.float64), kind="stable")]
+    rank = F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("rank")
+    steps = lead_steps(df, thresholds, keys=keys, order=order).select(rank, "lead_us")
+    q = F.get(F.lit(ranked), F.col("rank")).cast("int").alias("q")
+    # Counted per threshold (and lead time) before anything is shuffled.
+    counts = steps.groupBy("rank", *(["lead_us"] if medians else [])).agg(
+        F.count("*").alias("n"), F.sum("lead_us").alias("total"), F.max("lead_us").alias("most"),
+        F.count_if(F.col("lead_us") >= min_lead * SECOND).alias("warned"),
+    ).withColumn("q", q)
+    if medians:
+        counts = checkpointed(counts)
+    failures = F.sum("n")
+    stats = counts.groupBy("q").agg(
+        (F.sum("warned") / failures * 100).alias("ewr"), (F.sum("total") / failures / float(SECOND)).alias("mean_dlt"),
+        (F.max("most") / float(SECOND)).alias("max_dlt"),
+    )
+    none = {c: F.coalesce(c, F.lit(0.0)) for c in ("ewr", "mean_dlt", "max_dlt")}
+    out = quality.join(F.broadcast(stats), "q", "left").withColumns(none)
     if medians:
-        # Positive lead times only are ordered; the zeros are put back by their count.
-        long = dlts.select(
-            F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.col(n).alias("dlt"))
-                                for i, n in enumerate(names)])).alias("s")
-        ).select("s.*").groupBy("q", "dlt").agg(F.count("*").alias("n"))
+        long = counts.select("q", (F.col("lead_us") / float(SECOND)).alias("dlt"), "n")
         out = out.join(F.broadcast(weighted_median(long, "q", "dlt", "n")), "q", "left")
     return out
 

@@ -143,3 +143,42 @@ def test_value_without_false_alarms(spark):
     df = spark.createDataFrame([(400.0,), (500.0,), (0.0,)], "dlt double")
     row = leadtime.value_of(df, F.lit(0)).first()
     assert row.prevented == 1 and row.roi_ratio == float("inf") and row.roi_percentage == float("inf")
+
+
+@pytest.mark.parametrize("ranges, block_rows", [(9, 16), (1, 8192)])
+@pytest.mark.parametrize("keys", [(), ("key",)])
+def test_lead_steps(spark, keys, ranges, block_rows):
+    """Every threshold of every failure against a look at the rows before it; nulls, NaN, ties, unsorted thresholds."""
+    rng = np.random.default_rng(12)
+    n, rows = 150, 11
+    pdf = pd.DataFrame({
+        "line_id": np.arange(n), "key": rng.integers(0, 3, n), "us": rng.integers(0, 400, n) * SECOND,
+        "label": np.where(rng.random(n) < 0.3, 1, 0), "score": np.round(rng.exponential(3, n), 0),
+    })
+    data = [(*r[:4], None if r[0] % 17 == 0 else float("nan") if r[0] % 29 == 0 else r[4]) for r in pdf.itertuples(index=False, name=None)]
+    df = spark.createDataFrame(data, "line_id long, key long, us long, label int, score double")
+    grid = [4.0, 0.0, 7.5, 2.0, 2.0, 50.0]
+    got = leadtime.lead_steps(df, grid, keys=keys, rows=rows, order=Order(keys, ranges=ranges), block_rows=block_rows).collect()
+    assert got[0].asDict().keys() == {*keys, "line_id", "low", "high", "lead_us"}
+    have = {}
+    for r in got:
+        for rank in range(r.low, r.high):
+            assert (r.line_id, rank) not in have
+            have[r.line_id, rank] = r.lead_us
+    groups, want = {}, {}
+    for r in sorted(data, key=lambda r: (r[2], r[0])):
+        groups.setdefault(r[1] if keys else 0, []).append(r)
+    for group in groups.values():
+        for i, row in enumerate(group):
+            for rank, t in enumerate(sorted(grid)):
+                if row[3] == 1:
+                    hits = [e[2] for e in group[max(0, i - rows):i] if e[4] is not None and (e[4] > t or e[4] != e[4])]
+                    want[row[0], rank] = row[2] - hits[0] if hits else 0
+    assert have == want
+
+
+def test_sensitivity_without_failures(spark):
+    df = spark.createDataFrame([(i, i * SECOND, 0, float(i)) for i in range(20)], "line_id long, us long, label int, score double")
+    for medians in (True, False):
+        rows = leadtime.sensitivity(df, [3.0, 8.0], medians=medians).collect()
+        assert [(r.ewr, r.mean_dlt, r.max_dlt) for r in rows] == [(0.0, 0.0, 0.0)] * 2

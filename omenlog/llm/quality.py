@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ STEPS = 12
 SURE = float(np.log(19))
 
 _SLOTS = 1 << 12  # hashed metadata features
+#: Groups of tasks whose vectors are added before they come to the driver.
+FOLDS = 32
 _CHUNK = 512  # unlabelled documents that a task unpacks at a time
 
 
@@ -80,9 +83,14 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """``text, lang, source, n_chars, _y, _rate, _check``: a bounded sample of the labelled rows."""
+    """``text, lang, source, n_chars, _y, _rate, _check``: a bounded sample of the labelled documents.
+
+    Of the rows of a repeated id the least one stands for the id.
+    """
     narrow = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source", "n_chars")))
-    known = labelled(narrow, labels, "quality", fit_rows).withColumn("_check", share(F.col("doc_id"), 3) < 0.2)
+    known = labelled(narrow, labels, "quality", fit_rows)
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*(c for c in known.columns if c != "doc_id"))).alias("r"))
+    known = known.select("doc_id", "r.*").withColumn("_check", share(F.col("doc_id"), 3) < 0.2)
     return checkpointed(known.drop("doc_id").repartition(8))
 
 
@@ -123,7 +131,11 @@ class Pool:
     features: int
 
     def sums(self, of: Callable[..., np.ndarray], *args) -> np.ndarray:
-        """The sum of ``of(rows, *args)`` over all rows: one vector per task comes to the driver."""
+        """The sum of ``of(rows, *args)`` over all rows.
+
+        Every task adds up its rows, the vectors of the tasks are added by their number modulo
+        ``FOLDS``, and at most so many vectors come to the driver, however many tasks there are.
+        """
         features = self.features
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +146,21 @@ class Pool:
                     found = of((_unpacked(rows.column(0), features), _sparse(rows.column(1))), *args)
                     total = found if total is None else total + found
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tobytes()], pa.binary())], names=["v"])
+                fold = TaskContext.get().partitionId() % FOLDS
+                arrays = [pa.array([fold], pa.int32()), pa.array([total.ravel().tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["fold", "v"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for v in batch.column("v"):
+                    found = np.frombuffer(v.as_buffer())
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-        return sum(np.frombuffer(r["v"]) for r in self.table.mapInArrow(each, "v binary").collect())
+        parts = self.table.mapInArrow(each, "fold int, v binary").repartition("fold")
+        return sum(np.frombuffer(r["v"]) for r in parts.mapInArrow(added, "v binary").collect())
 
 
 @dataclass(frozen=True)

@@ -73,6 +73,30 @@ def test_every_unlabelled_document_is_summed(spark):
     assert np.allclose(pool.sums(quality._lesson, teachers, worth, pupils), local.sums(quality._lesson, teachers, worth, pupils))
 
 
+def test_few_vectors_come_to_the_driver(spark, monkeypatch):
+    """More tasks than folds: no more vectors than folds are collected, and their sum is that of all tasks."""
+    monkeypatch.setattr(quality, "FOLDS", 3)
+    pool = quality.Pool(spark.range(400).repartition(40).selectExpr("unhex('00') AS a", "array(int(id % 5)) AS b"), 8)
+    collected, collect = [], type(pool.table).collect
+
+    def counted(df):
+        rows = collect(df)
+        collected.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(pool.table), "collect", counted)
+    got = pool.sums(lambda rows: np.array([float(rows[1].shape[0]), 1.0]))
+    assert got[0] == 400 and got[1] > 3 and collected[0] <= 3
+
+
+def test_a_labelled_id_of_many_rows_is_one_in_the_sample(spark):
+    docs, labels, _ = corpus()
+    many = spark.createDataFrame(docs, SCHEMA).unionByName(
+        spark.range(3000).selectExpr("1L AS doc_id", "'river' AS text", "'en' AS lang", "'src1' AS source", "5L AS n_chars"))
+    sample = quality._sample(many, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 4096)
+    assert sample.count() == len(labels)
+
+
 def test_odd_rows(spark):
     docs, labels, _ = corpus()
     odd = docs + [(None, docs[1][1], None, None, None), (900, None, "en", "src1", 0), (901, "", None, "src1", None),

@@ -11,10 +11,8 @@ from omenlog.llm.vectors import EVERY, best, matrix, valid
 
 #: Most queries and candidates of a cell, and candidates whose lists are sorted at a time.
 QUERIES, CANDIDATES, BLOCK = 4096, 16_384, 2048
-#: How deep the sorted lists are read in each round, as a share of their length.
-DEPTHS = (0.6, 0.8, 1.0)
-#: Reading stops when at most this share of the outsiders can still qualify.
-OPEN = 0.25
+#: How deep the sorted lists are read after each round, as a share of their length.
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
 
 
 def number_type(queries: np.ndarray, rows: np.ndarray):
@@ -25,28 +23,29 @@ def number_type(queries: np.ndarray, rows: np.ndarray):
 
 
 class Lists:
-    """The components of a block of rows as one list per dimension, read from its favourable end.
+    """The components of a block of rows as sorted lists, read by one cursor per list and end.
 
-    For a query with a positive component the list is read from the largest value down, else from
-    the smallest up.  What is read is known exactly; the unread rest of a list is bounded by the
-    last value read on one side and by the list's far end on the other.
+    The first half of the lists runs down from the largest value of a dimension (for queries with a
+    positive component there), the second half up from its smallest.  ``unread`` marks the entries
+    that no cursor has met, ``cursor`` is the last value read from each list: no unread entry is
+    more favourable.  ``far`` is the other end of each list: no entry is less favourable.
     """
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        self.order = np.sort(rows, axis=0)
-
-    def bounds(self, weights: np.ndarray, depth: float, lower: bool) -> np.ndarray:
-        """Lower or upper bounds of the scores: (queries, rows); ``weights`` splits signs."""
-        n = len(self.rows)
-        read = min(n, max(1, int(np.ceil(depth * n))))
-        down, up = self.order[n - read], self.order[read - 1]
-        if lower and read < n:
-            high = np.where(self.rows >= down, self.rows, self.order[0])
-            low = np.where(self.rows <= up, self.rows, self.order[-1])
-        else:
-            high, low = np.maximum(self.rows, down), np.minimum(self.rows, up)
-        return weights @ np.concatenate([high, low], axis=1).T
+        up = np.argsort(rows, axis=0, kind="stable")
+        self.order = np.concatenate([up[::-1], up], axis=1)
+        self.values = np.take_along_axis(np.concatenate([rows, rows], axis=1), self.order, axis=0)
+        self.unread = np.ones(self.values.shape, rows.dtype)
+        self.far, self.cursor, self.depth = self.values[-1], self.values[0], 0
+
+    def advance(self, depth: int) -> np.ndarray:
+        """Read all lists on to ``depth`` entries; what was read now, by row, and zeros."""
+        rows, values = self.order[self.depth : depth], self.values[self.depth : depth]
+        met = np.zeros_like(self.unread)
+        np.put_along_axis(met, rows, values, axis=0)
+        np.put_along_axis(self.unread, rows, 0, axis=0)
+        self.cursor, self.depth = self.values[depth - 1], depth
+        return met
 
 
 class Leaders:
@@ -55,6 +54,7 @@ class Leaders:
     def __init__(self, queries: np.ndarray, own: np.ndarray, k: int):
         self.queries, self.own, self.k = queries, own, k
         self.need = np.full(len(queries), -np.inf)
+        self.read = self.entries = 0  # entries of sorted lists read, and held by the lists of the queries
         self.kept = [(np.zeros(0, queries.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
 
     def add(self, q: int, rows: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> None:
@@ -72,11 +72,13 @@ class Leaders:
 def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, numbers: np.ndarray, k: int) -> Leaders:
     """The exact ``k`` best of ``rows`` for each query, all as whole numbers.
 
-    Each block of rows is one set of sorted lists.  They are read to growing depths with a lower
-    and an upper bound for every row; a row stays open while its upper bound reaches the k-th best
-    lower bound of its query (the resolved leaders of earlier blocks count with their scores).
-    Reading stops when few are open, and only these are resolved.  Numbers too large for exact
-    bounds in floating point are all resolved.
+    Each block of rows is one set of sorted lists, which are read in rounds.  Every query keeps the
+    sums of what was read of each row.  The unread rest of a row is at most the cursors and at least
+    the far ends of its lists, which gives its upper and its lower bound.  A query stops when no
+    more than ``k`` rows can still reach its k-th best lower bound (the leaders of earlier blocks
+    count with their scores); only these are resolved.  Where equal scores keep more rows open, the
+    lists are read to their end.  Numbers too large for exact sums in floating point are resolved
+    without lists.  ``read`` and ``entries`` of the result tell how much of the lists was read.
     """
     kind = number_type(queries, rows)
     queries, rows = queries.astype(kind), rows.astype(kind)
@@ -85,18 +87,10 @@ def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarr
     for at in range(0, len(rows), BLOCK):
         part = slice(at, at + BLOCK)
         block, n = rows[part], len(rows[part])
-        open_ = np.ones((len(queries), n), dtype=bool)
-        if kind in (np.float32, np.float64) and n > k + 1:
-            lists = Lists(block)
-            for depth in DEPTHS:
-                need = leaders.need
-                if not np.isfinite(need).all():
-                    # One row may be the query itself, so the bound is the (k + 1)-th best.
-                    low = lists.bounds(weights, depth, lower=True)
-                    need = np.maximum(need, np.partition(low, n - k - 1, axis=1)[:, n - k - 1])
-                open_ = lists.bounds(weights, depth, lower=False) >= need[:, None].astype(kind)
-                if open_.mean() <= OPEN:
-                    break
+        if kind in (np.float32, np.float64):
+            open_ = _still_open(leaders, weights, block, numbers[part])
+        else:
+            open_ = np.ones((len(queries), n), dtype=bool)
         for q in range(len(queries)):
             found = np.flatnonzero(open_[q])
             if len(found):
@@ -104,12 +98,46 @@ def search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarr
     return leaders
 
 
+def _still_open(leaders: Leaders, weights: np.ndarray, block: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Read the lists of a block until every query has stopped; the rows that it has to resolve."""
+    n, k = len(block), leaders.k
+    lists = Lists(block)
+    result = np.zeros((len(weights), n), dtype=bool)
+    at, itself = np.nonzero(leaders.own[:, None] == numbers[None, :])
+    asked = np.arange(len(weights))
+    seen = np.zeros((len(weights), n), block.dtype)
+    used = np.count_nonzero(weights, axis=1)
+    leaders.entries += int(used.sum()) * n
+    for share in DEPTHS:
+        depth = min(n, max(lists.depth + 1, int(np.ceil(share * n))))
+        leaders.read += int(used[asked].sum()) * (depth - lists.depth)
+        met = lists.advance(depth)
+        seen += weights[asked] @ met.T
+        most = seen + (weights[asked] * lists.cursor) @ lists.unread.T
+        least = seen + (weights[asked] * lists.far) @ lists.unread.T if n > k else None
+        mine = np.isin(asked, at)
+        places = itself[np.searchsorted(at, asked[mine])]  # a query's own row is no candidate
+        most[mine, places] = -np.inf
+        need = leaders.need[asked]
+        if least is not None:
+            least[mine, places] = -np.inf
+            need = np.maximum(need, np.partition(least, n - k, axis=1)[:, n - k])
+        open_ = most >= need[:, None].astype(block.dtype)
+        open_[mine, places] = False
+        stops = (open_.sum(axis=1) <= k) if depth < n else np.ones(len(asked), dtype=bool)
+        result[asked[stops]] = open_[stops]
+        if stops.all():
+            break
+        asked, seen = asked[~stops], seen[~stops]
+    return result
+
+
 def top_k(vectors: DataFrame, k: int = 20, *, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the exact ``k`` best rows by integer inner product.
 
     Each component x becomes floor(scale * x).  Rows whose id is divisible by 20 are the queries,
     every row but the query's own is a candidate.  Queries and candidates are dealt by hash into a
-    grid of cells of bounded size; a cell reads sorted lists of blocks of its candidates, and the
+    grid of cells of bounded size; a cell reads the sorted lists of blocks of its candidates in rounds, and the
     k best of each cell meet per query (ranked before and after the shuffle).
 
     Vectors that are null or hold null or non-finite components, and null ids, take no part;

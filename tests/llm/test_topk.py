@@ -30,30 +30,44 @@ def test_against_brute_force(spark, monkeypatch, values):
     assert got == plain(rows, 20)
 
 
-def test_reading_stops_before_the_lists_end(monkeypatch):
-    draw = np.random.default_rng(4)
-    rows = draw.integers(-40, 40, size=(3000, 16))
-    depths = []
-    bounds = topk.Lists.bounds
-    monkeypatch.setattr(topk.Lists, "bounds", lambda self, w, d, lower: depths.append(d) or bounds(self, w, d, lower))
-    monkeypatch.setattr(topk, "BLOCK", 500)
-    queries, ids = rows[:30], np.arange(3000)
-    found = topk.search(queries, ids[:30], rows, ids, ids, 20)
-    assert min(depths) < 1 and depths.count(1.0) < 6
-    for q in range(30):
-        scores = rows @ queries[q]
+def searched(rows, queries=30, k=20):
+    ids = np.arange(len(rows))
+    found = topk.search(rows[:queries], ids[:queries], rows, ids, ids, k)
+    for q in range(queries):
+        scores = rows @ rows[q]
         scores[q] = -(10**9)
-        assert found.kept[q][1].tolist() == np.lexsort((ids, -scores))[:20].tolist()
+        want = np.lexsort((ids, -scores))[:k]
+        assert found.kept[q][1].tolist() == want.tolist() and found.kept[q][0].tolist() == scores[want].tolist()
+    return found.read / found.entries
+
+
+def test_share_of_the_lists_that_is_read(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 500)
+    draw = np.random.default_rng(4)
+    even = searched(draw.integers(-40, 40, size=(3000, 16)))
+    skewed = searched(np.floor(draw.lognormal(0, 1, size=(3000, 16)) * draw.lognormal(0, 1.5, size=(3000, 1))).astype(int))
+    few = searched(np.where(draw.random((3000, 16)) < 0.1, draw.integers(1, 60, size=(3000, 16)), 0))
+    assert even <= 1 and skewed < 0.5 and few < 0.5
+
+
+def test_a_query_reads_no_further_than_it_must():
+    rows = np.arange(1600)[:, None] * np.ones((1, 3), dtype=int)
+    ids = np.arange(1600)
+    found = topk.search(rows[-1:], ids[-1:], rows, ids, ids, 20)
+    assert found.kept[0][1].tolist() == list(range(1598, 1578, -1))
+    assert found.read == 3 * 100 and found.entries == 3 * 1600  # one round of the first sixteenth
 
 
-def test_bounds_hold_the_score_between_them():
+def test_cursors_bound_what_is_unread():
     draw = np.random.default_rng(6)
-    rows, queries = draw.integers(-9, 9, size=(50, 5)), draw.integers(-9, 9, size=(7, 5))
+    rows, queries = draw.integers(-9, 9, size=(50, 5)).astype(float), draw.integers(-9, 9, size=(7, 5)).astype(float)
     weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
-    lists, scores = topk.Lists(rows), queries @ rows.T
-    for depth in (0.02, 0.3, 0.6, 1.0):
-        assert (lists.bounds(weights, depth, True) <= scores).all() and (lists.bounds(weights, depth, False) >= scores).all()
-    assert (lists.bounds(weights, 1.0, True) == scores).all()
+    lists, scores, seen = topk.Lists(rows), queries @ rows.T, 0
+    for depth in (1, 15, 30, 50):
+        seen = seen + weights @ lists.advance(depth).T
+        assert (seen + (weights * lists.cursor) @ lists.unread.T >= scores).all()
+        assert (seen + (weights * lists.far) @ lists.unread.T <= scores).all()
+    assert (seen == scores).all() and not lists.unread.any()
 
 
 def test_odd_rows(spark):

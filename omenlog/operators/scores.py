@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from omenlog.operators.medians import with_median
 from omenlog.operators.order import Order, laid_out, lookback, ordinal, running
 from omenlog.operators.sweep import blend, scaled
 from omenlog.schema import SECOND
@@ -42,13 +43,15 @@ def change_score(
     df: DataFrame, window: int = 50, method: str = "median", *, order: Order | None = None
 ) -> DataFrame:
     """Rise above the median (or mean) of the last ``window`` rows; raw until they exist."""
-    frame, w, finish = lookback(df, order or Order(), window - 1)
-    over = w.rowsBetween(-(window - 1), 0)
-    x = F.col("score")
-    baseline = F.percentile(x, 0.5).over(over) if method == "median" else F.avg(x).over(over)
     if method not in ("median", "mean"):
         raise ValueError(f"unknown baseline: {method}")
-    out = frame.withColumns({"_n": F.count("*").over(over), "_base": baseline})
+    x, order = F.col("score"), order or Order()
+    if method == "median":
+        out, finish = with_median(df, window, order=order), lambda done: done
+    else:
+        frame, w, finish = lookback(df, order, window - 1)
+        over = w.rowsBetween(-(window - 1), 0)
+        out = frame.withColumns({"_n": F.count("*").over(over), "_base": F.avg(x).over(over)})
     delta = F.when(F.col("_n") < window, x).otherwise(F.greatest(F.lit(0.0), x - F.col("_base")))
     return finish(out.withColumn("delta_score", delta)).drop("_n", "_base")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from omenlog.operators import classify, evt, sweep
+from omenlog.operators import classify, evt, sketch, sweep
 from omenlog.operators.order import Order, quantiles, running
 from omenlog.plans.inputs import EV, THR, events, normal_p99
 from omenlog.plans.registry import query
+from omenlog.session import new_folder
 
 COUNTS = """
   sum(CASE WHEN pred = 1 AND label = 1 THEN 1 ELSE 0 END) AS tp,
@@ -131,6 +132,32 @@ def static_quantile_threshold(spark, folder):
                         F.col("value").alias("threshold"))
 
 
+@query(
+    "sketched_thresholds",
+    f"""WITH {EV} SELECT unnest([0.95, 0.99, 0.999]) AS quantile, (SELECT count(score) FROM ev) AS n,
+(SELECT count(DISTINCT CAST(ts AS DATE)) FROM ev) AS days, CAST(1 AS BIGINT) AS within_error""",
+    digits={"quantile": 4}, ints=("n", "days"),
+)
+def sketched_thresholds(spark, folder):
+    """Thresholds from the kept sketches of two loads of days, held against the exact ranks."""
+    probs, df, kept = [0.95, 0.99, 0.999], events(spark, folder), new_folder(spark, "sketches")
+    for load in (0, 1):
+        part = df.filter(F.dayofyear("ts") % 2 == load)
+        sketch.keep_days(sketch.daily(part, F.col("score"), F.col("ts")), kept)
+    days = sketch.kept_days(spark, kept)
+    found = {r["q"]: r for r in sketch.quantiles(days, probs).collect()}
+    rows = [(i, p, found[i]["value"], found[i]["n"]) for i, p in enumerate(probs) if i in found]
+    ranks = df.agg(
+        F.count("score").alias("all"), days.agg(F.count_distinct("day")).scalar().alias("days"),
+        F.array(*[F.struct(F.count_if(F.col("score") < v).alias("below"), F.count_if(F.col("score") <= v).alias("up_to"),
+                           F.lit(p).alias("quantile"), F.lit(n).alias("n")) for _, p, v, n in rows]).alias("at"),
+    )
+    wide = F.lit(sketch.rank_error()) * F.col("all")
+    close = (F.col("a.below") <= F.col("a.quantile") * F.col("all") + wide) & (F.col("a.up_to") >= F.col("a.quantile") * F.col("all") - wide)
+    return ranks.select("all", "days", F.explode("at").alias("a")).select(
+        "a.quantile", "a.n", "days", close.cast("long").alias("within_error"))
+
+
 @query(
     "normal_percentile_threshold",
     f"WITH {EV}, {THR} SELECT t AS threshold, (SELECT count(*) FROM ev, thr WHERE score > t) AS alerts FROM thr",

@@ -50,10 +50,10 @@ def batch_hybrid(spark, folder):
     return scores.batch_hybrid(events(spark, folder), "score", "dist", 0.7).select("line_id", "hybrid")
 
 
-def change_sql(how: str, part: str = "", keys: str = "") -> str:
+def change_sql(how: str, part: str = "", keys: str = "", window: int = 50) -> str:
     return f"""WITH {EV}, c AS (SELECT *, count(*) OVER w AS n, {how}(score) OVER w AS base FROM ev
-  WINDOW w AS ({part} ORDER BY us, line_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
-SELECT {keys} line_id, CASE WHEN n < 50 THEN score ELSE greatest(0, score - base) END AS delta_score FROM c"""
+  WINDOW w AS ({part} ORDER BY us, line_id ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW))
+SELECT {keys} line_id, CASE WHEN n < {window} THEN score ELSE greatest(0, score - base) END AS delta_score FROM c"""
 
 
 @query("change_score_median", change_sql("median"), digits={"delta_score": 4})
@@ -61,6 +61,11 @@ def change_score_median(spark, folder):
     return scores.change_score(events(spark, folder)).select("line_id", "delta_score")
 
 
+@query("change_score_median_long", change_sql("median", window=5000), digits={"delta_score": 4})
+def change_score_median_long(spark, folder):
+    return scores.change_score(events(spark, folder), window=5000).select("line_id", "delta_score")
+
+
 @query("change_score_mean_by_user", change_sql("avg", "PARTITION BY key", "key,"), digits={"delta_score": 4})
 def change_score_mean_by_user(spark, folder):
     out = scores.change_score(events(spark, folder), method="mean", order=Order(("key",)))

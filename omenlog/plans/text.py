@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
 from omenlog.functions import words as wd
-from omenlog.operators import dedup, parse, split, surprise
+from omenlog.operators import dedup, parse, pieces, split, surprise
 from omenlog.plans.inputs import EV, LN, events, lines, table
 from omenlog.plans.registry import query
 from omenlog.session import new_folder
@@ -250,6 +250,33 @@ def log_vocabulary(spark, folder):
     return surprise.vocabulary(normal_lines(spark, folder), size=1000, min_frequency=2)
 
 
+@query(
+    "learned_pieces",
+    f"""WITH RECURSIVE {LN}, {NORM}, {WORDS},
+b AS (SELECT row_number() OVER (ORDER BY n DESC, word) + 4 AS id, word FROM wc WHERE n >= 2 QUALIFY id < 300),
+al AS (SELECT DISTINCT unnest(string_split(word, '')) AS word FROM b),
+voc AS (SELECT * FROM b UNION ALL SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY word), word FROM al
+  WHERE word NOT IN (SELECT word FROM b)),
+dw AS (SELECT DISTINCT word FROM wo),
+ends AS (SELECT word, s, unnest(range(1, len(word) - s + 2)) AS l FROM (SELECT word, unnest(range(1, len(word) + 1)) AS s FROM dw)),
+best AS (SELECT e.word, s, max(l) AS l, arg_max(v.id, l) AS id FROM ends e JOIN voc v ON v.word = substr(e.word, s, l) GROUP BY ALL),
+walk AS (SELECT word, CAST(1 AS BIGINT) AS s, 0 AS n, CAST(NULL AS BIGINT) AS first_id, CAST(0 AS BIGINT) AS last FROM dw
+  UNION ALL SELECT w.word, w.s + b.l, n + 1, coalesce(first_id, b.id), w.s - 1 FROM walk w JOIN best b ON w.word = b.word AND w.s = b.s),
+cut AS (SELECT * FROM walk WHERE s = len(word) + 1),
+pl AS (SELECT line_id, unnest(string_split(norm, ' ')) AS word, unnest(range(len(string_split(norm, ' ')))) AS pos FROM nm)
+SELECT line_id, pos, coalesce(first_id, 1) AS first_id, coalesce(cut.n, 1) AS n_pieces, coalesce(last, 0) AS last_start
+FROM pl LEFT JOIN cut USING (word)""",
+    ints=("pos", "first_id", "n_pieces", "last_start"),
+)
+def learned_pieces(spark, folder):
+    df = normal_lines(spark, folder)
+    known = pieces.learned(df, size=300)
+    words = df.select("line_id", wd.words(F.col("norm")).alias("w")).withColumn("p", pieces.cut(F.col("w"), known))
+    return words.select("line_id", F.posexplode("p").alias("pos", "p")).select(
+        "line_id", "pos", F.get("p", F.lit(0))["id"].alias("first_id"), F.size("p").alias("n_pieces"),
+        F.element_at("p", -1)["start"].alias("last_start"))
+
+
 @query(
     "rare_words",
     f"WITH {LN}, {NORM}, {WORDS} SELECT word, n FROM wc WHERE n <= (SELECT quantile_cont(n, 0.1) FROM wc)",

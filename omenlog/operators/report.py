@@ -194,3 +194,25 @@ def comprehensive(
         "recommendation",
         recommendation(F.col("quality.f1"), F.col("lead_time.ewr_5min"), F.col("roi.roi_ratio")),
     )
+
+
+def headline(report: DataFrame) -> DataFrame:
+    """The comprehensive report in a line per question: detection, early warning, value, advice.
+
+    A figure that the report does not have (no failures, say) is written as ``n/a``.
+    """
+
+    def figure(pattern: str, value: Column) -> Column:
+        endless = F.abs(value) == float("inf")
+        return F.when(value.isNull() | F.isnan(value), "n/a").when(endless, "inf").otherwise(F.format_string(pattern, value))
+
+    lead, roi = F.col("lead_time"), F.col("roi")
+    return report.select(
+        F.concat(F.lit("F1="), figure("%.3f", F.col("quality.f1")), F.lit(", AUROC="), figure("%.3f", F.col("quality.auroc")))
+        .alias("detection_quality"),
+        F.concat(F.lit("EWR(5min)="), figure("%.1f", lead["ewr_5min"]), F.lit("%, Mean DLT="),
+                 figure("%.1f", lead["mean_dlt"] / 60), F.lit("min")).alias("early_warning_capability"),
+        F.concat(F.lit("ROI="), figure("%.0f", roi["roi_percentage"]), F.lit("%, Net Benefit=$"),
+                 figure("%,.0f", roi["net_benefit"].cast("double"))).alias("business_value"),
+        "recommendation",
+    )

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from omenlog.operators import classify, report, split
 from omenlog.operators.surprise import long_scores
-from omenlog.plans.detection import rates_sql
+from omenlog.plans.detection import CURVE, rates_sql
 from omenlog.plans.inputs import EV, THR, events, normal_p99, table
 from omenlog.plans.leadtime import ROWS, detail_sql
-from omenlog.plans.registry import query
+from omenlog.plans.registry import REGISTRY, query
 from omenlog.session import new_folder
 from omenlog.sources import sinks, text
 
@@ -242,6 +242,21 @@ def comprehensive_report(spark, folder):
     )
 
 
+@query(
+    "report_headline",
+    f"""WITH {EV}, {CURVE}, a AS (SELECT sum(neg * (tp - pos / 2)) / max(p * n) AS auroc FROM cur),
+rep AS ({REGISTRY["comprehensive_report"].sql})
+SELECT printf('F1=%.3f, AUROC=%.3f', f1, auroc) AS detection_quality,
+  printf('EWR(5min)=%.1f%%, Mean DLT=%.1fmin', ewr_5min, mean_dlt / 60) AS early_warning_capability,
+  'ROI=' || CASE WHEN fp > 0 THEN printf('%.0f', (net_benefit / (fp * 100.0) - 1) * 100) WHEN net_benefit > 0 THEN 'inf' ELSE '-100' END
+    || '%, Net Benefit=$' || format('{{:,}}', CAST(round(net_benefit) AS BIGINT)) AS business_value,
+  recommendation FROM rep, a""",
+)
+def report_headline(spark, folder):
+    df = events(spark, folder)
+    return report.headline(report.comprehensive(df, normal_p99(df)))
+
+
 @query("comprehensive_report_nested")
 def comprehensive_report_nested(spark, folder):
     df = events(spark, folder)

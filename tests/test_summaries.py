@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from omenlog.operators import medians, pieces, sketch
+from omenlog.operators import medians, pieces, report, sketch
 from omenlog.operators.order import Order
 from omenlog.operators.scores import change_score
 from omenlog.session import new_folder
@@ -90,3 +90,11 @@ def test_learned_pieces_cut_the_words_they_come_from(spark):
     known = {r["piece"]: r["id"] for r in pieces.learned(df, size=6).collect()}
     assert known == {"disk": 5, "d": 6, "i": 7, "k": 8, "s": 9}
     assert pieces.learned(df.limit(0)).count() == 0
+
+
+def test_headline_of_missing_figures(spark):
+    row = spark.sql("""SELECT named_struct('f1', 0.5D, 'auroc', CAST(NULL AS DOUBLE)) AS quality, 'not ready' AS recommendation,
+      named_struct('ewr_5min', CAST('NaN' AS DOUBLE), 'mean_dlt', 90.0D) AS lead_time,
+      named_struct('roi_percentage', CAST('Infinity' AS DOUBLE), 'net_benefit', -1234567.0D) AS roi""")
+    assert tuple(report.headline(row).first()) == (
+        "F1=0.500, AUROC=n/a", "EWR(5min)=n/a%, Mean DLT=1.5min", "ROI=inf%, Net Benefit=$-1,234,567", "not ready")

@@ -170,8 +170,11 @@ def line_embeddings(spark, folder):
 
 
 def timed_lines(spark, folder):
-    """Labelled templates; documents carry no time, their lines are a second apart."""
-    return labelled_lines(spark, folder).withColumn("us", F.col("line_id") * 1_000_000)
+    """Labelled templates; documents carry no time, their lines are a second apart.
+
+    Line ids leave no room for microseconds in a long, so the times are decimals.
+    """
+    return labelled_lines(spark, folder).withColumn("us", F.col("line_id").cast("decimal(20,0)") * 1_000_000)
 
 
 @query("full_line_scoring")

@@ -15,3 +15,23 @@ def test_cuts_follow_the_written_share(spark, rows):
     shares = {"a": 0.7, "b": 0.7 + 0.1, "c": 0.25}
     got = spark.range(1).select(*[split._cut(F.lit(rows), s).alias(n) for n, s in shares.items()]).first()
     assert (got["a"], got["b"], got["c"]) == (rows * 7 // 10, rows * 7999999999999999 // 10**16, rows // 4)
+
+
+@pytest.fixture(scope="module")
+def late_documents(spark, tmp_path_factory):
+    """Documents whose line ids, counted in microseconds, leave the range of a long."""
+    folder = str(tmp_path_factory.mktemp("late-documents"))
+    rows = [(4_300 + i, f"alpha beta {'gamma' if i % 3 else 'delta'} x\nbeta alpha {'abcdefgh'[i % 8]} end", "s") for i in range(40)]
+    rows.append((4_000_000_000, "alpha beta\nbeta alpha", "s"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(4_301, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_line_scoring_of_high_document_numbers(spark, late_documents):
+    base = QUERIES["baseline_line_scoring"].run(spark, late_documents).toPandas()
+    full = QUERIES["full_line_scoring"].run(spark, late_documents).toPandas()
+    assert len(base) == len(full) == 82 and base["line_id"].is_unique
+    delta = full.sort_values("line_id")["log_delta"].to_numpy()
+    assert delta[0] == 0 and delta[1] == pytest.approx(6.908754779)  # a second after the line before
+    assert delta[2] == pytest.approx(28.395, abs=0.01)  # 2 ** 31 - 1 seconds later

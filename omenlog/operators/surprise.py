@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import pool
@@ -26,26 +26,37 @@ SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")  # fixed values
 TOP_KS = (1, 3, 5, 10)
 
 
+def _tokens(text: Column, unit: str) -> Column:
+    if unit not in ("word", "piece"):
+        raise ValueError(f"unknown unit: {unit}")
+    return words(text) if unit == "word" else F.flatten(F.transform(words(text), pieces))
+
+
 def positions(df: DataFrame, text: str = "norm", *, unit: str = "word", keep: Sequence[str] = ()) -> DataFrame:
     """One row per word (or sub-word piece): ``pos, word, left, right`` plus ``keep``."""
-    tokens = words(F.col(text))
-    if unit == "piece":
-        tokens = F.flatten(F.transform(tokens, pieces))
-    elif unit != "word":
-        raise ValueError(f"unknown unit: {unit}")
-    return df.select(*keep, tokens.alias("_t")).select(
+    return df.select(*keep, _tokens(F.col(text), unit).alias("_t")).select(
         *keep, F.posexplode(contexts(F.col("_t"))).alias("pos", "c")
     ).select(*keep, "pos", "c.word", "c.left", "c.right")
 
 
+#: Pairs of neighbours that hold so many positions of a sample of one line in ``SAMPLED`` are counted apart.
+FREQUENT, SAMPLED = 1_000, 64
+#: Most of these pairs; the others are too rare to fill a task.
+MOST_FREQUENT = 4_096
+
+
 @dataclass(frozen=True)
 class CountModel:
-    """Counts of words in context; every table is unique on its leading columns."""
+    """The distinct lines of the training with their copies, and the words in them.
 
-    both: DataFrame  # left, right, word, c
-    left: DataFrame  # left, word, c
+    Nearly every word between its neighbours is unique, so a table of counts in context would be
+    as long as the lines: the contexts are counted where lines are scored, in the same shuffle.
+    """
+
+    lines: DataFrame  # line, copies
     word: DataFrame  # word, c
     smoothing: float = 0.1
+    unit: str = "word"
 
     @property
     def totals(self) -> DataFrame:
@@ -53,55 +64,95 @@ class CountModel:
 
 
 def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> CountModel:
-    """Count the words of normal lines in their contexts.
+    """Take in the words of normal lines with their contexts.
 
     Lines are counted before they are cut into words, so a template with many copies is
     cut once.
     """
-    lines = df.groupBy(text).agg(F.count("*").alias("copies"))
-    both = positions(lines, text, unit=unit, keep=["copies"]).groupBy("left", "right", "word").agg(
-        F.sum("copies").alias("c")
+    lines = checkpointed(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
+    once = lines.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
+    return CountModel(lines, checkpointed(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
+
+
+def frequent_pairs(lines: DataFrame, text: str = "line", *, unit: str = "word") -> DataFrame | None:
+    """``left, right`` of the pairs of neighbours that would fill a task, by a sample of the lines.
+
+    The sample only says how a pair is counted, not what is counted.
+    """
+    some = lines.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0)
+    counts = positions(some, text, unit=unit).groupBy("left", "right").agg(F.count("*").alias("n"))
+    rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc()).limit(MOST_FREQUENT).collect()
+    if not rows:
+        return None
+    pairs = [(r["left"], r["right"]) for r in rows]
+    return F.broadcast(lines.sparkSession.createDataFrame(pairs, "left string, right string"))
+
+
+def counted(lines: DataFrame, *, unit: str = "word") -> DataFrame:
+    """Positions of lines (``key, line, copies``) with the copies of their triple and pair.
+
+    ``key, pos, word, left, c3, n3, m3``: copies of the triple, of its pair, and of the pair's most
+    frequent triple.  The positions move once, to the task of their pair.  Pairs that would fill a
+    task are grouped, which combines before the shuffle, and joined instead.
+    """
+    pair, triple = ["left", "right"], ["left", "right", "word"]
+    place = positions(lines, "line", unit=unit, keep=["key", "copies"])
+    out = ["key", "pos", "word", "left", "c3", "n3", "m3"]
+    often = frequent_pairs(lines, unit=unit)
+    rare = place if often is None else place.join(often, pair, "left_anti")
+    in_pair = Window.partitionBy(*pair)
+    found = (
+        rare.repartition(*pair)
+        .withColumn("c3", F.sum("copies").over(Window.partitionBy(*triple)))
+        .withColumns({"n3": F.sum("copies").over(in_pair), "m3": F.max("c3").over(in_pair)})
+        .filter("key is not null").select(*out)
     )
-    both = checkpointed(both)
-    left = both.groupBy("left", "word").agg(F.sum("c").alias("c"))
-    word = left.groupBy("word").agg(F.sum("c").alias("c"))
-    return CountModel(both, left, word, smoothing)
+    if often is None:
+        return found
+    place = place.join(often, pair, "left_semi")
+    triples = checkpointed(place.groupBy(*triple).agg(F.sum("copies").alias("c3")))
+    pairs = triples.groupBy(*pair).agg(F.sum("c3").alias("n3"), F.max("c3").alias("m3"))
+    looked_up = place.filter("key is not null").join(triples.join(F.broadcast(pairs), pair), triple)
+    return found.unionByName(looked_up.select(*out))
 
 
-def surprise(model: CountModel, triples: DataFrame) -> DataFrame:
-    """``left, right, word, err, prob`` for distinct triples.
+def surprise(model: CountModel, lines: DataFrame, *, named: bool = True) -> DataFrame:
+    """``key, pos, word, err, prob`` for the words of lines (``key, line``, distinct).
 
-    Only triples whose neighbours were never seen together are looked up by the left
-    neighbour, and only those whose left neighbour is new by the word alone.
+    Only words whose neighbours were never seen together are looked up by the left neighbour, and
+    only those whose left neighbour is new by the word alone.  Without ``named`` the words are null
+    where they are not looked up.
     """
-    triples = checkpointed(triples.select("left", "right", "word"))
     room = F.lit(model.smoothing) * (F.col("_t.v") + 1)  # one share for words never seen
     totals = model.totals.select(F.struct("n", "top", "v")).scalar()
-    triple = ["left", "right", "word"]
 
     def answer(df: DataFrame, count: str, top: str, total: str) -> DataFrame:
         p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (F.col(total) + room)
         best = (F.col(top) + model.smoothing) / (F.col(total) + room)
-        return df.withColumn("_t", totals).select(*triple, (-F.log(p)).alias("err"), (1 - best).alias("prob"))
-
-    pair = model.both.groupBy("left", "right").agg(F.sum("c").alias("n3"), F.max("c").alias("m3"))
-    found = checkpointed(
-        triples.select(*triple).join(model.both.withColumnRenamed("c", "c3"), triple, "left")
-        .join(pair, ["left", "right"], "left")
-    )
-    single = model.left.groupBy("left").agg(F.sum("c").alias("n2"), F.max("c").alias("m2"))
-    rest = checkpointed(
-        found.filter("n3 is null").select(*triple)
-        .join(model.left.withColumnRenamed("c", "c2"), ["left", "word"], "left")
-        .join(single, "left", "left")
+        return df.withColumn("_t", totals).select("key", "pos", "word", (-F.log(p)).alias("err"), (1 - best).alias("prob"))
+
+    # A line of the training is one row with its copies, whether it is to be scored or not.
+    own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
+    none = F.lit(None).cast(own.schema["key"].dataType).alias("key")
+    both = own.unionByName(model.lines.select(none, "line", "copies"))
+    texts = checkpointed(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
+    new = F.col("n3") == 0
+    found = counted(texts, unit=model.unit).withColumn("left", F.when(new, F.col("left")))
+    if not named:
+        found = found.withColumn("word", F.when(new, F.col("word")))
+    found = checkpointed(found)
+    known = answer(found.filter(~new), "c3", "m3", "n3")
+    rest = found.filter(new).select("key", "pos", "left", "word")
+    if rest.isEmpty():
+        return known
+    left = positions(model.lines, "line", unit=model.unit, keep=["copies"]).groupBy("left", "word").agg(
+        F.sum("copies").alias("c2")
     )
-    alone = rest.filter("n2 is null").select(*triple).join(
-        model.word.withColumnRenamed("c", "c1"), "word", "left"
-    )
-    return (
-        answer(found.filter("n3 is not null"), "c3", "m3", "n3")
-        .unionByName(answer(rest.filter("n2 is not null"), "c2", "m2", "n2"))
-        .unionByName(answer(alone, "c1", "_t.top", "_t.n"))
+    single = left.groupBy("left").agg(F.sum("c2").alias("n2"), F.max("c2").alias("m2"))
+    rest = checkpointed(rest.join(left, ["left", "word"], "left").join(single, "left", "left"))
+    alone = rest.filter("n2 is null").join(model.word.withColumnRenamed("c", "c1"), "word", "left")
+    return known.unionByName(answer(rest.filter("n2 is not null"), "c2", "m2", "n2")).unionByName(
+        answer(alone, "c1", "_t.top", "_t.n")
     )
 
 
@@ -111,17 +162,15 @@ def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
 
 
 def word_scores(
-    model: CountModel, lines: DataFrame, *, text: str = "norm", key: str = "line_no", unit: str = "word",
+    model: CountModel, lines: DataFrame, *, text: str = "norm", key: str = "line_no", named: bool = True,
 ) -> DataFrame:
     """Per-word surprises of distinct lines: ``key, pos, word, err, prob``.
 
-    Each distinct (left, word, right) is scored once, whatever the number of its positions.
-    ``key`` travels with every word, so it is a number, not the line itself.
+    ``key`` travels with every word, so it is a number, not the line itself.  ``named=False``
+    leaves the words out of what is written on the way.
     """
-    place = positions(lines.select(key, text), text, unit=unit, keep=[key])
-    triple = ["left", "right", "word"]
-    scored = surprise(model, place.select(*triple).distinct())
-    return place.join(scored, triple).select(key, "pos", "word", "err", "prob")
+    scored = surprise(model, lines.select(F.col(key).alias("key"), F.col(text).alias("line")), named=named)
+    return scored.withColumnRenamed("key", key)
 
 
 def line_arrays(scores: DataFrame, key: str = "line_no") -> DataFrame:
@@ -133,10 +182,10 @@ def line_arrays(scores: DataFrame, key: str = "line_no") -> DataFrame:
     )
 
 
-def line_signals(model: CountModel, df: DataFrame, *, text: str = "norm", unit: str = "word") -> DataFrame:
+def line_signals(model: CountModel, df: DataFrame, *, text: str = "norm") -> DataFrame:
     """``text, errors[], probs[]`` of the distinct lines of ``df``; the text joins in at the end."""
     lines = numbered_lines(df, text)
-    arrays = line_arrays(word_scores(model, lines, text=text, unit=unit))
+    arrays = line_arrays(word_scores(model, lines, text=text, named=False))
     return lines.join(arrays, "line_no").drop("line_no")
 
 
@@ -198,8 +247,6 @@ def vocabulary(df: DataFrame, text: str = "norm", *, size: int = 30_000, min_fre
     """Word ids: special tokens first, then words by frequency (ties by word)."""
     room = size - len(SPECIALS)
     best = word_counts(df, text).filter(F.col("n") >= min_frequency).orderBy(F.col("n").desc(), "word").limit(room)
-    from pyspark.sql import Window
-
     # At most ``size`` rows remain, the limit being what a vocabulary size means.
     ranked = best.select(
         (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) + len(SPECIALS) - 1).alias("id"), "word", "n"

@@ -12,6 +12,7 @@ from omenlog.plans.registry import query
 from omenlog.plans.surprise import ADAPTIVE, LINE_SQL, labelled_lines, model_sql
 from omenlog.plans.vectors import XS, cosine_sql
 from omenlog.schema import split_lines
+from omenlog.session import checkpointed
 from omenlog.streaming import joins, windows
 from omenlog.streaming import stateful as st
 from omenlog.streaming.run import file_stream, run_available, staged
@@ -220,6 +221,7 @@ def stream_line_scores(spark, folder):
     model = surprise.train(labelled_lines(spark, folder).filter("label = 0"))
 
     def score(batch):
+        batch = checkpointed(batch)  # read by the model and by the join: normalised once
         scores = surprise.adaptive_scores(surprise.line_signals(model, batch))
         return batch.select("line_id", "norm").join(scores, "norm").drop("norm")
 

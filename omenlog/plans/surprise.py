@@ -47,7 +47,7 @@ def scored_words(spark, folder, unit="word"):
     df = labelled_lines(spark, folder)
     model = surprise.train(df.filter("label = 0"), unit=unit)
     lines = surprise.numbered_lines(df)
-    scores = surprise.word_scores(model, lines, unit=unit)
+    scores = surprise.word_scores(model, lines)
     named = lines.select("line_no", F.md5("norm").alias("line"))
     return scores.join(named, "line_no").select("line", "pos", "word", "err", "prob")
 

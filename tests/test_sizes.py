@@ -1,9 +1,10 @@
 """What only shows on larger tables, on small ones made for it."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from omenlog.operators import split
+from omenlog.operators import split, surprise
 from omenlog.plans import load
 
 QUERIES = load()
@@ -35,3 +36,45 @@ def test_line_scoring_of_high_document_numbers(spark, late_documents):
     delta = full.sort_values("line_id")["log_delta"].to_numpy()
     assert delta[0] == 0 and delta[1] == pytest.approx(6.908754779)  # a second after the line before
     assert delta[2] == pytest.approx(28.395, abs=0.01)  # 2 ** 31 - 1 seconds later
+
+
+@pytest.mark.parametrize("often", [1, 3, 1_000_000])
+def test_surprise_moves_each_position_once(spark, monkeypatch, often):
+    """Pairs counted apart and pairs in one task give the counts of plain Python."""
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcde"), rng.integers(1, 7), p=[0.5, 0.2, 0.1, 0.1, 0.1])) for _ in range(150)]
+    normal, new = texts[:100], [*texts[90:], "a z a", "z y", "y"]
+    monkeypatch.setattr(surprise, "SAMPLED", 1)
+    monkeypatch.setattr(surprise, "FREQUENT", often)
+    model = surprise.train(spark.createDataFrame([(t,) for t in normal], "norm string"))
+    lines = spark.createDataFrame(list(enumerate(sorted(set(new)))), "line_no long, norm string")
+    got = {(r["line_no"], r["pos"]): (r["word"], r["err"], r["prob"]) for r in surprise.word_scores(model, lines).collect()}
+
+    def cut(t):
+        w = ["<s>", *t.split(), "</s>"]
+        return list(zip(w[1:], w, w[2:]))
+
+    rows = [c for t in normal for c in cut(t)]
+    levels = [(Counter((w, *k(w, a, b)) for w, a, b in rows), k) for k in (
+        lambda w, a, b: (a, b), lambda w, a, b: (a,), lambda w, a, b: ())]
+    room, want = 0.1 * (len({w for w, _, _ in rows}) + 1), {}
+    for n, t in enumerate(sorted(set(new))):
+        for i, (w, a, b) in enumerate(cut(t)):
+            for counts, k in levels:
+                here = {x[0]: c for x, c in counts.items() if x[1:] == k(w, a, b)}
+                if here:
+                    total = sum(here.values()) + room
+                    want[n, i] = (w, -np.log((here.get(w, 0) + 0.1) / total), 1 - (max(here.values()) + 0.1) / total)
+                    break
+    assert got.keys() == want.keys()
+    for at, (w, err, prob) in want.items():
+        assert got[at][0] == w and got[at][1:] == pytest.approx((err, prob))
+
+
+def test_surprise_shuffles_positions_once(spark):
+    """One exchange of the positions for all counts; tables of triples moved them four times and more."""
+    df = spark.createDataFrame([("a b c", 1)], "line string, key long").withColumn("copies", F.lit(1))
+    plan = surprise.counted(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

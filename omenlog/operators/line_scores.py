@@ -23,7 +23,8 @@ def line_vectors(df: DataFrame, features: int = 1024, components: int = 16) -> D
 
     PCA keeps a ``features`` x ``features`` matrix, so ``features`` stays in the low thousands.
     """
-    once = df.select("norm").distinct().withColumn("w", words(F.col("norm")))
+    # read by both fits and by the projection: written once
+    once = checkpointed(df.select("norm").distinct()).withColumn("w", words(F.col("norm")))
     stages = [
         HashingTF(inputCol="w", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="idf"), PCA(k=components, inputCol="idf", outputCol="pca"),

@@ -259,7 +259,7 @@ def vocabulary(df: DataFrame, text: str = "norm", *, size: int = 30_000, min_fre
 
 def rare_words(df: DataFrame, text: str = "norm", percentile: float = 10.0) -> DataFrame:
     """Words whose frequency is at most the given percentile of all word frequencies."""
-    counts = word_counts(df, text)
+    counts = checkpointed(word_counts(df, text))  # read for the limit and for the words below it
     limit = quantile_list(counts, F.col("n"), [percentile / 100])
     return counts.filter(F.col("n") <= (limit[0] if limit else 0.0))
 

@@ -165,7 +165,7 @@ def own_model_scores(spark, folder):
 
 @query("line_embeddings")
 def line_embeddings(spark, folder):
-    df = normal_lines(spark, folder)
+    df = checkpointed(normal_lines(spark, folder).select("line_id", "norm"))
     return df.select("line_id", "norm").join(line_scores.line_vectors(df), "norm").select("line_id", "vec")
 
 

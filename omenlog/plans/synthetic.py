@@ -10,6 +10,7 @@ from omenlog.operators.order import Order, running
 from omenlog.plans.inputs import EV, LN, events
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, WORDS, normal_lines
+from omenlog.session import checkpointed
 
 
 def draw_sql(purpose: str, *of: str, seed: int = 42) -> str:
@@ -48,8 +49,10 @@ def token_lines(spark, folder):
     return normal_lines(spark, folder).select("line_id", words(F.col("norm")).alias("tokens"))
 
 
-def vocabulary(spark, folder):
-    return surprise.word_counts(normal_lines(spark, folder)).select("word")
+def lines_and_vocabulary(spark, folder):
+    """The words of every line and the distinct words; the templates of both are written once."""
+    df = checkpointed(normal_lines(spark, folder).select("line_id", "norm"))
+    return df.select("line_id", words(F.col("norm")).alias("tokens")), surprise.word_counts(df).select("word")
 
 
 @query(
@@ -59,7 +62,7 @@ UNION ALL SELECT 1, CAST(floor(n * 0.1) AS BIGINT) FROM n""",
     ints=("label", "lines"),
 )
 def augmented_line_counts(spark, folder):
-    out = synthetic.augment(token_lines(spark, folder), vocabulary(spark, folder), ratio=0.1)
+    out = synthetic.augment(*lines_and_vocabulary(spark, folder), ratio=0.1)
     return out.groupBy("label").agg(F.count("*").alias("lines"))
 
 
@@ -70,13 +73,13 @@ UNION ALL SELECT line_id, -1, 'original', array_to_string(w, ' '), 0 FROM tk""")
     ints=("label",), nulls={"sample": -1},
 )
 def augmented_lines(spark, folder):
-    out = synthetic.augment(token_lines(spark, folder), vocabulary(spark, folder), ratio=0.2)
+    out = synthetic.augment(*lines_and_vocabulary(spark, folder), ratio=0.2)
     return out.select("line_id", "sample", "method", F.array_join("tokens", " ").alias("text"), "label")
 
 
 @query("augmented_by_replacement", augment_sql(0.1, "'replace'", "SELECT line_id, sample, text FROM made"))
 def augmented_by_replacement(spark, folder):
-    out = synthetic.augment(token_lines(spark, folder), vocabulary(spark, folder), methods=["replace"])
+    out = synthetic.augment(*lines_and_vocabulary(spark, folder), methods=["replace"])
     return out.filter("label = 1").select("line_id", "sample", F.array_join("tokens", " ").alias("text"))
 
 
@@ -158,6 +161,7 @@ c AS (SELECT line_id, list_concat(list_append(w[1:k], word), w[k + 1:]) AS w FRO
 SELECT line_id, array_to_string(w, ' ') AS text FROM c""",
 )
 def rare_word_insertions(spark, folder):
-    df = normal_lines(spark, folder)
-    out = synthetic.insert_rare(token_lines(spark, folder), surprise.rare_words(df), insertions=2)
+    df = checkpointed(normal_lines(spark, folder).select("line_id", "norm"))
+    lines = df.select("line_id", words(F.col("norm")).alias("tokens"))
+    out = synthetic.insert_rare(lines, surprise.rare_words(df), insertions=2)
     return out.select("line_id", F.array_join("tokens", " ").alias("text"))

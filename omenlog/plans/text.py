@@ -11,7 +11,7 @@ from omenlog.functions import words as wd
 from omenlog.operators import dedup, parse, pieces, split, surprise
 from omenlog.plans.inputs import EV, LN, events, lines, table
 from omenlog.plans.registry import query
-from omenlog.session import new_folder
+from omenlog.session import checkpointed, new_folder
 from omenlog.sources import text as files
 
 
@@ -269,7 +269,7 @@ FROM pl LEFT JOIN cut USING (word)""",
     ints=("pos", "first_id", "n_pieces", "last_start"),
 )
 def learned_pieces(spark, folder):
-    df = normal_lines(spark, folder)
+    df = checkpointed(normal_lines(spark, folder).select("line_id", "norm"))
     known = pieces.learned(df, size=300)
     words = df.select("line_id", wd.words(F.col("norm")).alias("w")).withColumn("p", pieces.cut(F.col("w"), known))
     return words.select("line_id", F.posexplode("p").alias("pos", "p")).select(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
-from omenlog.operators import split, surprise
+from omenlog.operators import split, surprise, synthetic
 from omenlog.plans import load
 
 QUERIES = load()
@@ -101,3 +101,17 @@ def test_letters_and_angles_are_one_class(spark):
         return min(times)
 
     assert seconds(nz.LETTERS_AND_ANGLES) < 0.6 * seconds(r"[^a-zA-Z<>]+")
+
+
+@pytest.mark.parametrize("name", [
+    "rare_words", "augmented_lines", "augmented_by_replacement", "rare_word_insertions", "line_embeddings", "learned_pieces",
+])
+def test_templates_are_made_once(spark, name):
+    """The lines are normalised into a table that all steps read, not anew for each of them."""
+    plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_tickets_sort_as_their_draws(spark):
+    rows = spark.range(500).select(synthetic.ticket(42, "x", F.col("id")).alias("t"), synthetic.draw(42, "x", F.col("id")).alias("d")).collect()
+    assert [r["d"] for r in sorted(rows, key=lambda r: r["t"])] == sorted(r["d"] for r in rows)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,30 +34,41 @@ def pieces(word: Column) -> Column:
     return F.regexp_extract_all(word, F.lit(PIECES), F.lit(0))
 
 
+def _packed(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Window number of every word of one text."""
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out = np.zeros(len(sizes), dtype=np.int32)
+    start = number = 0
+    while start < len(sizes):
+        end = int(np.searchsorted(sums, sums[start] + limit, side="right")) - 1
+        end = max(end, start + 1)
+        out[start:end] = number
+        start, number = end, number + 1
+    return out
+
+
 def pack(lengths: pd.Series, budget: pd.Series) -> pd.Series:
     """Window number of every word when words are packed greedily under a length budget.
 
     A word longer than the budget gets a window of its own.
     """
-
-    def one(sizes, limit):
-        if sizes is None:
-            return None
-        sums = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))])
-        out = np.zeros(len(sizes), dtype=np.int32)
-        start = number = 0
-        while start < len(sizes):
-            end = int(np.searchsorted(sums, sums[start] + limit, side="right")) - 1
-            end = max(end, start + 1)
-            out[start:end] = number
-            start, number = end, number + 1
-        return out
-
-    return pd.Series([one(s, int(b)) for s, b in zip(lengths, budget)])
+    return pd.Series([None if s is None else _packed(np.asarray(s), int(b)) for s, b in zip(lengths, budget)])
 
 
 def windows(tokens: Column, budget: int, lengths: Column | None = None) -> Column:
-    """Window numbers of the words; a word counts its sub-word pieces unless given."""
+    """Window numbers of the words; a word counts its sub-word pieces unless given.
+
+    The texts of a batch stay two flat arrays, of sizes and of windows, in the Python workers.
+    """
     if lengths is None:
         lengths = F.transform(tokens, lambda w: F.greatest(F.size(pieces(w)), F.lit(1)))
-    return F.pandas_udf(pack, "array<int>")(lengths, F.lit(budget))
+
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        out = np.zeros(len(flat), dtype=np.int32)
+        for a, b in zip(ends, ends[1:]):
+            out[a:b] = _packed(flat[a:b], budget)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=lists.is_null())
+
+    return F.arrow_udf(run, "array<int>")(lengths)

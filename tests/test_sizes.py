@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
+from omenlog.functions import words
 from omenlog.operators import split, surprise, synthetic
 from omenlog.plans import load
 
@@ -115,3 +116,12 @@ def test_templates_are_made_once(spark, name):
 def test_tickets_sort_as_their_draws(spark):
     rows = spark.range(500).select(synthetic.ticket(42, "x", F.col("id")).alias("t"), synthetic.draw(42, "x", F.col("id")).alias("d")).collect()
     assert [r["d"] for r in sorted(rows, key=lambda r: r["t"])] == sorted(r["d"] for r in rows)
+
+
+def test_windows_of_a_batch_are_flat_arrays(spark):
+    """Null, empty and long texts; no Python object for each text of a batch."""
+    df = spark.createDataFrame([(1, ["a", "b", "c"] * 400), (2, []), (3, None), (4, ["a"])], "id int, w array<string>")
+    placed = df.select("id", words.windows(F.col("w"), 5).alias("win"))
+    got = {r["id"]: r["win"] for r in placed.collect()}
+    assert got == {1: [i // 5 for i in range(1200)], 2: [], 3: None, 4: [0]}
+    assert "pack(" not in placed._jdf.queryExecution().optimizedPlan().toString()

@@ -89,16 +89,26 @@ def class_report(df: DataFrame, predicted: Column) -> DataFrame:
     return rows.unionByName(macro).unionByName(weighted)
 
 
-def score_counts(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+def _of_class(value: int, weight: Column | None) -> Column:
+    """Rows of a class, each counted ``weight`` times."""
+    mine = F.col("label") == value
+    return F.count_if(mine) if weight is None else F.coalesce(F.sum(F.when(mine, weight)), F.lit(0))
+
+
+def score_counts(
+    df: DataFrame, *, by: Sequence[str] = (), score: str = "score", weight: Column | None = None,
+) -> DataFrame:
     """Positives and negatives per distinct score: all that any curve needs."""
     return df.groupBy(*by, score).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+        _of_class(1, weight).alias("pos"), _of_class(0, weight).alias("neg")
     )
 
 
-def curve(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+def curve(
+    df: DataFrame, *, by: Sequence[str] = (), score: str = "score", weight: Column | None = None,
+) -> DataFrame:
     """One row per distinct score, taken as a ``>=`` threshold: counts and the P/N totals."""
-    counts = score_counts(df, by=by, score=score)
+    counts = score_counts(df, by=by, score=score, weight=weight)
     steps = running(
         counts,
         Order(tuple(by), (score,)),
@@ -107,7 +117,7 @@ def curve(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> Dat
     )
     # Summed from the rows, not from the counts: partial sums stay on the map side.
     totals = df.groupBy(*by).agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")
+        _of_class(1, weight).alias("p"), _of_class(0, weight).alias("n")
     )
     if by:
         return steps.join(totals, list(by))
@@ -129,10 +139,12 @@ def roc(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     return points.unionByName(start.withColumns({"fpr": F.lit(0.0), "tpr": F.lit(0.0)}))
 
 
-def auroc(df: DataFrame, *, by: Sequence[str] = (), score: str = "score") -> DataFrame:
+def auroc(
+    df: DataFrame, *, by: Sequence[str] = (), score: str = "score", weight: Column | None = None,
+) -> DataFrame:
     """Area under the ROC curve, ties counted half."""
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return curve(df, by=by, score=score).groupBy(*by).agg(
+    return curve(df, by=by, score=score, weight=weight).groupBy(*by).agg(
         ratio(area, (F.max("p") * F.max("n")).cast("double")).alias("auroc")
     )
 

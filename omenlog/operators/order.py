@@ -323,16 +323,18 @@ def quantiles(
     *,
     keys: Sequence[str] = (),
     ranges: int | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: rows ``keys, q (index into probs), value``.
 
-    Equal values are counted first, the counts are accumulated over the ordered values,
+    A row counts ``weight`` times (a whole number, else once).  Equal values are counted first, the counts are accumulated over the ordered values,
     and the rows that cover a wanted rank are picked out.
     """
     probs = [float(p) for p in probs]
-    counts = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
+    one = F.lit(1).cast("long") if weight is None else weight
+    counts = df.select(*keys, value.cast("double").alias("_v"), one.alias("_w")).filter("_v is not null")
     order = Order(tuple(keys), ("_v",), ranges)
-    counts = laid_out(counts.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), order)
+    counts = laid_out(counts.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c")), order)
     ranked = _running(counts, order, {"_cum": ("sum", F.col("_c"))})
     if keys:
         ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))

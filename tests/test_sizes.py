@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
 from omenlog.functions import words
-from omenlog.operators import split, surprise, synthetic
+from omenlog.operators import split, surprise, sweep, synthetic
 from omenlog.plans import load
 
 QUERIES = load()
@@ -125,3 +125,10 @@ def test_windows_of_a_batch_are_flat_arrays(spark):
     got = {r["id"]: r["win"] for r in placed.collect()}
     assert got == {1: [i // 5 for i in range(1200)], 2: [], 3: None, 4: [0]}
     assert "pack(" not in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_rows_are_blended_once(spark):
+    """Copies of a row are counted before they are blended with every alpha."""
+    df = spark.range(3000).select((F.col("id") % 3 / 2).alias("a"), (F.col("id") % 2).cast("double").alias("b"), (F.col("id") % 2).alias("label"))
+    mixed = sweep.by_alpha(df, F.col("a"), F.col("b"), [0.0, 0.5, 1.0])
+    assert mixed.count() == 18 and mixed.agg(F.sum("n")).first()[0] == 9000

@@ -13,7 +13,7 @@ from omenlog.functions.words import words
 from omenlog.operators.context import context_distance
 from omenlog.operators.order import Order
 from omenlog.operators.scores import online_hybrid
-from omenlog.operators.surprise import CountModel, adaptive_scores, line_signals
+from omenlog.operators.surprise import CountModel, adaptive_scores, line_signals, numbered_lines, to_lines
 from omenlog.operators.temporal import delta_ms
 from omenlog.session import checkpointed
 
@@ -52,12 +52,13 @@ def score_lines(
     (``norm, vec``) replaces the default embedding.
     """
     df = checkpointed(df)
-    once = adaptive_scores(line_signals(model, df)).select(
-        "norm", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
+    lines = numbered_lines(df)
+    once = adaptive_scores(line_signals(model, lines), ["line_no"]).select(
+        "line_no", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
     )
+    out = to_lines(df, lines, once)
     if memory:
-        once = once.join(line_vectors(df) if vectors is None else vectors, "norm")
-    out = df.join(once, "norm")
+        out = out.join(line_vectors(df) if vectors is None else vectors, "norm")
     if time:
         out = delta_ms(out, keys=keys, by=("us", "line_id")).withColumn("log_delta", log_delta(F.col("delta_ms")))
     if not memory:

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from omenlog.functions.scoring import pool
-from omenlog.functions.words import contexts, pieces, words
+from omenlog.functions.words import START, contexts, pieces, words
+from omenlog.operators import positions as moves
 from omenlog.operators.dedup import score_once
 from omenlog.operators.order import quantile_list
 from omenlog.session import checkpointed
@@ -43,6 +44,8 @@ def positions(df: DataFrame, text: str = "norm", *, unit: str = "word", keep: Se
 FREQUENT, SAMPLED = 1_000, 64
 #: Most of these pairs; the others are too rare to fill a task.
 MOST_FREQUENT = 4_096
+#: Characters of the lines in one group of positions.
+PART_LENGTH = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -74,86 +77,96 @@ def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: st
     return CountModel(lines, checkpointed(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
 
 
-def frequent_pairs(lines: DataFrame, text: str = "line", *, unit: str = "word") -> DataFrame | None:
-    """``left, right`` of the pairs of neighbours that would fill a task, by a sample of the lines.
+def trained(df: DataFrame, normal: Column, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> tuple[CountModel, DataFrame]:
+    """The model of the normal lines, and all distinct lines with number and copies among these: one grouping for both."""
+    lines = checkpointed(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
+    own = lines.filter("copies > 0").select(F.col(text).alias("line"), "copies")
+    once = own.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
+    return CountModel(own, checkpointed(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit), lines
+
+
+def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
+    """The pairs of neighbours that would fill a task, by a sample of the lines, and their exact counts.
 
     The sample only says how a pair is counted, not what is counted.
     """
-    some = lines.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0)
-    counts = positions(some, text, unit=unit).groupBy("left", "right").agg(F.count("*").alias("n"))
-    rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc()).limit(MOST_FREQUENT).collect()
+    pair, triple = ["left", "right"], ["left", "right", "word"]
+    some = lines.filter(F.pmod(F.xxhash64("line"), F.lit(SAMPLED)) == 0)
+    counts = positions(some, "line", unit=unit).groupBy(*pair).agg(F.count("*").alias("n"))
+    rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), *pair).limit(MOST_FREQUENT).collect()
     if not rows:
-        return None
-    pairs = [(r["left"], r["right"]) for r in rows]
-    return F.broadcast(lines.sparkSession.createDataFrame(pairs, "left string, right string"))
+        return moves.Frequent()
+    often = F.broadcast(lines.sparkSession.createDataFrame([(r["left"], r["right"]) for r in rows], "left string, right string"))
+    triples = checkpointed(
+        positions(lines, "line", unit=unit, keep=["copies"]).join(often, pair).groupBy(*triple)
+        .agg(F.sum("copies").alias("c3"), F.count("*").alias("n"))
+    )
+    pairs = [tuple(r) for r in triples.groupBy(*pair).agg(F.sum("c3"), F.max("c3")).collect()]
+    number = {p[:2]: i for i, p in enumerate(pairs)}
+    # so many positions each: there are few of them
+    hot = triples.filter(F.col("n") >= FREQUENT * SAMPLED).select(*triple, "c3").collect()
+    return moves.Frequent(pairs, [(number[r["left"], r["right"]], r["word"], r["c3"]) for r in hot])
+
 
+def tasks_for(lines: DataFrame) -> int:
+    """Among how many groups the positions of lines are dealt: about three million in each."""
+    return 32 + (lines.agg(F.sum(F.length("line"))).first()[0] or 0) // PART_LENGTH
 
-def counted(lines: DataFrame, *, unit: str = "word") -> DataFrame:
+
+def counted(lines: DataFrame, *, unit: str = "word", parts: int | None = None, spread: Sequence[str] = ()) -> DataFrame:
     """Positions of lines (``key, line, copies``) with the copies of their triple and pair.
 
-    ``key, pos, word, left, c3, n3, m3``: copies of the triple, of its pair, and of the pair's most
-    frequent triple.  The positions move once, to the task of their pair.  Pairs that would fill a
-    task are grouped, which combines before the shuffle, and joined instead.
+    The positions move once, in blocks, to the task of their pair (see ``positions``).  What comes out
+    are blocks for the task of their line, and rows (``key, pos, left, word``) of the pairs that no copy has.
     """
-    pair, triple = ["left", "right"], ["left", "right", "word"]
-    place = positions(lines, "line", unit=unit, keep=["key", "copies"])
-    out = ["key", "pos", "word", "left", "c3", "n3", "m3"]
-    often = frequent_pairs(lines, unit=unit)
-    rare = place if often is None else place.join(often, pair, "left_anti")
-    in_pair = Window.partitionBy(*pair)
-    found = (
-        rare.repartition(*pair)
-        .withColumn("c3", F.sum("copies").over(Window.partitionBy(*triple)))
-        .withColumns({"n3": F.sum("copies").over(in_pair), "m3": F.max("c3").over(in_pair)})
-        .filter("key is not null").select(*out)
-    )
-    if often is None:
-        return found
-    place = place.join(often, pair, "left_semi")
-    triples = checkpointed(place.groupBy(*triple).agg(F.sum("copies").alias("c3")))
-    pairs = triples.groupBy(*pair).agg(F.sum("c3").alias("n3"), F.max("c3").alias("m3"))
-    looked_up = place.filter("key is not null").join(triples.join(F.broadcast(pairs), pair), triple)
-    return found.unionByName(looked_up.select(*out))
+    parts, often = parts or tasks_for(lines), frequent(lines, unit=unit)
+    cut = lines.select("key", F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), unit).alias("words"))
+    dealt = cut.mapInArrow(moves.cut(parts, often), moves.MOVED).groupBy("part")
+    return dealt.applyInArrow(moves.count(parts, often, spread), moves.COUNTED)
 
 
-def surprise(model: CountModel, lines: DataFrame, *, named: bool = True) -> DataFrame:
-    """``key, pos, word, err, prob`` for the words of lines (``key, line``, distinct).
+def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
+    """``key, errors[], probs[]`` in word order for lines (``key, line``, distinct) that have words.
 
     Only words whose neighbours were never seen together are looked up by the left neighbour, and
-    only those whose left neighbour is new by the word alone.  Without ``named`` the words are null
-    where they are not looked up.
+    only those whose left neighbour is new by the word alone.  Lines that bring their ``copies`` in
+    the training are not matched with it again.
     """
-    room = F.lit(model.smoothing) * (F.col("_t.v") + 1)  # one share for words never seen
-    totals = model.totals.select(F.struct("n", "top", "v")).scalar()
-
-    def answer(df: DataFrame, count: str, top: str, total: str) -> DataFrame:
-        p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (F.col(total) + room)
-        best = (F.col(top) + model.smoothing) / (F.col(total) + room)
-        return df.withColumn("_t", totals).select("key", "pos", "word", (-F.log(p)).alias("err"), (1 - best).alias("prob"))
-
-    # A line of the training is one row with its copies, whether it is to be scored or not.
-    own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
-    none = F.lit(None).cast(own.schema["key"].dataType).alias("key")
-    both = own.unionByName(model.lines.select(none, "line", "copies"))
-    texts = checkpointed(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
-    new = F.col("n3") == 0
-    found = counted(texts, unit=model.unit).withColumn("left", F.when(new, F.col("left")))
-    if not named:
-        found = found.withColumn("word", F.when(new, F.col("word")))
-    found = checkpointed(found)
-    known = answer(found.filter(~new), "c3", "m3", "n3")
-    rest = found.filter(new).select("key", "pos", "left", "word")
-    if rest.isEmpty():
-        return known
-    left = positions(model.lines, "line", unit=model.unit, keep=["copies"]).groupBy("left", "word").agg(
-        F.sum("copies").alias("c2")
-    )
-    single = left.groupBy("left").agg(F.sum("c2").alias("n2"), F.max("c2").alias("m2"))
-    rest = checkpointed(rest.join(left, ["left", "word"], "left").join(single, "left", "left"))
-    alone = rest.filter("n2 is null").join(model.word.withColumnRenamed("c", "c1"), "word", "left")
-    return known.unionByName(answer(rest.filter("n2 is not null"), "c2", "m2", "n2")).unionByName(
-        answer(alone, "c1", "_t.top", "_t.n")
-    )
+    totals = model.totals.first()
+    room = model.smoothing * (totals["v"] + 1)  # one share for words never seen
+    if "copies" in lines.columns:
+        texts = lines.select("key", "line", "copies")
+    else:
+        # A line of the training is one row with its copies, whether it is to be scored or not.
+        own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
+        both = own.unionByName(model.lines.select(F.lit(None).cast("long").alias("key"), "line", "copies"))
+        texts = checkpointed(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
+
+    def answer(df: DataFrame, count: str, top: Column, total: Column) -> DataFrame:
+        p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (total + room)
+        best = (top + model.smoothing) / (total + room)
+        return df.select("part", F.lit(None).cast("binary").alias("block"), "key", "pos", (-F.log(p)).alias("err"), (1 - best).alias("prob"))
+
+    # the most frequent words have more right neighbours than a task should hold
+    spread = [START, *(r["word"] for r in model.word.orderBy(F.col("c").desc(), "word").limit(MOST_FREQUENT).collect())]
+    parts = tasks_for(texts)
+    found = checkpointed(counted(texts, unit=model.unit, parts=parts, spread=spread))
+    none = [F.lit(None).cast(kind).alias(n) for n, kind in (("key", "long"), ("pos", "int"), ("err", "double"), ("prob", "double"))]
+    out = found.filter("block is not null").select("part", "block", *none)
+    rest = found.filter("block is null").drop("block")
+    if not rest.isEmpty():
+        seen = model.lines.select(F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), model.unit).alias("words"))
+        pairs = seen.mapInArrow(moves.cut_pairs(parts, spread), moves.MOVED)
+        both = checkpointed(
+            rest.groupBy("from_left").cogroup(pairs.groupBy("part")).applyInArrow(moves.count_pairs, moves.FOLLOWED)
+        )
+        left = both.filter("key is null").groupBy("left").agg(F.sum("n2").alias("n2"), F.max("m2").alias("m2"))
+        rest = both.filter("key is not null").drop("n2", "m2").join(left, "left", "left")
+        alone = rest.filter("n2 is null").join(model.word.withColumnRenamed("c", "c1"), "word", "left")
+        n, top = (F.lit(totals[c]).cast("long") for c in ("n", "top"))
+        out = out.unionByName(answer(rest.filter("n2 is not null"), "c2", F.col("m2"), F.col("n2")))
+        out = out.unionByName(answer(alone, "c1", top, n))
+    return out.groupBy("part").applyInArrow(moves.gather(model.smoothing, room), moves.SIGNALS)
 
 
 def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
@@ -162,36 +175,39 @@ def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
 
 
 def word_scores(
-    model: CountModel, lines: DataFrame, *, text: str = "norm", key: str = "line_no", named: bool = True,
+    model: CountModel, lines: DataFrame, *, text: str = "norm", key: str = "line_no", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Per-word surprises of distinct lines: ``key, pos, word, err, prob``.
+    """Per-word surprises of distinct lines: ``key, pos, word, err, prob`` plus ``keep``."""
+    if lines.schema[key].dataType.typeName() != "long":
+        numbered = checkpointed(lines.withColumn("_no", F.monotonically_increasing_id()))
+        return word_scores(model, numbered, text=text, key="_no", keep=[key, *keep]).drop("_no")
+    arrays = surprise(model, _keyed(lines, key, text)).withColumnRenamed("key", "_key")
+    texts = lines.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *keep)
+    cells = F.arrays_zip(_tokens(F.col("_text"), model.unit).alias("word"), "errors", "probs")
+    rows = texts.join(arrays, "_key").select(F.col("_key").alias(key), *keep, F.posexplode(cells).alias("pos", "c"))
+    return rows.select(key, *keep, "pos", "c.word", F.col("c.errors").alias("err"), F.col("c.probs").alias("prob"))
 
-    ``key`` travels with every word, so it is a number, not the line itself.  ``named=False``
-    leaves the words out of what is written on the way.
-    """
-    scored = surprise(model, lines.select(F.col(key).alias("key"), F.col(text).alias("line")), named=named)
-    return scored.withColumnRenamed("key", key)
 
+def _keyed(lines: DataFrame, key: str, text: str) -> DataFrame:
+    copies = [c for c in ("copies",) if c in lines.columns]
+    return lines.select(F.col(key).alias("key"), F.col(text).alias("line"), *copies)
 
-def line_arrays(scores: DataFrame, key: str = "line_no") -> DataFrame:
-    """``key, errors[], probs[]`` in word order (a line already was one value)."""
-    item = F.struct("pos", "err", "prob")
-    ordered = F.sort_array(F.collect_list(item))
-    return scores.groupBy(key).agg(ordered.alias("_s")).select(
-        key, F.col("_s.err").alias("errors"), F.col("_s.prob").alias("probs")
-    )
 
+def line_signals(model: CountModel, lines: DataFrame, *, text: str = "norm") -> DataFrame:
+    """``line_no, errors[], probs[]`` of numbered lines (``line_no``, ``text``, perhaps ``copies``)."""
+    return surprise(model, _keyed(lines, "line_no", text)).withColumnRenamed("key", "line_no")
 
-def line_signals(model: CountModel, df: DataFrame, *, text: str = "norm") -> DataFrame:
-    """``text, errors[], probs[]`` of the distinct lines of ``df``; the text joins in at the end."""
-    lines = numbered_lines(df, text)
-    arrays = line_arrays(word_scores(model, lines, text=text, named=False))
-    return lines.join(arrays, "line_no").drop("line_no")
 
+def to_lines(df: DataFrame, lines: DataFrame, scores: DataFrame, *, text: str = "norm") -> DataFrame:
+    """Scores of numbered lines (``line_no``) for all rows of ``df``, matched by a digest so that no text moves."""
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    named = lines.select("line_no", digest.alias("_line")).join(scores, "line_no").drop("line_no")
+    return df.withColumn("_line", digest).join(named, "_line").drop("_line")
 
-def top_k_scores(arrays: DataFrame, ks: Sequence[int] = TOP_KS, keep: Sequence[str] = ("norm",)) -> DataFrame:
-    """Three score families for every k, from one pass over the arrays."""
-    families = F.array(*[
+
+def top_k_families(ks: Sequence[int] = TOP_KS) -> Column:
+    """Three score families for every k, of one line's ``errors`` and ``probs``."""
+    return F.array(*[
         F.struct(
             F.lit(k).alias("k"),
             pool(F.col("errors"), "topk_mean", k).alias("error"),
@@ -200,7 +216,11 @@ def top_k_scores(arrays: DataFrame, ks: Sequence[int] = TOP_KS, keep: Sequence[s
         )
         for k in ks
     ])
-    return arrays.select(*keep, F.explode(families).alias("s")).select(*keep, "s.*")
+
+
+def top_k_scores(arrays: DataFrame, ks: Sequence[int] = TOP_KS, keep: Sequence[str] = ("norm",)) -> DataFrame:
+    """Three score families for every k, from one pass over the arrays."""
+    return arrays.select(*keep, F.explode(top_k_families(ks)).alias("s")).select(*keep, "s.*")
 
 
 def adaptive_scores(arrays: DataFrame, keep: Sequence[str] = ("norm",)) -> DataFrame:

@@ -222,8 +222,9 @@ def stream_line_scores(spark, folder):
 
     def score(batch):
         batch = checkpointed(batch)  # read by the model and by the join: normalised once
-        scores = surprise.adaptive_scores(surprise.line_signals(model, batch))
-        return batch.select("line_id", "norm").join(scores, "norm").drop("norm")
+        lines = surprise.numbered_lines(batch)
+        scores = surprise.adaptive_scores(surprise.line_signals(model, lines), ["line_no"])
+        return surprise.to_lines(batch.select("line_id", "norm"), lines, scores).drop("norm")
 
     stream = document_stream(spark, folder).select("line_id", normalise(F.col("raw")).alias("norm"))
     return run_available(stream.filter("norm <> ''"), "line-scores", each=score)

@@ -44,18 +44,16 @@ sc AS (SELECT norm, pos, word,
 
 
 def scored_words(spark, folder, unit="word"):
-    df = labelled_lines(spark, folder)
-    model = surprise.train(df.filter("label = 0"), unit=unit)
-    lines = surprise.numbered_lines(df)
-    scores = surprise.word_scores(model, lines)
-    named = lines.select("line_no", F.md5("norm").alias("line"))
-    return scores.join(named, "line_no").select("line", "pos", "word", "err", "prob")
+    model, lines = surprise.trained(labelled_lines(spark, folder), F.col("label") == 0, unit=unit)
+    named = lines.withColumn("line", F.md5("norm"))
+    return surprise.word_scores(model, named, keep=["line"]).select("line", "pos", "word", "err", "prob")
 
 
 def scored_lines(spark, folder):
-    """Labelled lines and the word signals of the distinct ones."""
+    """Labelled lines, the distinct ones and the word signals of these."""
     df = labelled_lines(spark, folder)
-    return df, surprise.line_signals(surprise.train(df.filter("label = 0")), df)
+    model, lines = surprise.trained(df, F.col("label") == 0)
+    return df, lines, surprise.line_signals(model, lines)
 
 
 @query(
@@ -87,8 +85,9 @@ LINE_SQL = """ls AS (SELECT norm, avg(err) AS error_mean, quantile_cont(err, 0.9
     digits={c: 6 for c in ADAPTIVE}, ints=("label",),
 )
 def line_surprise(spark, folder):
-    df, signals = scored_lines(spark, folder)
-    return df.select("line_id", "label", "norm").join(surprise.adaptive_scores(signals), "norm").drop("norm")
+    df, lines, signals = scored_lines(spark, folder)
+    once = surprise.adaptive_scores(signals, ["line_no"])
+    return surprise.to_lines(df.select("line_id", "label", "norm"), lines, once).drop("norm")
 
 
 @query(
@@ -101,9 +100,10 @@ SELECT line_id, k, error, prob, probtopk FROM lb JOIN t USING (norm)""",
     digits={"error": 6, "prob": 6, "probtopk": 6}, ints=("k",),
 )
 def line_surprise_top_k(spark, folder):
-    df, signals = scored_lines(spark, folder)
-    once = surprise.top_k_scores(signals)
-    return df.select("line_id", "norm").join(once, "norm").drop("norm")
+    df, lines, signals = scored_lines(spark, folder)
+    once = signals.select("line_no", surprise.top_k_families().alias("s"))
+    every = surprise.to_lines(df.select("line_id", "norm"), lines, once)
+    return every.select("line_id", F.explode("s").alias("s")).select("line_id", "s.*")
 
 
 @query(
@@ -115,10 +115,10 @@ SELECT sum(neg * (tp - pos / 2)) / max(p * n) AS auroc FROM u""",
     digits={"auroc": 6},
 )
 def surprise_quality(spark, folder):
-    df, signals = scored_lines(spark, folder)
-    lines = df.select("label", "norm").join(surprise.adaptive_scores(signals), "norm")
+    df, lines, signals = scored_lines(spark, folder)
+    once = surprise.adaptive_scores(signals, ["line_no"]).select("line_no", F.round("error_mean", 9).alias("score"))
     # the curve reads its rows more than once
-    return classify.auroc(checkpointed(lines.select("label", F.round("error_mean", 9).alias("score"))))
+    return classify.auroc(checkpointed(surprise.to_lines(df.select("label", "norm"), lines, once).drop("norm")))
 
 
 @query(
@@ -137,11 +137,12 @@ FROM u GROUP BY family, k""",
 )
 def surprise_quality_by_k(spark, folder):
     """How well each score family tells failures apart, for every k."""
-    df, signals = scored_lines(spark, folder)
+    df, lines, signals = scored_lines(spark, folder)
     families = ("error", "prob", "probtopk")
     cells = F.array(*[F.struct(F.lit(n).alias("family"), F.round(n, 6).alias("score")) for n in families])
-    once = surprise.top_k_scores(signals).select("norm", "k", F.explode(cells).alias("c")).select("norm", "k", "c.*")
-    rows = checkpointed(df.select("label", "norm").join(once, "norm").drop("norm"))
+    every = surprise.to_lines(df.select("label", "norm"), lines, signals.select("line_no", surprise.top_k_families().alias("s")))
+    by_k = every.select("label", F.explode("s").alias("s")).select("label", "s.*")
+    rows = checkpointed(by_k.select("label", "k", F.explode(cells).alias("c")).select("label", "k", "c.*"))
     by = ["family", "k"]
     return classify.auroc(rows, by=by).join(classify.best_f1(rows, by=by).select(*by, "best_f1"), by)
 

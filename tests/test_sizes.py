@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
 from omenlog.functions import words
-from omenlog.operators import split, surprise, sweep, synthetic
+from omenlog.operators import positions, split, surprise, sweep, synthetic
 from omenlog.plans import load
 
 QUERIES = load()
@@ -85,6 +85,17 @@ def test_surprise_shuffles_positions_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_positions_move_in_blocks(spark):
+    """A position takes a few bytes on its way to the task of its pair; as a row with its words it took about forty."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{chr(97 + i % 26)}{i}" for i in range(3000)]
+    texts = [" ".join(vocabulary[min(2999, int(w))] for w in rng.pareto(1.0, 50) * 20) for _ in range(400)]
+    df = spark.createDataFrame([(i, 1, t.split()) for i, t in enumerate(texts)], "key long, copies long, words array<string>").coalesce(1)
+    blocks = df.mapInArrow(positions.cut(4, positions.Frequent()), positions.MOVED)
+    size = blocks.agg(F.sum(F.length("block"))).first()[0]
+    assert size < 12 * 400 * 50
+
+
 def test_letters_and_angles_are_one_class(spark):
     """The profiles' pattern removes what ``[^a-zA-Z<>]+`` removes, and does not take its time."""
     texts = ["", "<a> b==<<c;>>1 d\n\te", "é<è>ß 日本 <x> \U0001f600", "-" * 50_000 + "z", " ".join(["plain words, 12 <NUM>"] * 4_000)]

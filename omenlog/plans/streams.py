@@ -76,7 +76,7 @@ def stream_alert_sessions(spark, folder):
 )
 def stream_delta_ms(spark, folder):
     stream, late = arriving_events(spark, folder)
-    out = st.stateful(in_order(stream(), late), st.DeltaMs(wait=True), "key long, line_id long, delta_ms double", time_mode="EventTime")
+    out = st.bucketed(in_order(stream(), late), st.DeltaMs(wait=True), "key long, line_id long, delta_ms double")
     return run_available(out, "delta")
 
 
@@ -90,7 +90,7 @@ SELECT key, line_id, 0.5 * (CASE WHEN h1 - l1 < 1e-8 THEN 0 ELSE (score - l1) /
 def stream_hybrid(spark, folder):
     stream, late = arriving_events(spark, folder)
     rows = in_order(stream(), late, "score", "dist")
-    out = st.stateful(rows, st.Hybrid(wait=True), "key long, line_id long, hybrid double", time_mode="EventTime")
+    out = st.bucketed(rows, st.Hybrid(wait=True), "key long, line_id long, hybrid double")
     return run_available(out, "hybrid")
 
 
@@ -122,7 +122,7 @@ def stream_anchored_groups(spark, folder):
     stream, late = arriving_events(spark, folder, 86400)
     schema = "key long, window_start long, window_end long, alert_count long, max_score double, mean_score double"
     groups = st.AnchoredGroups(t, 86400, wait=True)
-    return run_available(st.stateful(in_order(stream(), late, "score"), groups, schema, time_mode="EventTime"), "groups")
+    return run_available(st.bucketed(in_order(stream(), late, "score"), groups, schema), "groups")
 
 
 def session_knn_sql(capacity: int, k: int) -> str:

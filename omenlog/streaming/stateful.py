@@ -15,6 +15,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -305,6 +306,131 @@ class AnchoredGroups(_Keyed):
             yield from self.settle(key, expiredTimerInfo.getExpiryTimeInMs() * 1000)
 
 
+class _Value:
+    """A value state that is held in memory while the keys of a bucket are worked on."""
+
+    def __init__(self, value: tuple | None = None):
+        self.value = value
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = tuple(value)
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class _Timers:
+    """The timers that the keys of a bucket ask for; one is set for all of them."""
+
+    def __init__(self):
+        self.due: set[int] = set()
+
+    def registerTimer(self, at: int) -> None:
+        self.due.add(at)
+
+    def deleteTimer(self, at: int) -> None:
+        self.due.discard(at)
+
+
+class _Buckets(StatefulProcessor):
+    """Runs a waiting processor for many keys at a time.
+
+    A key of its own costs several calls to the state and a frame per micro-batch.  A bucket reads the
+    rows and values of its keys once, works on those that have rows to release and writes them back.
+    """
+
+    def __init__(self, processor: _Keyed):
+        self.processor = processor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        inner = self.processor
+        self.handle = handle
+        kinds = {"key": "long", "us": "long", "line_id": "long", **inner.fields}
+        self.columns = list(kinds)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in kinds.items()))
+        self.kept = handle.getListState("kept", f"key long, due long, {inner.state_schema}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fresh = []
+        for pdf in rows:
+            columns = [[None if v is None or v != v else v for v in pdf[c].tolist()] if c == "key" else pdf[c].tolist() for c in self.columns]
+            columns[0] = [None if k is None else int(k) for k in columns[0]]
+            fresh += zip(*columns)
+        yield from self._release(fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._release([], timerValues)
+
+    def _release(self, fresh: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [*(tuple(r) for r in self.waiting.get()), *fresh]
+        kept = {r[0]: (r[1], tuple(r[2:])) for r in (tuple(r) for r in self.kept.get())}
+        due: dict = {}
+        rest = []
+        for r in rows:
+            if r[1] < passed:
+                due.setdefault(r[0], []).append(r[1:])
+            else:
+                rest.append(r)
+        late = {k for k, (at, _) in kept.items() if at is not None and at * 1000 <= passed}
+        out = []
+        for k in [*due, *(late - due.keys())]:
+            out += self._one(k, sorted(due.get(k, ()), key=lambda r: r[:2]), kept, passed)
+        if due or late:
+            self._put(self.kept, [(k, at, *value) for k, (at, value) in kept.items()])
+        if fresh or due:
+            self._put(self.waiting, rest)
+        times = [at for at, _ in kept.values() if at is not None]
+        if rest:
+            times.append(min(r[1] for r in rest) // 1000 + 1)
+        if times:
+            self.handle.registerTimer(min(times))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    def _one(self, key, rows: list[tuple], kept: dict, passed: int) -> list[pd.DataFrame]:
+        inner = self.processor
+        at, value = kept.get(key, (None, None))
+        inner.state, inner.handle = _Value(value), _Timers()
+        if at is not None:
+            inner.handle.registerTimer(at)
+        out = []
+        if rows:
+            out += inner.advance((key,), pd.DataFrame(rows, columns=self.columns[1:]))
+        out += inner.settle((key,), passed)
+        if inner.state.exists():
+            kept[key] = (max(inner.handle.due, default=None), inner.state.get())
+        else:
+            kept.pop(key, None)
+        return [f for f in out if len(f)]
+
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
+    def close(self) -> None:
+        self.processor.close()
+
+
+def bucketed(
+    stream: DataFrame, processor: _Keyed, schema: str | StructType, *, buckets: int = 512, mode: str = "append",
+) -> DataFrame:
+    """``stateful`` for a processor that waits, on a long ``key`` with many values: a state per bucket of keys."""
+    dealt = stream.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=_Buckets(processor), outputStructType=schema, outputMode=mode, timeMode="EventTime"
+    )
+
+
 def stateful(
     stream: DataFrame, processor: StatefulProcessor, schema: str | StructType, *,
     keys: Sequence[str] = ("key",), time_mode: str = "None", mode: str = "append",

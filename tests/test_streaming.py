@@ -114,6 +114,23 @@ def test_rows_wait_for_late_ones(arriving, batch):
     same(out, context.knn(batch, 20, 4, order=Order(("key",))), "distance")
 
 
+def test_buckets_of_keys_give_what_keys_give(arriving, batch):
+    """Two buckets for three keys: their rows wait together, their values stay apart."""
+    stream, late = arriving
+
+    def run(processor, schema):
+        rows = stream().withWatermark("ts", late).filter(windows.timely(F.col("line_id").isNotNull()))
+        return run_available(st.bucketed(rows, processor, schema, buckets=2), "t")
+
+    out = run(st.Hybrid(wait=True), "key long, line_id long, hybrid double")
+    same(out, scores.online_hybrid(batch, "score", "dist", 0.5, order=Order(("key",))), "hybrid")
+    schema = "key long, window_start long, window_end long, alert_count long, max_score double, mean_score double"
+    out = run(st.AnchoredGroups(4.0, 900, wait=True), schema)
+    whole = alerts.group_summary(alerts.anchored_groups(batch.filter("score > 4.0"), 900, keys=["key"]), keys=["key"])
+    columns = ["key", "window_start", "window_end", "alert_count", "max_score"]
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
 @pytest.mark.parametrize("metric", ["cosine", "mahalanobis", "statistics"])
 def test_session_memory(arriving, batch, monkeypatch, metric):
     """Several calls per key, several stretches per call, an inverse kept from call to call."""

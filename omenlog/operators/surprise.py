@@ -21,7 +21,7 @@ from omenlog.functions.words import START, contexts, pieces, words
 from omenlog.operators import positions as moves
 from omenlog.operators.dedup import score_once
 from omenlog.operators.order import quantile_list
-from omenlog.session import checkpointed
+from omenlog.session import checkpointed, compact
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")  # fixed values
 TOP_KS = (1, 3, 5, 10)
@@ -72,17 +72,17 @@ def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: st
     Lines are counted before they are cut into words, so a template with many copies is
     cut once.
     """
-    lines = checkpointed(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
+    lines = compact(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
     once = lines.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
-    return CountModel(lines, checkpointed(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
+    return CountModel(lines, compact(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
 
 
 def trained(df: DataFrame, normal: Column, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> tuple[CountModel, DataFrame]:
     """The model of the normal lines, and all distinct lines with number and copies among these: one grouping for both."""
-    lines = checkpointed(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
+    lines = compact(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
     own = lines.filter("copies > 0").select(F.col(text).alias("line"), "copies")
     once = own.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
-    return CountModel(own, checkpointed(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit), lines
+    return CountModel(own, compact(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit), lines
 
 
 def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
@@ -97,7 +97,7 @@ def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
     if not rows:
         return moves.Frequent()
     often = F.broadcast(lines.sparkSession.createDataFrame([(r["left"], r["right"]) for r in rows], "left string, right string"))
-    triples = checkpointed(
+    triples = compact(
         positions(lines, "line", unit=unit, keep=["copies"]).join(often, pair).groupBy(*triple)
         .agg(F.sum("copies").alias("c3"), F.count("*").alias("n"))
     )
@@ -140,7 +140,7 @@ def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
         # A line of the training is one row with its copies, whether it is to be scored or not.
         own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
         both = own.unionByName(model.lines.select(F.lit(None).cast("long").alias("key"), "line", "copies"))
-        texts = checkpointed(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
+        texts = compact(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
 
     def answer(df: DataFrame, count: str, top: Column, total: Column) -> DataFrame:
         p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (total + room)
@@ -150,14 +150,14 @@ def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
     # the most frequent words have more right neighbours than a task should hold
     spread = [START, *(r["word"] for r in model.word.orderBy(F.col("c").desc(), "word").limit(MOST_FREQUENT).collect())]
     parts = tasks_for(texts)
-    found = checkpointed(counted(texts, unit=model.unit, parts=parts, spread=spread))
+    found = compact(counted(texts, unit=model.unit, parts=parts, spread=spread))
     none = [F.lit(None).cast(kind).alias(n) for n, kind in (("key", "long"), ("pos", "int"), ("err", "double"), ("prob", "double"))]
     out = found.filter("block is not null").select("part", "block", *none)
     rest = found.filter("block is null").drop("block")
     if not rest.isEmpty():
         seen = model.lines.select(F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), model.unit).alias("words"))
         pairs = seen.mapInArrow(moves.cut_pairs(parts, spread), moves.MOVED)
-        both = checkpointed(
+        both = compact(
             rest.groupBy("from_left").cogroup(pairs.groupBy("part")).applyInArrow(moves.count_pairs, moves.FOLLOWED)
         )
         left = both.filter("key is null").groupBy("left").agg(F.sum("n2").alias("n2"), F.max("m2").alias("m2"))
@@ -171,7 +171,7 @@ def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
 
 def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
     """The distinct lines with a number, written once: later steps carry the number, not the text."""
-    return checkpointed(df.select(text).distinct().withColumn("line_no", F.monotonically_increasing_id()))
+    return compact(df.select(text).distinct().withColumn("line_no", F.monotonically_increasing_id()))
 
 
 def word_scores(
@@ -179,7 +179,7 @@ def word_scores(
 ) -> DataFrame:
     """Per-word surprises of distinct lines: ``key, pos, word, err, prob`` plus ``keep``."""
     if lines.schema[key].dataType.typeName() != "long":
-        numbered = checkpointed(lines.withColumn("_no", F.monotonically_increasing_id()))
+        numbered = compact(lines.withColumn("_no", F.monotonically_increasing_id()))
         return word_scores(model, numbered, text=text, key="_no", keep=[key, *keep]).drop("_no")
     arrays = surprise(model, _keyed(lines, key, text)).withColumnRenamed("key", "_key")
     texts = lines.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *keep)

@@ -9,7 +9,7 @@ from omenlog.operators import classify, line_scores, surprise
 from omenlog.plans.inputs import LN, table
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, normal_lines
-from omenlog.session import checkpointed
+from omenlog.session import checkpointed, compact
 
 LABELLED = f"""WITH {LN}, {NORM}, lb AS (SELECT nm.*, coalesce(toxic, 0) AS label FROM nm LEFT JOIN labels ON doc_id = owner)"""
 
@@ -21,7 +21,7 @@ def labelled_lines(spark, folder):
         "label", F.coalesce("label", F.lit(0))
     )
     # Read several times below (training, scoring, lookup): the templates are written once.
-    return checkpointed(known.select("line_id", "owner", "source", "norm", "label"))
+    return compact(known.select("line_id", "owner", "source", "norm", "label"))
 
 
 def model_sql(unit: str = "string_split(norm, ' ')") -> str:

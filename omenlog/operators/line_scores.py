@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -15,22 +17,27 @@ from omenlog.operators.order import Order
 from omenlog.operators.scores import online_hybrid
 from omenlog.operators.surprise import CountModel, adaptive_scores, line_signals, numbered_lines, to_lines
 from omenlog.operators.temporal import delta_ms
-from omenlog.session import checkpointed
+from omenlog.session import checkpointed, compact, passing
 
 
-def line_vectors(df: DataFrame, features: int = 1024, components: int = 16) -> DataFrame:
-    """Default embedding per distinct line: hashed words, inverse document frequency, PCA.
+def embedded(lines: DataFrame, features: int = 1024, components: int = 16) -> DataFrame:
+    """Default embedding ``vec`` beside distinct lines: hashed words, inverse document frequency, PCA.
 
     PCA keeps a ``features`` x ``features`` matrix, so ``features`` stays in the low thousands.
+    Both fits and the projection read the lines: they should be a written table.
     """
-    # read by both fits and by the projection: written once
-    once = checkpointed(df.select("norm").distinct()).withColumn("w", words(F.col("norm")))
     stages = [
-        HashingTF(inputCol="w", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="idf"), PCA(k=components, inputCol="idf", outputCol="pca"),
+        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_idf"), PCA(k=components, inputCol="_idf", outputCol="_pca"),
     ]
+    once = lines.withColumn("_w", words(F.col("norm")))
     fitted = Pipeline(stages=stages).fit(once)
-    return fitted.transform(once).select("norm", vector_to_array("pca").alias("vec"))
+    return fitted.transform(once).select(*lines.columns, vector_to_array("_pca").alias("vec"))
+
+
+def line_vectors(df: DataFrame, features: int = 1024, components: int = 16) -> DataFrame:
+    """Default embedding per distinct line (see ``embedded``): ``norm, vec``."""
+    return embedded(checkpointed(df.select("norm").distinct()), features, components)
 
 
 def score_lines(
@@ -43,30 +50,39 @@ def score_lines(
     alpha: float = 0.5,
     keys: tuple[str, ...] = (),
     vectors: DataFrame | None = None,
+    keep: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """Lines (``line_id, us, norm`` ...) with ``mlm_error`` and ``mlm_prob``.
 
     ``time`` adds ``log_delta``; ``memory`` adds ``<metric>_distance`` and ``hybrid``.  The
     two switches give the baseline, time only, memory only and full variants.  ``vectors``
-    (``norm, vec``) replaces the default embedding.
+    (``norm, vec``) replaces the default embedding.  Of the columns of ``df`` besides ``line_id``,
+    ``us`` and ``keys`` only those in ``keep`` travel, if it is given.  The result reads neither ``df``
+    nor the model.
     """
-    df = checkpointed(df)
-    lines = numbered_lines(df)
-    once = adaptive_scores(line_signals(model, lines), ["line_no"]).select(
-        "line_no", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
-    )
-    out = to_lines(df, lines, once)
-    if memory:
-        out = out.join(line_vectors(df) if vectors is None else vectors, "norm")
+    own = df.columns if keep is None else list(dict.fromkeys(["line_id", "us", *keys, *keep]))
+    with passing(df.sparkSession) as step:
+        df = step(df)
+        lines = numbered_lines(df, write=step)
+        every = step(to_lines(df.select(*dict.fromkeys([*own, "norm"])), lines).select(*own, "line_no"))
+        once = adaptive_scores(line_signals(model, lines, write=step), ["line_no"]).select(
+            "line_no", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
+        )
+        out = every.join(once, "line_no")
+        if memory:
+            named = lines.select("line_no", "norm")
+            named = embedded(named) if vectors is None else named.join(vectors, "norm")
+            out = out.join(named.select("line_no", "vec"), "line_no")
+        # read by the memory scan and by the blend, and all that is read of the tables before: written once
+        out = compact(out.drop("line_no"))
+    rows = out.drop("vec") if memory else out
     if time:
-        out = delta_ms(out, keys=keys, by=("us", "line_id")).withColumn("log_delta", log_delta(F.col("delta_ms")))
+        rows = delta_ms(rows, keys=keys, by=("us", "line_id")).withColumn("log_delta", log_delta(F.col("delta_ms")))
     if not memory:
-        return out
-    # read by the memory scan, by the join and by the blend: written once
-    out = checkpointed(out)
+        return rows
     order = Order(keys)
     far = context_distance(out, metric, order=order, **options)
     named = f"{metric}_distance"
-    joined = out.drop("vec").join(far.withColumnRenamed("distance", named).drop(*keys), "line_id")
+    joined = rows.join(far.withColumnRenamed("distance", named).drop(*keys), "line_id")
     return online_hybrid(joined, "mlm_error", named, alpha, order=order)

@@ -141,10 +141,11 @@ def _to_left(names: pa.Array, left: np.ndarray, word: np.ndarray, spread: Sequen
     return (to % np.uint64(parts)).astype(np.int32)
 
 
-def cut(parts: int, often: Frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cut(parts: int, often: Frequent, turn: int = 0, turns: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lines (``key, copies, words``) as blocks of positions for the task of their pair of neighbours.
 
-    Frequent pairs go to the task of their triple, frequent triples anywhere.
+    Frequent pairs go to the task of their triple, frequent triples anywhere.  Only every ``turns``-th
+    task has its ``turn``; the others have theirs in other runs.
     """
 
     def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -157,17 +158,19 @@ def cut(parts: int, often: Frequent) -> Callable[[Iterator[pa.RecordBatch]], Ite
         to[here] = _mixed(to[here] + h[word[here]])
         to[hot] = _mixed(to[hot] + hot.astype(np.uint64))
         part = (to % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+        now = np.flatnonzero(part % turns == turn)
+        order = now[np.argsort(part[now], kind="stable")]
         bounds = np.append(_runs(part[order]), len(order))
         for a, b in zip(bounds, bounds[1:]):
             at = order[a:b]
             own, codes = np.unique(np.concatenate([left[at], word[at], right[at]]), return_inverse=True)
             codes, n = _small(codes), b - a
-            lines = line[at][_runs(line[at])]
+            runs = _runs(line[at])
+            lines = line[at][runs]
             block = _packed(
                 names=names.take(pa.array(own)), left=codes[:n], word=codes[n:2 * n], right=codes[2 * n:],
-                key=np.diff(keys[lines], prepend=0), copies=_small(copies[lines]), start=_small(np.diff(starts[lines], prepend=0)),
-                place=_small(np.diff(at, prepend=0)),
+                key=np.diff(keys[lines], prepend=0), copies=_small(copies[lines]), size=_small(np.diff(np.append(runs, n))),
+                pos=_small(at - starts[line[at]]),
             )
             yield _row(part[at[0]], block)
 
@@ -248,11 +251,9 @@ def count(parts: int, often: Frequent, spread: Sequence[str]) -> Callable[[pa.Ta
             seen += len(own)
             for n in ("left", "word", "right"):
                 parts_of[n].append(own[b[n].to_numpy()])
-            start, place = (np.cumsum(b[n].to_numpy(), dtype=np.int64) for n in ("start", "place"))
-            line = np.searchsorted(start, place, side="right") - 1
-            parts_of["key"].append(np.cumsum(b["key"].to_numpy(), dtype=np.int64)[line])
-            parts_of["copies"].append(b["copies"].to_numpy().astype(np.int64)[line])
-            parts_of["pos"].append(place - start[line])
+            parts_of["key"].append(np.repeat(np.cumsum(b["key"].to_numpy(), dtype=np.int64), b["size"].to_numpy()))
+            parts_of["copies"].append(np.repeat(b["copies"].to_numpy().astype(np.int64), b["size"].to_numpy()))
+            parts_of["pos"].append(b["pos"].to_numpy().astype(np.int64))
         blocks = None
         left, word, right, key, copies, pos = (np.concatenate(v) for v in parts_of.values())
         parts_of = None
@@ -325,3 +326,53 @@ def gather(smoothing: float, room: float) -> Callable[[pa.Table], pa.Table]:
         return pa.table({"key": key[starts], "errors": lists[0], "probs": lists[1]})
 
     return run
+
+
+#: Bytes of lines that a task deals out at once.
+TEXTS = 32 << 20
+
+
+def deal(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lines (``key`` and more) as compressed blocks for the task of their key."""
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = bucket(pc.fill_null(table["key"], -1).to_numpy(), parts)
+        order = np.argsort(part, kind="stable")
+        table, part = table.take(pa.array(order)).combine_chunks(), part[order]
+        bounds = np.append(_runs(part), len(part))
+        for a, b in zip(bounds, bounds[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.slice(a, b - a))
+            yield _row(part[a], sink.getvalue().to_pybytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TEXTS:
+                yield from blocks(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from blocks(pa.Table.from_batches(held))
+
+    return run
+
+
+def gather_texts(smoothing: float, room: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``errors, probs`` of ``gather`` beside the lines of ``deal`` that have some."""
+
+    def run(table: pa.Table, dealt: pa.Table) -> pa.Table:
+        signals = gather(smoothing, room)(table)
+        lines = [pa.ipc.open_stream(block.as_buffer()).read_all() for block in dealt["block"]]
+        lines = pa.concat_tables(lines).cast(schema) if lines else schema.empty_table()
+        at = pc.index_in(lines["key"].combine_chunks(), value_set=signals["key"].combine_chunks())
+        here = pc.is_valid(at)
+        found = signals.select(["errors", "probs"]).take(at.filter(here))
+        lines = lines.filter(here)
+        for n in found.column_names:
+            lines = lines.append_column(n, found[n])
+        return lines
+
+    return run

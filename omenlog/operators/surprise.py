@@ -11,17 +11,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from omenlog.functions.scoring import pool
 from omenlog.functions.words import START, contexts, pieces, words
 from omenlog.operators import positions as moves
 from omenlog.operators.dedup import score_once
 from omenlog.operators.order import quantile_list
-from omenlog.session import checkpointed, compact
+from omenlog.session import checkpointed, compact, passing
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")  # fixed values
 TOP_KS = (1, 3, 5, 10)
@@ -46,6 +49,8 @@ FREQUENT, SAMPLED = 1_000, 64
 MOST_FREQUENT = 4_096
 #: Characters of the lines in one group of positions.
 PART_LENGTH = 16_000_000
+#: In so many runs the groups are dealt and counted; only one run's blocks are on the disks at a time.
+TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -66,20 +71,29 @@ class CountModel:
         return self.word.agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.count("*").alias("v"))
 
 
-def train(df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> CountModel:
+def train(
+    df: DataFrame, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word",
+    write: Callable[[DataFrame], DataFrame] = compact,
+) -> CountModel:
     """Take in the words of normal lines with their contexts.
 
     Lines are counted before they are cut into words, so a template with many copies is
-    cut once.
+    cut once.  ``write`` writes the model's tables.
     """
-    lines = compact(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
+    lines = write(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
     once = lines.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
-    return CountModel(lines, compact(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
+    return CountModel(lines, write(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
 
 
-def trained(df: DataFrame, normal: Column, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word") -> tuple[CountModel, DataFrame]:
-    """The model of the normal lines, and all distinct lines with number and copies among these: one grouping for both."""
-    lines = compact(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
+def trained(
+    df: DataFrame, normal: Column, text: str = "norm", *, smoothing: float = 0.1, unit: str = "word",
+    write: Callable[[DataFrame], DataFrame] = compact,
+) -> tuple[CountModel, DataFrame]:
+    """The model of the normal lines, and all distinct lines with number and copies among these: one grouping for both.
+
+    ``write`` writes the table of the lines.
+    """
+    lines = write(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
     own = lines.filter("copies > 0").select(F.col(text).alias("line"), "copies")
     once = own.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
     return CountModel(own, compact(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit), lines
@@ -97,14 +111,15 @@ def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
     if not rows:
         return moves.Frequent()
     often = F.broadcast(lines.sparkSession.createDataFrame([(r["left"], r["right"]) for r in rows], "left string, right string"))
-    triples = compact(
-        positions(lines, "line", unit=unit, keep=["copies"]).join(often, pair).groupBy(*triple)
-        .agg(F.sum("copies").alias("c3"), F.count("*").alias("n"))
-    )
-    pairs = [tuple(r) for r in triples.groupBy(*pair).agg(F.sum("c3"), F.max("c3")).collect()]
-    number = {p[:2]: i for i, p in enumerate(pairs)}
-    # so many positions each: there are few of them
-    hot = triples.filter(F.col("n") >= FREQUENT * SAMPLED).select(*triple, "c3").collect()
+    with passing(lines.sparkSession) as step:
+        triples = step(
+            positions(lines, "line", unit=unit, keep=["copies"]).join(often, pair).groupBy(*triple)
+            .agg(F.sum("copies").alias("c3"), F.count("*").alias("n"))
+        )
+        pairs = [tuple(r) for r in triples.groupBy(*pair).agg(F.sum("c3"), F.max("c3")).collect()]
+        number = {p[:2]: i for i, p in enumerate(pairs)}
+        # so many positions each: there are few of them
+        hot = triples.filter(F.col("n") >= FREQUENT * SAMPLED).select(*triple, "c3").collect()
     return moves.Frequent(pairs, [(number[r["left"], r["right"]], r["word"], r["c3"]) for r in hot])
 
 
@@ -113,51 +128,81 @@ def tasks_for(lines: DataFrame) -> int:
     return 32 + (lines.agg(F.sum(F.length("line"))).first()[0] or 0) // PART_LENGTH
 
 
-def counted(lines: DataFrame, *, unit: str = "word", parts: int | None = None, spread: Sequence[str] = ()) -> DataFrame:
+def counted(
+    lines: DataFrame, *, unit: str = "word", parts: int | None = None, spread: Sequence[str] = (),
+    often: moves.Frequent | None = None, turn: int = 0, turns: int = 1,
+) -> DataFrame:
     """Positions of lines (``key, line, copies``) with the copies of their triple and pair.
 
     The positions move once, in blocks, to the task of their pair (see ``positions``).  What comes out
     are blocks for the task of their line, and rows (``key, pos, left, word``) of the pairs that no copy has.
+    Of several ``turns`` each counts its own pairs.
     """
-    parts, often = parts or tasks_for(lines), frequent(lines, unit=unit)
+    parts, often = parts or tasks_for(lines), often or frequent(lines, unit=unit)
     cut = lines.select("key", F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), unit).alias("words"))
-    dealt = cut.mapInArrow(moves.cut(parts, often), moves.MOVED).groupBy("part")
+    dealt = cut.mapInArrow(moves.cut(parts, often, turn, turns), moves.MOVED).groupBy("part")
     return dealt.applyInArrow(moves.count(parts, often, spread), moves.COUNTED)
 
 
-def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
-    """``key, errors[], probs[]`` in word order for lines (``key, line``, distinct) that have words.
+@dataclass(frozen=True)
+class Answers:
+    """Answered positions, in blocks and rows by ``part``, the task of their line."""
+
+    rows: DataFrame
+    parts: int
+    smoothing: float
+    room: float  # one share for words never seen
+
+    def signals(self) -> DataFrame:
+        """``key, errors[], probs[]`` in word order."""
+        return self.rows.groupBy("part").applyInArrow(moves.gather(self.smoothing, self.room), moves.SIGNALS)
+
+    def beside(self, lines: DataFrame) -> DataFrame:
+        """The columns of ``lines`` (with ``key``) with ``errors[], probs[]``: the texts move to their answers, which are longer."""
+        dealt = lines.mapInArrow(moves.deal(self.parts), moves.MOVED).groupBy("part")
+        schema = StructType([*lines.schema.fields, *(StructField(n, ArrayType(DoubleType())) for n in ("errors", "probs"))])
+        return self.rows.groupBy("part").cogroup(dealt).applyInArrow(
+            moves.gather_texts(self.smoothing, self.room, to_arrow_schema(lines.schema)), schema)
+
+
+def answered(model: CountModel, lines: DataFrame, *, write: Callable[[DataFrame], DataFrame] = compact) -> Answers:
+    """The answers to the positions of lines (``key, line``, distinct) that have words.
 
     Only words whose neighbours were never seen together are looked up by the left neighbour, and
     only those whose left neighbour is new by the word alone.  Lines that bring their ``copies`` in
-    the training are not matched with it again.
+    the training are not matched with it again.  ``write`` writes the tables that the answers read;
+    besides these they read ``model.word``.
     """
     totals = model.totals.first()
-    room = model.smoothing * (totals["v"] + 1)  # one share for words never seen
-    if "copies" in lines.columns:
-        texts = lines.select("key", "line", "copies")
-    else:
-        # A line of the training is one row with its copies, whether it is to be scored or not.
-        own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
-        both = own.unionByName(model.lines.select(F.lit(None).cast("long").alias("key"), "line", "copies"))
-        texts = compact(both.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
+    room = model.smoothing * (totals["v"] + 1)
+    # the most frequent words have more right neighbours than a task should hold
+    spread = [START, *(r["word"] for r in model.word.orderBy(F.col("c").desc(), "word").limit(MOST_FREQUENT).collect())]
 
     def answer(df: DataFrame, count: str, top: Column, total: Column) -> DataFrame:
         p = (F.coalesce(F.col(count), F.lit(0)) + model.smoothing) / (total + room)
         best = (top + model.smoothing) / (total + room)
         return df.select("part", F.lit(None).cast("binary").alias("block"), "key", "pos", (-F.log(p)).alias("err"), (1 - best).alias("prob"))
 
-    # the most frequent words have more right neighbours than a task should hold
-    spread = [START, *(r["word"] for r in model.word.orderBy(F.col("c").desc(), "word").limit(MOST_FREQUENT).collect())]
-    parts = tasks_for(texts)
-    found = compact(counted(texts, unit=model.unit, parts=parts, spread=spread))
+    with passing(lines.sparkSession) as step:
+        if "copies" in lines.columns:
+            texts = lines.select("key", "line", "copies")
+        else:
+            # A line of the training is one row with its copies, whether it is to be scored or not.
+            own = lines.select("key", "line", F.lit(0).cast("long").alias("copies"))
+            every = own.unionByName(model.lines.select(F.lit(None).cast("long").alias("key"), "line", "copies"))
+            texts = step(every.groupBy("line").agg(F.max("key").alias("key"), F.sum("copies").alias("copies")))
+        parts, often = tasks_for(texts), frequent(texts, unit=model.unit)
+        found = reduce(DataFrame.unionByName, [
+            write(counted(texts, unit=model.unit, parts=parts, spread=spread, often=often, turn=turn, turns=TURNS))
+            for turn in range(TURNS)
+        ])
     none = [F.lit(None).cast(kind).alias(n) for n, kind in (("key", "long"), ("pos", "int"), ("err", "double"), ("prob", "double"))]
     out = found.filter("block is not null").select("part", "block", *none)
     rest = found.filter("block is null").drop("block")
     if not rest.isEmpty():
         seen = model.lines.select(F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), model.unit).alias("words"))
         pairs = seen.mapInArrow(moves.cut_pairs(parts, spread), moves.MOVED)
-        both = compact(
+        both = write(
             rest.groupBy("from_left").cogroup(pairs.groupBy("part")).applyInArrow(moves.count_pairs, moves.FOLLOWED)
         )
         left = both.filter("key is null").groupBy("left").agg(F.sum("n2").alias("n2"), F.max("m2").alias("m2"))
@@ -166,12 +211,19 @@ def surprise(model: CountModel, lines: DataFrame) -> DataFrame:
         n, top = (F.lit(totals[c]).cast("long") for c in ("n", "top"))
         out = out.unionByName(answer(rest.filter("n2 is not null"), "c2", F.col("m2"), F.col("n2")))
         out = out.unionByName(answer(alone, "c1", top, n))
-    return out.groupBy("part").applyInArrow(moves.gather(model.smoothing, room), moves.SIGNALS)
+    return Answers(out, parts, model.smoothing, room)
+
 
+def surprise(model: CountModel, lines: DataFrame, *, write: Callable[[DataFrame], DataFrame] = compact) -> DataFrame:
+    """``key, errors[], probs[]`` in word order for lines (``key, line``, distinct) that have words."""
+    return answered(model, lines, write=write).signals()
 
-def numbered_lines(df: DataFrame, text: str = "norm") -> DataFrame:
+
+def numbered_lines(
+    df: DataFrame, text: str = "norm", *, write: Callable[[DataFrame], DataFrame] = compact
+) -> DataFrame:
     """The distinct lines with a number, written once: later steps carry the number, not the text."""
-    return compact(df.select(text).distinct().withColumn("line_no", F.monotonically_increasing_id()))
+    return write(df.select(text).distinct().withColumn("line_no", F.monotonically_increasing_id()))
 
 
 def word_scores(
@@ -181,10 +233,12 @@ def word_scores(
     if lines.schema[key].dataType.typeName() != "long":
         numbered = compact(lines.withColumn("_no", F.monotonically_increasing_id()))
         return word_scores(model, numbered, text=text, key="_no", keep=[key, *keep]).drop("_no")
-    arrays = surprise(model, _keyed(lines, key, text)).withColumnRenamed("key", "_key")
-    texts = lines.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *keep)
+    answers = answered(model, _keyed(lines, key, text))
+    # under names of their own: ``keep`` may hold any
+    own = [F.col(key).alias("key"), F.col(text).alias("_text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep))]
     cells = F.arrays_zip(_tokens(F.col("_text"), model.unit).alias("word"), "errors", "probs")
-    rows = texts.join(arrays, "_key").select(F.col("_key").alias(key), *keep, F.posexplode(cells).alias("pos", "c"))
+    kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
+    rows = answers.beside(lines.select(*own)).select(F.col("key").alias(key), *kept, F.posexplode(cells).alias("pos", "c"))
     return rows.select(key, *keep, "pos", "c.word", F.col("c.errors").alias("err"), F.col("c.probs").alias("prob"))
 
 
@@ -193,15 +247,22 @@ def _keyed(lines: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(F.col(key).alias("key"), F.col(text).alias("line"), *copies)
 
 
-def line_signals(model: CountModel, lines: DataFrame, *, text: str = "norm") -> DataFrame:
+def line_signals(
+    model: CountModel, lines: DataFrame, *, text: str = "norm", write: Callable[[DataFrame], DataFrame] = compact
+) -> DataFrame:
     """``line_no, errors[], probs[]`` of numbered lines (``line_no``, ``text``, perhaps ``copies``)."""
-    return surprise(model, _keyed(lines, "line_no", text)).withColumnRenamed("key", "line_no")
+    return surprise(model, _keyed(lines, "line_no", text), write=write).withColumnRenamed("key", "line_no")
 
 
-def to_lines(df: DataFrame, lines: DataFrame, scores: DataFrame, *, text: str = "norm") -> DataFrame:
-    """Scores of numbered lines (``line_no``) for all rows of ``df``, matched by a digest so that no text moves."""
+def to_lines(df: DataFrame, lines: DataFrame, scores: DataFrame | None = None, *, text: str = "norm") -> DataFrame:
+    """Scores of numbered lines (``line_no``) for all rows of ``df``, matched by a digest so that no text moves.
+
+    Without scores, the numbers themselves.
+    """
     digest = F.unhex(F.sha2(F.col(text), 256))
-    named = lines.select("line_no", digest.alias("_line")).join(scores, "line_no").drop("line_no")
+    named = lines.select("line_no", digest.alias("_line"))
+    if scores is not None:
+        named = named.join(scores, "line_no").drop("line_no")
     return df.withColumn("_line", digest).join(named, "_line").drop("_line")
 
 

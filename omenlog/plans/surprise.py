@@ -9,19 +9,19 @@ from omenlog.operators import classify, line_scores, surprise
 from omenlog.plans.inputs import LN, table
 from omenlog.plans.registry import query
 from omenlog.plans.text import NORM, normal_lines
-from omenlog.session import checkpointed, compact
+from omenlog.session import checkpointed, compact, passing
 
 LABELLED = f"""WITH {LN}, {NORM}, lb AS (SELECT nm.*, coalesce(toxic, 0) AS label FROM nm LEFT JOIN labels ON doc_id = owner)"""
 
 
-def labelled_lines(spark, folder):
-    """Templates with the label of their document, normal where it is not labelled."""
+def labelled_lines(spark, folder, write=compact):
+    """Templates with the label of their document, normal where it is not labelled; ``write`` writes the table."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("owner"), F.col("toxic").alias("label"))
     known = normal_lines(spark, folder).join(labels, "owner", "left").withColumn(
         "label", F.coalesce("label", F.lit(0))
     )
     # Read several times below (training, scoring, lookup): the templates are written once.
-    return compact(known.select("line_id", "owner", "source", "norm", "label"))
+    return write(known.select("line_id", "owner", "source", "norm", "label"))
 
 
 def model_sql(unit: str = "string_split(norm, ' ')") -> str:
@@ -44,16 +44,20 @@ sc AS (SELECT norm, pos, word,
 
 
 def scored_words(spark, folder, unit="word"):
-    model, lines = surprise.trained(labelled_lines(spark, folder), F.col("label") == 0, unit=unit)
+    with passing(spark) as step:
+        model, lines = surprise.trained(labelled_lines(spark, folder, step), F.col("label") == 0, unit=unit)
     named = lines.withColumn("line", F.md5("norm"))
     return surprise.word_scores(model, named, keep=["line"]).select("line", "pos", "word", "err", "prob")
 
 
 def scored_lines(spark, folder):
-    """Labelled lines, the distinct ones and the word signals of these."""
-    df = labelled_lines(spark, folder)
-    model, lines = surprise.trained(df, F.col("label") == 0)
-    return df, lines, surprise.line_signals(model, lines)
+    """Labelled lines with the number of their text, and the word signals of the texts; no text is kept."""
+    with passing(spark) as step:
+        with passing(spark) as first:
+            df = labelled_lines(spark, folder, first)
+            model, lines = surprise.trained(df, F.col("label") == 0, write=step)
+            every = compact(surprise.to_lines(df.select("line_id", "label", "norm"), lines).drop("norm"))
+        return every, surprise.line_signals(model, lines)
 
 
 @query(
@@ -85,9 +89,8 @@ LINE_SQL = """ls AS (SELECT norm, avg(err) AS error_mean, quantile_cont(err, 0.9
     digits={c: 6 for c in ADAPTIVE}, ints=("label",),
 )
 def line_surprise(spark, folder):
-    df, lines, signals = scored_lines(spark, folder)
-    once = surprise.adaptive_scores(signals, ["line_no"])
-    return surprise.to_lines(df.select("line_id", "label", "norm"), lines, once).drop("norm")
+    every, signals = scored_lines(spark, folder)
+    return every.join(surprise.adaptive_scores(signals, ["line_no"]), "line_no").drop("line_no")
 
 
 @query(
@@ -100,10 +103,9 @@ SELECT line_id, k, error, prob, probtopk FROM lb JOIN t USING (norm)""",
     digits={"error": 6, "prob": 6, "probtopk": 6}, ints=("k",),
 )
 def line_surprise_top_k(spark, folder):
-    df, lines, signals = scored_lines(spark, folder)
+    every, signals = scored_lines(spark, folder)
     once = signals.select("line_no", surprise.top_k_families().alias("s"))
-    every = surprise.to_lines(df.select("line_id", "norm"), lines, once)
-    return every.select("line_id", F.explode("s").alias("s")).select("line_id", "s.*")
+    return every.join(once, "line_no").select("line_id", F.explode("s").alias("s")).select("line_id", "s.*")
 
 
 @query(
@@ -115,10 +117,10 @@ SELECT sum(neg * (tp - pos / 2)) / max(p * n) AS auroc FROM u""",
     digits={"auroc": 6},
 )
 def surprise_quality(spark, folder):
-    df, lines, signals = scored_lines(spark, folder)
+    every, signals = scored_lines(spark, folder)
     once = surprise.adaptive_scores(signals, ["line_no"]).select("line_no", F.round("error_mean", 9).alias("score"))
     # the curve reads its rows more than once
-    return classify.auroc(checkpointed(surprise.to_lines(df.select("label", "norm"), lines, once).drop("norm")))
+    return classify.auroc(checkpointed(every.join(once, "line_no").select("label", "score")))
 
 
 @query(
@@ -137,11 +139,11 @@ FROM u GROUP BY family, k""",
 )
 def surprise_quality_by_k(spark, folder):
     """How well each score family tells failures apart, for every k."""
-    df, lines, signals = scored_lines(spark, folder)
+    every, signals = scored_lines(spark, folder)
     families = ("error", "prob", "probtopk")
     cells = F.array(*[F.struct(F.lit(n).alias("family"), F.round(n, 6).alias("score")) for n in families])
-    every = surprise.to_lines(df.select("label", "norm"), lines, signals.select("line_no", surprise.top_k_families().alias("s")))
-    by_k = every.select("label", F.explode("s").alias("s")).select("label", "s.*")
+    once = signals.select("line_no", surprise.top_k_families().alias("s"))
+    by_k = every.join(once, "line_no").select("label", F.explode("s").alias("s")).select("label", "s.*")
     rows = checkpointed(by_k.select("label", "k", F.explode(cells).alias("c")).select("label", "k", "c.*"))
     by = ["family", "k"]
     return classify.auroc(rows, by=by).join(classify.best_f1(rows, by=by).select(*by, "best_f1"), by)
@@ -170,20 +172,26 @@ def line_embeddings(spark, folder):
     return df.select("line_id", "norm").join(line_scores.line_vectors(df), "norm").select("line_id", "vec")
 
 
-def timed_lines(spark, folder):
+def timed_lines(spark, folder, write=compact):
     """Labelled templates; documents carry no time, their lines are a second apart.
 
     Line ids leave no room for microseconds in a long, so the times are decimals.
     """
-    return labelled_lines(spark, folder).withColumn("us", F.col("line_id").cast("decimal(20,0)") * 1_000_000)
+    return labelled_lines(spark, folder, write).withColumn("us", F.col("line_id").cast("decimal(20,0)") * 1_000_000)
+
+
+def full_scores(spark, folder, **switches):
+    """``score_lines`` by the model of the normal lines, both only as long as they are read."""
+    with passing(spark) as step:
+        df = timed_lines(spark, folder, step)
+        model = surprise.train(df.filter("label = 0"), write=step)
+        return line_scores.score_lines(df.select("line_id", "us", "label", "norm"), model, keep=["label"], **switches)
 
 
 @query("full_line_scoring")
 def full_line_scoring(spark, folder):
     """Raw lines to the hybrid score: parse, distinct lines, surprise, memory distance, blend."""
-    df = timed_lines(spark, folder)
-    model = surprise.train(df.filter("label = 0"))
-    out = line_scores.score_lines(df, model, time=True, memory=True)
+    out = full_scores(spark, folder, time=True, memory=True)
     return out.select("line_id", "label", "mlm_error", "mlm_prob", "log_delta", "knn_distance", "hybrid")
 
 
@@ -193,6 +201,5 @@ def full_line_scoring(spark, folder):
     digits={"mlm_error": 6, "mlm_prob": 6}, ints=("label",),
 )
 def baseline_line_scoring(spark, folder):
-    df = timed_lines(spark, folder)
-    out = line_scores.score_lines(df, surprise.train(df.filter("label = 0")), memory=False)
+    out = full_scores(spark, folder, memory=False)
     return out.select("line_id", "label", "mlm_error", "mlm_prob")

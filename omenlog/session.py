@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,18 +76,61 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With it Spark removes the shuffle files of a query when the query has ended, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written here go with the end of the writing: no second run reads them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    spark = df.sparkSession
+    with cleaned_up(spark):
+        df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table below the shared folder and continue from there.
 
     Cuts the lineage and survives the loss of executors.  Unlike an RDD checkpoint the table
-    is columnar: later steps read only the columns they use and know its size.
+    is columnar: later steps read only the columns they use and know its size.  The shuffle files
+    of the writing are removed with its end.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, "step")
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_folder(df.sparkSession, "step"), **options)
 
 
 def compact(df: DataFrame) -> DataFrame:
     """``checkpointed`` for long tables of texts and blocks: more work for less disk."""
     return checkpointed(df, compression="zstd")
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``compact`` for tables that nothing reads after the block: they are removed with its end.
+
+    What leaves the block must be written, or read none of them.
+    """
+    paths = []
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.append(new_folder(spark, "passing"))
+        return _written(df, paths[-1], compression="zstd")
+
+    try:
+        yield write
+    finally:
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,15 @@
 """What only shows on larger tables, on small ones made for it."""
 
+import os
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from omenlog import session
 from omenlog.functions import normalise as nz
 from omenlog.functions import words
 from omenlog.operators import positions, split, surprise, sweep, synthetic
@@ -143,3 +146,59 @@ def test_equal_rows_are_blended_once(spark):
     df = spark.range(3000).select((F.col("id") % 3 / 2).alias("a"), (F.col("id") % 2).cast("double").alias("b"), (F.col("id") % 2).alias("label"))
     mixed = sweep.by_alpha(df, F.col("a"), F.col("b"), [0.0, 0.5, 1.0])
     assert mixed.count() == 18 and mixed.agg(F.sum("n")).first()[0] == 9000
+
+
+def shuffle_files(spark):
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return {f for folder in folders for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """The disk is free again when a step is written, not when the driver collects its garbage."""
+    before = shuffle_files(spark)
+    step = session.checkpointed(spark.range(1000).groupBy(F.col("id") % 7).count())
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and step.count() == 7
+    assert spark.conf.get(session.CLEANUP, None) != "true"
+
+
+def test_passing_tables_are_removed(spark):
+    with session.passing(spark) as step:
+        table = step(spark.range(10))
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 10 and os.path.exists(path)
+    assert not os.path.exists(os.path.dirname(path))
+
+
+@pytest.mark.parametrize("name", ["surprise_quality", "surprise_quality_by_k", "line_surprise", "full_line_scoring", "stream_line_scores"])
+def test_texts_go_when_they_are_scored(spark, name):
+    """No table of texts stays beside the blocks of positions until the result is written."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    assert QUERIES[name].run(spark, "/root/testdata/sf0.001").count()
+    tables = [f"{shared}/{d}" for d in set(os.listdir(shared)) - before if d.startswith(("step", "passing"))]
+    assert tables and not [t for t in tables if {"norm", "line"} & set(spark.read.parquet(t).columns)]
+
+
+def test_turns_share_the_positions(spark):
+    """Each pair is counted in one of the turns, and one turn moves a part of the positions."""
+    df = spark.range(300).selectExpr("id AS key", "concat('a', id % 7, ' b', id % 5, ' c', id % 3, ' d') AS line", "1L AS copies")
+
+    def answered(**turn):
+        blocks = surprise.counted(df, parts=8, **turn).filter("block is not null").collect()
+        return sum(len(positions._unpacked(pa.scalar(r["block"], pa.binary()))["pos"]) for r in blocks)
+
+    turns = [answered(turn=t, turns=2) for t in range(2)]
+    assert sum(turns) == answered() == 1200 and all(turns)
+
+
+def test_word_scores_move_texts_not_arrays(spark):
+    """The signals of a line, two doubles a word, stay where they are made; the texts come there."""
+    model = surprise.train(spark.createDataFrame([("a b c",), ("a c",)], "norm string"))
+    lines = spark.createDataFrame([(1, "a b"), (2, "")], "line_no long, norm string")
+    got = surprise.word_scores(model, lines)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["line_no"], r["pos"], r["word"]) for r in got.orderBy("pos").collect()] == [(1, 0, "a"), (1, 1, "b")]

@@ -40,42 +40,49 @@ def line_vectors(df: DataFrame, features: int = 1024, components: int = 16) -> D
     return embedded(checkpointed(df.select("norm").distinct()), features, components)
 
 
-def score_lines(
+def score_texts(
     df: DataFrame,
     model: CountModel,
     *,
-    time: bool = False,
     memory: bool = True,
-    metric: str = "knn",
-    alpha: float = 0.5,
-    keys: tuple[str, ...] = (),
+    keys: Sequence[str] = (),
     vectors: DataFrame | None = None,
     keep: Sequence[str] | None = None,
-    **options,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
-    """Lines (``line_id, us, norm`` ...) with ``mlm_error`` and ``mlm_prob``.
+    """Lines with ``mlm_error`` and ``mlm_prob``, for the ``memory`` with ``vec`` too, as a written table.
 
-    ``time`` adds ``log_delta``; ``memory`` adds ``<metric>_distance`` and ``hybrid``.  The
-    two switches give the baseline, time only, memory only and full variants.  ``vectors``
-    (``norm, vec``) replaces the default embedding.  Of the columns of ``df`` besides ``line_id``,
-    ``us`` and ``keys`` only those in ``keep`` travel, if it is given.  The result reads neither ``df``
-    nor the model.
+    Of the columns of ``df`` besides ``line_id``, ``us`` and ``keys`` only those in ``keep`` travel, if
+    it is given.  ``lines`` are the distinct lines of ``df`` as ``surprise.trained`` gives them beside
+    the model, if they are known.  The result reads none of ``df``, the model and ``lines``.
     """
     own = df.columns if keep is None else list(dict.fromkeys(["line_id", "us", *keys, *keep]))
-    with passing(df.sparkSession) as step:
-        df = step(df)
-        lines = numbered_lines(df, write=step)
-        every = step(to_lines(df.select(*dict.fromkeys([*own, "norm"])), lines).select(*own, "line_no"))
-        once = adaptive_scores(line_signals(model, lines, write=step), ["line_no"]).select(
-            "line_no", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
-        )
+    spark = df.sparkSession
+    with passing(spark) as step:
+        with passing(spark) as first:
+            if lines is None:
+                df = first(df)
+                lines = numbered_lines(df, write=first)
+            every = step(to_lines(df.select(*dict.fromkeys([*own, "norm"])), lines).select(*own, "line_no"))
+            with passing(spark) as answers:
+                once = step(adaptive_scores(line_signals(model, lines, write=answers), ["line_no"]).select(
+                    "line_no", F.col("error_mean").alias("mlm_error"), F.col("prob_mean").alias("mlm_prob")
+                ))
+            if memory:
+                named = lines.select("line_no", "norm")
+                named = step((embedded(named) if vectors is None else named.join(vectors, "norm")).select("line_no", "vec"))
         out = every.join(once, "line_no")
         if memory:
-            named = lines.select("line_no", "norm")
-            named = embedded(named) if vectors is None else named.join(vectors, "norm")
-            out = out.join(named.select("line_no", "vec"), "line_no")
-        # read by the memory scan and by the blend, and all that is read of the tables before: written once
-        out = compact(out.drop("line_no"))
+            out = out.join(named, "line_no")
+        # read by the memory scan and by the blend
+        return compact(out.drop("line_no"))
+
+
+def score_order(
+    out: DataFrame, *, time: bool = False, memory: bool = True, metric: str = "knn", alpha: float = 0.5,
+    keys: tuple[str, ...] = (), **options,
+) -> DataFrame:
+    """What the lines of ``score_texts`` get from the lines before them."""
     rows = out.drop("vec") if memory else out
     if time:
         rows = delta_ms(rows, keys=keys, by=("us", "line_id")).withColumn("log_delta", log_delta(F.col("delta_ms")))
@@ -86,3 +93,25 @@ def score_lines(
     named = f"{metric}_distance"
     joined = rows.join(far.withColumnRenamed("distance", named).drop(*keys), "line_id")
     return online_hybrid(joined, "mlm_error", named, alpha, order=order)
+
+
+def score_lines(
+    df: DataFrame,
+    model: CountModel,
+    *,
+    time: bool = False,
+    memory: bool = True,
+    metric: str = "knn",
+    alpha: float = 0.5,
+    keys: tuple[str, ...] = (),
+    vectors: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """Lines (``line_id, us, norm`` ...) with ``mlm_error`` and ``mlm_prob``.
+
+    ``time`` adds ``log_delta``; ``memory`` adds ``<metric>_distance`` and ``hybrid``.  The
+    two switches give the baseline, time only, memory only and full variants.  ``vectors``
+    (``norm, vec``) replaces the default embedding.
+    """
+    out = score_texts(df, model, memory=memory, keys=keys, vectors=vectors)
+    return score_order(out, time=time, memory=memory, metric=metric, alpha=alpha, keys=keys, **options)

@@ -180,12 +180,13 @@ def timed_lines(spark, folder, write=compact):
     return labelled_lines(spark, folder, write).withColumn("us", F.col("line_id").cast("decimal(20,0)") * 1_000_000)
 
 
-def full_scores(spark, folder, **switches):
-    """``score_lines`` by the model of the normal lines, both only as long as they are read."""
+def full_scores(spark, folder, memory, **switches):
+    """``score_lines`` by the model of the normal lines; the texts and the model go before the order is scanned."""
     with passing(spark) as step:
         df = timed_lines(spark, folder, step)
-        model = surprise.train(df.filter("label = 0"), write=step)
-        return line_scores.score_lines(df.select("line_id", "us", "label", "norm"), model, keep=["label"], **switches)
+        model, lines = surprise.trained(df, F.col("label") == 0, write=step)
+        out = line_scores.score_texts(df, model, memory=memory, keep=["label"], lines=lines)
+    return line_scores.score_order(out, memory=memory, **switches)
 
 
 @query("full_line_scoring")

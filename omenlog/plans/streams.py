@@ -12,7 +12,7 @@ from omenlog.plans.registry import query
 from omenlog.plans.surprise import ADAPTIVE, LINE_SQL, labelled_lines, model_sql
 from omenlog.plans.vectors import XS, cosine_sql
 from omenlog.schema import split_lines
-from omenlog.session import checkpointed
+from omenlog.session import checkpointed, passing
 from omenlog.streaming import joins, windows
 from omenlog.streaming import stateful as st
 from omenlog.streaming.run import file_stream, run_available, staged
@@ -218,13 +218,19 @@ def stream_distinct_lines(spark, folder):
     digits={c: 6 for c in ADAPTIVE},
 )
 def stream_line_scores(spark, folder):
-    model = surprise.train(labelled_lines(spark, folder).filter("label = 0"))
-
     def score(batch):
-        batch = checkpointed(batch)  # read by the model and by the join: normalised once
-        lines = surprise.numbered_lines(batch)
-        scores = surprise.adaptive_scores(surprise.line_signals(model, lines), ["line_no"])
-        return surprise.to_lines(batch.select("line_id", "norm"), lines, scores).drop("norm")
+        spark = batch.sparkSession
+        with passing(spark) as step:
+            with passing(spark) as texts:
+                with passing(spark) as raw:
+                    batch = raw(batch)  # read by the model and by the join: normalised once
+                    lines = surprise.numbered_lines(batch, write=texts)
+                    every = step(surprise.to_lines(batch.select("line_id", "norm"), lines).drop("norm"))
+                scores = surprise.adaptive_scores(surprise.line_signals(model, lines, write=step), ["line_no"])
+            return checkpointed(every.join(scores, "line_no").drop("line_no"))
 
     stream = document_stream(spark, folder).select("line_id", normalise(F.col("raw")).alias("norm"))
-    return run_available(stream.filter("norm <> ''"), "line-scores", each=score)
+    with passing(spark) as kept:
+        with passing(spark) as step:
+            model = surprise.train(labelled_lines(spark, folder, step).filter("label = 0"), write=kept)
+        return run_available(stream.filter("norm <> ''"), "line-scores", each=score)

@@ -1,4 +1,6 @@
-"""Raw log lines to masked templates, as chains of regular expressions inside the JVM.
+"""Raw log lines to masked templates, as chains of regular expressions.
+
+A dialect whose patterns RE2 knows (no look-around) runs over Arrow batches, the others run inside the JVM.
 
 In the patterns ``\\d``, ``\\w``, ``\\s`` and ``.`` have their Unicode meaning; ``portable``
 spells those classes out, so Java (and any RE2 engine) matches the same text.
@@ -13,6 +15,8 @@ from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +67,8 @@ THUNDERBIRD_MASKS = (
 # "Neither a letter nor an angle": written as one class, ``[^a-zA-Z<>]+``, Java takes ten times as long.
 LETTERS_AND_ANGLES = r"(?:(?![<>])[^a-zA-Z])+"
 LETTERS = r"[^a-zA-Z]+"
+#: The same class for RE2, and what a pattern may begin with only to spare time.
+PLAIN_CLASSES, SPARING = {LETTERS_AND_ANGLES: r"[^a-zA-Z<>]+"}, "(?=[JFMASOND])"
 
 # White space other than the blank and the newline; it is turned into blanks first.
 ASCII_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -190,6 +196,53 @@ def fold_accents(text: Column) -> Column:
     return F.when(plain, text).otherwise(fold(F.when(~plain, text)))
 
 
+def re2(pattern: str) -> str | None:
+    """The pattern for RE2; none if it looks around."""
+    pattern = PLAIN_CLASSES.get(pattern, pattern.removeprefix(SPARING))
+    return None if any(look in pattern for look in ("(?=", "(?!", "(?<")) else portable(pattern)
+
+
+def _where(texts: pa.Array, chosen: pa.Array, change: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``change`` for the chosen texts only."""
+    chosen = pc.fill_null(chosen, False)
+    if not pc.any(chosen).as_py():
+        return texts
+    return pc.replace_with_mask(texts, chosen, change(texts.filter(chosen)))
+
+
+def _masked_batch(texts: pa.Array, masks: tuple) -> pa.Array:
+    if any(space in pattern for pattern, _, _ in masks for space in (r"\s", r"\S")):
+        texts = pc.replace_substring_regex(texts, ANY_SPACE, " ")
+    for pattern, name, needs in masks:
+        found = pc.match_substring(texts, needs) if needs else texts.is_valid()
+        texts = _where(texts, found, lambda some, p=re2(pattern), n=name: pc.replace_substring_regex(some, p, n))
+    return texts
+
+
+@cache
+def _folds() -> dict[int, str | None]:
+    """``_folding`` for ``str.translate``."""
+    source, target = _folding()
+    return {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
+
+
+def _folded_batch(texts: pa.Array, lower: bool) -> pa.Array:
+    def other(some: pa.Array) -> pa.Array:
+        return pa.array([(t.lower() if lower else t).translate(_folds()) for t in some.to_pylist()], pa.string())
+
+    texts = pc.ascii_lower(texts) if lower else texts
+    return _where(texts, pc.invert(pc.string_is_ascii(texts)), other)
+
+
+def _readable(texts: pa.Array) -> pa.Array:
+    """Bytes that are no UTF-8 as replacement characters, as the JVM reads them."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([b if b is None else b.decode("utf-8", "replace") for b in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
 @dataclass(frozen=True)
 class Profile:
     """A log dialect: its masks in order, and what is done around them.
@@ -206,6 +259,23 @@ class Profile:
     skip: int = 0
     skip_chars: int = 0
 
+    def in_batches(self) -> bool:
+        """Whether RE2 knows all patterns."""
+        return all(re2(p) for p in (self.letters, *[m[0] for m in (*self.raw_masks, *self.masks)]))
+
+    def batch(self, raw: pa.Array) -> pa.Array:
+        """``template`` of a batch of lines."""
+        text = _readable(raw)
+        text = pc.utf8_slice_codeunits(text, self.skip_chars) if self.skip_chars else text
+        text = _masked_batch(text, self.raw_masks) if self.raw_masks else text
+        text = _folded_batch(text, self.lower)
+        text = _masked_batch(text, self.masks) if self.masks else text
+        text = pc.utf8_trim(pc.replace_substring_regex(text, re2(self.letters), " "), " ")
+        if self.skip <= 0:
+            return text
+        words = pc.list_slice(pc.split_pattern(text, " "), self.skip)
+        return pc.binary_join(words, " ")
+
     def template(self, raw: Column) -> Column:
         body = F.substr(raw, F.lit(self.skip_chars + 1)) if self.skip_chars else raw
         text = mask(body, self.raw_masks) if self.raw_masks else body
@@ -235,7 +305,9 @@ def normalise(raw: Column, profile: str | Profile = "generic") -> Column:
         if profile not in PROFILES:
             raise ValueError(f"unknown profile: {profile} (one of {sorted(PROFILES)})")
         profile = PROFILES[profile]
-    return profile.template(raw)
+    if not profile.in_batches():
+        return profile.template(raw)
+    return F.arrow_udf(lambda lines: profile.batch(lines), "string")(raw)
 
 
 def marker_label(raw: Column, marker: str = "-") -> Column:

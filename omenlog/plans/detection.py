@@ -311,10 +311,10 @@ FROM top JOIN al USING (alpha_no)"""
 def best_alpha_batch(spark, folder):
     df = events(spark, folder)
     span = sweep.min_max(df, "score", "dist")
-    mixed = sweep.by_alpha(
-        df, sweep.scaled(F.col("score"), *span["score"]), sweep.scaled(F.col("dist"), *span["dist"]), ALPHAS_21
+    pairs = sweep.equal_pairs(
+        df, sweep.scaled(F.col("score"), *span["score"]), sweep.scaled(F.col("dist"), *span["dist"])
     )
-    return sweep.best_alpha(mixed, ALPHAS_21)
+    return sweep.best_alpha(pairs, ALPHAS_21)
 
 
 ONLINE = """rg AS (SELECT *, min(score) OVER w AS l1, max(score) OVER w AS h1, min(dist) OVER w AS l2, max(dist) OVER w AS h2
@@ -332,12 +332,12 @@ mx AS (SELECT alpha_no, alpha, label,
 def best_alpha_online(spark, folder):
 
     df = running(
-        events(spark, folder), Order(),
+        events(spark, folder).select("us", "line_id", "label", "score", "dist"), Order(),
         {f"{s}_{c}": (s, F.col(c)) for c in ("score", "dist") for s in ("min", "max")},
     )
     a = sweep.scaled(F.col("score"), F.col("min_score"), F.col("max_score"))
     b = sweep.scaled(F.col("dist"), F.col("min_dist"), F.col("max_dist"))
-    return sweep.best_alpha(sweep.by_alpha(df, a, b, ALPHAS_11), ALPHAS_11)
+    return sweep.best_alpha(sweep.equal_pairs(df, a, b), ALPHAS_11)
 
 
 @query("evt_threshold")

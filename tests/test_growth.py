@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
+from omenlog.operators import blends, sweep
 from omenlog.plans import load
 
 QUERIES = load()
@@ -36,3 +38,50 @@ def test_templates_are_made_in_batches(spark, name):
     """Chains of interpreted regular expressions took four times as long."""
     plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_replace" not in plan
+
+
+@pytest.mark.parametrize("shape", ["even", "few", "skewed", "one"])
+def test_blends_are_counted_without_a_row_per_alpha(spark, monkeypatch, shape):
+    """Exact quantiles, counts and areas of every blend, with ties, outliers and nulls."""
+    monkeypatch.setattr(blends, "CANDIDATES", 50)
+    monkeypatch.setattr(blends, "PART_ROWS", 400)
+    rng, size, alphas = np.random.default_rng(3), 1500, [0.0, 0.3, 1.0]
+    a, b = rng.random(size), rng.random(size)
+    if shape == "few":
+        a, b = np.round(a * 3), np.round(b * 2)
+    if shape == "skewed":
+        a, b = a ** 9, b * 1e-6
+        a[0] = b[1] = 1e6
+    if shape == "one":
+        a, b = np.ones(size), np.ones(size)
+    label = (rng.random(size) < 0.3).astype(int)
+    rows = [(float(x), float(y), int(k)) for x, y, k in zip(a, b, label)] + [(None, 1.0, 1), (2.0, None, 0)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    pairs = sweep.equal_pairs(df, F.col("a"), F.col("b"))
+    probs = sweep.percentile_grid(0, 100, 101)
+    found = blends.quantiles(pairs, alphas, probs)
+    counts = {(r["alpha_no"], r["b"]): (r["pos"], r["neg"]) for r in blends.passed(pairs, alphas, {i: [0.2, 0.5] for i in range(3)}, True).collect()}
+    areas = {r["alpha_no"]: r["auroc"] for r in blends.auroc(pairs, alphas).collect()}
+    for i, x in enumerate(alphas):
+        v = x * a + (1.0 - x) * b
+        assert found[i] == pytest.approx(np.quantile(v, probs), rel=1e-12, abs=1e-15)
+        for k in range(3):
+            here = (v > 0.2).astype(int) + (v > 0.5) == k
+            want = (int((here & (label == 1)).sum()) + (k == 0), int((here & (label == 0)).sum()) + (k == 0))
+            assert counts.get((i, k), (0, 0)) == want
+        low = v.min() - 1  # the two unknown ones
+        above = np.sign(np.append(v[label == 1], low)[:, None] - np.append(v[label == 0], low)[None, :])
+        assert areas[i] == pytest.approx(((above + 1) / 2).mean(), abs=1e-12)
+
+
+def test_blends_of_infinite_scores_are_sorted_whole(spark):
+    df = spark.createDataFrame([(float("inf"), 0.5, 1), (0.1, 0.2, 0), (0.4, 0.1, 1)], "a double, b double, label int")
+    pairs = sweep.equal_pairs(df, F.col("a"), F.col("b"))
+    assert blends.quantiles(pairs, [0.5], [0.5]) is None and blends.auroc(pairs, [0.5]) is None
+    assert sweep.best_alpha(pairs, [0.5, 1.0]).count() == 2
+
+
+def test_best_alpha_copies_no_rows(spark, monkeypatch):
+    """A row per alpha was grouped, sorted and searched before."""
+    monkeypatch.setattr(sweep, "_mixed", None)
+    assert QUERIES["best_alpha_online"].run(spark, "/root/testdata/sf0.001").count() == 11

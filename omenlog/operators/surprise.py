@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +30,8 @@ from omenlog.session import checkpointed, compact, passing
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")  # fixed values
 TOP_KS = (1, 3, 5, 10)
+#: Between words, as ``functions.words.words`` cuts them.
+WHITE = r"[ \t\n\x0b\f\r]+"
 
 
 def _tokens(text: Column, unit: str) -> Column:
@@ -317,11 +321,16 @@ def with_model(
 
 
 def word_counts(df: DataFrame, text: str = "norm") -> DataFrame:
-    """Words with their frequency (lines are counted before they are cut into words)."""
-    lines = df.groupBy(text).agg(F.count("*").alias("copies"))
-    return lines.select("copies", F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(
-        F.sum("copies").alias("n")
-    )
+    """Words with their frequency (words are counted in each batch of lines, so no text moves)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.value_counts(pc.split_pattern_regex(batch["line"], WHITE).flatten())
+            word = found.field("values")
+            yield pa.RecordBatch.from_arrays([word, found.field("counts")], ["word", "n"]).filter(pc.not_equal(word, ""))
+
+    counts = df.select(F.col(text).alias("line")).mapInArrow(count, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(df: DataFrame, text: str = "norm", *, size: int = 30_000, min_frequency: int = 2) -> DataFrame:

@@ -15,15 +15,17 @@ from omenlog.schema import split_lines
 from omenlog.session import checkpointed, passing
 from omenlog.streaming import joins, windows
 from omenlog.streaming import stateful as st
-from omenlog.streaming.run import file_stream, run_available, staged
+from omenlog.streaming.run import file_stream, files_of, run_available, staged
 
 HOUR = 3_600_000_000
 
 
 def arriving_events(spark, folder, reach=0):
     """Reads the events as a stream of files, one of them late; and how late rows may be."""
-    path, late = staged(events(spark, folder).drop("kind"), reach=reach)
-    return lambda: file_stream(spark, path, path, files_per_batch=1), late
+    df = events(spark, folder).drop("kind")
+    files = files_of(df)
+    path, late = staged(df, reach=reach, files=files)
+    return lambda: file_stream(spark, path, path, files_per_batch=files), late
 
 
 def in_order(stream, late, *columns):

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from omenlog.operators.order import quantile_list
 from omenlog.schema import SECOND
 from omenlog.session import new_folder
 
+#: Rows of one arriving file; a slice of more rows arrives in several.
+FILE_ROWS = 500_000
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,10 +27,16 @@ def file_stream(spark: SparkSession, path: str, like: str, *, files_per_batch: i
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def staged(df: DataFrame, *, slices: int = 6, reach: int = 0) -> tuple[str, str]:
+def files_of(df: DataFrame, *, slices: int = 6) -> int:
+    """Into how many files ``staged`` should write a slice of these rows."""
+    return max(1, -(-df.count() // (slices * FILE_ROWS)))
+
+
+def staged(df: DataFrame, *, slices: int = 6, reach: int = 0, files: int = 1) -> tuple[str, str]:
     """Scored lines as files that arrive one after another: their folder, and how late rows may be.
 
-    The order of time is cut into ``slices`` files.  A tenth of the second one (by line number)
+    The order of time is cut into ``slices`` files, or so many times ``files``, which a stream should
+    read as one batch; a slice is then written by as many tasks.  A tenth of the second one (by line number)
     arrives in a file of its own after the third.  Last comes a copy of the last row without a line
     number, whose time lies behind all others by the lateness and ``reach`` seconds, so that the
     watermark passes every row and every window of that length is closed.  (Its other columns are
@@ -43,8 +53,13 @@ def staged(df: DataFrame, *, slices: int = 6, reach: int = 0) -> tuple[str, str]
     for cut in cuts[1:-1]:
         part = part + (F.col("us") >= F.lit(cut)).cast("int")
     arrival = F.when((part == 1) & late, 2.5).otherwise(part.cast("double"))
+    # Dealt out in one pass over the rows: a slice in one file would else be a pass in one task.
+    dealt = new_folder(spark, "slices")
+    df.withColumn("arrival", arrival).write.partitionBy("arrival").parquet(dealt)
+    dealt = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("arrival", T.DoubleType())])).parquet(dealt)
     for k in sorted({*range(slices), 2.5}):
-        df.filter(arrival == F.lit(float(k))).coalesce(1).write.mode("append").parquet(folder)
+        rows = dealt.filter(F.col("arrival") == F.lit(float(k))).drop("arrival")
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.mode("append").parquet(folder)
     span = int(max(b - a for a, b in zip(cuts, cuts[2:] if slices > 1 else cuts[1:])) // SECOND) + 1
     last = F.max("us") + F.lit((span + reach + 86_400) * SECOND)
     own = {"us": last, "ts": F.timestamp_micros(last), "line_id": F.lit(None)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from omenlog.functions import normalise as nz
 from omenlog.operators import blends, surprise, sweep, synthetic
 from omenlog.plans import load
+from omenlog.streaming import run
 
 QUERIES = load()
 
@@ -111,3 +112,15 @@ def test_tokens_are_shuffled_by_their_tickets(spark):
         want = dict(zip(place, [
             t for _, t in sorted((md5(f"{name}{i}".encode()).hexdigest()[:15], w[i]) for i in place)]))
         assert got["x"] == [want.get(i, t) for i, t in enumerate(w) if t is not None]
+
+
+def test_slices_of_many_rows_arrive_in_several_files(spark, monkeypatch):
+    """A slice was filtered and written by one task that read all rows."""
+    df = spark.range(600, numPartitions=3).selectExpr(
+        "id AS line_id", "id * 1000000 AS us", "timestamp_micros(id * 1000000) AS ts", "id % 2 AS key")
+    monkeypatch.setattr(run, "FILE_ROWS", 40)
+    files = run.files_of(df)
+    path, _ = run.staged(df, files=files)
+    there = spark.read.parquet(path)
+    assert files == 3 and len(there.inputFiles()) == 7 * 3 + 1
+    assert sorted(r["line_id"] for r in there.collect() if r["line_id"] is not None) == list(range(600))

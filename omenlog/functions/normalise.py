@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -162,7 +163,10 @@ def _folding() -> tuple[str, str]:
         if unicodedata.category(c) == "Mn":
             marks.append(c)
             continue
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        parts = unicodedata.normalize("NFD", c)
+        if parts == c:
+            continue
+        base = "".join(x for x in parts if unicodedata.category(x) != "Mn")
         if base != c and len(base) == 1:
             from_.append(c)
             to.append(base)
@@ -219,16 +223,37 @@ def _masked_batch(texts: pa.Array, masks: tuple) -> pa.Array:
     return texts
 
 
+#: Texts that are folded at once, and what stands for a character that goes.
+FOLDED, GONE = 256, 0xFFFFFFFF
+
+
 @cache
-def _folds() -> dict[int, str | None]:
-    """``_folding`` for ``str.translate``."""
+def _folds() -> np.ndarray:
+    """``_folding`` by code point."""
     source, target = _folding()
-    return {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
+    out = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    out[[ord(c) for c in source]] = GONE
+    out[[ord(c) for c in source[:len(target)]]] = [ord(c) for c in target]
+    return out
+
+
+def _folded_texts(texts: list[str]) -> pa.Array:
+    """Texts by ``_folds``, all their characters at once."""
+    codes = _folds()[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+    kept = codes != GONE
+    ends = np.cumsum([0, *map(len, texts)])
+    ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+    codes = codes[kept]
+    sizes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)  # bytes of UTF-8
+    ends = np.concatenate([[0], np.cumsum(sizes)])[ends].astype(np.int32)
+    data = codes.tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(data))
 
 
 def _folded_batch(texts: pa.Array, lower: bool) -> pa.Array:
     def other(some: pa.Array) -> pa.Array:
-        return pa.array([(t.lower() if lower else t).translate(_folds()) for t in some.to_pylist()], pa.string())
+        some = [t.lower() if lower else t for t in some.to_pylist()]
+        return pa.concat_arrays([_folded_texts(some[i:i + FOLDED]) for i in range(0, len(some), FOLDED)])
 
     texts = pc.ascii_lower(texts) if lower else texts
     return _where(texts, pc.invert(pc.string_is_ascii(texts)), other)

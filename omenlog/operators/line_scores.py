@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, PCA, HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omenlog.functions.time import log_delta
-from omenlog.functions.words import words
 from omenlog.operators.context import context_distance
+from omenlog.operators.embedding import embedded
 from omenlog.operators.order import Order
 from omenlog.operators.scores import online_hybrid
 from omenlog.operators.surprise import CountModel, adaptive_scores, line_signals, numbered_lines, to_lines
@@ -20,21 +17,6 @@ from omenlog.operators.temporal import delta_ms
 from omenlog.session import checkpointed, compact, passing
 
 
-def embedded(lines: DataFrame, features: int = 1024, components: int = 16) -> DataFrame:
-    """Default embedding ``vec`` beside distinct lines: hashed words, inverse document frequency, PCA.
-
-    PCA keeps a ``features`` x ``features`` matrix, so ``features`` stays in the low thousands.
-    Both fits and the projection read the lines: they should be a written table.
-    """
-    stages = [
-        HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf"), PCA(k=components, inputCol="_idf", outputCol="_pca"),
-    ]
-    once = lines.withColumn("_w", words(F.col("norm")))
-    fitted = Pipeline(stages=stages).fit(once)
-    return fitted.transform(once).select(*lines.columns, vector_to_array("_pca").alias("vec"))
-
-
 def line_vectors(df: DataFrame, features: int = 1024, components: int = 16) -> DataFrame:
     """Default embedding per distinct line (see ``embedded``): ``norm, vec``."""
     return embedded(checkpointed(df.select("norm").distinct()), features, components)

@@ -2,11 +2,12 @@
 
 A position as a row of its own takes some forty bytes in a shuffle, most of it its three words.
 Here a row is a block of positions with one list of the words in them: Spark deals the blocks out,
-NumPy cuts and counts them.  A block is a small compressed Arrow batch.
+NumPy cuts and counts them.  A block is a few arrays, each compressed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -32,18 +33,30 @@ class Frequent:
     pairs: Sequence[tuple[str, str, int, int]] = ()  # left, right, n3, m3
     triples: Sequence[tuple[int, str, int]] = ()  # number of the pair, word, c3
 
-    def find(self, names: pa.Array, pair: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Where ``pair`` (``left * len(names) + right``) is a frequent one, and which; the same for triples."""
-        left, right = (_codes([p[i] for p in self.pairs], names) for i in (0, 1))
-        here, which = _found(pair, np.where((left >= 0) & (right >= 0), left * len(names) + right, -1))
+    def find(self, names: pa.Array, left: np.ndarray, right: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where ``left`` and ``right`` (numbers of ``names``) are a frequent pair, and which; the same for triples."""
+        own = [_codes([p[i] for p in self.pairs], names) for i in (0, 1)]
+        known = (own[0] >= 0) & (own[1] >= 0)
+        # most positions have a word that is in no frequent pair on this side
+        some = [np.zeros(len(names), dtype=bool) for _ in own]
+        for marks, codes in zip(some, own):
+            marks[codes[known]] = True
+        at = np.flatnonzero(some[0][left] & some[1][right])
+        here, which = _found(left[at] * len(names) + right[at], np.where(known, own[0] * len(names) + own[1], -1))
+        here = at[here]
         own = _codes([t[1] for t in self.triples], names)
         wanted = np.where(own >= 0, np.array([t[0] for t in self.triples], dtype=np.int64) * len(names) + own, -1)
         mine, hot = _found(which * len(names) + word[here], wanted)
         return here, which, here[mine], hot
 
 
-def _codes(words: Sequence[str], names: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.index_in(pa.array(words, names.type), value_set=names), -1).to_numpy().astype(np.int64)
+def _codes(words: Sequence[str] | pa.Array, names: pa.Array) -> np.ndarray:
+    """The numbers of words among ``names``, -1 for others."""
+    coded = pa.array(words, names.type).dictionary_encode()
+    at = pc.index_in(names, value_set=coded.dictionary)
+    where = np.full(len(coded.dictionary), -1, dtype=np.int64)
+    where[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return where[coded.indices.to_numpy()]
 
 
 def _found(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +78,48 @@ def bucket(keys: np.ndarray, parts: int) -> np.ndarray:
     return (_mixed(keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _packed(**columns) -> bytes:
-    arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in columns.values()]
-    lists = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
-    batch = pa.record_batch(lists, names=list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+#: What a block is compressed with: a codec call for each array takes a fifth of the time of an Arrow stream.
+ZSTD = pa.Codec("zstd", compression_level=1)
+
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts in UTF-8, one after the other, and how many each has."""
+    texts = pa.concat_arrays([texts.cast(pa.string())])  # without an offset of its own
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts), np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]], np.diff(ends).astype(np.int64)
 
-def _unpacked(block: pa.Scalar) -> dict[str, pa.Array]:
-    batch = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
-    return {n: batch.column(i).flatten() for i, n in enumerate(batch.schema.names)}
+
+def _packed(**columns) -> bytes:
+    """Named arrays of numbers or strings as one block."""
+    named = {}
+    for n, a in columns.items():
+        if isinstance(a, pa.Array):
+            data, sizes = flat_bytes(a)
+            named[n], named[f"{n}/data"] = _small(sizes), data
+        else:
+            named[n] = np.ascontiguousarray(a)
+    bodies = [ZSTD.compress(a, asbytes=True) if a.nbytes else b"" for a in named.values()]
+    head = json.dumps([(n, a.dtype.str, len(a), len(b)) for (n, a), b in zip(named.items(), bodies)]).encode()
+    return b"".join([len(head).to_bytes(4, "little"), head, *bodies])
+
+
+def _unpacked(block: pa.Scalar) -> dict[str, np.ndarray | pa.Array]:
+    data = memoryview(block.as_buffer())
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = {}
+    for n, kind, size, packed in json.loads(bytes(data[4:at])):
+        whole = size * np.dtype(kind).itemsize
+        raw = ZSTD.decompress(data[at:at + packed], whole) if whole else b""
+        at += packed
+        if n.endswith("/data"):
+            n = n.removesuffix("/data")
+            ends = np.concatenate([[0], np.cumsum(out[n])]).astype(np.int32)
+            out[n] = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(raw))
+        else:
+            out[n] = np.frombuffer(raw, kind)
+    return out
 
 
 def _small(codes: np.ndarray) -> np.ndarray:
@@ -91,27 +133,97 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def _row(part: int, block: bytes) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+def _steps(keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys as the first one and the steps from there, for ``_keys``."""
+    steps = np.diff(keys)
+    return {"first": keys[:1].astype(np.int64), "key": steps if steps.min(initial=0) < 0 else _small(steps)}
+
+
+def _keys(block: dict) -> np.ndarray:
+    """The key of each position of a block."""
+    return np.repeat(np.cumsum(np.concatenate([block["first"], block["key"].astype(np.int64)])), block["size"])
+
+
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """Places by part, in their order inside each: numbers of two bytes are sorted by their digits."""
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+
+
+class _Own:
+    """The words of one block among all that a task knows."""
+
+    def __init__(self, names: pa.Array) -> None:
+        self.names, self.here, self.number = names, np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int64)
+
+    def __call__(self, *codes: np.ndarray) -> tuple:
+        """These words, and ``codes`` as small numbers of them."""
+        for c in codes:
+            self.here[c] = True
+        own = np.flatnonzero(self.here)
+        self.here[own], self.number[own] = False, np.arange(len(own))
+        kind = _small(np.array([max(len(own) - 1, 0)])).dtype
+        return self.names.take(pa.array(own)), *(self.number[c].astype(kind) for c in codes)
+
+
+#: Bytes of blocks that leave a task at once.
+SENT = 4 << 20
+
+
+def _sent(blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their part as rows, many in a batch."""
+    held, size = [], 0
+    for part, block in blocks:
+        held.append((part, block))
+        size += len(block)
+        if size >= SENT:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _rows(blocks: Sequence[tuple[int, bytes]]) -> pa.RecordBatch:
+    part, block = zip(*blocks)
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array(block, pa.binary())], names=["part", "block"])
+
 
+def split(lines: pa.Array) -> pa.Array:
+    """Whitespace-separated words, as ``functions.words.words`` cuts them."""
+    lists = pc.ascii_split_whitespace(lines)
+    some = pc.not_equal(lists.flatten(), "")
+    if pc.all(some).as_py() is not False:
+        return lists
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    lengths = np.bincount(np.repeat(np.arange(len(lists)), lengths)[some.to_numpy(zero_copy_only=False)], minlength=len(lists))
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), lists.flatten().filter(some))
 
-def _at_once(blocks: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _at_once(blocks: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``blocks`` on the lines of a task, so many at a time that they hold ``AT_ONCE`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch.column("words").flatten())
-            if size >= AT_ONCE:
-                yield from blocks(pa.Table.from_batches(held).combine_chunks())
-                held, size = [], 0
-        if size:
-            yield from blocks(pa.Table.from_batches(held).combine_chunks())
+        for table in tables(batches):
+            yield from _sent(blocks(table))
 
     return run
 
 
+def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The lines of a task, so many at a time that they hold ``AT_ONCE`` words.  Texts (``words``) are cut, lists are not."""
+    held, size = [], 0
+    for batch in batches:
+        if not pa.types.is_list(batch.column("words").type):
+            batch = batch.set_column(batch.schema.get_field_index("words"), "words", split(batch.column("words")))
+        held.append(batch)
+        size += len(batch.column("words").flatten())
+        if size >= AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _neighbours(lists: pa.Array) -> tuple:
     """The different words of lines, the numbers of each word and of its neighbours in them, its line, and the lines' starts."""
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
@@ -125,8 +237,56 @@ def _neighbours(lists: pa.Array) -> tuple:
     return coded.dictionary, left, word, right, np.repeat(np.arange(len(lengths)), lengths), starts
 
 
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, with the sum of their counts."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    starts = _runs(codes)
+    return codes[starts], np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+
+
 def _hashes(names: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object))
+    return pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of lines (``copies, words``), ``AT_ONCE`` words at a time, with their copies."""
+    for table in tables(batches):
+        lists = table["words"].chunk(0)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        c = np.zeros(len(coded.dictionary), dtype=np.int64)
+        np.add.at(c, coded.indices.to_numpy(), np.repeat(table["copies"].to_numpy(), lengths))
+        yield pa.record_batch([coded.dictionary.cast(pa.string()), pa.array(c)], names=["word", "c"])
+
+
+def count_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different pairs of neighbours in lines (``copies, words``), ``AT_ONCE`` words at a time, with their positions."""
+    for table in tables(batches):
+        names, left, _, right, _, _ = _neighbours(table["words"].chunk(0))
+        pairs, n = summed(left * len(names) + right, np.ones(len(left), dtype=np.int64))
+        sides = [names.take(pa.array(c)).cast(pa.string()) for c in (pairs // len(names), pairs % len(names))]
+        yield pa.record_batch([*sides, pa.array(n)], names=["left", "right", "n"])
+
+
+def count_triples(often: Frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The different words between the pairs of ``often`` in lines (``copies, words``): ``pair`` by number, copies and positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables(batches):
+            names, left, word, right, line, _ = _neighbours(table["words"].chunk(0))
+            here, which, _, _ = often.find(names, left, right, word)
+            codes, copies = which * len(names) + word[here], table["copies"].to_numpy()[line[here]]
+            order = np.argsort(codes)
+            codes, starts = codes[order], _runs(codes[order])
+            own = codes[starts]
+            yield pa.record_batch([
+                pa.array((own // len(names)).astype(np.int32)), names.take(pa.array(own % len(names))).cast(pa.string()),
+                pa.array(np.add.reduceat(copies[order].astype(np.int64), starts) if len(starts) else own),
+                pa.array(np.diff(np.append(starts, len(codes)))),
+            ], names=["pair", "word", "c3", "n"])
+
+    return run
 
 
 def _to_left(names: pa.Array, left: np.ndarray, word: np.ndarray, spread: Sequence[str], parts: int) -> np.ndarray:
@@ -148,31 +308,29 @@ def cut(parts: int, often: Frequent, turn: int = 0, turns: int = 1) -> Callable[
     task has its ``turn``; the others have theirs in other runs.
     """
 
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def blocks(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         names, left, word, right, line, starts = _neighbours(table["words"].chunk(0))
         keys = pc.fill_null(table["key"], -1).to_numpy()  # -1: of the training only
         copies = table["copies"].to_numpy()
         h = _hashes(names)
         to = _mixed(_mixed(h[left]) + h[right])
-        here, _, hot, _ = often.find(names, left * len(names) + right, word)
+        here, _, hot, _ = often.find(names, left, right, word)
         to[here] = _mixed(to[here] + h[word[here]])
         to[hot] = _mixed(to[hot] + hot.astype(np.uint64))
         part = (to % np.uint64(parts)).astype(np.int32)
-        now = np.flatnonzero(part % turns == turn)
-        order = now[np.argsort(part[now], kind="stable")]
-        bounds = np.append(_runs(part[order]), len(order))
+        order = np.flatnonzero(part % turns == turn)
+        order = order[_by_part(part[order], parts)]
+        part, left, word, right, line = (v[order] for v in (part, left, word, right, line))
+        pos, own = order - starts[line], _Own(names)
+        bounds = np.append(_runs(part), len(order))
         for a, b in zip(bounds, bounds[1:]):
-            at = order[a:b]
-            own, codes = np.unique(np.concatenate([left[at], word[at], right[at]]), return_inverse=True)
-            codes, n = _small(codes), b - a
-            runs = _runs(line[at])
-            lines = line[at][runs]
-            block = _packed(
-                names=names.take(pa.array(own)), left=codes[:n], word=codes[n:2 * n], right=codes[2 * n:],
-                key=np.diff(keys[lines], prepend=0), copies=_small(copies[lines]), size=_small(np.diff(np.append(runs, n))),
-                pos=_small(at - starts[line[at]]),
+            mine, *codes = own(left[a:b], word[a:b], right[a:b])
+            runs = _runs(line[a:b])
+            lines = line[a:b][runs]
+            yield part[a], _packed(
+                names=mine, left=codes[0], word=codes[1], right=codes[2], **_steps(keys[lines]),
+                copies=_small(copies[lines]), size=_small(np.diff(np.append(runs, b - a))), pos=_small(pos[a:b]),
             )
-            yield _row(part[at[0]], block)
 
     return _at_once(blocks)
 
@@ -183,19 +341,17 @@ def cut_pairs(parts: int, spread: Sequence[str]) -> Callable[[Iterator[pa.Record
     The pairs of the words in ``spread`` go to many tasks.
     """
 
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def blocks(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         names, left, word, _, line, _ = _neighbours(table["words"].chunk(0))
-        pairs, at = np.unique(left * len(names) + word, return_inverse=True)
-        c = np.bincount(at, weights=table["copies"].to_numpy()[line]).astype(np.int64)
+        pairs, c = summed(left * len(names) + word, table["copies"].to_numpy()[line])
         left, word = pairs // len(names), pairs % len(names)
         part = _to_left(names, left, word, spread, parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.append(_runs(part[order]), len(order))
+        order = _by_part(part, parts)
+        part, left, word, c = (v[order] for v in (part, left, word, c))
+        bounds, own = np.append(_runs(part), len(order)), _Own(names)
         for a, b in zip(bounds, bounds[1:]):
-            own, codes = np.unique(np.concatenate([left[order[a:b]], word[order[a:b]]]), return_inverse=True)
-            codes = _small(codes)
-            yield _row(part[order[a]], _packed(
-                names=names.take(pa.array(own)), left=codes[:b - a], word=codes[b - a:], c=_small(c[order[a:b]])))
+            mine, *codes = own(left[a:b], word[a:b])
+            yield part[a], _packed(names=mine, left=codes[0], word=codes[1], c=_small(c[a:b]))
 
     return _at_once(blocks)
 
@@ -204,16 +360,15 @@ def count_pairs(asked: pa.Table, table: pa.Table) -> pa.Table:
     """``c2`` of the asked positions, and what the pairs of this task add to ``n2`` and ``m2`` of their left words."""
     blocks = [_unpacked(b) for b in table["block"]]
     none = pa.array([], pa.string())
-    coded = pa.concat_arrays([none, *[b["names"].cast(pa.string()) for b in blocks]]).dictionary_encode()
+    coded = pa.concat_arrays([none, *[b["names"] for b in blocks]]).dictionary_encode()
     names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     pairs, counts, seen = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for b in blocks:
         own = codes[seen:seen + len(b["names"])]
         seen += len(own)
-        pairs.append(own[b["left"].to_numpy()] * len(names) + own[b["word"].to_numpy()])
-        counts.append(b["c"].to_numpy().astype(np.int64))
-    pairs, at = np.unique(np.concatenate(pairs), return_inverse=True)
-    c2 = np.bincount(at, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
+        pairs.append(own[b["left"]] * len(names) + own[b["word"]])
+        counts.append(b["c"].astype(np.int64))
+    pairs, c2 = summed(np.concatenate(pairs), np.concatenate(counts))
     left = pairs // max(len(names), 1)
     starts = _runs(left)
     ask = [_codes(asked[n].combine_chunks(), names) for n in ("left", "word")]
@@ -250,20 +405,23 @@ def count(parts: int, often: Frequent, spread: Sequence[str]) -> Callable[[pa.Ta
             own = codes[seen:seen + len(b["names"])]
             seen += len(own)
             for n in ("left", "word", "right"):
-                parts_of[n].append(own[b[n].to_numpy()])
-            parts_of["key"].append(np.repeat(np.cumsum(b["key"].to_numpy(), dtype=np.int64), b["size"].to_numpy()))
-            parts_of["copies"].append(np.repeat(b["copies"].to_numpy().astype(np.int64), b["size"].to_numpy()))
-            parts_of["pos"].append(b["pos"].to_numpy().astype(np.int64))
+                parts_of[n].append(own[b[n]])
+            parts_of["key"].append(_keys(b))
+            parts_of["copies"].append(np.repeat(b["copies"].astype(np.int64), b["size"]))
+            parts_of["pos"].append(b["pos"].astype(np.int64))
         blocks = None
         left, word, right, key, copies, pos = (np.concatenate(v) for v in parts_of.values())
         parts_of = None
         pair = left * len(names) + right
-        order = np.lexsort((word, pair))
+        if len(names) < 1 << 20:  # one number for the triple
+            order = np.argsort(pair * len(names) + word)
+        else:
+            order = np.lexsort((word, pair))
         p, w = pair[order], word[order]
         at3 = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])]))
         c3 = np.add.reduceat(copies[order], at3)
         p3 = p[at3]
-        here, which, hot, triple = often.find(names, p3, w[at3])
+        here, which, hot, triple = often.find(names, p3 // len(names), p3 % len(names), w[at3])
         c3[hot] = np.array([t[2] for t in often.triples], dtype=np.int64)[triple]
         at2 = _runs(p3)
         in_pair = np.diff(np.append(at2, len(p3)))
@@ -275,18 +433,19 @@ def count(parts: int, often: Frequent, spread: Sequence[str]) -> Callable[[pa.Ta
         asked = key >= 0
         new = np.flatnonzero(asked & (n3[triple] == 0))
         old = np.flatnonzero(asked & (n3[triple] > 0))
-        # blocks of the positions that are answered
+        # blocks of the positions that are answered; the words of a line came together and in order
         to = bucket(key[old], parts)
-        by = np.lexsort((pos[old], key[old], to))
+        by = _by_part(to, parts)
         old, to = old[by], to[by]
+        key3, pos3, triple = key[old], pos[old], triple[old]
+        c3, n3, m3 = c3[triple], n3[triple], m3[triple]
         bounds = np.append(_runs(to), len(to))
         ids, packed = [], []
         for a, b in zip(bounds, bounds[1:]):
-            at, t = old[a:b], triple[old[a:b]]
-            lines = _runs(key[at])
+            lines = _runs(key3[a:b])
             packed.append(_packed(
-                key=np.diff(key[at][lines], prepend=0), size=_small(np.diff(np.append(lines, b - a))), pos=_small(pos[at]),
-                c3=_small(c3[t]), n3=_small(n3[t]), m3=_small(m3[t]),
+                **_steps(key3[a:b][lines]), size=_small(np.diff(np.append(lines, b - a))), pos=_small(pos3[a:b]),
+                c3=_small(c3[a:b]), n3=_small(n3[a:b]), m3=_small(m3[a:b]),
             ))
             ids.append(to[a])
         words = [names.take(pa.array(c[new])) for c in (left, word)]
@@ -310,15 +469,17 @@ def gather(smoothing: float, room: float) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         rows = table.filter(pc.is_null(table["block"]))
         columns = {n: [rows[n].to_numpy()] for n in ("key", "pos", "err", "prob")}
-        for block in table["block"].drop_null():
-            b = {n: v.to_numpy() for n, v in _unpacked(block).items()}
-            total = b["n3"].astype(np.float64) + room
-            columns["key"].append(np.repeat(np.cumsum(b["key"], dtype=np.int64), b["size"]))
-            columns["pos"].append(b["pos"].astype(np.int64))
-            columns["err"].append(-np.log((b["c3"] + smoothing) / total))
-            columns["prob"].append(1 - (b["m3"] + smoothing) / total)
+        blocks = [_unpacked(block) for block in table["block"].drop_null()]
+        if blocks:
+            c3, n3, m3 = (np.concatenate([b[n] for b in blocks]).astype(np.float64) for n in ("c3", "n3", "m3"))
+            total = n3 + room
+            columns["key"].extend(_keys(b) for b in blocks)
+            columns["pos"].extend(b["pos"].astype(np.int64) for b in blocks)
+            columns["err"].append(-np.log((c3 + smoothing) / total))
+            columns["prob"].append(1 - (m3 + smoothing) / total)
         key, pos, err, prob = (np.concatenate(v) for v in columns.values())
-        order = np.lexsort((pos, key))
+        line = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)
+        order = np.argsort(line * (int(pos.max(initial=0)) + 1) + pos)  # one number for line and place
         key = key[order]
         starts = _runs(key)
         ends = pa.array(np.append(starts, len(key)).astype(np.int32))
@@ -335,16 +496,16 @@ TEXTS = 32 << 20
 def deal(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lines (``key`` and more) as compressed blocks for the task of their key."""
 
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def blocks(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         part = bucket(pc.fill_null(table["key"], -1).to_numpy(), parts)
-        order = np.argsort(part, kind="stable")
+        order = _by_part(part, parts)
         table, part = table.take(pa.array(order)).combine_chunks(), part[order]
         bounds = np.append(_runs(part), len(part))
         for a, b in zip(bounds, bounds[1:]):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table.slice(a, b - a))
-            yield _row(part[a], sink.getvalue().to_pybytes())
+            yield part[a], sink.getvalue().to_pybytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -352,10 +513,10 @@ def deal(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             held.append(batch)
             size += batch.nbytes
             if size >= TEXTS:
-                yield from blocks(pa.Table.from_batches(held))
+                yield from _sent(blocks(pa.Table.from_batches(held)))
                 held, size = [], 0
         if held:
-            yield from blocks(pa.Table.from_batches(held))
+            yield from _sent(blocks(pa.Table.from_batches(held)))
 
     return run
 

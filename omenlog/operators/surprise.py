@@ -40,6 +40,11 @@ def _tokens(text: Column, unit: str) -> Column:
     return words(text) if unit == "word" else F.flatten(F.transform(words(text), pieces))
 
 
+def _cut(text: Column, unit: str) -> Column:
+    """The words of a line for the Arrow batches of ``positions``, where whole texts are cut faster than here."""
+    return text if unit == "word" else _tokens(text, unit)
+
+
 def positions(df: DataFrame, text: str = "norm", *, unit: str = "word", keep: Sequence[str] = ()) -> DataFrame:
     """One row per word (or sub-word piece): ``pos, word, left, right`` plus ``keep``."""
     return df.select(*keep, _tokens(F.col(text), unit).alias("_t")).select(
@@ -85,8 +90,13 @@ def train(
     cut once.  ``write`` writes the model's tables.
     """
     lines = write(df.groupBy(F.col(text).alias("line")).agg(F.count("*").alias("copies")))
-    once = lines.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
-    return CountModel(lines, write(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit)
+    return CountModel(lines, write(_counted_words(lines, unit)), smoothing, unit)
+
+
+def _counted_words(lines: DataFrame, unit: str) -> DataFrame:
+    """The words of lines (``line, copies``) with their copies; they are counted in each batch of lines."""
+    cut = lines.select("copies", _cut(F.col("line"), unit).alias("words"))
+    return cut.mapInArrow(moves.count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def trained(
@@ -99,8 +109,7 @@ def trained(
     """
     lines = write(df.groupBy(text).agg(F.count_if(normal).alias("copies")).withColumn("line_no", F.monotonically_increasing_id()))
     own = lines.filter("copies > 0").select(F.col(text).alias("line"), "copies")
-    once = own.select("copies", F.explode(_tokens(F.col("line"), unit)).alias("word"))
-    return CountModel(own, compact(once.groupBy("word").agg(F.sum("copies").alias("c"))), smoothing, unit), lines
+    return CountModel(own, compact(_counted_words(own, unit)), smoothing, unit), lines
 
 
 def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
@@ -108,23 +117,25 @@ def frequent(lines: DataFrame, *, unit: str = "word") -> moves.Frequent:
 
     The sample only says how a pair is counted, not what is counted.
     """
-    pair, triple = ["left", "right"], ["left", "right", "word"]
-    some = lines.filter(F.pmod(F.xxhash64("line"), F.lit(SAMPLED)) == 0)
-    counts = positions(some, "line", unit=unit).groupBy(*pair).agg(F.count("*").alias("n"))
-    rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), *pair).limit(MOST_FREQUENT).collect()
+    def cut(df: DataFrame) -> DataFrame:
+        return df.select(F.col("copies").cast("long").alias("copies"), _cut(F.col("line"), unit).alias("words"))
+
+    some = cut(lines.filter(F.pmod(F.xxhash64("line"), F.lit(SAMPLED)) == 0))
+    counts = some.mapInArrow(moves.count_neighbours, "left string, right string, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "left", "right").limit(MOST_FREQUENT).collect()
     if not rows:
         return moves.Frequent()
-    often = F.broadcast(lines.sparkSession.createDataFrame([(r["left"], r["right"]) for r in rows], "left string, right string"))
+    often = moves.Frequent([(r["left"], r["right"], 0, 0) for r in rows])
     with passing(lines.sparkSession) as step:
         triples = step(
-            positions(lines, "line", unit=unit, keep=["copies"]).join(often, pair).groupBy(*triple)
-            .agg(F.sum("copies").alias("c3"), F.count("*").alias("n"))
+            cut(lines).mapInArrow(moves.count_triples(often), "pair int, word string, c3 long, n long").groupBy("pair", "word")
+            .agg(F.sum("c3").alias("c3"), F.sum("n").alias("n"))
         )
-        pairs = [tuple(r) for r in triples.groupBy(*pair).agg(F.sum("c3"), F.max("c3")).collect()]
-        number = {p[:2]: i for i, p in enumerate(pairs)}
+        totals = {r[0]: (r[1], r[2]) for r in triples.groupBy("pair").agg(F.sum("c3"), F.max("c3")).collect()}
         # so many positions each: there are few of them
-        hot = triples.filter(F.col("n") >= FREQUENT * SAMPLED).select(*triple, "c3").collect()
-    return moves.Frequent(pairs, [(number[r["left"], r["right"]], r["word"], r["c3"]) for r in hot])
+        hot = triples.filter(F.col("n") >= FREQUENT * SAMPLED).select("pair", "word", "c3").collect()
+    pairs = [(*p[:2], *totals[i]) for i, p in enumerate(often.pairs)]
+    return moves.Frequent(pairs, [tuple(r) for r in hot])
 
 
 def tasks_for(lines: DataFrame) -> int:
@@ -143,7 +154,7 @@ def counted(
     Of several ``turns`` each counts its own pairs.
     """
     parts, often = parts or tasks_for(lines), often or frequent(lines, unit=unit)
-    cut = lines.select("key", F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), unit).alias("words"))
+    cut = lines.select("key", F.col("copies").cast("long").alias("copies"), _cut(F.col("line"), unit).alias("words"))
     dealt = cut.mapInArrow(moves.cut(parts, often, turn, turns), moves.MOVED).groupBy("part")
     return dealt.applyInArrow(moves.count(parts, often, spread), moves.COUNTED)
 
@@ -204,7 +215,7 @@ def answered(model: CountModel, lines: DataFrame, *, write: Callable[[DataFrame]
     out = found.filter("block is not null").select("part", "block", *none)
     rest = found.filter("block is null").drop("block")
     if not rest.isEmpty():
-        seen = model.lines.select(F.col("copies").cast("long").alias("copies"), _tokens(F.col("line"), model.unit).alias("words"))
+        seen = model.lines.select(F.col("copies").cast("long").alias("copies"), _cut(F.col("line"), model.unit).alias("words"))
         pairs = seen.mapInArrow(moves.cut_pairs(parts, spread), moves.MOVED)
         both = write(
             rest.groupBy("from_left").cogroup(pairs.groupBy("part")).applyInArrow(moves.count_pairs, moves.FOLLOWED)

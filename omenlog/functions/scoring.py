@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +52,45 @@ def pool(values: Column, mode: str, k: float | Column = 5) -> Column:
     raise ValueError(f"unknown pooling mode: {mode} (one of {POOLING})")
 
 
+#: Values that are sorted at once, in rows of about the same length.
+CELLS = 1 << 21
+
+
+def extreme_means(lists: pa.Array, ks: Sequence[int]) -> tuple[list[pa.Array], list[pa.Array]]:
+    """``pool`` of a batch of arrays by ``topk_mean`` and by ``bottomk_mean``, for every k.
+
+    Each array is sorted once for all; values are added in the order in which ``pool`` adds them.
+    """
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    flat = lists.flatten()
+    gone = flat.is_null().to_numpy(zero_copy_only=False)
+    lost = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[gone], minlength=len(sizes))
+    flat = np.where(gone, -np.inf, flat.cast(pa.float64()).to_numpy(zero_copy_only=False))  # nulls sort below all
+    starts = np.cumsum(sizes) - sizes
+    most = max(ks, default=0)
+    best = np.zeros((2, most + 1, len(sizes)))  # sums of the j highest and lowest
+    steps = np.where(sizes > 0, np.ceil(np.log2(np.maximum(sizes, 1))), -1).astype(np.int64)
+    for step in np.unique(steps[steps >= 0]):
+        rows, width = np.flatnonzero(steps == step), 1 << int(step)
+        for some in np.array_split(rows, -(-len(rows) * width // CELLS)):
+            n, across = sizes[some], np.arange(width)
+            cells = flat[np.minimum(starts[some][:, None] + across, len(flat) - 1)]
+            cells[across >= n[:, None]] = np.nan  # behind all others
+            cells.sort(axis=1)
+            for j in range(most):
+                here = np.arange(len(some))
+                for side, at in enumerate((n - 1 - j, np.full(len(some), j))):
+                    x = cells[here, np.clip(at, 0, width - 1)]
+                    best[side, j + 1, some] = best[side, j, some] + np.where(j < n, x, 0.0)
+    out = [], []
+    for k in ks:
+        n = np.minimum(sizes, k)
+        for side, none in enumerate((n > sizes - lost, (lost > 0) & (n > 0))):
+            means = np.where(n > 0, best[side, k] / np.maximum(n, 1), 0.0)
+            out[side].append(pa.array(means, mask=none))
+    return out
+
+
 def ensemble(scores: Sequence[Column], ks: Sequence[int], how: str = "mean") -> Column:
     """Combine the scores of several k: mean, weighted_mean (by 1/k) or max."""
     if how == "max":

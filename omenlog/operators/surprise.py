@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from omenlog.functions.scoring import pool
+from omenlog.functions.scoring import extreme_means, pool
 from omenlog.functions.words import START, contexts, pieces, words
 from omenlog.operators import positions as moves
 from omenlog.operators.dedup import score_once
@@ -282,16 +283,24 @@ def to_lines(df: DataFrame, lines: DataFrame, scores: DataFrame | None = None, *
 
 
 def top_k_families(ks: Sequence[int] = TOP_KS) -> Column:
-    """Three score families for every k, of one line's ``errors`` and ``probs``."""
-    return F.array(*[
-        F.struct(
-            F.lit(k).alias("k"),
-            pool(F.col("errors"), "topk_mean", k).alias("error"),
-            pool(F.col("probs"), "bottomk_mean", k).alias("prob"),
-            pool(F.col("probs"), "topk_mean", k).alias("probtopk"),
-        )
-        for k in ks
-    ])
+    """Three score families for every k, of one line's ``errors`` and ``probs``.
+
+    The words of a line are sorted once for all k, in Arrow batches.
+    """
+    ks = [int(k) for k in ks]
+
+    def run(errors: pa.Array, probs: pa.Array) -> pa.Array:
+        error, (probtopk, prob) = extreme_means(errors, ks)[0], extreme_means(probs, ks)
+        n = len(errors)
+        # of one k after the other, and from there of one line after the other
+        by_line = pa.array(np.arange(len(ks) * n).reshape(len(ks), n).T.ravel())
+        columns = {"k": pa.array(np.repeat(np.array(ks, dtype=np.int32), n))}
+        columns |= {c: pa.concat_arrays(v) for c, v in (("error", error), ("prob", prob), ("probtopk", probtopk))}
+        cells = pa.StructArray.from_arrays([c.take(by_line) for c in columns.values()], list(columns))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(ks)), cells)
+
+    kind = "array<struct<k:int,error:double,prob:double,probtopk:double>>"
+    return F.arrow_udf(run, kind)(F.col("errors"), F.col("probs"))
 
 
 def top_k_scores(arrays: DataFrame, ks: Sequence[int] = TOP_KS, keep: Sequence[str] = ("norm",)) -> DataFrame:

@@ -146,7 +146,8 @@ def surprise_quality_by_k(spark, folder):
     by_k = every.join(once, "line_no").select("label", F.explode("s").alias("s")).select("label", "s.*")
     rows = checkpointed(by_k.select("label", "k", F.explode(cells).alias("c")).select("label", "k", "c.*"))
     by = ["family", "k"]
-    return classify.auroc(rows, by=by).join(classify.best_f1(rows, by=by).select(*by, "best_f1"), by)
+    steps = classify.curve(rows, by=by)
+    return classify.auroc(rows, by=by, steps=steps).join(classify.best_f1(rows, by=by, steps=steps).select(*by, "best_f1"), by)
 
 
 def letter_model(batches):

@@ -9,10 +9,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from omenlog.functions import normalise as nz
+from omenlog.functions import scoring
 from omenlog.functions.words import words
-from omenlog.operators import embedding, positions, surprise
+from omenlog.operators import classify, embedding, positions, surprise
+from omenlog.plans import load
 from omenlog.session import checkpointed
 
+QUERIES = load()
 ODD = ["", " ", " a  b\t", "a\nb\x0bc \x0c d\r", "é 日本 x", "a" * 37 + " b", None]
 
 
@@ -75,3 +78,23 @@ def test_embedding_is_that_of_spark_ml_from_one_job(spark):
     assert jobs_of(spark, "embedding", lambda: found.append(embedding.embedded(df, 64, 3))) <= 2
     for r in found[0].collect():
         assert np.abs(r["vec"]) == pytest.approx(np.abs(want[r["norm"]]), rel=1e-6, abs=1e-6)
+
+
+def test_score_families_are_sorted_once(spark):
+    rng = np.random.default_rng(2)
+    lists = [None, [], [1.0], [None, 2.0], [3.0, None, 5.0, 4.0], *(rng.random(n).tolist() for n in range(1, 40))]
+    df = spark.createDataFrame([(i, x, x and x[::-1]) for i, x in enumerate(lists)], "i int, errors array<double>, probs array<double>")
+    ks = (1, 2, 10)
+    kinds = (("error", "errors", "topk_mean"), ("prob", "probs", "bottomk_mean"), ("probtopk", "probs", "topk_mean"))
+    old = F.array(*[F.struct(F.lit(k).alias("k"), *[scoring.pool(F.col(c), mode, k).alias(n) for n, c, mode in kinds]) for k in ks])
+    both = df.select(old.alias("want"), surprise.top_k_families(ks).alias("got"))
+    assert both.schema["got"].dataType.simpleString() == both.schema["want"].dataType.simpleString()
+    assert "sort_array" not in df.select(surprise.top_k_families(ks))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["want"] == r["got"] for r in both.collect())
+
+
+def test_quality_by_k_makes_one_curve(spark, monkeypatch):
+    made, curve = [], classify.curve
+    monkeypatch.setattr(classify, "curve", lambda *a, **b: made.append(1) or curve(*a, **b))
+    got = QUERIES["surprise_quality_by_k"].run(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and got.count() == 12

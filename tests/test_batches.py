@@ -93,8 +93,11 @@ def test_score_families_are_sorted_once(spark):
     assert all(r["want"] == r["got"] for r in both.collect())
 
 
-def test_quality_by_k_makes_one_curve(spark, monkeypatch):
+def test_quality_by_k_makes_one_curve(spark, tmp_path, monkeypatch):
+    texts = [(i, f"alpha beta {'xyz'[i % 3]}\nbeta {'abcdefgh'[i % 8]} gamma {i}", "s") for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     made, curve = [], classify.curve
     monkeypatch.setattr(classify, "curve", lambda *a, **b: made.append(1) or curve(*a, **b))
-    got = QUERIES["surprise_quality_by_k"].run(spark, "/root/testdata/sf0.001")
-    assert len(made) == 1 and got.count() == 12
+    got = QUERIES["surprise_quality_by_k"].run(spark, str(tmp_path)).collect()
+    assert len(made) == 1 and len(got) == 12 and all(0 <= r["auroc"] <= 1 for r in got)

@@ -42,7 +42,7 @@ class Frequent:
         for marks, codes in zip(some, own):
             marks[codes[known]] = True
         at = np.flatnonzero(some[0][left] & some[1][right])
-        here, which = _found(left[at] * len(names) + right[at], np.where(known, own[0] * len(names) + own[1], -1))
+        here, which = _found(_both(left[at], len(names), right[at]), np.where(known, own[0] * len(names) + own[1], -1))
         here = at[here]
         own = _codes([t[1] for t in self.triples], names)
         wanted = np.where(own >= 0, np.array([t[0] for t in self.triples], dtype=np.int64) * len(names) + own, -1)
@@ -218,10 +218,18 @@ def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch)
         size += len(batch.column("words").flatten())
         if size >= AT_ONCE:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
+            yield _whole(held)
+            size = 0
+            pa.default_memory_pool().release_unused()
     if size:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield _whole(held)
+
+
+def _whole(held: list[pa.RecordBatch]) -> pa.Table:
+    """The batches as one table; the list is emptied, so that they go."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    return table
 
 
 def _neighbours(lists: pa.Array) -> tuple:
@@ -229,12 +237,20 @@ def _neighbours(lists: pa.Array) -> tuple:
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     coded = pa.concat_arrays([pa.array([START, END], lists.type.value_type), lists.flatten()]).dictionary_encode()
-    word = coded.indices.to_numpy()[2:].astype(np.int64)
+    word = coded.indices.to_numpy()[2:]  # of four bytes, see ``_both``
     full = lengths > 0
     left, right = np.zeros_like(word), np.ones_like(word)
     left[1:], right[:-1] = word[:-1], word[1:]
     left[starts[full]], right[(starts + lengths - 1)[full]] = 0, 1
-    return coded.dictionary, left, word, right, np.repeat(np.arange(len(lengths)), lengths), starts
+    return coded.dictionary, left, word, right, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), starts
+
+
+def _both(a: np.ndarray, names: int, b: np.ndarray) -> np.ndarray:
+    """Two numbers of names as one of eight bytes."""
+    out = a.astype(np.int64)
+    out *= names
+    out += b
+    return out
 
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +258,7 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(codes)
     codes = codes[order]
     starts = _runs(codes)
-    return codes[starts], np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    return codes[starts], np.add.reduceat(counts[order].astype(np.int64, copy=False), starts) if len(starts) else np.zeros(0, np.int64)
 
 
 def _hashes(names: pa.Array) -> np.ndarray:
@@ -264,7 +280,7 @@ def count_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """The different pairs of neighbours in lines (``copies, words``), ``AT_ONCE`` words at a time, with their positions."""
     for table in tables(batches):
         names, left, _, right, _, _ = _neighbours(table["words"].chunk(0))
-        pairs, n = summed(left * len(names) + right, np.ones(len(left), dtype=np.int64))
+        pairs, n = summed(_both(left, len(names), right), np.ones(len(left), dtype=np.int64))
         sides = [names.take(pa.array(c)).cast(pa.string()) for c in (pairs // len(names), pairs % len(names))]
         yield pa.record_batch([*sides, pa.array(n)], names=["left", "right", "n"])
 
@@ -318,6 +334,7 @@ def cut(parts: int, often: Frequent, turn: int = 0, turns: int = 1) -> Callable[
         to[here] = _mixed(to[here] + h[word[here]])
         to[hot] = _mixed(to[hot] + hot.astype(np.uint64))
         part = (to % np.uint64(parts)).astype(np.int32)
+        del to, h
         order = np.flatnonzero(part % turns == turn)
         order = order[_by_part(part[order], parts)]
         part, left, word, right, line = (v[order] for v in (part, left, word, right, line))
@@ -343,7 +360,7 @@ def cut_pairs(parts: int, spread: Sequence[str]) -> Callable[[Iterator[pa.Record
 
     def blocks(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         names, left, word, _, line, _ = _neighbours(table["words"].chunk(0))
-        pairs, c = summed(left * len(names) + word, table["copies"].to_numpy()[line])
+        pairs, c = summed(_both(left, len(names), word), table["copies"].to_numpy()[line])
         left, word = pairs // len(names), pairs % len(names)
         part = _to_left(names, left, word, spread, parts)
         order = _by_part(part, parts)
